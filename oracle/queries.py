@@ -1,0 +1,84 @@
+"""Oracle SQL (DuckDB dialect) for every registered query that SQL can express."""
+
+from __future__ import annotations
+
+from flightlens import constants as C
+from flightlens.params import FIXTURE
+
+from .ctes import flights_ctes, model_ctes, r2, r6, split_ctes, with_
+
+P = FIXTURE
+DELAYED = "SUM(CASE WHEN is_delayed THEN 1 ELSE 0 END)"
+
+
+def _measures(avg_col="dep_delay", avg_alias="avg_dep_delay_min", with_delayed=True):
+    parts = ["COUNT(*) AS total_flights"]
+    if with_delayed:
+        parts.append(f"CAST({DELAYED} AS BIGINT) AS delayed_flights")
+    parts.append(f"{r2(f'CAST({DELAYED} AS DOUBLE) / COUNT(*) * 100')} AS delay_rate_pct")
+    parts.append(f"{r2(f'AVG({avg_col})')} AS {avg_alias}")
+    return ", ".join(parts)
+
+
+def _report(keys: str, having: str = "", tail: str = "", **kw) -> str:
+    return with_(flights_ctes(), f"SELECT {keys}, {_measures(**kw)} FROM flights GROUP BY {keys} {having} {tail}")
+
+
+def _dashboard_union() -> str:
+    m = f"COUNT(*) AS total_flights, CAST({DELAYED} AS BIGINT) AS delayed_flights, " \
+        f"{r2(f'CAST({DELAYED} AS DOUBLE) / COUNT(*) * 100')} AS delay_rate_pct"
+    dep = r2("AVG(dep_delay)")
+    arr = r2("AVG(arr_delay)")
+    parts = [
+        f"SELECT 'delay_by_airline' AS report, airline AS key, CAST(NULL AS INTEGER) AS month, {m}, {dep} AS avg_dep_delay_min, CAST(NULL AS DOUBLE) AS avg_arr_delay_min FROM flights GROUP BY airline",
+        f"SELECT 'delay_by_month', CAST(month AS VARCHAR), NULL, {m}, {dep}, NULL FROM flights GROUP BY month",
+        f"SELECT 'delay_by_dow', day_of_week, NULL, {m}, {dep}, NULL FROM flights GROUP BY day_of_week",
+        f"SELECT * FROM (SELECT 'delay_by_airport', origin, NULL, {m}, {dep}, NULL FROM flights GROUP BY origin "
+        f"HAVING COUNT(*) > {P.airport_min_flights} ORDER BY COUNT(*) DESC, origin LIMIT {P.airport_top_k})",
+        f"SELECT 'worst_routes', route, NULL, {m}, {dep}, NULL FROM flights GROUP BY route HAVING COUNT(*) > {P.route_min_flights}",
+        f"SELECT 'delay_heatmap_dow_month', day_of_week, month, COUNT(*), NULL, "
+        f"{r2(f'CAST({DELAYED} AS DOUBLE) / COUNT(*) * 100')}, NULL, {arr} FROM flights GROUP BY day_of_week, month",
+    ]
+    return with_(flights_ctes(), "\nUNION ALL\n".join(parts))
+
+
+def oracle_sql() -> dict[str, str]:
+    hour_minutes = "CASE WHEN scheduled_dep_time = 2400 THEN 0 ELSE scheduled_dep_time END"
+    out = {
+        "clean_flights": with_(flights_ctes(), "SELECT * FROM flights"),
+        "delay_bucket_counts": with_(flights_ctes(), f"""
+SELECT delay_bucket, COUNT(*) AS n_flights,
+  CAST(CASE delay_bucket {' '.join(f"WHEN '{b}' THEN {i + 1}" for i, b in enumerate(C.DELAY_BUCKET_LABELS))} END AS INTEGER) AS bucket_order
+FROM flights GROUP BY delay_bucket"""),
+        "delay_by_airline": _report("airline"),
+        "delay_by_month": _report("month"),
+        "delay_by_dow": _report("day_of_week"),
+        "delay_by_airport": _report("origin", f"HAVING COUNT(*) > {P.airport_min_flights}",
+                                    f"ORDER BY total_flights DESC, origin LIMIT {P.airport_top_k}"),
+        "worst_routes": _report("route", f"HAVING COUNT(*) > {P.route_min_flights}"),
+        "delay_heatmap_dow_month": _report("day_of_week, month", avg_col="arr_delay",
+                                           avg_alias="avg_arr_delay_min", with_delayed=False),
+        "dashboard_one_pass": _dashboard_union(),
+        "model_table": with_(model_ctes(P), "SELECT * FROM model"),
+        "prep_report": with_(model_ctes(P), f"""
+SELECT
+  COUNT(*) AS rows_loaded,
+  COUNT(*) FILTER (WHERE cancelled) AS removed_cancelled,
+  COUNT(*) FILTER (WHERE NOT cancelled AND diverted) AS removed_diverted,
+  COUNT(*) FILTER (WHERE NOT cancelled AND NOT diverted) AS rows_remaining,
+  COUNT(*) FILTER (WHERE NOT cancelled AND NOT diverted AND scheduled_dep_time = 2400) AS remapped_2400,
+  (SELECT COUNT(*) FROM model WHERE holiday_flag) AS holiday_rows,
+  {r6("(SELECT AVG(CASE WHEN holiday_flag THEN 1.0 ELSE 0.0 END) FROM model)")} AS holiday_share,
+  COUNT(*) FILTER (WHERE NOT cancelled AND NOT diverted AND arr_delay IS NULL) AS bad_null_arr_delay,
+  COUNT(*) FILTER (WHERE NOT cancelled AND NOT diverted AND NOT (({hour_minutes}) // 100 BETWEEN 0 AND 23)) AS bad_dep_hour,
+  COUNT(*) FILTER (WHERE NOT cancelled AND NOT diverted AND dayname(flight_date) NOT IN ({', '.join(f"'{x}'" for x in C.DOW_ORDER)})) AS bad_dow,
+  COUNT(*) FILTER (WHERE NOT cancelled AND NOT diverted AND month(flight_date) <> month) AS bad_month
+FROM flights"""),
+        "split_summary": with_(split_ctes(P), f"""
+SELECT 'train' AS split, COUNT(*) AS n_rows, MIN(flight_date) AS min_date, MAX(flight_date) AS max_date,
+  {r6("AVG(CASE WHEN is_delayed THEN 1.0 ELSE 0.0 END)")} AS delay_rate FROM train
+UNION ALL
+SELECT 'test', COUNT(*), MIN(flight_date), MAX(flight_date),
+  {r6("AVG(CASE WHEN is_delayed THEN 1.0 ELSE 0.0 END)")} FROM test"""),
+    }
+    return out
