@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as X
+from .. import constants as C
 from ..operators import clean as clean_op
+from ..operators import profile as PR
 from ..operators import reports as R
 from ..params import FIXTURE
 from .stages import study_for
@@ -100,6 +102,69 @@ def q_split_summary(spark, sf_dir):
                  r6(F.avg(F.col("is_delayed").cast("double"))).alias("delay_rate")))
 
 
+# --- train-only profile ---------------------------------------------------------
+
+def q_eda_coverage(spark, sf_dir):
+    return PR.coverage(_st(spark, sf_dir).train())
+
+
+def q_eda_arr_delay_describe(spark, sf_dir):
+    return round_doubles(PR.describe(_st(spark, sf_dir).train(), "arr_delay"))
+
+
+def q_eda_target_shares(spark, sf_dir):
+    return round_doubles(PR.target_shares(_st(spark, sf_dir).train()))
+
+
+def _summary(col, sort_by="index", ascending=True, levels=None):
+    def q(spark, sf_dir):
+        return round_doubles(R.summarize_by(_st(spark, sf_dir).train(), col, sort_by, ascending, levels))
+    return q
+
+
+def q_eda_by_origin_top15(spark, sf_dir):
+    tr = _st(spark, sf_dir).train()
+    top = PR.top_levels(tr, "origin", C.EDA_TOP_ORIGINS)
+    return round_doubles(R.summarize_by(tr.filter(F.col("origin").isin(top)), "origin",
+                                        sort_by="volume", ascending=False))
+
+
+def q_eda_airport_coverage(spark, sf_dir):
+    return round_doubles(PR.airport_coverage(_st(spark, sf_dir).train()))
+
+
+def q_eda_distance_corr(spark, sf_dir):
+    return round_doubles(PR.distance_correlation(_st(spark, sf_dir).train()))
+
+
+def q_eda_distance_quintiles(spark, sf_dir):
+    return round_doubles(PR.distance_quintiles(_st(spark, sf_dir).train()))
+
+
+def q_eda_hist_arr_delay(spark, sf_dir):
+    return round_doubles(PR.histogram(_st(spark, sf_dir).train(), "arr_delay", C.HIST_BINS))
+
+
+def q_eda_hist_arr_delay_zoom(spark, sf_dir):
+    lo, hi = C.ZOOM_RANGE
+    tr = _st(spark, sf_dir).train().filter(F.col("arr_delay").between(lo, hi))
+    return round_doubles(PR.histogram(tr, "arr_delay", C.ZOOM_BINS))
+
+
+def q_eda_hist_late(spark, sf_dir):
+    tr = _st(spark, sf_dir).train().filter(F.col("arr_delay") > 0)
+    return round_doubles(PR.histogram(tr, "arr_delay", C.HIST_BINS))
+
+
+def q_eda_hist_late_log(spark, sf_dir):
+    tr = _st(spark, sf_dir).train().filter(F.col("arr_delay") > 0)
+    return round_doubles(PR.histogram(tr, F.log(F.col("arr_delay")), C.HIST_BINS))
+
+
+def q_eda_class_balance(spark, sf_dir):
+    return round_doubles(PR.class_balance(_st(spark, sf_dir).train()))
+
+
 QUERIES: dict[str, QueryFn] = {
     "clean_flights": q_clean_flights,
     "delay_bucket_counts": q_delay_bucket_counts,
@@ -113,4 +178,21 @@ QUERIES: dict[str, QueryFn] = {
     "model_table": q_model_table,
     "prep_report": q_prep_report,
     "split_summary": q_split_summary,
+    "eda_coverage": q_eda_coverage,
+    "eda_arr_delay_describe": q_eda_arr_delay_describe,
+    "eda_target_shares": q_eda_target_shares,
+    "eda_by_dep_hour": _summary("dep_hour"),
+    "eda_by_dow": _summary("dow", levels=C.DOW_ORDER),
+    "eda_by_month": _summary("month"),
+    "eda_by_airline": _summary("airline", sort_by="value", ascending=False),
+    "eda_by_holiday_flag": _summary("holiday_flag"),
+    "eda_by_origin_top15": q_eda_by_origin_top15,
+    "eda_airport_coverage": q_eda_airport_coverage,
+    "eda_distance_corr": q_eda_distance_corr,
+    "eda_distance_quintiles": q_eda_distance_quintiles,
+    "eda_hist_arr_delay": q_eda_hist_arr_delay,
+    "eda_hist_arr_delay_zoom": q_eda_hist_arr_delay_zoom,
+    "eda_hist_late": q_eda_hist_late,
+    "eda_hist_late_log": q_eda_hist_late_log,
+    "eda_class_balance": q_eda_class_balance,
 }

@@ -91,4 +91,7 @@ test AS (SELECT * FROM model WHERE flight_date >= {d(p.split_date)})"""
 
 
 def with_(ctes: str, body: str) -> str:
+    """WITH <ctes> <body>; a body starting with ',' adds more CTEs first."""
+    if body.lstrip().startswith(","):
+        return f"WITH {ctes}{body}"
     return f"WITH {ctes}\n{body}"

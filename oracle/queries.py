@@ -81,4 +81,6 @@ UNION ALL
 SELECT 'test', COUNT(*), MIN(flight_date), MAX(flight_date),
   {r6("AVG(CASE WHEN is_delayed THEN 1.0 ELSE 0.0 END)")} FROM test"""),
     }
+    from .profile_sql import profile_sql
+    out.update(profile_sql())
     return out
