@@ -1,0 +1,16 @@
+"""The one vectorised Python helper: the inverse normal CDF (no Spark built-in).
+
+Arrow batches in, Arrow batches out; applied only to the fixed-size
+diagnostic sample of residuals.
+"""
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .dist import norm_ppf
+
+
+@F.pandas_udf(T.DoubleType())
+def normal_quantile(u: pd.Series) -> pd.Series:
+    return u.map(norm_ppf).astype("float64")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import reliable_checkpoint
 from .checks import DataQualityError
 
 
@@ -96,7 +97,7 @@ def exact_sample(df: DataFrame, n: int, seed: int, buckets: int = 1024,
     q = min(1.0, n / total * oversample + 64.0 / total)
     keyed = df.select(*cols, h.alias("_h"))
     while True:
-        cand = keyed.filter(_unit(F.col("_h")) <= F.lit(q)).checkpoint(eager=True)
+        cand = reliable_checkpoint(keyed.filter(_unit(F.col("_h")) <= F.lit(q)))
         bucket = F.least(F.floor(_unit(F.col("_h")) / F.lit(q) * F.lit(buckets)),
                          F.lit(buckets - 1)).cast("int")
         cand = cand.withColumn("_b", bucket)

@@ -73,9 +73,9 @@ FIXTURE = StudyParams(
     top_n_airports=10,
     ref_airline=None,   # highest-volume airline in train
     ref_airport=None,   # highest-volume origin in train
-    sample_size=20_000,
+    sample_size=1_000_000,
     sample_seed=42,
-    diag_sample_size=5_000,
+    diag_sample_size=50_000,
     diag_seed=42,
     airport_min_flights=2000,
     airport_top_k=30,
@@ -86,10 +86,8 @@ FIXTURE = StudyParams(
         ("dep_hour_bin", "night"),
         ("dep_hour_bin", "midday"),
         ("dow", "Friday"),
-        ("airline", "Brand#12"),
-        ("airline", "Brand#23"),
-        ("origin_top", "NATION_3"),
-        ("origin_top", "NATION_7"),
-        ("origin_top", "NATION_11"),
+        ("dow", "Sunday"),
+        ("origin_top", "OTHER"),
+        ("dest_top", "OTHER"),
     ),
 )

@@ -196,3 +196,11 @@ QUERIES: dict[str, QueryFn] = {
     "eda_hist_late_log": q_eda_hist_late_log,
     "eda_class_balance": q_eda_class_balance,
 }
+
+
+def _register_models() -> None:
+    from .models_registry import MODEL_QUERIES
+    QUERIES.update(MODEL_QUERIES)
+
+
+_register_models()

@@ -67,3 +67,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def work_root(spark: SparkSession) -> str:
     """Folder under the checkpoint dir that holds materialised stage tables."""
     return ensure_checkpoint_dir(spark) + "/flightlens-stages"
+
+
+def reliable_checkpoint(df):
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+
+    Unlike a local checkpoint this survives the loss of the executors that
+    computed it; use it for small intermediate tables that later steps read
+    several times (sufficient-statistic cells, sample candidates).
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -1,0 +1,233 @@
+"""Oracle SQL for the model and evaluation queries that have closed forms.
+
+* one-factor OLS: coefficients are group-mean differences; HC1 variance is
+  n/(n-k) * (SSE_k / n_k^2 + SSE_ref / n_ref^2);
+* simple regression: slope / intercept by regr_*, HC1 from the influence
+  weights; one-factor Breusch-Pagan: n * R^2 of e^2 on the groups, chi-square
+  tail in closed form for even degrees of freedom;
+* one-factor logit: log-odds differences, SE sqrt(1/(n p q) + ...);
+* evaluation operators on the per-hour rate scorer: brute-force SQL.
+"""
+
+from __future__ import annotations
+
+from flightlens import constants as C
+from flightlens.params import FIXTURE
+
+from .ctes import d, r6, split_ctes, with_
+
+P = FIXTURE
+Z = repr(C.Z_975)
+
+
+def _dbl(x: float) -> str:
+    return f"CAST('{x!r}' AS DOUBLE)"
+
+
+def _late() -> str:
+    return ",\nlate AS (SELECT *, ln(arr_delay) AS y, ln(distance) AS x FROM train WHERE arr_delay > 0)"
+
+
+def _ols_dow() -> str:
+    levels = ", ".join(f"('{d_}', {i})" for i, d_ in enumerate(C.DOW_ORDER))
+    return with_(split_ctes(P), _late() + f""",
+lv(dow, ord) AS (VALUES {levels}),
+g AS (SELECT dow, COUNT(*) AS n, AVG(y) AS m FROM late GROUP BY dow),
+e AS (SELECT late.dow, SUM((y - g.m) * (y - g.m)) AS sse FROM late JOIN g USING (dow) GROUP BY late.dow),
+gg AS (SELECT g.dow, g.n, g.m, e.sse, lv.ord FROM g JOIN e USING (dow) JOIN lv USING (dow)),
+tot AS (SELECT SUM(n) AS nn, COUNT(*) AS k FROM gg),
+ref AS (SELECT * FROM gg WHERE ord = 0),
+rows_ AS (
+  SELECT 'Intercept' AS term, ref.m AS coef,
+         sqrt(CAST(tot.nn AS DOUBLE) / (tot.nn - tot.k) * ref.sse / (CAST(ref.n AS DOUBLE) * ref.n)) AS se
+  FROM ref, tot
+  UNION ALL
+  SELECT 'C(dow)[T.' || gg.dow || ']', gg.m - ref.m,
+         sqrt(CAST(tot.nn AS DOUBLE) / (tot.nn - tot.k) * (gg.sse / (CAST(gg.n AS DOUBLE) * gg.n) + ref.sse / (CAST(ref.n AS DOUBLE) * ref.n)))
+  FROM gg, ref, tot WHERE gg.ord > 0)
+SELECT term, {r6('coef')} AS coef, {r6('se')} AS robust_se, {r6('coef / se')} AS z,
+  {r6(f'coef - {Z} * se')} AS ci_low, {r6(f'coef + {Z} * se')} AS ci_high
+FROM rows_""")
+
+
+def _ols_distance() -> str:
+    return with_(split_ctes(P), _late() + f""",
+s AS (SELECT COUNT(*) AS n, AVG(x) AS mx, regr_slope(y, x) AS b, regr_intercept(y, x) AS a,
+             regr_sxx(y, x) AS sxx, regr_r2(y, x) AS r2 FROM late),
+w AS (SELECT (x - s.mx) / s.sxx AS wb, 1.0 / s.n - s.mx * (x - s.mx) / s.sxx AS wa,
+             y - (s.a + s.b * x) AS e FROM late, s),
+v AS (SELECT SUM(wb * wb * e * e) AS vb, SUM(wa * wa * e * e) AS va FROM w)
+SELECT 'Intercept' AS term, {r6('s.a')} AS coef, {r6('sqrt(CAST(s.n AS DOUBLE) / (s.n - 2) * v.va)')} AS robust_se,
+  {r6('s.r2')} AS rsquared FROM s, v
+UNION ALL
+SELECT 'log_distance', {r6('s.b')}, {r6('sqrt(CAST(s.n AS DOUBLE) / (s.n - 2) * v.vb)')}, {r6('s.r2')} FROM s, v""")
+
+
+def _bp_dow() -> str:
+    return with_(split_ctes(P), _late() + f""",
+g AS (SELECT dow, AVG(y) AS m FROM late GROUP BY dow),
+r AS (SELECT late.dow, (y - g.m) * (y - g.m) AS e2 FROM late JOIN g USING (dow)),
+ge AS (SELECT dow, AVG(e2) AS me2 FROM r GROUP BY dow),
+a AS (SELECT SUM((r.e2 - ge.me2) * (r.e2 - ge.me2)) AS ssr_aux FROM r JOIN ge USING (dow)),
+t AS (SELECT COUNT(*) AS n, SUM((e2 - (SELECT AVG(e2) FROM r)) * (e2 - (SELECT AVG(e2) FROM r))) AS tss_aux,
+             (SELECT COUNT(*) FROM g) AS k FROM r),
+st AS (SELECT n, k, 1 - ssr_aux / tss_aux AS r2 FROM a, t)
+SELECT {r6('n * r2')} AS lm,
+  {r6('exp(-n * r2 / 2) * (1 + (n * r2 / 2) + (n * r2 / 2) * (n * r2 / 2) / 2)')} AS lm_pvalue,
+  {r6('(r2 / (k - 1)) / ((1 - r2) / (n - k))')} AS fvalue,
+  CAST(k - 1 AS INTEGER) AS df_model
+FROM st""")
+
+
+def _logit_dow() -> str:
+    levels = ", ".join(f"('{d_}', {i})" for i, d_ in enumerate(C.DOW_ORDER))
+    return with_(split_ctes(P), f""",
+lv(dow, ord) AS (VALUES {levels}),
+g AS (SELECT dow, COUNT(*) AS n, AVG(CASE WHEN is_delayed THEN 1.0 ELSE 0.0 END) AS p FROM train GROUP BY dow),
+gg AS (SELECT g.*, lv.ord, ln(p / (1 - p)) AS lo, 1.0 / (n * p * (1 - p)) AS v FROM g JOIN lv USING (dow)),
+ref AS (SELECT * FROM gg WHERE ord = 0)
+SELECT 'Intercept' AS term, {r6('ref.lo')} AS coef, {r6('sqrt(ref.v)')} AS se FROM ref
+UNION ALL
+SELECT 'C(dow)[T.' || gg.dow || ']', {r6('gg.lo - ref.lo')}, {r6('sqrt(gg.v + ref.v)')} FROM gg, ref WHERE gg.ord > 0""")
+
+
+def _ols_baselines() -> str:
+    return with_(split_ctes(P), f""",
+ltr AS (SELECT airline, ln(arr_delay) AS y FROM train WHERE arr_delay > 0),
+lte AS (SELECT airline, arr_delay, ln(arr_delay) AS y FROM test WHERE arr_delay > 0),
+b0 AS (SELECT AVG(y) AS m FROM ltr),
+b1 AS (SELECT airline, AVG(y) AS m FROM ltr GROUP BY airline),
+pr AS (SELECT lte.*, b0.m AS p0, b1.m AS p1 FROM lte CROSS JOIN b0 LEFT JOIN b1 USING (airline))
+SELECT 'B0: train mean' AS model, {r6('sqrt(AVG((y - p0) * (y - p0)))')} AS rmse_log, {r6('AVG(abs(y - p0))')} AS mae_log,
+  {r6('sqrt(AVG((arr_delay - exp(p0)) * (arr_delay - exp(p0))))')} AS rmse_minutes,
+  {r6('AVG(abs(arr_delay - exp(p0)))')} AS mae_minutes FROM pr
+UNION ALL
+SELECT 'B1: per-airline mean', {r6('sqrt(AVG((y - p1) * (y - p1)))')}, {r6('AVG(abs(y - p1))')},
+  {r6('sqrt(AVG((arr_delay - exp(p1)) * (arr_delay - exp(p1))))')}, {r6('AVG(abs(arr_delay - exp(p1)))')} FROM pr""")
+
+
+def _confusion_select(label: str, pred: str, name: str) -> str:
+    tp = f"SUM(CASE WHEN {label} AND {pred} THEN 1 ELSE 0 END)"
+    fp = f"SUM(CASE WHEN NOT {label} AND {pred} THEN 1 ELSE 0 END)"
+    fn = f"SUM(CASE WHEN {label} AND NOT {pred} THEN 1 ELSE 0 END)"
+    tn = f"SUM(CASE WHEN NOT {label} AND NOT {pred} THEN 1 ELSE 0 END)"
+
+    def ratio(num, den):
+        return r6(f"CASE WHEN ({den}) = 0 THEN 0.0 ELSE CAST({num} AS DOUBLE) / ({den}) END")
+    return (f"SELECT '{name}' AS baseline, CAST({tp} AS BIGINT) AS tp, CAST({fp} AS BIGINT) AS fp, "
+            f"CAST({fn} AS BIGINT) AS fn, CAST({tn} AS BIGINT) AS tn, "
+            f"{ratio(f'{tp} + {tn}', f'{tp} + {fp} + {fn} + {tn}')} AS accuracy, "
+            f"{ratio(tp, f'{tp} + {fp}')} AS precision, {ratio(tp, f'{tp} + {fn}')} AS recall, "
+            f"{ratio(f'2 * {tp}', f'2 * {tp} + {fp} + {fn}')} AS f1 FROM test")
+
+
+def _risk_baselines() -> str:
+    return with_(split_ctes(P), "\n" + _confusion_select("is_delayed", "FALSE", "B0: always not delayed")
+                 + "\nUNION ALL\n"
+                 + _confusion_select("is_delayed", f"dep_hour >= {C.RULE_BASELINE_HOUR}",
+                                     f"B1: dep_hour >= {C.RULE_BASELINE_HOUR}"))
+
+
+def _rate_ctes() -> str:
+    return f""",
+fit AS (SELECT * FROM train WHERE flight_date < {d(P.fit_cutoff)}),
+val AS (SELECT * FROM train WHERE flight_date >= {d(P.fit_cutoff)} AND flight_date <= {d(P.validation_end)}),
+rates AS (SELECT dep_hour, AVG(CASE WHEN is_delayed THEN 1.0 ELSE 0.0 END) AS rate FROM fit GROUP BY dep_hour),
+overall AS (SELECT AVG(CASE WHEN is_delayed THEN 1.0 ELSE 0.0 END) AS o FROM fit),
+sv AS (SELECT v.is_delayed AS y, COALESCE(r.rate, overall.o) AS p FROM val v CROSS JOIN overall LEFT JOIN rates r USING (dep_hour)),
+st AS (SELECT t.is_delayed AS y, t.flight_date, COALESCE(r.rate, overall.o) AS p FROM test t CROSS JOIN overall LEFT JOIN rates r USING (dep_hour)),
+th AS (SELECT k, CAST(k + {C.THRESHOLD_PCT_RANGE[0] - 1} AS DOUBLE) / 100.0 AS threshold
+       FROM (SELECT CAST(range AS INTEGER) AS k FROM range(1, {C.THRESHOLD_PCT_RANGE[1] - C.THRESHOLD_PCT_RANGE[0] + 2}))),
+sweep_v AS (SELECT th.k, th.threshold,
+    CAST(SUM(CASE WHEN sv.p >= th.threshold AND sv.y THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+    CAST(SUM(CASE WHEN sv.p >= th.threshold AND NOT sv.y THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+    CAST(SUM(CASE WHEN sv.p < th.threshold AND sv.y THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+    CAST(SUM(CASE WHEN sv.p < th.threshold AND NOT sv.y THEN 1 ELSE 0 END) AS BIGINT) AS tn,
+    CAST(COUNT(*) AS BIGINT) AS n
+  FROM th CROSS JOIN sv GROUP BY th.k, th.threshold),
+sweep_t AS (SELECT th.k, th.threshold,
+    CAST(SUM(CASE WHEN st.p >= th.threshold AND st.y THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+    CAST(SUM(CASE WHEN st.p >= th.threshold AND NOT st.y THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+    CAST(SUM(CASE WHEN st.p < th.threshold AND st.y THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+    CAST(SUM(CASE WHEN st.p < th.threshold AND NOT st.y THEN 1 ELSE 0 END) AS BIGINT) AS tn,
+    CAST(COUNT(*) AS BIGINT) AS n
+  FROM th CROSS JOIN st GROUP BY th.k, th.threshold)"""
+
+
+def _sensitivity_body() -> str:
+    sc = ", ".join(f"({i}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for i, (a, b) in enumerate(P.cost_scenarios))
+    return f""",
+scen(scenario, cost_fp, cost_fn) AS (VALUES {sc}),
+costs AS (SELECT scen.*, sweep_v.k, sweep_v.threshold,
+                 (CAST(sweep_v.fp AS DOUBLE) * cost_fp + CAST(sweep_v.fn AS DOUBLE) * cost_fn) / CAST(sweep_v.n AS DOUBLE) * 1000.0 AS cost
+          FROM scen CROSS JOIN sweep_v),
+best AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY scenario ORDER BY cost, k) AS rn FROM costs) WHERE rn = 1),
+sens AS (SELECT best.scenario, best.cost_fp, best.cost_fn, best.cost_fn / best.cost_fp AS cost_ratio_fn_fp, best.threshold,
+    CASE WHEN t.tp + t.fp = 0 THEN 0.0 ELSE CAST(t.tp AS DOUBLE) / (t.tp + t.fp) END AS precision,
+    CASE WHEN t.tp + t.fn = 0 THEN 0.0 ELSE CAST(t.tp AS DOUBLE) / (t.tp + t.fn) END AS recall,
+    CAST(t.tp + t.fp AS DOUBLE) / CAST(t.n AS DOUBLE) AS flagged_share,
+    (CAST(t.fp AS DOUBLE) * best.cost_fp + CAST(t.fn AS DOUBLE) * best.cost_fn) / CAST(t.n AS DOUBLE) * 1000.0 AS model_cost_per_1000,
+    (CAST(t.fp + t.tn AS DOUBLE) * best.cost_fp) / CAST(t.n AS DOUBLE) * 1000.0 AS flag_all_cost_per_1000
+  FROM best JOIN sweep_t t USING (k))"""
+
+
+def _sens_cols(prefix: str = "") -> str:
+    p = prefix
+    return (f"{p}scenario, {r6(f'{p}cost_fp')} AS cost_fp, {r6(f'{p}cost_fn')} AS cost_fn, "
+            f"{r6(f'{p}cost_ratio_fn_fp')} AS cost_ratio_fn_fp, {r6(f'{p}threshold')} AS threshold, "
+            f"{r6(f'{p}precision')} AS precision, {r6(f'{p}recall')} AS recall, {r6(f'{p}flagged_share')} AS flagged_share, "
+            f"{r6(f'{p}model_cost_per_1000')} AS model_cost_per_1000, {r6(f'{p}flag_all_cost_per_1000')} AS flag_all_cost_per_1000, "
+            f"{r6(f'{p}flag_all_cost_per_1000 - {p}model_cost_per_1000')} AS savings_vs_flag_all, "
+            f"{r6(f'({p}flag_all_cost_per_1000 - {p}model_cost_per_1000) / {p}flag_all_cost_per_1000 * 100.0')} AS savings_pct_of_flag_all")
+
+
+def _calibration_case(col: str) -> str:
+    step = 1.0 / C.CALIBRATION_BINS
+    inner = [i * step for i in range(C.CALIBRATION_BINS)][1:]
+    parts = " ".join(f"WHEN {col} <= {_dbl(e)} THEN {i}" for i, e in enumerate(inner))
+    return f"CASE {parts} ELSE {C.CALIBRATION_BINS - 1} END"
+
+
+def models_sql() -> dict[str, str]:
+    sc = split_ctes(P)
+    rc = _rate_ctes()
+    return {
+        "ols_dow_hc1": _ols_dow(),
+        "ols_distance_hc1": _ols_distance(),
+        "bp_dow": _bp_dow(),
+        "logit_dow": _logit_dow(),
+        "ols_baselines": _ols_baselines(),
+        "risk_baselines": _risk_baselines(),
+        "eval_rate_ranking": with_(sc, rc + f""",
+g AS (SELECT p AS score, SUM(CASE WHEN y THEN 1 ELSE 0 END) AS pos, SUM(CASE WHEN y THEN 0 ELSE 1 END) AS neg FROM st GROUP BY p),
+c AS (SELECT score, CAST(pos AS DOUBLE) AS pos, CAST(neg AS DOUBLE) AS neg,
+        CAST(SUM(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS cum_pos,
+        CAST(SUM(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS cum_neg FROM g),
+tot AS (SELECT CAST(SUM(pos) AS DOUBLE) AS P, CAST(SUM(neg) AS DOUBLE) AS N FROM g)
+SELECT {r6('SUM(neg * ((cum_pos - pos) + pos * 0.5)) / (MAX(P) * MAX(N))')} AS roc_auc,
+  {r6('SUM(pos / P * cum_pos / (cum_pos + cum_neg))')} AS average_precision,
+  {r6('MAX(P) / (MAX(P) + MAX(N))')} AS positive_rate
+FROM c, tot"""),
+        "eval_rate_calibration": with_(sc, rc + f"""
+SELECT CAST({_calibration_case('p')} AS INTEGER) AS bin,
+  {r6('AVG(CASE WHEN y THEN 1.0 ELSE 0.0 END)')} AS prob_true, {r6('AVG(p)')} AS prob_pred, COUNT(*) AS n
+FROM st GROUP BY 1"""),
+        "eval_rate_brier": with_(sc, rc + f"""
+SELECT {r6('AVG((p - CASE WHEN y THEN 1.0 ELSE 0.0 END) * (p - CASE WHEN y THEN 1.0 ELSE 0.0 END))')} AS brier,
+  {r6('AVG(p)')} AS mean_pred, {r6('AVG(CASE WHEN y THEN 1.0 ELSE 0.0 END)')} AS positive_rate, COUNT(*) AS n
+FROM st"""),
+        "eval_rate_threshold_costs": with_(sc, rc + f"""
+SELECT k, {r6('threshold')} AS threshold, tp, fp, fn, tn, n,
+  {r6(f'(CAST(fp AS DOUBLE) * {_dbl(P.false_alarm_cost)} + CAST(fn AS DOUBLE) * {_dbl(P.missed_delay_cost)}) / CAST(n AS DOUBLE) * 1000.0')} AS cost_per_1000
+FROM sweep_v"""),
+        "eval_rate_sensitivity": with_(sc, rc + _sensitivity_body() + f"""
+SELECT {_sens_cols()} FROM sens"""),
+        "eval_rate_findings": with_(sc, rc + _sensitivity_body() + f""",
+f1 AS (SELECT 'first_ratio_flagging_under_half' AS finding, * FROM sens WHERE flagged_share < {C.FLAGGED_SHARE_LIMIT}
+       ORDER BY cost_ratio_fn_fp DESC, scenario LIMIT 1),
+f2 AS (SELECT 'lowest_ratio_with_meaningful_saving' AS finding, * FROM sens
+       WHERE (flag_all_cost_per_1000 - model_cost_per_1000) / flag_all_cost_per_1000 * 100.0 >= {C.MEANINGFUL_SAVING_PCT}
+       ORDER BY cost_ratio_fn_fp ASC, scenario LIMIT 1),
+f AS (SELECT * FROM f1 UNION ALL SELECT * FROM f2)
+SELECT finding, {_sens_cols('f.')} FROM f"""),
+    }

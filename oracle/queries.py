@@ -81,6 +81,8 @@ UNION ALL
 SELECT 'test', COUNT(*), MIN(flight_date), MAX(flight_date),
   {r6("AVG(CASE WHEN is_delayed THEN 1.0 ELSE 0.0 END)")} FROM test"""),
     }
+    from .models_sql import models_sql
     from .profile_sql import profile_sql
     out.update(profile_sql())
+    out.update(models_sql())
     return out
