@@ -20,7 +20,7 @@ from ..operators import clean as clean_op
 from ..operators import profile as PR
 from ..operators import reports as R
 from ..params import FIXTURE
-from .stages import study_for
+from .stages import csv_study, study_for
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 P = FIXTURE
@@ -46,6 +46,11 @@ def q_clean_flights(spark, sf_dir):
     return _st(spark, sf_dir).flights()
 
 
+def q_raw_csv_roundtrip(spark, sf_dir):
+    """Clean table built from raw CSV files in two layouts (by-name read)."""
+    return csv_study(spark, sf_dir, P).flights()
+
+
 def q_delay_bucket_counts(spark, sf_dir):
     return clean_op.bucket_counts(_st(spark, sf_dir).flights())
 
@@ -167,6 +172,7 @@ def q_eda_class_balance(spark, sf_dir):
 
 QUERIES: dict[str, QueryFn] = {
     "clean_flights": q_clean_flights,
+    "raw_csv_roundtrip": q_raw_csv_roundtrip,
     "delay_bucket_counts": q_delay_bucket_counts,
     "delay_by_airline": q_delay_by_airline,
     "delay_by_month": q_delay_by_month,

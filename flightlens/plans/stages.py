@@ -29,6 +29,7 @@ from ..operators import split as split_op
 from ..params import FIXTURE, StudyParams
 from ..session import work_root
 from ..sources import fixture
+from ..sources.raw_csv import read_raw_csv, write_raw_csv
 
 _PKG = Path(__file__).resolve().parent.parent
 _CODE_FILES = ["constants.py", "params.py", "functions/columns.py", "sources/fixture.py",
@@ -158,3 +159,31 @@ def flights_view(spark: SparkSession, sf_dir: str, params: StudyParams = FIXTURE
     return df
 
 
+
+
+def csv_study(spark: SparkSession, sf_dir: str, params: StudyParams = FIXTURE) -> Study:
+    """The same chain fed from raw CSV files instead of the typed fixture.
+
+    The fixture rows are written once as raw monthly-style CSV in two
+    layouts -- January-June in source order with ISO dates, July-December
+    with the columns reversed, legacy 'M/d/yyyy h:mm:ss a' dates and an extra
+    unmapped column -- and read back by column name.
+    """
+    from pyspark.sql import functions as F
+    base = study_for(spark, sf_dir, params)
+    root = f"{base.root}/raw_csv"
+    marker = f"{root}/_written"
+    if not _exists(spark, marker):
+        raw = fixture.raw_flights(spark, sf_dir)
+        first_half = F.month("FL_DATE") <= 6
+        write_raw_csv(raw.filter(first_half), f"{root}/layout_a")
+        write_raw_csv(raw.filter(~first_half), f"{root}/layout_b", column_order=list(reversed(raw.columns)),
+                      legacy_dates=True, extra_column="_c23")
+        spark.range(1).write.mode("overwrite").parquet(marker)
+    key = ("csv", id(spark), root)
+    st = _STUDIES.get(key)
+    if st is None or st.spark is not spark:
+        st = Study(spark, params, raw=lambda: read_raw_csv(spark, f"{root}/layout_*"),
+                   source_key=f"csv:{root}")
+        _STUDIES[key] = st
+    return st

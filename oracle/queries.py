@@ -46,6 +46,7 @@ def oracle_sql() -> dict[str, str]:
     hour_minutes = "CASE WHEN scheduled_dep_time = 2400 THEN 0 ELSE scheduled_dep_time END"
     out = {
         "clean_flights": with_(flights_ctes(), "SELECT * FROM flights"),
+        "raw_csv_roundtrip": with_(flights_ctes(), "SELECT * FROM flights"),
         "delay_bucket_counts": with_(flights_ctes(), f"""
 SELECT delay_bucket, COUNT(*) AS n_flights,
   CAST(CASE delay_bucket {' '.join(f"WHEN '{b}' THEN {i + 1}" for i, b in enumerate(C.DELAY_BUCKET_LABELS))} END AS INTEGER) AS bucket_order
