@@ -190,6 +190,18 @@ def q_risk_inference_summary(spark, sf_dir):
     return risk(spark, sf_dir).inference_summary()
 
 
+def q_risk_other_shares(spark, sf_dir):
+    return _round(risk(spark, sf_dir).other_shares())
+
+
+def q_risk_fit_validation_proof(spark, sf_dir):
+    return risk(spark, sf_dir).fit_val_proof
+
+
+def q_risk_recal_proof(spark, sf_dir):
+    return risk(spark, sf_dir).recal_proof()
+
+
 # --- evaluation operators on a closed-form scorer ---------------------------------------
 # The per-hour delay rate on the fit rows is the maximum-likelihood logistic
 # model with departure hour as its only factor; its scores are exact, so every
@@ -291,6 +303,9 @@ MODEL_QUERIES = {
     "risk_odds_ratios": q_risk_odds_ratios,
     "risk_odds_picks": q_risk_odds_picks,
     "risk_inference_summary": q_risk_inference_summary,
+    "risk_other_shares": q_risk_other_shares,
+    "risk_fit_validation_proof": q_risk_fit_validation_proof,
+    "risk_recal_proof": q_risk_recal_proof,
     "eval_rate_ranking": q_eval_rate_ranking,
     "eval_rate_calibration": q_eval_rate_calibration,
     "eval_rate_brier": q_eval_rate_brier,

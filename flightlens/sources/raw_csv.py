@@ -15,6 +15,7 @@ of being silently misaligned.
 
 from __future__ import annotations
 
+import csv
 from collections import OrderedDict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,9 +32,33 @@ def list_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(spark.read.format("text").load(path).inputFiles())
 
 
+def _first_line(spark: SparkSession, file: str) -> str | None:
+    """First line of a (possibly remote) file through the Hadoop FileSystem API."""
+    try:
+        jvm = spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        stream = fs.open(path)
+        try:
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+            return reader.readLine()
+        finally:
+            stream.close()
+    except AttributeError:      # no JVM handle (remote client): let Spark read it
+        return None
+
+
 def file_header(spark: SparkSession, file: str) -> tuple[str, ...]:
-    """Column names of one file's header (Spark reads its first line only)."""
-    return tuple(spark.read.option("header", True).csv(file).columns)
+    """Column names of one file's header, named the way Spark's CSV reader names them.
+
+    A metadata-sized read: only the first line of the file. Empty names
+    (a trailing comma) become ``_c<i>``, as in Spark.
+    """
+    line = _first_line(spark, file)
+    if line is None:
+        return tuple(spark.read.option("header", True).csv(file).columns)
+    names = next(iter(csv.reader([line.lstrip("\ufeff")])))
+    return tuple(n.strip() or f"_c{i}" for i, n in enumerate(names))
 
 
 def _text_schema(cols) -> T.StructType:

@@ -188,6 +188,28 @@ def _calibration_case(col: str) -> str:
     return f"CASE {parts} ELSE {C.CALIBRATION_BINS - 1} END"
 
 
+def _other_shares() -> str:
+    n = P.top_n_airports
+    return with_(split_ctes(P), f""",
+to_ AS (SELECT origin FROM train GROUP BY origin ORDER BY COUNT(*) DESC, origin LIMIT {n}),
+td AS (SELECT dest FROM train GROUP BY dest ORDER BY COUNT(*) DESC, dest LIMIT {n}),
+both_ AS (SELECT 'train' AS split, origin, dest FROM train UNION ALL SELECT 'test', origin, dest FROM test)
+SELECT split, 'origin_top' AS feature,
+  {r6("AVG(CASE WHEN origin IN (SELECT origin FROM to_) THEN 0.0 ELSE 1.0 END) * 100")} AS other_pct
+FROM both_ GROUP BY split
+UNION ALL
+SELECT split, 'dest_top', {r6("AVG(CASE WHEN dest IN (SELECT dest FROM td) THEN 0.0 ELSE 1.0 END) * 100")}
+FROM both_ GROUP BY split""")
+
+
+def _proof(table: str, a: str, a_pred: str, b: str, b_pred: str) -> str:
+    hits = f"(CASE WHEN {a_pred} THEN 1 ELSE 0 END + CASE WHEN {b_pred} THEN 1 ELSE 0 END)"
+    return with_(split_ctes(P), f"""
+SELECT COUNT(*) FILTER (WHERE {a_pred}) AS rows_{a}, COUNT(*) FILTER (WHERE {b_pred}) AS rows_{b},
+  COUNT(*) FILTER (WHERE {hits} = 0) AS rows_in_none, COUNT(*) FILTER (WHERE {hits} > 1) AS rows_in_several
+FROM {table}""")
+
+
 def models_sql() -> dict[str, str]:
     sc = split_ctes(P)
     rc = _rate_ctes()
@@ -198,6 +220,13 @@ def models_sql() -> dict[str, str]:
         "logit_dow": _logit_dow(),
         "ols_baselines": _ols_baselines(),
         "risk_baselines": _risk_baselines(),
+        "risk_other_shares": _other_shares(),
+        "risk_fit_validation_proof": _proof(
+            "train", "fit", f"flight_date < {d(P.fit_cutoff)}", "validation",
+            f"flight_date >= {d(P.fit_cutoff)} AND flight_date <= {d(P.validation_end)}"),
+        "risk_recal_proof": _proof(
+            "test", "recal", f"flight_date >= {d(P.split_date)} AND flight_date <= {d(P.recal_end)}",
+            "remaining", f"flight_date >= {d(P.remainder_start)}"),
         "eval_rate_ranking": with_(sc, rc + f""",
 g AS (SELECT p AS score, SUM(CASE WHEN y THEN 1 ELSE 0 END) AS pos, SUM(CASE WHEN y THEN 0 ELSE 1 END) AS neg FROM st GROUP BY p),
 c AS (SELECT score, CAST(pos AS DOUBLE) AS pos, CAST(neg AS DOUBLE) AS neg,
