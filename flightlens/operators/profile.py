@@ -71,6 +71,22 @@ def top_levels(df: DataFrame, col: str, n: int) -> list:
     return [r[col] for r in rows]
 
 
+MAX_FACTOR_LEVELS = 100_000
+
+
+def all_levels_by_count(df: DataFrame, col: str, max_levels: int = MAX_FACTOR_LEVELS) -> list:
+    """Every level of a factor, most frequent first (ties by level).
+
+    A factor's level list is model metadata and must be complete; a column
+    with more levels than ``max_levels`` is refused, never truncated.
+    """
+    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+    n = counts.count()
+    if n > max_levels:
+        raise DataQualityError(f"{col} has {n} levels; too many for a treatment-coded factor")
+    return [r[col] for r in counts.orderBy(F.col("_n").desc(), F.col(col)).collect()]
+
+
 def level_counts(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
 

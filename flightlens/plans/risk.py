@@ -59,7 +59,7 @@ class Risk:
 
     @cached_property
     def airline_counts(self) -> list:
-        return PR.top_levels(self.study.train(), "airline", 10_000)
+        return PR.all_levels_by_count(self.study.train(), "airline")
 
     @cached_property
     def ref_airport(self) -> str:
