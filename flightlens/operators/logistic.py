@@ -107,7 +107,7 @@ class LogisticFit:
 
 
 def fit_penalized(df: DataFrame, design: Design, label: Column, C_reg: float = 1.0,
-                  max_iter: int = C.LOGREG_MAX_ITER, tol: float = 1e-10) -> LogisticFit:
+                  max_iter: int = C.LOGREG_MAX_ITER, tol: float = 1e-8) -> LogisticFit:
     rows = weighted_rows(df, design, label)
     n = rows.agg(F.sum("w")).collect()[0][0]
 
