@@ -98,6 +98,14 @@ def _late_train(spark, sf_dir):
     return late_only(study_for(spark, sf_dir, P).train()).withColumn("log_distance", F.log("distance"))
 
 
+def q_ols_other_shares(spark, sf_dir):
+    return _round(magnitude(spark, sf_dir).other_shares())
+
+
+def q_ols_b1_means(spark, sf_dir):
+    return _round(magnitude(spark, sf_dir).b1_means)
+
+
 def q_ols_dow_hc1(spark, sf_dir):
     fit = O.fit_ols(_late_train(spark, sf_dir), Design((Factor("dow", tuple(C.DOW_ORDER)),)), F.col("log_delay"))
     return _round(fit.table(spark).select("term", "coef", F.col("se").alias("robust_se"), "z", "ci_low", "ci_high"))
@@ -166,6 +174,10 @@ def q_risk_threshold_costs(spark, sf_dir):
     return risk(spark, sf_dir).threshold_costs()
 
 
+def q_risk_chosen_threshold(spark, sf_dir):
+    return risk(spark, sf_dir).chosen_threshold()
+
+
 def q_risk_threshold_report(spark, sf_dir):
     return risk(spark, sf_dir).threshold_report()
 
@@ -283,6 +295,8 @@ MODEL_QUERIES = {
     "ols_residuals_sample": q_ols_residuals_sample,
     "ols_qq_points": q_ols_qq_points,
     "ols_qq_lines": q_ols_qq_lines,
+    "ols_other_shares": q_ols_other_shares,
+    "ols_b1_means": q_ols_b1_means,
     "ols_dow_hc1": q_ols_dow_hc1,
     "ols_distance_hc1": q_ols_distance_hc1,
     "bp_dow": q_bp_dow,
@@ -297,6 +311,7 @@ MODEL_QUERIES = {
     "risk_recalibration": q_risk_recalibration,
     "risk_recalibration_curves": q_risk_recalibration_curves,
     "risk_threshold_costs": q_risk_threshold_costs,
+    "risk_chosen_threshold": q_risk_chosen_threshold,
     "risk_threshold_report": q_risk_threshold_report,
     "risk_cost_sensitivity": q_risk_cost_sensitivity,
     "risk_sensitivity_findings": q_risk_sensitivity_findings,

@@ -97,14 +97,15 @@ def q_prep_report(spark, sf_dir):
 
 
 def q_split_summary(spark, sf_dir):
+    """Rows, date range and delay rate of train, test and the seeded train sample."""
     st = _st(spark, sf_dir)
     mt = st.model_table()
     side = F.when(F.col("flight_date") < F.lit(P.split_date).cast("date"), F.lit("train")).otherwise(F.lit("test"))
-    return (mt.groupBy(side.alias("split"))
-            .agg(F.count(F.lit(1)).alias("n_rows"),
-                 F.min("flight_date").alias("min_date"),
-                 F.max("flight_date").alias("max_date"),
-                 r6(F.avg(F.col("is_delayed").cast("double"))).alias("delay_rate")))
+    aggs = [F.count(F.lit(1)).alias("n_rows"), F.min("flight_date").alias("min_date"),
+            F.max("flight_date").alias("max_date"),
+            r6(F.avg(F.col("is_delayed").cast("double"))).alias("delay_rate")]
+    sample = st.train_sample().agg(*aggs).select(F.lit("train_sample").alias("split"), "*")
+    return mt.groupBy(side.alias("split")).agg(*aggs).unionByName(sample)
 
 
 # --- train-only profile ---------------------------------------------------------

@@ -262,13 +262,20 @@ class Risk:
                                                      self.p.false_alarm_cost, self.p.missed_delay_cost)
                                      .alias("cost_per_1000"))
 
+    def chosen_threshold(self) -> DataFrame:
+        """Cost-minimising threshold on the validation slice (lowest on ties) and its cost."""
+        return E.choose_thresholds(self.val_sweep, [(self.p.false_alarm_cost, self.p.missed_delay_cost)])
+
     def threshold_report(self) -> DataFrame:
-        chosen = E.choose_thresholds(self.val_sweep, [(self.p.false_alarm_cost, self.p.missed_delay_cost)]).collect()[0]
+        """Chosen threshold vs 0.5 on test; saving = cost at 0.5 minus cost at this row."""
+        chosen = self.chosen_threshold().collect()[0]
         k_default = E.thresholds().index(C.DEFAULT_THRESHOLD) + 1
         a = E.report_at(self.test_sweep, chosen["k"], self.p.false_alarm_cost, self.p.missed_delay_cost)
         b = E.report_at(self.test_sweep, k_default, self.p.false_alarm_cost, self.p.missed_delay_cost)
-        return (a.select(F.lit("cost-optimal").alias("label"), "*")
+        both = (a.select(F.lit("cost-optimal").alias("label"), "*")
                 .unionByName(b.select(F.lit("default 0.5").alias("label"), "*")))
+        default_cost = float(b.select("cost_per_1000").collect()[0][0])   # one scalar
+        return both.withColumn("saving_vs_default_per_1000", F.lit(default_cost) - F.col("cost_per_1000"))
 
     def sensitivity(self) -> DataFrame:
         return E.sensitivity(self.val_sweep, self.test_sweep, self.p.cost_scenarios)

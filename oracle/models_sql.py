@@ -202,6 +202,22 @@ SELECT split, 'dest_top', {r6("AVG(CASE WHEN dest IN (SELECT dest FROM td) THEN
 FROM both_ GROUP BY split""")
 
 
+def _ols_other_shares() -> str:
+    n = P.top_n_airports
+    return with_(split_ctes(P), f""",
+lt AS (SELECT origin, dest FROM train WHERE arr_delay > 0),
+ls AS (SELECT origin, dest FROM test WHERE arr_delay > 0),
+to_ AS (SELECT origin FROM lt GROUP BY origin ORDER BY COUNT(*) DESC, origin LIMIT {n}),
+td AS (SELECT dest FROM lt GROUP BY dest ORDER BY COUNT(*) DESC, dest LIMIT {n}),
+both_ AS (SELECT 'train' AS split, origin, dest FROM lt UNION ALL SELECT 'test', origin, dest FROM ls)
+SELECT split, 'origin_top' AS feature,
+  {r6("AVG(CASE WHEN origin IN (SELECT origin FROM to_) THEN 0.0 ELSE 1.0 END) * 100")} AS other_pct
+FROM both_ GROUP BY split
+UNION ALL
+SELECT split, 'dest_top', {r6("AVG(CASE WHEN dest IN (SELECT dest FROM td) THEN 0.0 ELSE 1.0 END) * 100")}
+FROM both_ GROUP BY split""")
+
+
 def _proof(table: str, a: str, a_pred: str, b: str, b_pred: str) -> str:
     hits = f"(CASE WHEN {a_pred} THEN 1 ELSE 0 END + CASE WHEN {b_pred} THEN 1 ELSE 0 END)"
     return with_(split_ctes(P), f"""
@@ -219,6 +235,9 @@ def models_sql() -> dict[str, str]:
         "bp_dow": _bp_dow(),
         "logit_dow": _logit_dow(),
         "ols_baselines": _ols_baselines(),
+        "ols_other_shares": _ols_other_shares(),
+        "ols_b1_means": with_(split_ctes(P), f"""
+SELECT airline, {r6("AVG(ln(arr_delay))")} AS b1_pred FROM train WHERE arr_delay > 0 GROUP BY airline"""),
         "risk_baselines": _risk_baselines(),
         "risk_other_shares": _other_shares(),
         "risk_fit_validation_proof": _proof(

@@ -80,7 +80,12 @@ SELECT 'train' AS split, COUNT(*) AS n_rows, MIN(flight_date) AS min_date, MAX(f
   {r6("AVG(CASE WHEN is_delayed THEN 1.0 ELSE 0.0 END)")} AS delay_rate FROM train
 UNION ALL
 SELECT 'test', COUNT(*), MIN(flight_date), MAX(flight_date),
-  {r6("AVG(CASE WHEN is_delayed THEN 1.0 ELSE 0.0 END)")} FROM test"""),
+  {r6("AVG(CASE WHEN is_delayed THEN 1.0 ELSE 0.0 END)")} FROM test
+UNION ALL
+-- the seeded sample is the whole train table while train has at most sample_size rows
+SELECT 'train_sample', COUNT(*), MIN(flight_date), MAX(flight_date),
+  {r6("AVG(CASE WHEN is_delayed THEN 1.0 ELSE 0.0 END)")} FROM train
+HAVING COUNT(*) <= {P.sample_size}"""),
     }
     from .models_sql import models_sql
     from .profile_sql import profile_sql
