@@ -59,6 +59,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(conf_dir)
         return conf_dir.rstrip("/")
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            # a driver-local folder is invisible to executors on a cluster
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or object storage)")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="flightlens-ckpt-"))
     # setCheckpointDir adds a per-context sub folder; use it as is.
     return sc.getCheckpointDir().rstrip("/")

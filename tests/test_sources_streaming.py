@@ -83,3 +83,20 @@ def test_streaming_ingest_is_incremental_and_exactly_once(spark, tmp_dir):
     assert got.count() == 8
     assert got.select("flight_date", "flight_number").distinct().count() == 8
     assert got.filter(F.col("is_delayed")).count() == 2
+
+
+def test_single_layout_scan_validates_every_header(spark, tmp_dir):
+    import pytest
+    good = os.path.join(tmp_dir, "good")
+    os.makedirs(good)
+    _write(os.path.join(good, "a.csv"), _rows(1), HEADER, trailing_comma=True)
+    _write(os.path.join(good, "b.csv"), _rows(2), HEADER, trailing_comma=True)
+    assert clean_flights(read_raw_csv(spark, good + "/*.csv", layout="single")).count() == 8
+    bad = os.path.join(tmp_dir, "bad")
+    os.makedirs(bad)
+    _write(os.path.join(bad, "a.csv"), _rows(1), HEADER, trailing_comma=True)
+    _write(os.path.join(bad, "b.csv"), _rows(2), list(reversed(HEADER)), trailing_comma=True)
+    with pytest.raises(Exception):
+        read_raw_csv(spark, bad + "/*.csv", layout="single").collect()
+    # grouped by header, the same files read correctly
+    assert clean_flights(read_raw_csv(spark, bad + "/*.csv", layout="by_header")).count() == 8
