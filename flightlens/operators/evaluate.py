@@ -1,4 +1,11 @@
-"""Evaluation of scored rows (label, probability): all of it aggregations.
+"""Evaluation of scored rows: all of it aggregations.
+
+Every operator takes counts instead of a label: ``pos`` and ``neg`` are the
+number of positive / negative rows a record stands for. Row-level data is
+the special case ``label_counts(label)`` (1/0 per row); collapsed data (one
+record per distinct design row, see ``plans.risk``) passes its counts, so
+the test set is scanned once and every metric below reads the small
+collapsed table.
 
 * confusion counts / precision / recall / F1: one conditional-sum pass;
 * ROC-AUC and average precision: group by distinct score, then a running
@@ -7,8 +14,8 @@
   over the scores;
 * Brier score, calibration curve (10 right-closed equal-width bins);
 * cost threshold sweep: scores are bucketed ONCE against the 91 thresholds,
-  giving a <= 92-row histogram per label; every threshold, cost pair and
-  report afterwards is a running sum over that histogram;
+  giving a <= 92-row histogram; every threshold, cost pair and report
+  afterwards is a running sum over that histogram;
 * intercept-only recalibration with an offset: Newton steps over the
   distinct offsets (a grouped, checkpointed table), not over the rows.
 """
@@ -30,14 +37,19 @@ def _i(c: Column) -> Column:
     return F.when(c, F.lit(1)).otherwise(F.lit(0))
 
 
-def confusion(df: DataFrame, label: Column, pred: Column) -> DataFrame:
-    """tp, fp, fn, tn and accuracy / precision / recall / F1 (0 where undefined)."""
+def label_counts(label: Column) -> tuple[Column, Column]:
+    """(pos, neg) of one row from its label; a missing label counts as negative."""
     y = F.coalesce(label, F.lit(False))
+    return _i(y), _i(~y)
+
+
+def confusion(df: DataFrame, pred: Column, pos: Column, neg: Column) -> DataFrame:
+    """tp, fp, fn, tn and accuracy / precision / recall / F1 (0 where undefined)."""
     p = F.coalesce(pred, F.lit(False))
-    c = df.agg(F.sum(_i(y & p)).cast("bigint").alias("tp"),
-               F.sum(_i(~y & p)).cast("bigint").alias("fp"),
-               F.sum(_i(y & ~p)).cast("bigint").alias("fn"),
-               F.sum(_i(~y & ~p)).cast("bigint").alias("tn"))
+    c = df.agg(F.sum(F.when(p, pos).otherwise(F.lit(0))).cast("bigint").alias("tp"),
+               F.sum(F.when(p, neg).otherwise(F.lit(0))).cast("bigint").alias("fp"),
+               F.sum(F.when(p, F.lit(0)).otherwise(pos)).cast("bigint").alias("fn"),
+               F.sum(F.when(p, F.lit(0)).otherwise(neg)).cast("bigint").alias("tn"))
     return with_rates(c)
 
 
@@ -56,12 +68,11 @@ def with_rates(c: DataFrame) -> DataFrame:
 
 # --- ranking metrics -------------------------------------------------------------
 
-def score_counts(df: DataFrame, label: Column, score: Column) -> DataFrame:
+def score_counts(df: DataFrame, score: Column, pos: Column, neg: Column) -> DataFrame:
     """One row per distinct score: pos, neg."""
-    y = F.coalesce(label, F.lit(False))
-    return (df.select(score.alias("score"), y.alias("y"))
-            .groupBy("score").agg(F.sum(_i(F.col("y"))).cast("bigint").alias("pos"),
-                                  F.sum(_i(~F.col("y"))).cast("bigint").alias("neg")))
+    return (df.select(score.alias("score"), pos.alias("_pos"), neg.alias("_neg"))
+            .groupBy("score").agg(F.sum("_pos").cast("bigint").alias("pos"),
+                                  F.sum("_neg").cast("bigint").alias("neg")))
 
 
 def descending_prefix_sums(counts: DataFrame, cols: Sequence[str], partitions: int | None = None) -> DataFrame:
@@ -94,9 +105,9 @@ def descending_prefix_sums(counts: DataFrame, cols: Sequence[str], partitions: i
     return out.drop("_pid", *[f"_off_{c}" for c in cols])
 
 
-def ranking_metrics(df: DataFrame, label: Column, score: Column) -> DataFrame:
+def ranking_metrics(df: DataFrame, score: Column, pos: Column, neg: Column) -> DataFrame:
     """roc_auc (ties count half) and average_precision (step sum over distinct scores)."""
-    counts = score_counts(df, label, score)
+    counts = score_counts(df, score, pos, neg)
     cum = descending_prefix_sums(counts, ["pos", "neg"])
     tot = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).collect()[0]
     P, N = float(tot["P"] or 0), float(tot["N"] or 0)
@@ -110,11 +121,13 @@ def ranking_metrics(df: DataFrame, label: Column, score: Column) -> DataFrame:
 
 # --- probability quality -----------------------------------------------------------
 
-def brier(df: DataFrame, label: Column, prob: Column) -> DataFrame:
-    y = label.cast("double")
-    return df.agg(F.avg((prob - y) * (prob - y)).alias("brier"),
-                  F.avg(prob).alias("mean_pred"), F.avg(y).alias("positive_rate"),
-                  F.count(F.lit(1)).alias("n"))
+def brier(df: DataFrame, prob: Column, pos: Column, neg: Column) -> DataFrame:
+    n = pos + neg
+    sq = pos * (F.lit(1.0) - prob) * (F.lit(1.0) - prob) + neg * prob * prob
+    return df.agg((F.sum(sq) / F.sum(n)).alias("brier"),
+                  (F.sum(n * prob) / F.sum(n)).alias("mean_pred"),
+                  (F.sum(pos) / F.sum(n)).alias("positive_rate"),
+                  F.sum(n).cast("bigint").alias("n"))
 
 
 def uniform_edges(n_bins: int) -> list[float]:
@@ -123,21 +136,24 @@ def uniform_edges(n_bins: int) -> list[float]:
     return [i * step for i in range(n_bins)] + [1.0]
 
 
-def calibration_curve(df: DataFrame, label: Column, prob: Column,
-                      n_bins: int = C.CALIBRATION_BINS) -> DataFrame:
-    """Per non-empty bin: prob_true (mean label), prob_pred (mean p), n.
-
-    Bins are right-closed on the inner edges: p equal to an edge goes to the
-    lower bin; the first bin holds everything <= first inner edge.
-    """
+def calibration_bin(prob: Column, n_bins: int = C.CALIBRATION_BINS) -> Column:
+    """Right-closed on the inner edges: p equal to an edge goes to the lower bin."""
     inner = uniform_edges(n_bins)[1:-1]
     b = F.when(prob <= F.lit(inner[0]), F.lit(0))
     for i, e in enumerate(inner[1:], start=1):
         b = b.when(prob <= F.lit(e), F.lit(i))
-    b = b.otherwise(F.lit(n_bins - 1))
-    return (df.select(b.alias("bin"), label.cast("double").alias("y"), prob.alias("p"))
-            .groupBy("bin").agg(F.avg("y").alias("prob_true"), F.avg("p").alias("prob_pred"),
-                                F.count(F.lit(1)).alias("n")))
+    return b.otherwise(F.lit(n_bins - 1))
+
+
+def calibration_curve(df: DataFrame, prob: Column, pos: Column, neg: Column,
+                      n_bins: int = C.CALIBRATION_BINS) -> DataFrame:
+    """Per non-empty bin: prob_true (observed rate), prob_pred (mean p), n."""
+    n = pos + neg
+    return (df.select(calibration_bin(prob, n_bins).alias("bin"), pos.alias("_pos"), n.alias("_n"),
+                      (n * prob).alias("_np"))
+            .groupBy("bin").agg((F.sum("_pos") / F.sum("_n")).alias("prob_true"),
+                                (F.sum("_np") / F.sum("_n")).alias("prob_pred"),
+                                F.sum("_n").cast("bigint").alias("n")))
 
 
 # --- cost-based thresholds -----------------------------------------------------------
@@ -147,17 +163,15 @@ def thresholds(lo_pct: int = C.THRESHOLD_PCT_RANGE[0], hi_pct: int = C.THRESHOLD
     return [k / 100 for k in range(lo_pct, hi_pct + 1)]
 
 
-def threshold_histogram(df: DataFrame, label: Column, prob: Column,
+def threshold_histogram(df: DataFrame, prob: Column, pos: Column, neg: Column,
                         ts: Sequence[float] | None = None) -> DataFrame:
     """bucket b = number of thresholds <= p (so 'p >= t_k' is 'b >= k'); pos/neg per bucket."""
     ts = list(ts or thresholds())
-    y = F.coalesce(label, F.lit(False))
-    scored = df.select(prob.alias("p"), y.alias("y"))
+    scored = df.select(prob.alias("p"), pos.alias("_pos"), neg.alias("_neg"))
     bucketed = Bucketizer(splits=[-math.inf] + ts + [math.inf], inputCol="p", outputCol="b",
                           handleInvalid="keep").transform(scored)
     return (bucketed.groupBy(F.col("b").cast("int").alias("b"))
-            .agg(F.sum(_i(F.col("y"))).cast("bigint").alias("pos"),
-                 F.sum(_i(~F.col("y"))).cast("bigint").alias("neg")))
+            .agg(F.sum("_pos").cast("bigint").alias("pos"), F.sum("_neg").cast("bigint").alias("neg")))
 
 
 def threshold_sweep(hist: DataFrame, ts: Sequence[float] | None = None) -> DataFrame:
@@ -250,16 +264,16 @@ def report_at(test_hist_sweep: DataFrame, threshold_k: int, c_fp: float, c_fn: f
 
 # --- recalibration -----------------------------------------------------------------
 
-def refit_intercept(df: DataFrame, label: Column, offset: Column, start: float = 0.0,
+def refit_intercept(df: DataFrame, offset: Column, pos: Column, neg: Column, start: float = 0.0,
                     max_iter: int = 50, tol: float = 1e-12) -> tuple[float, int]:
     """Maximum-likelihood intercept of a logit with a fixed offset.
 
-    Rows collapse to distinct offsets (n, positives), written to the
+    Records collapse to distinct offsets (n, positives), written to the
     checkpoint folder; each Newton step is one small aggregation over them.
     """
-    g = reliable_checkpoint(df.groupBy(offset.alias("o")).agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
-        F.sum(_i(F.coalesce(label, F.lit(False)))).cast("double").alias("pos")))
+    g = reliable_checkpoint(df.select(offset.alias("o"), pos.alias("_pos"), neg.alias("_neg"))
+                            .groupBy("o").agg(F.sum(F.col("_pos") + F.col("_neg")).cast("double").alias("n"),
+                                              F.sum("_pos").cast("double").alias("pos")))
     b, it = float(start), 0
     for it in range(1, max_iter + 1):
         p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("o") + F.lit(b))))

@@ -220,39 +220,48 @@ def q_risk_recal_proof(spark, sf_dir):
 # evaluation operator can be checked against SQL on them.
 
 def _rate_scored(spark, sf_dir):
+    """(validation, test) as cells keyed by departure hour (and the recal slice)
+    with the hour's delay rate on the fit rows as score p; pos / neg counts."""
     st = study_for(spark, sf_dir, P)
     tr = st.train()
-    fit = tr.filter(F.col("flight_date") < F.lit(P.fit_cutoff).cast("date"))
-    val = tr.filter((F.col("flight_date") >= F.lit(P.fit_cutoff).cast("date"))
-                    & (F.col("flight_date") <= F.lit(P.validation_end).cast("date")))
+    d = F.col("flight_date")
+    fit = tr.filter(d < F.lit(P.fit_cutoff).cast("date"))
+    val = tr.filter((d >= F.lit(P.fit_cutoff).cast("date")) & (d <= F.lit(P.validation_end).cast("date")))
     y = F.col("is_delayed").cast("double")
     overall = fit.agg(F.avg(y)).collect()[0][0]
     rates = fit.groupBy("dep_hour").agg(F.avg(y).alias("rate"))   # <= 24 rows
-    def score(df):
-        return (df.join(F.broadcast(rates), "dep_hour", "left")
-                .select("flight_date", "is_delayed", F.coalesce(F.col("rate"), F.lit(overall)).alias("p")))
-    return score(val), score(st.test())
+    pos, _ = E.label_counts(F.col("is_delayed"))
+
+    def score(df, keys=()):
+        cells = (df.groupBy("dep_hour", *keys)
+                 .agg(F.sum(pos).cast("bigint").alias("pos"), F.count(F.lit(1)).alias("n"))
+                 .withColumn("neg", F.col("n") - F.col("pos")))
+        return (cells.join(F.broadcast(rates), "dep_hour", "left")
+                .withColumn("p", F.coalesce(F.col("rate"), F.lit(overall))))
+
+    recal = (d <= F.lit(P.recal_end).cast("date")).alias("in_recal")
+    return score(val), score(st.test(), (recal,))
 
 
 def q_eval_rate_ranking(spark, sf_dir):
     _, te = _rate_scored(spark, sf_dir)
-    return _round(E.ranking_metrics(te, F.col("is_delayed"), F.col("p")))
+    return _round(E.ranking_metrics(te, F.col("p"), F.col("pos"), F.col("neg")))
 
 
 def q_eval_rate_calibration(spark, sf_dir):
     _, te = _rate_scored(spark, sf_dir)
-    return _round(E.calibration_curve(te, F.col("is_delayed"), F.col("p")))
+    return _round(E.calibration_curve(te, F.col("p"), F.col("pos"), F.col("neg")))
 
 
 def q_eval_rate_brier(spark, sf_dir):
     _, te = _rate_scored(spark, sf_dir)
-    return _round(E.brier(te, F.col("is_delayed"), F.col("p")))
+    return _round(E.brier(te, F.col("p"), F.col("pos"), F.col("neg")))
 
 
 def _rate_sweeps(spark, sf_dir):
     val, te = _rate_scored(spark, sf_dir)
-    vs = E.threshold_sweep(E.threshold_histogram(val, F.col("is_delayed"), F.col("p")))
-    ts = E.threshold_sweep(E.threshold_histogram(te, F.col("is_delayed"), F.col("p")))
+    vs = E.threshold_sweep(E.threshold_histogram(val, F.col("p"), F.col("pos"), F.col("neg")))
+    ts = E.threshold_sweep(E.threshold_histogram(te, F.col("p"), F.col("pos"), F.col("neg")))
     return vs, ts
 
 
@@ -276,9 +285,9 @@ def q_eval_rate_findings(spark, sf_dir):
 def q_eval_rate_recal_intercept(spark, sf_dir):
     """Intercept refit with the hour-rate log-odds as offset on the first test weeks."""
     _, te = _rate_scored(spark, sf_dir)
-    recal = te.filter(F.col("flight_date") <= F.lit(P.recal_end).cast("date"))
+    recal = te.filter(F.col("in_recal"))
     off = F.log(F.col("p") / (F.lit(1.0) - F.col("p")))
-    b, it = E.refit_intercept(recal, F.col("is_delayed"), off)
+    b, it = E.refit_intercept(recal, off, F.col("pos"), F.col("neg"))
     return spark.createDataFrame([(b, it)], "intercept double, newton_steps int")
 
 

@@ -25,6 +25,7 @@ from ..operators import profile as PR
 from ..operators import split as S
 from ..operators.checks import DataQualityError, require_scalar
 from ..operators.design import Design, Factor, Flag, Numeric
+from ..session import reliable_checkpoint
 from .stages import Study
 
 
@@ -150,10 +151,6 @@ class Risk:
         return wide.select("split", F.expr("stack(2, 'origin_top', origin_top, 'dest_top', dest_top)")
                            .alias("feature", "other_pct"))
 
-    def recal_proof(self) -> DataFrame:
-        recal, rest = self._recal_masks()
-        return S.window_proof(self.test, {"recal": recal, "remaining": rest})
-
     # -- models -----------------------------------------------------------------------
     @cached_property
     def model(self) -> L.LogisticFit:
@@ -164,23 +161,47 @@ class Risk:
         sample = self.features(self.study.train_sample())
         return L.fit_inference(sample, self.inference_design, F.col("is_delayed"))
 
+    # -- the test and validation sets, collapsed once -----------------------------------
+    # Every test metric depends on a row only through its design row, its
+    # departure hour (rule baseline) and its date slice, so test rows are
+    # grouped once into (those keys) -> n, positives and checkpointed; every
+    # metric below reads that table instead of rescanning the test set.
+    CELL_KEYS = ("dep_hour", "dow", "airline", "origin_top", "dest_top", "log_distance", "holiday_flag")
+
+    def _collapse(self, df: DataFrame, flags: dict[str, Column] | None = None) -> DataFrame:
+        flags = flags or {}
+        pos, _ = E.label_counts(F.col("is_delayed"))
+        g = (df.groupBy(*self.CELL_KEYS, *[c.alias(k) for k, c in flags.items()])
+             .agg(F.count(F.lit(1)).alias("n"), F.sum(pos).cast("bigint").alias("pos")))
+        g = g.select("*", (F.col("n") - F.col("pos")).alias("neg"),
+                     X.dep_hour_bin("dep_hour").alias("dep_hour_bin"))
+        return reliable_checkpoint(g)
+
+    @cached_property
+    def test_cells(self) -> DataFrame:
+        recal, rest = self._recal_masks()
+        return self._collapse(self.test, {"in_recal": recal, "in_rest": rest})
+
+    @cached_property
+    def val_cells(self) -> DataFrame:
+        return self._collapse(self.val_df)
+
     def scored_test(self) -> DataFrame:
-        return self.test.select("flight_date", "dep_hour", "is_delayed",
-                                self.model.logit().alias("logit"), self.model.prob().alias("p"))
+        """Test cells with the model's log-odds and probability (one expression)."""
+        return self.test_cells.select("*", self.model.logit().alias("logit"), self.model.prob().alias("p"))
 
     # -- reports ------------------------------------------------------------------------
     def baselines(self) -> DataFrame:
-        te = self.test
-        b0 = E.confusion(te, F.col("is_delayed"), F.lit(False)).select(
-            F.lit("B0: always not delayed").alias("baseline"), "*")
-        b1 = E.confusion(te, F.col("is_delayed"), F.col("dep_hour") >= C.RULE_BASELINE_HOUR).select(
+        c, pos, neg = self.test_cells, F.col("pos"), F.col("neg")
+        b0 = E.confusion(c, F.lit(False), pos, neg).select(F.lit("B0: always not delayed").alias("baseline"), "*")
+        b1 = E.confusion(c, F.col("dep_hour") >= C.RULE_BASELINE_HOUR, pos, neg).select(
             F.lit(f"B1: dep_hour >= {C.RULE_BASELINE_HOUR}").alias("baseline"), "*")
         return b0.unionByName(b1)
 
     def fit_summary(self) -> DataFrame:
         m = self.model
         fit_rate = self.fit_df.agg(F.avg(F.col("is_delayed").cast("double"))).collect()[0][0]
-        val = self.val_df.agg(F.count(F.lit(1)), F.avg(F.col("is_delayed").cast("double"))).collect()[0]
+        val = self.val_cells.agg(F.sum("n"), F.sum("pos") / F.sum("n")).collect()[0]
         return self.spark.createDataFrame(
             [(m.solver, m.n_iter, m.converged, m.intercept, m.nobs, fit_rate, float(val[0]), val[1],
               self.ref_airline, self.ref_airport, self.deploy_design.width - 1)],
@@ -192,18 +213,16 @@ class Risk:
         return self.model.table(self.spark).select("term", "family", "coef")
 
     def discrimination(self) -> DataFrame:
-        r = E.ranking_metrics(self.scored_test(), F.col("is_delayed"), F.col("p"))
+        r = E.ranking_metrics(self.scored_test(), F.col("p"), F.col("pos"), F.col("neg"))
         return r.select(F.col("roc_auc"), F.col("average_precision").alias("pr_auc"),
                         F.col("positive_rate").alias("pr_auc_floor"),
                         (F.col("average_precision") / F.col("positive_rate")).alias("lift"))
 
     def calibration(self) -> DataFrame:
-        sc = self.scored_test()
-        curve = E.calibration_curve(sc, F.col("is_delayed"), F.col("p"))
-        return curve
+        return E.calibration_curve(self.scored_test(), F.col("p"), F.col("pos"), F.col("neg"))
 
     def brier_full(self) -> DataFrame:
-        b = E.brier(self.scored_test(), F.col("is_delayed"), F.col("p"))
+        b = E.brier(self.scored_test(), F.col("p"), F.col("pos"), F.col("neg"))
         return b.withColumn("gap", F.col("mean_pred") - F.col("positive_rate"))
 
     def _recal_masks(self):
@@ -212,49 +231,56 @@ class Risk:
         rest = d >= _d(self.p.remainder_start)
         return recal, rest
 
+    def recal_proof(self) -> DataFrame:
+        """Rows per slice, rows in neither and in both (exhaustive and disjoint)."""
+        c = self.test_cells
+        r, s = F.coalesce(F.col("in_recal"), F.lit(False)), F.coalesce(F.col("in_rest"), F.lit(False))
+        return c.agg(F.sum(F.when(r, F.col("n")).otherwise(0)).cast("bigint").alias("rows_recal"),
+                     F.sum(F.when(s, F.col("n")).otherwise(0)).cast("bigint").alias("rows_remaining"),
+                     F.sum(F.when(~r & ~s, F.col("n")).otherwise(0)).cast("bigint").alias("rows_in_none"),
+                     F.sum(F.when(r & s, F.col("n")).otherwise(0)).cast("bigint").alias("rows_in_several"))
+
     @cached_property
     def recalibrated_intercept(self) -> tuple[float, int]:
-        recal, rest = self._recal_masks()
-        S.check_windows(S.window_proof(self.test, {"recal": recal, "remaining": rest}).collect()[0],
-                        "recalibration slices")
-        return E.refit_intercept(self.test.filter(recal), F.col("is_delayed"), self.model.offset())
+        S.check_windows(self.recal_proof().collect()[0], "recalibration slices")
+        recal = self.test_cells.filter(F.col("in_recal"))
+        return E.refit_intercept(recal, self.model.offset(), F.col("pos"), F.col("neg"))
 
     def _remaining_scored(self) -> DataFrame:
-        _, rest = self._recal_masks()
         new_b, _ = self.recalibrated_intercept
         off = self.model.offset()
-        return self.test.filter(rest).select(
-            "is_delayed",
+        return self.test_cells.filter(F.col("in_rest")).select(
+            "pos", "neg",
             X.sigmoid(off + F.lit(self.model.intercept)).alias("p_before"),
             X.sigmoid(off + F.lit(new_b)).alias("p_after"))
 
     def recalibration(self) -> DataFrame:
         new_b, iters = self.recalibrated_intercept
         rem = self._remaining_scored()
-        y = F.col("is_delayed").cast("double")
-        r = rem.agg(F.avg((F.col("p_before") - y) ** 2).alias("brier_before"),
-                    F.avg((F.col("p_after") - y) ** 2).alias("brier_after"),
-                    F.count(F.lit(1)).alias("remaining_rows")).collect()[0]
+        before = E.brier(rem, F.col("p_before"), F.col("pos"), F.col("neg")).collect()[0]
+        after = E.brier(rem, F.col("p_after"), F.col("pos"), F.col("neg")).collect()[0]
         return self.spark.createDataFrame(
-            [(self.model.intercept, new_b, iters, r["brier_before"], r["brier_after"],
-              r["brier_after"] < r["brier_before"], int(r["remaining_rows"]))],
+            [(self.model.intercept, new_b, iters, before["brier"], after["brier"],
+              after["brier"] < before["brier"], int(before["n"]))],
             "original_intercept double, recalibrated_intercept double, newton_steps int, "
             "brier_before double, brier_after double, improved boolean, remaining_rows long")
 
     def recalibration_curves(self) -> DataFrame:
         rem = self._remaining_scored()
-        before = E.calibration_curve(rem, F.col("is_delayed"), F.col("p_before")).select(F.lit("before").alias("which"), "*")
-        after = E.calibration_curve(rem, F.col("is_delayed"), F.col("p_after")).select(F.lit("after").alias("which"), "*")
+        pos, neg = F.col("pos"), F.col("neg")
+        before = E.calibration_curve(rem, F.col("p_before"), pos, neg).select(F.lit("before").alias("which"), "*")
+        after = E.calibration_curve(rem, F.col("p_after"), pos, neg).select(F.lit("after").alias("which"), "*")
         return before.unionByName(after)
 
     @cached_property
     def val_sweep(self) -> DataFrame:
-        val = self.val_df.select("is_delayed", self.model.prob().alias("p"))
-        return E.threshold_sweep(E.threshold_histogram(val, F.col("is_delayed"), F.col("p"))).cache()
+        h = E.threshold_histogram(self.val_cells, self.model.prob(), F.col("pos"), F.col("neg"))
+        return E.threshold_sweep(h).cache()
 
     @cached_property
     def test_sweep(self) -> DataFrame:
-        return E.threshold_sweep(E.threshold_histogram(self.scored_test(), F.col("is_delayed"), F.col("p"))).cache()
+        h = E.threshold_histogram(self.test_cells, self.model.prob(), F.col("pos"), F.col("neg"))
+        return E.threshold_sweep(h).cache()
 
     def threshold_costs(self) -> DataFrame:
         return self.val_sweep.select("k", "threshold", "fp", "fn", "n",

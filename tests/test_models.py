@@ -120,7 +120,7 @@ def test_intercept_refit_with_offset(spark):
     off = np.round(rng.normal(size=2000), 2)
     y = rng.random(2000) < 1 / (1 + np.exp(-(off - 0.7)))
     df = spark.createDataFrame(pd.DataFrame({"o": off, "y": y}))
-    b, _ = E.refit_intercept(df, F.col("y"), F.col("o"))
+    b, _ = E.refit_intercept(df, F.col("o"), *E.label_counts(F.col("y")))
     w = 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-(off + w)))

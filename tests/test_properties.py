@@ -28,7 +28,7 @@ def test_calibration_property(spark, pairs):
     p = np.array([a / 20 for a, _ in pairs])
     y = np.array([b for _, b in pairs], dtype=float)
     df = spark.createDataFrame(pd.DataFrame({"p": p, "y": y.astype(bool)}))
-    got = {r["bin"]: (r["n"], r["prob_true"]) for r in E.calibration_curve(df, F.col("y"), F.col("p")).collect()}
+    got = {r["bin"]: (r["n"], r["prob_true"]) for r in E.calibration_curve(df, F.col("p"), *E.label_counts(F.col("y"))).collect()}
     bins = np.linspace(0.0, 1.0, 11)
     ids = np.searchsorted(bins[1:-1], p)          # the library definition of the bins
     for b in np.unique(ids):
