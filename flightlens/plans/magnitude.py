@@ -67,18 +67,20 @@ class Magnitude:
 
     @cached_property
     def test(self) -> DataFrame:
-        te = self.features(late_only(self.study.test()))
-        self._check(te, "test")
-        return te
+        """Late test rows with features; checked inside the one scoring pass (``comparison``)."""
+        return self.features(late_only(self.study.test()))
 
     @staticmethod
-    def _check(df: DataFrame, label: str) -> None:
-        require(df, {
+    def _rules() -> dict:
+        return {
             "arr_delay_not_positive": ~(F.col("arr_delay") > 0),
             "log_delay_not_finite": F.col("log_delay").isNull() | F.isnan("log_delay"),
             "dep_hour_bin_missing": F.col("dep_hour_bin").isNull(),
             "distance_not_positive": ~(F.col("distance") > 0),
-        }, f"magnitude {label}")
+        }
+
+    def _check(self, df: DataFrame, label: str) -> None:
+        require(df, self._rules(), f"magnitude {label}")
 
     # -- levels and designs ----------------------------------------------------------
     @cached_property
@@ -131,22 +133,18 @@ class Magnitude:
     def b1_means(self) -> DataFrame:
         return self.train.groupBy("airline").agg(F.avg("log_delay").alias("b1_pred"))
 
-    def _test_with_b1(self) -> DataFrame:
+    def comparison(self) -> DataFrame:
+        """B0, B1, M1, M2 on test: RMSE / MAE on the log scale and in minutes (exp, no smearing).
+
+        ONE pass over the late test rows computes the 16 metrics together with
+        the data checks, the count of factor levels unseen in train (formula
+        scoring refuses them) and of airlines without a train mean; any
+        violation raises before a result is returned.
+        """
         means = self.b1_means
         if means.count() <= BROADCAST_ROWS_LIMIT:     # one row per airline
             means = F.broadcast(means)
         te = self.test.join(means, "airline", "left")
-        missing = te.filter(F.col("b1_pred").isNull()).count()
-        if missing:
-            raise DataQualityError(f"{missing} test rows have an airline with no train mean")
-        return te
-
-    def comparison(self) -> DataFrame:
-        """B0, B1, M1, M2 on test: RMSE / MAE on the log scale and in minutes (exp, no smearing)."""
-        unknown = {k: v for k, v in self.m2_design.unknown_level_count(self.test).items() if v}
-        if unknown:
-            raise DataQualityError(f"test rows with levels unseen in train: {unknown}")
-        te = self._test_with_b1()
         preds = {
             "B0: train mean": F.lit(self.b0_value),
             "B1: per-airline mean": F.col("b1_pred"),
@@ -160,7 +158,16 @@ class Magnitude:
             rm = mins - F.exp(p)
             aggs += [F.sqrt(F.avg(r * r)).alias(f"rmse_log_{i}"), F.avg(F.abs(r)).alias(f"mae_log_{i}"),
                      F.sqrt(F.avg(rm * rm)).alias(f"rmse_minutes_{i}"), F.avg(F.abs(rm)).alias(f"mae_minutes_{i}")]
+        checks = dict(self._rules())
+        checks["airline_without_train_mean"] = F.col("b1_pred").isNull()
+        for t in self.m2_design.terms:
+            if isinstance(t, Factor):
+                checks[f"unseen_{t.column}"] = ~F.coalesce(F.col(t.column).isin(list(t.levels)), F.lit(False))
+        aggs += [F.count_if(c).alias(f"chk_{k}") for k, c in checks.items()]
         row = te.agg(*aggs).collect()[0]
+        bad = {k: row[f"chk_{k}"] for k in checks if row[f"chk_{k}"]}
+        if bad:
+            raise DataQualityError(f"magnitude test: failed checks {bad}")
         out = [(name, row[f"rmse_log_{i}"], row[f"mae_log_{i}"], row[f"rmse_minutes_{i}"], row[f"mae_minutes_{i}"])
                for i, name in enumerate(preds)]
         return self.spark.createDataFrame(
