@@ -80,6 +80,51 @@ def delay_heatmap(flights: DataFrame) -> DataFrame:
                        order_by=[F.col("month"), F.col("day_of_week")])
 
 
+# --- dashboard extract layouts ---------------------------------------------------
+# The exported dashboard files differ from the report SQL for two reports:
+# carriers carry the arrival average too (no delayed count), averages at one
+# decimal; routes carry origin and destination, the arrival average, an
+# inclusive volume floor and a row limit. The SQL semantics above stay the
+# default; these are the extract layouts as parameters.
+
+EXPORT_AVG_DIGITS = 1
+EXPORT_ROUTE_ROWS = 25
+
+
+def delay_by_airline_export(flights: DataFrame, avg_digits: int = EXPORT_AVG_DIGITS) -> DataFrame:
+    delayed = F.sum(_delayed_int()).cast("bigint")
+    total = F.count(F.lit(1))
+    return (flights.groupBy("airline")
+            .agg(total.alias("total_flights"),
+                 X.half_away_round(X.safe_rate_pct(delayed, total), 2).alias("delay_rate_pct"),
+                 X.half_away_round(F.avg("dep_delay"), avg_digits).alias("avg_dep_delay_min"),
+                 X.half_away_round(F.avg("arr_delay"), avg_digits).alias("avg_arr_delay_min"))
+            .orderBy(F.col("delay_rate_pct").desc(), F.col("airline")))
+
+
+def worst_routes_export(flights: DataFrame, min_flights: int = C.ROUTE_MIN_FLIGHTS,
+                        limit: int = EXPORT_ROUTE_ROWS, avg_digits: int = EXPORT_AVG_DIGITS) -> DataFrame:
+    """Routes with at least ``min_flights`` flights (inclusive), worst ``limit`` by rate."""
+    delayed = F.sum(_delayed_int()).cast("bigint")
+    total = F.count(F.lit(1))
+    return (flights.groupBy("route", "origin", "dest")
+            .agg(total.alias("total_flights"),
+                 X.half_away_round(X.safe_rate_pct(delayed, total), 2).alias("delay_rate_pct"),
+                 X.half_away_round(F.avg("arr_delay"), avg_digits).alias("avg_arr_delay_min"))
+            .filter(F.col("total_flights") >= F.lit(min_flights))
+            .orderBy(F.col("delay_rate_pct").desc(), F.col("route")).limit(limit))
+
+
+def delay_heatmap_export(flights: DataFrame, avg_digits: int = EXPORT_AVG_DIGITS) -> DataFrame:
+    delayed = F.sum(_delayed_int()).cast("bigint")
+    total = F.count(F.lit(1))
+    return (flights.groupBy("day_of_week", "month")
+            .agg(total.alias("total_flights"),
+                 X.half_away_round(X.safe_rate_pct(delayed, total), 2).alias("delay_rate_pct"),
+                 X.half_away_round(F.avg("arr_delay"), avg_digits).alias("avg_arr_delay_min"))
+            .orderBy(F.col("month"), F.col("day_of_week")))
+
+
 # --- all six reports from one scan -------------------------------------------
 
 DASHBOARD_SETS = {

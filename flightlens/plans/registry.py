@@ -81,6 +81,18 @@ def q_delay_heatmap_dow_month(spark, sf_dir):
     return R.delay_heatmap(_st(spark, sf_dir).flights())
 
 
+def q_delay_by_airline_export(spark, sf_dir):
+    return R.delay_by_airline_export(_st(spark, sf_dir).flights())
+
+
+def q_worst_routes_export(spark, sf_dir):
+    return R.worst_routes_export(_st(spark, sf_dir).flights(), P.route_min_flights)
+
+
+def q_delay_heatmap_export(spark, sf_dir):
+    return R.delay_heatmap_export(_st(spark, sf_dir).flights())
+
+
 def q_dashboard_one_pass(spark, sf_dir):
     return R.dashboard_one_pass(_st(spark, sf_dir).flights(), P.airport_min_flights,
                                 P.airport_top_k, P.route_min_flights)
@@ -182,6 +194,9 @@ QUERIES: dict[str, QueryFn] = {
     "worst_routes": q_worst_routes,
     "delay_heatmap_dow_month": q_delay_heatmap_dow_month,
     "dashboard_one_pass": q_dashboard_one_pass,
+    "delay_by_airline_export": q_delay_by_airline_export,
+    "worst_routes_export": q_worst_routes_export,
+    "delay_heatmap_export": q_delay_heatmap_export,
     "model_table": q_model_table,
     "prep_report": q_prep_report,
     "split_summary": q_split_summary,

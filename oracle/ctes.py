@@ -21,6 +21,10 @@ def r6(x: str) -> str:
     return f"CAST(ROUND(CAST({x} AS DECIMAL(38,10)), 6) AS DOUBLE)"
 
 
+def r1(x: str) -> str:
+    return f"CAST(ROUND(CAST({x} AS DECIMAL(38,10)), 1) AS DOUBLE)"
+
+
 def r2(x: str) -> str:
     return f"CAST(ROUND(CAST({x} AS DECIMAL(38,10)), 2) AS DOUBLE)"
 

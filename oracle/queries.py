@@ -5,7 +5,7 @@ from __future__ import annotations
 from flightlens import constants as C
 from flightlens.params import FIXTURE
 
-from .ctes import flights_ctes, model_ctes, r2, r6, split_ctes, with_
+from .ctes import flights_ctes, model_ctes, r1, r2, r6, split_ctes, with_
 
 P = FIXTURE
 DELAYED = "SUM(CASE WHEN is_delayed THEN 1 ELSE 0 END)"
@@ -60,6 +60,22 @@ FROM flights GROUP BY delay_bucket"""),
         "delay_heatmap_dow_month": _report("day_of_week, month", avg_col="arr_delay",
                                            avg_alias="avg_arr_delay_min", with_delayed=False),
         "dashboard_one_pass": _dashboard_union(),
+        "delay_by_airline_export": with_(flights_ctes(), f"""
+SELECT airline, COUNT(*) AS total_flights,
+  {r2(f'CAST({DELAYED} AS DOUBLE) / COUNT(*) * 100')} AS delay_rate_pct,
+  {r1('AVG(dep_delay)')} AS avg_dep_delay_min, {r1('AVG(arr_delay)')} AS avg_arr_delay_min
+FROM flights GROUP BY airline"""),
+        "worst_routes_export": with_(flights_ctes(), f"""
+SELECT route, origin, dest, COUNT(*) AS total_flights,
+  {r2(f'CAST({DELAYED} AS DOUBLE) / COUNT(*) * 100')} AS delay_rate_pct,
+  {r1('AVG(arr_delay)')} AS avg_arr_delay_min
+FROM flights GROUP BY route, origin, dest HAVING COUNT(*) >= {P.route_min_flights}
+ORDER BY delay_rate_pct DESC, route LIMIT 25"""),
+        "delay_heatmap_export": with_(flights_ctes(), f"""
+SELECT day_of_week, month, COUNT(*) AS total_flights,
+  {r2(f'CAST({DELAYED} AS DOUBLE) / COUNT(*) * 100')} AS delay_rate_pct,
+  {r1('AVG(arr_delay)')} AS avg_arr_delay_min
+FROM flights GROUP BY day_of_week, month"""),
         "model_table": with_(model_ctes(P), "SELECT * FROM model"),
         "prep_report": with_(model_ctes(P), f"""
 SELECT

@@ -72,3 +72,24 @@ def test_dow_report_order(spark):
         X.day_name("d").alias("day_of_week"), F.lit(False).alias("is_delayed"), F.lit(0.0).alias("dep_delay"))
     assert [r[0] for r in R.delay_by_dow(df).collect()] == ["Monday", "Tuesday", "Wednesday", "Thursday",
                                                             "Friday", "Saturday", "Sunday"]
+
+
+def test_report_totals_are_consistent(spark):
+    """Every flight is counted once in each single-key report, cancelled ones included."""
+    fl = study_for(spark, SF0001).flights()
+    n = fl.count()
+    n_delayed = fl.filter("is_delayed").count()
+    for df in (R.delay_by_airline(fl), R.delay_by_month(fl), R.delay_by_dow(fl), R.delay_heatmap(fl),
+               R.delay_by_airline_export(fl), R.delay_heatmap_export(fl)):
+        assert df.agg(F.sum("total_flights")).collect()[0][0] == n
+    for df in (R.delay_by_month(fl), R.delay_by_dow(fl)):
+        assert df.agg(F.sum("delayed_flights")).collect()[0][0] == n_delayed
+
+
+def test_route_export_floor_is_inclusive(spark):
+    rows = [("A-B", "A", "B", True, 1.0)] * 3 + [("A-C", "A", "C", False, 1.0)] * 2
+    df = spark.createDataFrame(rows, "route string, origin string, dest string, is_delayed boolean, arr_delay double")
+    got = {r["route"]: r for r in R.worst_routes_export(df, min_flights=2).collect()}
+    assert set(got) == {"A-B", "A-C"}                  # exactly at the floor is kept
+    assert list(got["A-B"].asDict()) == ["route", "origin", "dest", "total_flights", "delay_rate_pct",
+                                         "avg_arr_delay_min"]
