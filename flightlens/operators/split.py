@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint
@@ -82,12 +82,15 @@ def exact_sample(df: DataFrame, n: int, seed: int, buckets: int = 1024,
     found without a global sort of the table:
 
     1. count rows (Parquet metadata);
-    2. keep candidates whose hash falls in the lowest ~1.1 n/N of the range
-       and write them to the checkpoint folder (one scan; ~1.1 n rows);
-    3. histogram the candidates into ``buckets`` hash ranges (<= buckets rows
-       reach the driver) and find the range holding the n-th row;
-    4. all candidates of lower ranges + the first few of that range
-       (sorted by the full key; ~n/buckets rows).
+    2. keep candidates whose hash falls in the lowest ~1.1 n/N of the range,
+       collapsed to (distinct row, copies) -- partial aggregation first, so a
+       row repeated a billion times is one record -- and write them to the
+       checkpoint folder (one scan);
+    3. histogram the candidate copies into ``buckets`` hash ranges (<= buckets
+       rows reach the driver) and find the range holding the n-th row;
+    4. every candidate of lower ranges, plus the first ones of that range by
+       the full key with a running count of copies (~n/buckets distinct rows);
+       each kept row is expanded to the number of copies it contributes.
     """
     cols = df.columns
     total = df.count()
@@ -97,11 +100,12 @@ def exact_sample(df: DataFrame, n: int, seed: int, buckets: int = 1024,
     q = min(1.0, n / total * oversample + 64.0 / total)
     keyed = df.select(*cols, h.alias("_h"))
     while True:
-        cand = reliable_checkpoint(keyed.filter(_unit(F.col("_h")) <= F.lit(q)))
+        cand = reliable_checkpoint(keyed.filter(_unit(F.col("_h")) <= F.lit(q))
+                                   .groupBy("_h", *cols).agg(F.count(F.lit(1)).alias("_c")))
         bucket = F.least(F.floor(_unit(F.col("_h")) / F.lit(q) * F.lit(buckets)),
                          F.lit(buckets - 1)).cast("int")
         cand = cand.withColumn("_b", bucket)
-        hist = {r["_b"]: r["cnt"] for r in cand.groupBy("_b").agg(F.count(F.lit(1)).alias("cnt")).collect()}
+        hist = {r["_b"]: r["cnt"] for r in cand.groupBy("_b").agg(F.sum("_c").alias("cnt")).collect()}
         if sum(hist.values()) >= n or q >= 1.0:
             break
         q = min(1.0, q * 2.0)
@@ -114,7 +118,12 @@ def exact_sample(df: DataFrame, n: int, seed: int, buckets: int = 1024,
     if b_star is None:  # q reached 1: everything is a candidate
         raise DataQualityError("exact_sample: fewer candidate rows than requested")
     need = n - cum
-    below = cand.filter(F.col("_b") < b_star)
+    below = cand.filter(F.col("_b") < b_star).select(*cols, F.col("_c").alias("_k"))
+    # the boundary range holds ~n/buckets distinct rows: a window over it is bounded
+    w = Window.orderBy(F.col("_h"), *[F.col(c) for c in cols]).rowsBetween(Window.unboundedPreceding, -1)
     edge = (cand.filter(F.col("_b") == b_star)
-            .orderBy(F.col("_h"), *[F.col(c) for c in cols]).limit(need))
-    return below.unionByName(edge).select(*cols)
+            .withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+            .filter(F.col("_before") < F.lit(need))
+            .select(*cols, F.least(F.col("_c"), F.lit(need) - F.col("_before")).alias("_k")))
+    kept = below.unionByName(edge)
+    return kept.select(*cols, F.explode(F.sequence(F.lit(1), F.col("_k").cast("int"))).alias("_copy")).select(*cols)

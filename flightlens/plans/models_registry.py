@@ -287,8 +287,8 @@ def q_eval_rate_recal_intercept(spark, sf_dir):
     _, te = _rate_scored(spark, sf_dir)
     recal = te.filter(F.col("in_recal"))
     off = F.log(F.col("p") / (F.lit(1.0) - F.col("p")))
-    b, it = E.refit_intercept(recal, off, F.col("pos"), F.col("neg"))
-    return spark.createDataFrame([(b, it)], "intercept double, newton_steps int")
+    b, _ = E.refit_intercept(recal, off, F.col("pos"), F.col("neg"))
+    return _round(spark.createDataFrame([(b,)], "intercept double"))
 
 
 MODEL_QUERIES = {

@@ -226,6 +226,22 @@ SELECT COUNT(*) FILTER (WHERE {a_pred}) AS rows_{a}, COUNT(*) FILTER (WHERE {b_p
 FROM {table}""")
 
 
+def _recal_intercept() -> str:
+    """Newton steps for the offset logit as a recursive CTE over the distinct offsets."""
+    body = with_(split_ctes(P), _rate_ctes() + f""",
+g AS (SELECT ln(p / (1 - p)) AS o, CAST(COUNT(*) AS DOUBLE) AS n,
+             SUM(CASE WHEN y THEN 1.0 ELSE 0.0 END) AS pos
+      FROM st WHERE flight_date <= {d(P.recal_end)} GROUP BY 1),
+it(k, b) AS (
+  SELECT 0, CAST(0 AS DOUBLE)
+  UNION ALL
+  SELECT k + 1, b + (SELECT SUM(pos - n / (1 + exp(-(o + it.b))))
+                            / SUM(n / (1 + exp(-(o + it.b))) * (1 - 1 / (1 + exp(-(o + it.b))))) FROM g)
+  FROM it WHERE k < 60)
+SELECT {r6('b')} AS intercept FROM it WHERE k = 60""")
+    return body.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def models_sql() -> dict[str, str]:
     sc = split_ctes(P)
     rc = _rate_ctes()
@@ -239,6 +255,7 @@ def models_sql() -> dict[str, str]:
         "ols_b1_means": with_(split_ctes(P), f"""
 SELECT airline, {r6("AVG(ln(arr_delay))")} AS b1_pred FROM train WHERE arr_delay > 0 GROUP BY airline"""),
         "risk_baselines": _risk_baselines(),
+        "eval_rate_recal_intercept": _recal_intercept(),
         "risk_other_shares": _other_shares(),
         "risk_fit_validation_proof": _proof(
             "train", "fit", f"flight_date < {d(P.fit_cutoff)}", "validation",

@@ -61,3 +61,13 @@ def test_exact_sample_with_duplicate_rows(spark):
     got = S.exact_sample(df, 100, 1, buckets=4)
     assert got.count() == 100
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, _brute(df, 100, 1).collect()))
+
+
+def test_exact_sample_with_a_hot_duplicate_row(spark):
+    """A third of the rows are one identical row: they collapse to one record."""
+    rows = [(7, "hot")] * 1000 + [(i, "x") for i in range(2000)]
+    df = spark.createDataFrame(rows, "a int, b string")
+    for n in (10, 900, 1500):
+        got = S.exact_sample(df, n, 3)
+        assert got.count() == n
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, _brute(df, n, 3).collect()))
