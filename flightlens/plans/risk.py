@@ -40,27 +40,66 @@ class Risk:
         self.p = study.params
 
     # -- frames and fitted levels -----------------------------------------------------
+    @cached_property
+    def _train_profile(self) -> dict:
+        """Everything the study needs to know about train from ONE scan.
+
+        GROUPING SETS (origin), (dest), (airline), () give the level counts
+        behind the top-N sets and the carrier order, and the grand total
+        gives the date bounds, the fit / validation proof and the fit delay
+        rate. The result has one row per airport, per carrier and one more --
+        bounded by the level counts -- and is what reaches the driver.
+        """
+        tr = self.study.train()
+        d = F.col("flight_date")
+        fit, val = self.fit_mask(), self.val_mask()
+        keys = ["origin", "dest", "airline"]
+        g = (tr.select(*keys, "flight_date", "is_delayed")
+             .groupingSets([[F.col("origin")], [F.col("dest")], [F.col("airline")], []], *keys)
+             .agg(F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"),
+                  F.min(d).alias("min_date"), F.max(d).alias("max_date"),
+                  F.count_if(fit).alias("rows_fit"), F.count_if(val).alias("rows_validation"),
+                  F.count_if(~fit & ~val).alias("rows_in_none"), F.count_if(fit & val).alias("rows_in_several"),
+                  F.count_if(fit & F.col("is_delayed")).alias("fit_pos")))
+        cap = 3 * PR.MAX_FACTOR_LEVELS + 1
+        rows = g.limit(cap + 1).collect()          # one scan; the cap only guards against misuse
+        if len(rows) > cap:
+            raise DataQualityError("too many airport / carrier levels for treatment coding")
+        by_gid: dict[int, list] = {}
+        for r in rows:
+            by_gid.setdefault(r["gid"], []).append(r)
+        # grouping_id bit i (from the left) is 1 when key i is not grouped
+        gid = {"origin": 0b011, "dest": 0b101, "airline": 0b110, "total": 0b111}
+
+        def ordered(col):
+            return [r[col] for r in sorted(by_gid.get(gid[col], []), key=lambda r: (-r["n"], r[col]))]
+
+        total = by_gid[gid["total"]][0]
+        counts = {c: {r[c]: r["n"] for r in by_gid.get(gid[c], [])} for c in ("origin", "dest")}
+        return {"origin": ordered("origin"), "dest": ordered("dest"), "airline": ordered("airline"),
+                "counts": counts, "total": total}
+
     @cached_property
     def _bounds(self) -> None:
-        tr, te = self.study.train(), self.study.test()
-        a = tr.agg(F.min("flight_date"), F.max("flight_date")).collect()[0]
-        b = te.agg(F.min("flight_date")).collect()[0]
+        t = self._train_profile["total"]
         s = dt.date.fromisoformat(self.p.split_date)
-        require_scalar(a[0] is None or a[0] >= dt.date.fromisoformat(self.p.train_start), "train starts too early")
-        require_scalar(a[1] is None or a[1] < s, "train reaches the split date")
-        require_scalar(b[0] is None or b[0] >= s, "test starts before the split date")
+        require_scalar(t["min_date"] is None or t["min_date"] >= dt.date.fromisoformat(self.p.train_start),
+                       "train starts too early")
+        require_scalar(t["max_date"] is None or t["max_date"] < s, "train reaches the split date")
+        test_min = self.test_cells.agg(F.min("min_date")).collect()[0][0]
+        require_scalar(test_min is None or test_min >= s, "test starts before the split date")
 
     @cached_property
     def top_origins(self) -> list:
-        return PR.top_levels(self.study.train(), "origin", self.p.top_n_airports)
+        return self._train_profile["origin"][:self.p.top_n_airports]
 
     @cached_property
     def top_dests(self) -> list:
-        return PR.top_levels(self.study.train(), "dest", self.p.top_n_airports)
+        return self._train_profile["dest"][:self.p.top_n_airports]
 
     @cached_property
     def airline_counts(self) -> list:
-        return PR.all_levels_by_count(self.study.train(), "airline")
+        return self._train_profile["airline"]
 
     @cached_property
     def ref_airport(self) -> str:
@@ -127,8 +166,11 @@ class Risk:
 
     @cached_property
     def fit_val_proof(self) -> DataFrame:
-        proof = S.window_proof(self.train, {"fit": self.fit_mask(), "validation": self.val_mask()})
-        S.check_windows(proof.collect()[0], "fit/validation")
+        t = self._train_profile["total"]
+        proof = self.spark.createDataFrame(
+            [(t["rows_fit"], t["rows_validation"], t["rows_in_none"], t["rows_in_several"])],
+            "rows_fit long, rows_validation long, rows_in_none long, rows_in_several long")
+        S.check_windows(t, "fit/validation")
         return proof
 
     @cached_property
@@ -142,14 +184,22 @@ class Risk:
         return self.train.filter(self.val_mask())
 
     def other_shares(self) -> DataFrame:
-        """Share of train / test rows folded into OTHER, per airport column (percent)."""
-        parts = []
-        for split, df in (("train", self.train), ("test", self.test)):
-            parts.append(df.agg(*[(F.avg((F.col(c) == C.OTHER_LEVEL).cast("double")) * F.lit(100.0)).alias(c)
-                                  for c in ("origin_top", "dest_top")]).select(F.lit(split).alias("split"), "*"))
-        wide = parts[0].unionByName(parts[1])
-        return wide.select("split", F.expr("stack(2, 'origin_top', origin_top, 'dest_top', dest_top)")
-                           .alias("feature", "other_pct"))
+        """Share of train / test rows folded into OTHER, per airport column (percent).
+
+        Train from the level counts of the one profile scan, test from the
+        collapsed test cells: no extra pass over either table.
+        """
+        prof = self._train_profile
+        n = prof["total"]["n"]
+        rows = []
+        for col, top in (("origin", self.top_origins), ("dest", self.top_dests)):
+            inside = sum(prof["counts"][col].get(a, 0) for a in top)
+            rows.append(("train", f"{col}_top", (n - inside) / n * 100.0 if n else None))
+        tc = self.test_cells
+        t = tc.agg(*[(F.sum(F.when(F.col(c) == C.OTHER_LEVEL, F.col("n")).otherwise(0)) / F.sum("n")
+                      * F.lit(100.0)).alias(c) for c in ("origin_top", "dest_top")]).collect()[0]
+        rows += [("test", "origin_top", t["origin_top"]), ("test", "dest_top", t["dest_top"])]
+        return self.spark.createDataFrame(rows, "split string, feature string, other_pct double")
 
     # -- models -----------------------------------------------------------------------
     @cached_property
@@ -172,7 +222,8 @@ class Risk:
         flags = flags or {}
         pos, _ = E.label_counts(F.col("is_delayed"))
         g = (df.groupBy(*self.CELL_KEYS, *[c.alias(k) for k, c in flags.items()])
-             .agg(F.count(F.lit(1)).alias("n"), F.sum(pos).cast("bigint").alias("pos")))
+             .agg(F.count(F.lit(1)).alias("n"), F.sum(pos).cast("bigint").alias("pos"),
+                  F.min("flight_date").alias("min_date")))
         g = g.select("*", (F.col("n") - F.col("pos")).alias("neg"),
                      X.dep_hour_bin("dep_hour").alias("dep_hour_bin"))
         return reliable_checkpoint(g)
@@ -200,7 +251,8 @@ class Risk:
 
     def fit_summary(self) -> DataFrame:
         m = self.model
-        fit_rate = self.fit_df.agg(F.avg(F.col("is_delayed").cast("double"))).collect()[0][0]
+        t = self._train_profile["total"]
+        fit_rate = t["fit_pos"] / t["rows_fit"] if t["rows_fit"] else None
         val = self.val_cells.agg(F.sum("n"), F.sum("pos") / F.sum("n")).collect()[0]
         return self.spark.createDataFrame(
             [(m.solver, m.n_iter, m.converged, m.intercept, m.nobs, fit_rate, float(val[0]), val[1],
