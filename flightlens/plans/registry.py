@@ -93,6 +93,18 @@ def q_delay_heatmap_export(spark, sf_dir):
     return R.delay_heatmap_export(_st(spark, sf_dir).flights())
 
 
+def _sql_report(name):
+    """The report as Spark SQL text over the ``flights_2024`` view (the warehouse path)."""
+    def q(spark, sf_dir):
+        from .dashboard import report_sql
+        from .stages import flights_view
+        flights_view(spark, sf_dir, P)
+        sql = report_sql(airport_min_flights=P.airport_min_flights, airport_top_k=P.airport_top_k,
+                         route_min_flights=P.route_min_flights)
+        return spark.sql(sql[name])   # the view is resolved now, so later re-registration is harmless
+    return q
+
+
 def q_dashboard_one_pass(spark, sf_dir):
     return R.dashboard_one_pass(_st(spark, sf_dir).flights(), P.airport_min_flights,
                                 P.airport_top_k, P.route_min_flights)
@@ -194,6 +206,8 @@ QUERIES: dict[str, QueryFn] = {
     "worst_routes": q_worst_routes,
     "delay_heatmap_dow_month": q_delay_heatmap_dow_month,
     "dashboard_one_pass": q_dashboard_one_pass,
+    **{f"sql_{n}": _sql_report(n) for n in ("delay_by_airline", "delay_by_month", "delay_by_dow",
+                                            "delay_by_airport", "worst_routes", "delay_heatmap_dow_month")},
     "delay_by_airline_export": q_delay_by_airline_export,
     "worst_routes_export": q_worst_routes_export,
     "delay_heatmap_export": q_delay_heatmap_export,

@@ -103,6 +103,9 @@ SELECT 'train_sample', COUNT(*), MIN(flight_date), MAX(flight_date),
   {r6("AVG(CASE WHEN is_delayed THEN 1.0 ELSE 0.0 END)")} FROM train
 HAVING COUNT(*) <= {P.sample_size}"""),
     }
+    for n in ("delay_by_airline", "delay_by_month", "delay_by_dow", "delay_by_airport", "worst_routes",
+              "delay_heatmap_dow_month"):
+        out[f"sql_{n}"] = out[n]
     from .models_sql import models_sql
     from .profile_sql import profile_sql
     out.update(profile_sql())
