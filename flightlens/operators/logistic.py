@@ -31,12 +31,13 @@ from .. import constants as C
 from ..functions import columns as X
 from ..functions import dist
 from ..session import reliable_checkpoint
-from .design import Design, cells
+from .design import Design, Factor, Flag, cells
 
 
-def weighted_rows(df: DataFrame, design: Design, label: Column) -> DataFrame:
+def weighted_rows(df: DataFrame, design: Design, label: Column,
+                  cell_df: DataFrame | None = None) -> DataFrame:
     """(features vector, label, weight) rows, two per distinct design row at most."""
-    g = cells(df, design, label=label)
+    g = cell_df if cell_df is not None else cells(df, design, label=label)
     two = F.explode(F.array(
         F.struct(F.lit(1.0).alias("label"), F.col("pos").alias("w")),
         F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("pos")).alias("w"))))
@@ -87,7 +88,7 @@ class LogisticFit:
         out = []
         se = self.se if self.se is not None else np.full(len(self.params), np.nan)
         for name, fam, b, s in zip(self.design.names, self.design.term_family(), self.params, se):
-            if s and s > 0:
+            if s == s and s > 0:       # NaN-safe
                 z = b / s
                 p = dist.norm_two_sided_p(z)
                 lo, hi = b - C.Z_975 * s, b + C.Z_975 * s
@@ -129,9 +130,30 @@ def fit_penalized(df: DataFrame, design: Design, label: Column, C_reg: float = 1
                        bool(converged), solver, float(n))
 
 
+def supported_design(cell_df: DataFrame, design: Design) -> Design:
+    """The design without columns that are zero on every row (levels or flags
+    never seen in the fit frame); their estimates are undefined, and an
+    unpenalised fit would otherwise face a singular information matrix.
+    Reads the collapsed cells only: one distinct pass per factor, bounded by
+    its level count."""
+    terms = []
+    for t in design.terms:
+        if isinstance(t, Factor):
+            seen = {r[0] for r in cell_df.select(t.column).distinct().collect()}
+            terms.append(Factor(t.column, (t.levels[0],) + tuple(lv for lv in t.levels[1:] if lv in seen), t.label))
+        elif isinstance(t, Flag):
+            if cell_df.filter(F.col(t.column)).limit(1).count():
+                terms.append(t)
+        else:
+            terms.append(t)
+    return Design(tuple(terms), design.intercept)
+
+
 def fit_inference(df: DataFrame, design: Design, label: Column,
                   max_iter: int = C.LOGIT_MAX_ITER, tol: float = 1e-10) -> LogisticFit:
-    rows = weighted_rows(df, design, label)
+    g = reliable_checkpoint(cells(df, design, label=label))
+    used = supported_design(g, design)
+    rows = weighted_rows(df, used, label, cell_df=g)
     n = rows.agg(F.sum("w")).collect()[0][0]
     glr = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="features",
                                       labelCol="label", weightCol="w", maxIter=max_iter, tol=tol,
@@ -139,16 +161,20 @@ def fit_inference(df: DataFrame, design: Design, label: Column,
     m = glr.fit(rows)
     s = m.summary
     se_all = np.array(s.coefficientStandardErrors)   # coefficients first, intercept last
-    se = np.concatenate([[se_all[-1]], se_all[:-1]])
+    fitted = dict(zip(used.names, np.concatenate([[m.intercept], m.coefficients.toArray()])))
+    fitted_se = dict(zip(used.names, np.concatenate([[se_all[-1]], se_all[:-1]])))
+    # terms dropped for lack of data come back as NaN, in the full design's order
+    coef = np.array([fitted.get(nm, np.nan) for nm in design.names])
+    se = np.array([fitted_se.get(nm, np.nan) for nm in design.names])
     iters = int(s.numIterations)
-    return LogisticFit(design, float(m.intercept), m.coefficients.toArray(), iters, iters < max_iter,
-                       "irls", float(n), se=se, deviance=float(s.deviance),
-                       null_deviance=float(s.nullDeviance))
+    return LogisticFit(design, float(coef[0]), coef[1:], iters, iters < max_iter, "irls", float(n), se=se,
+                       deviance=float(s.deviance), null_deviance=float(s.nullDeviance))
 
 
 def odds_ratio_table(fit: LogisticFit, spark: SparkSession, top: int = C.TOP_COEFFICIENTS) -> DataFrame:
     """Top terms by |coef| (intercept excluded): coef, odds ratio and its CI, p."""
-    t = fit.table(spark).filter(F.col("term") != "Intercept")
+    # terms without data (NaN estimate) have no odds ratio to rank
+    t = fit.table(spark).filter((F.col("term") != "Intercept") & ~F.isnan("coef"))
     return (t.orderBy(F.abs("coef").desc(), F.col("term")).limit(top)
             .select("term", "family", "coef", F.exp("coef").alias("odds_ratio"),
                     F.exp("ci_low").alias("or_ci_low"), F.exp("ci_high").alias("or_ci_high"),

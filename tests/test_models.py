@@ -138,3 +138,17 @@ def test_distribution_tails():
     f, d2 = 1.7, 30
     assert math.isclose(dist.f_sf(f, 2, d2), (1 + 2 * f / d2) ** (-d2 / 2), rel_tol=1e-10)
     assert math.isclose(dist.norm_ppf(0.975), 1.959963984540054, rel_tol=1e-12)
+
+
+def test_inference_fit_with_a_level_that_has_no_rows(spark):
+    """A listed level never seen in the fit frame gets a NaN estimate; the rest is the fit without it."""
+    df, pdf = _logit_frame(spark)
+    with_empty = Design((Factor("a", ("p", "q", "r", "s", "never")), Flag("b"), Numeric("x")))
+    a = L.fit_inference(df, with_empty, F.col("y"))
+    b = L.fit_inference(df, DESIGN, F.col("y"))
+    names = with_empty.names
+    assert math.isnan(a.params[names.index("C(a)[T.never]")]) and math.isnan(a.se[names.index("C(a)[T.never]")])
+    keep = [i for i, nm in enumerate(names) if nm != "C(a)[T.never]"]
+    assert np.allclose(a.params[keep], b.params, atol=1e-9)
+    odds = L.odds_ratio_table(a, spark).collect()
+    assert all(r["term"] != "C(a)[T.never]" for r in odds)
