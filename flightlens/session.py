@@ -54,6 +54,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf_dir:
+        try:
+            conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+        except Exception:  # not readable as a runtime conf
+            conf_dir = None
     if conf_dir:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(conf_dir)
