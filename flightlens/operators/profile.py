@@ -95,29 +95,31 @@ def airport_coverage(df: DataFrame, cols: Sequence[str] = ("origin", "dest"),
                      top_ns: Sequence[int] = C.COVERAGE_TOP_NS) -> DataFrame:
     """Share of flights covered by the top-N airports, N in top_ns.
 
-    One grouped count per column (a few hundred airports), then a running
-    sum over the per-airport counts: the window sees airport rows only,
-    partitioned by column.
+    One scan: GROUPING SETS give the per-airport counts of every column at
+    once; a rank window then runs over those per-airport rows (partitioned by
+    column, a few hundred rows each) and one conditional aggregate gives the
+    covered count for every N -- no join, no second scan.
     """
-    parts = []
-    for c in cols:
-        parts.append(level_counts(df, c).select(F.lit(c).alias("feature"), F.col(c).alias("level"), "n"))
-    counts = parts[0]
-    for p in parts[1:]:
-        counts = counts.unionByName(p)
-    w_rank = Window.partitionBy("feature").orderBy(F.col("n").desc(), F.col("level"))
-    w_all = Window.partitionBy("feature")
-    ranked = (counts.withColumn("rk", F.row_number().over(w_rank))
-              .withColumn("covered", F.sum("n").over(w_rank.rowsBetween(Window.unboundedPreceding, 0)))
-              .withColumn("total", F.sum("n").over(w_all))
-              .withColumn("n_levels", F.count(F.lit(1)).over(w_all)))
-    tops = F.explode(F.array(*[F.lit(t) for t in top_ns])).alias("top_n")
-    # covered at rank min(top_n, n_levels)
-    grid = ranked.select("feature", "n_levels", "total").distinct().select("*", tops)
-    pick = grid.withColumn("rk", F.least(F.col("top_n"), F.col("n_levels")).cast("int"))
-    out = pick.join(ranked.select("feature", "rk", "covered"), ["feature", "rk"])
-    return out.select("feature", "top_n", "n_levels", F.col("covered").cast("bigint").alias("covered"),
-                      "total", (F.col("covered") / F.col("total") * F.lit(100.0)).alias("pct"))
+    cols = list(cols)
+    g = (df.select(*cols).groupingSets([[F.col(c)] for c in cols], *cols)
+         .agg(F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("n")))
+    feature, level = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, c in enumerate(cols):
+        gid = int("".join("0" if j == i else "1" for j in range(len(cols))), 2)
+        feature = F.when(F.col("_gid") == gid, F.lit(c)).otherwise(feature)
+        level = F.when(F.col("_gid") == gid, F.col(c)).otherwise(level)
+    counts = g.select(feature.alias("feature"), level.alias("level"), "n")
+    ranked = counts.withColumn("rk", F.row_number().over(
+        Window.partitionBy("feature").orderBy(F.col("n").desc(), F.col("level"))))
+    per = ranked.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n_levels"), F.sum("n").alias("total"),
+        *[F.sum(F.when(F.col("rk") <= t, F.col("n")).otherwise(0)).alias(f"_c{t}") for t in top_ns])
+    tops = F.explode(F.array(*[F.struct(F.lit(t).alias("top_n"), F.col(f"_c{t}").alias("covered"))
+                               for t in top_ns])).alias("_t")
+    out = per.select("feature", "n_levels", "total", tops)
+    return out.select("feature", F.col("_t.top_n").alias("top_n"), "n_levels",
+                      F.col("_t.covered").cast("bigint").alias("covered"), "total",
+                      (F.col("_t.covered") / F.col("total") * F.lit(100.0)).alias("pct"))
 
 
 def distance_correlation(df: DataFrame) -> DataFrame:
