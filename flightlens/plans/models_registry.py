@@ -12,6 +12,7 @@ from ..operators import ols as O
 from ..operators.design import Design, Factor, Numeric
 from ..operators.split import exact_sample
 from ..params import FIXTURE
+from ..session import reliable_checkpoint
 from .magnitude import Magnitude, late_only
 from .risk import Risk
 from .stages import study_for
@@ -236,8 +237,9 @@ def _rate_scored(spark, sf_dir):
         cells = (df.groupBy("dep_hour", *keys)
                  .agg(F.sum(pos).cast("bigint").alias("pos"), F.count(F.lit(1)).alias("n"))
                  .withColumn("neg", F.col("n") - F.col("pos")))
-        return (cells.join(F.broadcast(rates), "dep_hour", "left")
-                .withColumn("p", F.coalesce(F.col("rate"), F.lit(overall))))
+        scored = (cells.join(F.broadcast(rates), "dep_hour", "left")
+                  .withColumn("p", F.coalesce(F.col("rate"), F.lit(overall))))
+        return reliable_checkpoint(scored)     # <= 48 rows; every metric reads this
 
     recal = (d <= F.lit(P.recal_end).cast("date")).alias("in_recal")
     return score(val), score(st.test(), (recal,))
