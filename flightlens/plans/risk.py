@@ -216,17 +216,18 @@ class Risk:
     # departure hour (rule baseline) and its date slice, so test rows are
     # grouped once into (those keys) -> n, positives and checkpointed; every
     # metric below reads that table instead of rescanning the test set.
-    CELL_KEYS = ("dep_hour", "dow", "airline", "origin_top", "dest_top", "log_distance", "holiday_flag")
+    # the design's inputs, plus the rule baseline's flag (hour >= 16 splits one
+    # hour bin, so it is kept as its own boolean rather than the raw hour)
+    CELL_KEYS = ("dep_hour_bin", "dow", "airline", "origin_top", "dest_top", "log_distance", "holiday_flag")
 
     def _collapse(self, df: DataFrame, flags: dict[str, Column] | None = None) -> DataFrame:
-        flags = flags or {}
+        flags = dict(flags or {})
+        flags["rule_flag"] = F.col("dep_hour") >= C.RULE_BASELINE_HOUR
         pos, _ = E.label_counts(F.col("is_delayed"))
         g = (df.groupBy(*self.CELL_KEYS, *[c.alias(k) for k, c in flags.items()])
              .agg(F.count(F.lit(1)).alias("n"), F.sum(pos).cast("bigint").alias("pos"),
                   F.min("flight_date").alias("min_date")))
-        g = g.select("*", (F.col("n") - F.col("pos")).alias("neg"),
-                     X.dep_hour_bin("dep_hour").alias("dep_hour_bin"))
-        return reliable_checkpoint(g)
+        return reliable_checkpoint(g.select("*", (F.col("n") - F.col("pos")).alias("neg")))
 
     @cached_property
     def test_cells(self) -> DataFrame:
@@ -245,7 +246,7 @@ class Risk:
     def baselines(self) -> DataFrame:
         c, pos, neg = self.test_cells, F.col("pos"), F.col("neg")
         b0 = E.confusion(c, F.lit(False), pos, neg).select(F.lit("B0: always not delayed").alias("baseline"), "*")
-        b1 = E.confusion(c, F.col("dep_hour") >= C.RULE_BASELINE_HOUR, pos, neg).select(
+        b1 = E.confusion(c, F.col("rule_flag"), pos, neg).select(
             F.lit(f"B1: dep_hour >= {C.RULE_BASELINE_HOUR}").alias("baseline"), "*")
         return b0.unionByName(b1)
 
