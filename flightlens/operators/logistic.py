@@ -107,9 +107,11 @@ class LogisticFit:
         return spark.createDataFrame(self.coef_rows(), schema)
 
 
-def fit_penalized(df: DataFrame, design: Design, label: Column, C_reg: float = 1.0,
-                  max_iter: int = C.LOGREG_MAX_ITER, tol: float = 1e-8) -> LogisticFit:
-    rows = weighted_rows(df, design, label)
+def fit_penalized(df: DataFrame | None, design: Design, label: Column, C_reg: float = 1.0,
+                  max_iter: int = C.LOGREG_MAX_ITER, tol: float = 1e-8,
+                  cell_df: DataFrame | None = None) -> LogisticFit:
+    """``cell_df``: rows already collapsed (design columns, n, pos); then ``df`` is unused."""
+    rows = weighted_rows(df, design, label, cell_df=cell_df)
     n = rows.agg(F.sum("w")).collect()[0][0]
 
     def run(iters: int):

@@ -204,20 +204,20 @@ class Risk:
     # -- models -----------------------------------------------------------------------
     @cached_property
     def model(self) -> L.LogisticFit:
-        return L.fit_penalized(self.fit_df, self.deploy_design, F.col("is_delayed"))
+        fit_cells = self.train_cells.filter(F.col("in_fit"))
+        return L.fit_penalized(None, self.deploy_design, F.col("is_delayed"), cell_df=fit_cells)
 
     @cached_property
     def inference(self) -> L.LogisticFit:
         sample = self.features(self.study.train_sample())
         return L.fit_inference(sample, self.inference_design, F.col("is_delayed"))
 
-    # -- the test and validation sets, collapsed once -----------------------------------
-    # Every test metric depends on a row only through its design row, its
-    # departure hour (rule baseline) and its date slice, so test rows are
-    # grouped once into (those keys) -> n, positives and checkpointed; every
-    # metric below reads that table instead of rescanning the test set.
-    # the design's inputs, plus the rule baseline's flag (hour >= 16 splits one
-    # hour bin, so it is kept as its own boolean rather than the raw hour)
+    # -- train and test, each collapsed once -------------------------------------------
+    # The fit, every test metric and the validation sweep depend on a row only
+    # through its design row, the rule baseline's flag (hour >= 16 splits one
+    # hour bin, so it is its own boolean) and its date slice. Train and test are
+    # each grouped ONCE into (those keys) -> n, positives and checkpointed; the
+    # fit, the sweeps and every metric read those tables.
     CELL_KEYS = ("dep_hour_bin", "dow", "airline", "origin_top", "dest_top", "log_distance", "holiday_flag")
 
     def _collapse(self, df: DataFrame, flags: dict[str, Column] | None = None) -> DataFrame:
@@ -234,9 +234,14 @@ class Risk:
         recal, rest = self._recal_masks()
         return self._collapse(self.test, {"in_recal": recal, "in_rest": rest})
 
+    @cached_property
+    def train_cells(self) -> DataFrame:
+        self.fit_val_proof            # fit and validation cover train exactly once
+        return self._collapse(self.train, {"in_fit": self.fit_mask()})
+
     @cached_property
     def val_cells(self) -> DataFrame:
-        return self._collapse(self.val_df)
+        return self.train_cells.filter(~F.col("in_fit"))
 
     def scored_test(self) -> DataFrame:
         """Test cells with the model's log-odds and probability (one expression)."""
