@@ -100,3 +100,22 @@ def test_single_layout_scan_validates_every_header(spark, tmp_dir):
         read_raw_csv(spark, bad + "/*.csv", layout="single").collect()
     # grouped by header, the same files read correctly
     assert clean_flights(read_raw_csv(spark, bad + "/*.csv", layout="by_header")).count() == 8
+
+
+def test_clean_checks_stop_on_bad_dates_and_missing_flags(spark, tmp_dir):
+    import pytest
+    from flightlens.operators.checks import DataQualityError
+    from flightlens.operators.clean import check_clean
+
+    rows = _rows(1)
+    rows[0]["FL_DATE"] = "not a date"
+    _write(os.path.join(tmp_dir, "bad_date.csv"), rows, HEADER, trailing_comma=True)
+    fl = clean_flights(read_raw_csv(spark, os.path.join(tmp_dir, "bad_date.csv")))
+    with pytest.raises(DataQualityError, match="flight_date_unparsed"):
+        check_clean(fl)
+    rows = _rows(1)
+    rows[2]["CANCELLED"] = ""
+    _write(os.path.join(tmp_dir, "no_flag.csv"), rows, HEADER, trailing_comma=True)
+    fl = clean_flights(read_raw_csv(spark, os.path.join(tmp_dir, "no_flag.csv")))
+    with pytest.raises(DataQualityError, match="cancelled_missing"):
+        check_clean(fl)
