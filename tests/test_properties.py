@@ -36,3 +36,18 @@ def test_calibration_property(spark, pairs):
         assert got[int(b)][0] == sel.sum()
         assert abs(got[int(b)][1] - y[sel].mean()) < 1e-12
     assert len(got) == len(np.unique(ids))
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.integers(min_value=0, max_value=30), min_size=5, max_size=400),
+       st.integers(min_value=1, max_value=400), st.integers(min_value=0, max_value=10_000),
+       st.sampled_from([2, 16, 1024]))
+def test_exact_sample_property(spark, values, n, seed, buckets):
+    """Any size, seed, duplicate pattern and bucket count: the brute-force prefix."""
+    from flightlens.operators import split as S
+    df = spark.createDataFrame([(v, v % 3) for v in values], "a int, b int")
+    want_n = min(n, len(values))
+    got = S.exact_sample(df, n, seed, buckets=buckets)
+    h = F.xxhash64(F.lit(seed), F.col("a"), F.col("b"))
+    brute = df.select("a", "b", h.alias("_h")).orderBy("_h", "a", "b").limit(want_n).drop("_h")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, brute.collect()))
