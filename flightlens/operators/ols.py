@@ -73,19 +73,23 @@ class OLSFit:
                 "cov_type": self.cov_type, **{f"bp_{k}": v for k, v in self.bp.items()}}
 
 
-def fit_ols(df: DataFrame, design: Design, y: Column, cov_type: str = "HC1",
-            breusch_pagan: bool = False) -> OLSFit:
+def fit_ols(df: DataFrame | None, design: Design, y: Column | None, cov_type: str = "HC1",
+            breusch_pagan: bool = False, cell_df: DataFrame | None = None, prefix: str = "s") -> OLSFit:
     """OLS of y on the design over all rows of ``df``.
 
     cov_type: "HC1" (robust, n/(n-k) * B M B) or "nonrobust" (s^2 (X'X)^-1).
     Rank-deficient designs use the pseudo-inverse, as a formula front end
-    would.
+    would. ``cell_df``: cells already aggregated (``design.cells``) with the
+    power sums of y under ``prefix`` (1..2, or 1..4 for Breusch-Pagan); several
+    targets can share one cells pass this way.
     """
     moments = 4 if breusch_pagan else 2
-    cell_df = reliable_checkpoint(cells(df, design, {"s": (y, moments)}))
+    if cell_df is None:
+        cell_df = reliable_checkpoint(cells(df, design, {prefix: (y, moments)}))
+    k1, k2, k3, k4 = (f"{prefix}{i}" for i in range(1, 5))
 
     def prep1(pdf, X):
-        n, s1, s2 = pdf["n"].to_numpy(), pdf["s1"].to_numpy(), pdf["s2"].to_numpy()
+        n, s1, s2 = pdf["n"].to_numpy(), pdf[k1].to_numpy(), pdf[k2].to_numpy()
         return n, s1, [n.sum(), s1.sum(), s2.sum()]
 
     G, B, S = cross_products(cell_df, design, prep1, 1, 3)
@@ -98,10 +102,10 @@ def fit_ols(df: DataFrame, design: Design, y: Column, cov_type: str = "HC1",
     def prep2(pdf, X):
         f = X @ beta
         n = pdf["n"].to_numpy()
-        s1, s2 = pdf["s1"].to_numpy(), pdf["s2"].to_numpy()
+        s1, s2 = pdf[k1].to_numpy(), pdf[k2].to_numpy()
         e2 = s2 - 2.0 * f * s1 + n * f * f
         if moments == 4:
-            s3, s4 = pdf["s3"].to_numpy(), pdf["s4"].to_numpy()
+            s3, s4 = pdf[k3].to_numpy(), pdf[k4].to_numpy()
             e4 = s4 - 4.0 * f * s3 + 6.0 * f * f * s2 - 4.0 * f ** 3 * s1 + n * f ** 4
         else:
             e4 = np.zeros_like(e2)

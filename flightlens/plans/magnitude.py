@@ -20,8 +20,9 @@ from ..functions.udfs import normal_quantile
 from ..operators import ols as O
 from ..operators import profile as PR
 from ..operators.checks import DataQualityError, require
-from ..operators.design import Design, Factor, Flag, Numeric
+from ..operators.design import Design, Factor, Flag, Numeric, cells
 from ..operators.split import exact_sample
+from ..session import reliable_checkpoint
 from .stages import Study
 
 BROADCAST_ROWS_LIMIT = 100_000
@@ -115,14 +116,20 @@ class Magnitude:
     def m1(self) -> O.OLSFit:
         return O.fit_ols(self.train, self.m1_design, F.col("log_delay"))
 
+    @cached_property
+    def m2_cells(self) -> DataFrame:
+        """One cells pass for both M2 targets: log minutes (4 power sums) and raw minutes (2)."""
+        return reliable_checkpoint(cells(self.train, self.m2_design,
+                                         {"s": (F.col("log_delay"), 4), "r": (F.col("arr_delay"), 2)}))
+
     @cached_property
     def m2(self) -> O.OLSFit:
-        return O.fit_ols(self.train, self.m2_design, F.col("log_delay"), breusch_pagan=True)
+        return O.fit_ols(None, self.m2_design, None, breusch_pagan=True, cell_df=self.m2_cells, prefix="s")
 
     @cached_property
     def m2_raw(self) -> O.OLSFit:
         """Same right-hand side on raw minutes; only its residuals are used."""
-        return O.fit_ols(self.train, self.m2_design, F.col("arr_delay"), cov_type="nonrobust")
+        return O.fit_ols(None, self.m2_design, None, cov_type="nonrobust", cell_df=self.m2_cells, prefix="r")
 
     # -- baselines and comparison --------------------------------------------------------
     @cached_property
