@@ -58,7 +58,7 @@ def q_ols_m2_top15(spark, sf_dir):
 
 
 def q_ols_model_stats(spark, sf_dir):
-    return magnitude(spark, sf_dir).model_stats()
+    return _round(magnitude(spark, sf_dir).model_stats())
 
 
 def q_ols_model_comparison(spark, sf_dir):
@@ -78,7 +78,12 @@ def q_ols_breusch_pagan(spark, sf_dir):
 
 
 def q_ols_vif(spark, sf_dir):
-    return magnitude(spark, sf_dir).vif_table()
+    return _round(magnitude(spark, sf_dir).vif_table())
+
+
+def q_ols_m2_bp_stats(spark, sf_dir):
+    """Breusch-Pagan LM and F statistics of M2 (the p-values are in ``ols_breusch_pagan``)."""
+    return _round(magnitude(spark, sf_dir).breusch_pagan().select("lm", "fvalue", "df_model"))
 
 
 def q_ols_residuals_sample(spark, sf_dir):
@@ -99,6 +104,20 @@ def _late_train(spark, sf_dir):
     return late_only(study_for(spark, sf_dir, P).train()).withColumn("log_distance", F.log("distance"))
 
 
+def _hc1_table(fit, spark):
+    t = fit.table(spark).select("term", "coef", F.col("se").alias("robust_se"), "z", "ci_low", "ci_high")
+    return _round(t.withColumn("rsquared", F.lit(float(fit.rsquared))))
+
+
+def q_ols_m1_hc1(spark, sf_dir):
+    """M1 estimates, HC1 errors, z, intervals and R^2 (the checkable columns of the M1 table)."""
+    return _hc1_table(magnitude(spark, sf_dir).m1, spark)
+
+
+def q_ols_m2_hc1(spark, sf_dir):
+    return _hc1_table(magnitude(spark, sf_dir).m2, spark)
+
+
 def q_ols_other_shares(spark, sf_dir):
     return _round(magnitude(spark, sf_dir).other_shares())
 
@@ -303,9 +322,12 @@ MODEL_QUERIES = {
     "ols_headline": q_ols_headline,
     "ols_breusch_pagan": q_ols_breusch_pagan,
     "ols_vif": q_ols_vif,
+    "ols_m2_bp_stats": q_ols_m2_bp_stats,
     "ols_residuals_sample": q_ols_residuals_sample,
     "ols_qq_points": q_ols_qq_points,
     "ols_qq_lines": q_ols_qq_lines,
+    "ols_m1_hc1": q_ols_m1_hc1,
+    "ols_m2_hc1": q_ols_m2_hc1,
     "ols_other_shares": q_ols_other_shares,
     "ols_b1_means": q_ols_b1_means,
     "ols_dow_hc1": q_ols_dow_hc1,

@@ -218,6 +218,63 @@ SELECT split, 'dest_top', {r6("AVG(CASE WHEN dest IN (SELECT dest FROM td) THEN
 FROM both_ GROUP BY split""")
 
 
+def _late_features() -> str:
+    """Late train rows with the magnitude features (top-N from the late rows themselves)."""
+    n = P.top_n_airports
+    hb = ("CASE WHEN dep_hour <= 4 THEN 'red_eye' WHEN dep_hour <= 7 THEN 'early_morning' "
+          "WHEN dep_hour <= 11 THEN 'morning' WHEN dep_hour <= 15 THEN 'midday' "
+          "WHEN dep_hour <= 19 THEN 'evening' WHEN dep_hour <= 23 THEN 'night' END")
+    return f""",
+late0 AS (SELECT * FROM train WHERE arr_delay > 0),
+tor AS (SELECT origin FROM late0 GROUP BY origin ORDER BY COUNT(*) DESC, origin LIMIT {n}),
+tde AS (SELECT dest FROM late0 GROUP BY dest ORDER BY COUNT(*) DESC, dest LIMIT {n}),
+lf AS (SELECT ln(arr_delay) AS y, {hb} AS dep_hour_bin, dow, holiday_flag, airline,
+              CASE WHEN origin IN (SELECT origin FROM tor) THEN origin ELSE 'OTHER' END AS origin_top,
+              CASE WHEN dest IN (SELECT dest FROM tde) THEN dest ELSE 'OTHER' END AS dest_top,
+              ln(distance) AS log_distance
+       FROM late0)"""
+
+
+def _m_terms(full: bool) -> list[dict]:
+    from .ols_sql import _levels_values
+    terms = [
+        {"kind": "factor", "col": "dep_hour_bin", "label": "C(dep_hour_bin)",
+         "levels_sql": _levels_values(C.DEP_HOUR_BIN_MODEL_ORDER)},
+        {"kind": "factor", "col": "dow", "label": "C(dow)", "levels_sql": _levels_values(C.DOW_ORDER)},
+        {"kind": "flag", "col": "holiday_flag"},
+    ]
+    if full:
+        terms += [
+            {"kind": "factor", "col": "airline", "label": "C(airline)",
+             "levels_sql": "SELECT airline AS val, CAST(ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, airline) - 1 "
+                           "AS INTEGER) AS ord FROM lf GROUP BY airline"},
+            {"kind": "factor", "col": "origin_top", "label": "C(origin_top)",
+             "levels_sql": "SELECT val, CAST(ROW_NUMBER() OVER (ORDER BY val) - 1 AS INTEGER) AS ord "
+                           "FROM (SELECT DISTINCT origin_top AS val FROM lf)"},
+            {"kind": "factor", "col": "dest_top", "label": "C(dest_top)",
+             "levels_sql": "SELECT val, CAST(ROW_NUMBER() OVER (ORDER BY val) - 1 AS INTEGER) AS ord "
+                           "FROM (SELECT DISTINCT dest_top AS val FROM lf)"},
+            {"kind": "numeric", "col": "log_distance"},
+        ]
+    return terms
+
+
+def _ols_hc1(full: bool, output: str = "coef", vif: bool = False) -> str:
+    from .ols_sql import ols_hc1_sql
+    terms = _m_terms(full)
+    if vif:   # dep_hour_bin, dow, holiday, airline, log_distance
+        terms = _m_terms(True)
+        terms = terms[:4] + terms[6:]
+    sql = with_(split_ctes(P), _late_features() + ",\n" + ols_hc1_sql("lf", "y", terms, output))
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _model_stats() -> str:
+    m1 = _ols_hc1(full=False, output="stats")
+    m2 = _ols_hc1(full=True, output="stats")
+    return (f"SELECT 'M1' AS model, * FROM ({m1})\nUNION ALL\nSELECT 'M2', * FROM ({m2})")
+
+
 def _proof(table: str, a: str, a_pred: str, b: str, b_pred: str) -> str:
     hits = f"(CASE WHEN {a_pred} THEN 1 ELSE 0 END + CASE WHEN {b_pred} THEN 1 ELSE 0 END)"
     return with_(split_ctes(P), f"""
@@ -251,6 +308,12 @@ def models_sql() -> dict[str, str]:
         "bp_dow": _bp_dow(),
         "logit_dow": _logit_dow(),
         "ols_baselines": _ols_baselines(),
+        # the seeded sample is the whole train table at the checked scales (train <= sample_size rows)
+        "ols_m1_hc1": _ols_hc1(full=False),
+        "ols_m2_hc1": _ols_hc1(full=True),
+        "ols_m2_bp_stats": _ols_hc1(full=True, output="bp"),
+        "ols_model_stats": _model_stats(),
+        "ols_vif": _ols_hc1(full=True, output="vif", vif=True),
         "ols_other_shares": _ols_other_shares(),
         "ols_b1_means": with_(split_ctes(P), f"""
 SELECT airline, {r6("AVG(ln(arr_delay))")} AS b1_pred FROM train WHERE arr_delay > 0 GROUP BY airline"""),

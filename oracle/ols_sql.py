@@ -1,0 +1,118 @@
+"""Multi-factor OLS with HC1 errors as plain SQL (the oracle for the Spark fit).
+
+Independent of the Spark implementation: cells of identical design rows,
+sparse design entries per cell, Gram matrix and X'y by joins, Gauss-Jordan
+elimination of [G | X'y | I] in a recursive CTE (the pivot row picked by a
+window), residual sums per cell from the power sums of y, and the HC1
+sandwich n/(n-p) * G^-1 M G^-1 by matrix products written as joins.
+"""
+
+from __future__ import annotations
+
+
+def _levels_values(levels: list[str]) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{v}', {i})" for i, v in enumerate(levels)) + ") t(val, ord)"
+
+
+def ols_hc1_sql(src: str, y: str, terms: list[dict], output: str = "coef") -> str:
+    """CTE text (to follow other CTEs) ending in a SELECT of
+    term, coef, robust_se, z, ci_low, ci_high, rsquared (rounded to 6 places).
+
+    src: name of a relation with the term columns and y; terms, in design
+    order: {"kind": "factor", "col", "label", "levels_sql"} (levels_sql gives
+    (val, ord), ord 0 = reference), {"kind": "flag", "col"}, {"kind": "numeric", "col"}.
+    """
+    from .ctes import r6
+    cols = [t["col"] for t in terms]
+    parts = [f"c AS (SELECT ROW_NUMBER() OVER () AS cid, {', '.join(cols)}, CAST(COUNT(*) AS DOUBLE) AS n, "
+             f"SUM({y}) AS s1, SUM(({y}) * ({y})) AS s2, SUM(({y}) * ({y}) * ({y})) AS s3, "
+             f"SUM(({y}) * ({y}) * ({y}) * ({y})) AS s4 FROM {src} GROUP BY {', '.join(cols)})"]
+    sizes, offsets, entries, names = [], [], ["SELECT cid, 0 AS j, CAST(1.0 AS DOUBLE) AS v FROM c"], \
+        ["SELECT 0 AS j, 'Intercept' AS term"]
+    off = "1"
+    for k, t in enumerate(terms):
+        offsets.append(off)
+        if t["kind"] == "factor":
+            parts.append(f"lv{k} AS ({t['levels_sql']})")
+            size = f"((SELECT COUNT(*) FROM lv{k}) - 1)"
+            entries.append(f"SELECT c.cid, {off} + lv.ord - 1, CAST(1.0 AS DOUBLE) FROM c JOIN lv{k} lv "
+                           f"ON c.{t['col']} = lv.val WHERE lv.ord > 0")
+            names.append(f"SELECT {off} + ord - 1, '{t['label']}[T.' || val || ']' FROM lv{k} WHERE ord > 0")
+        elif t["kind"] == "flag":
+            size = "1"
+            entries.append(f"SELECT cid, {off}, CAST(1.0 AS DOUBLE) FROM c WHERE {t['col']}")
+            names.append(f"SELECT {off}, '{t['col']}[T.True]'")
+        else:
+            size = "1"
+            entries.append(f"SELECT cid, {off}, CAST({t['col']} AS DOUBLE) FROM c")
+            names.append(f"SELECT {off}, '{t['col']}'")
+        sizes.append(size)
+        off = f"({off} + {size})"
+    p = off
+    parts += [
+        f"dims AS (SELECT CAST({p} AS INTEGER) AS p, (SELECT SUM(n) FROM c) AS nn)",
+        "e AS (" + " UNION ALL ".join(entries) + ")",
+        "nm AS (" + " UNION ALL ".join(names) + ")",
+        "g AS (SELECT a.j AS i, b.j AS j, SUM(c.n * a.v * b.v) AS v FROM e a JOIN e b USING (cid) "
+        "JOIN c USING (cid) GROUP BY 1, 2)",
+        "xy AS (SELECT e.j AS i, SUM(c.s1 * e.v) AS v FROM e JOIN c USING (cid) GROUP BY 1)",
+        "grid AS (SELECT a.range AS i, b.range AS j FROM dims, range(dims.p) a, range(dims.p) b)",
+        "aug AS (SELECT grid.i, list(COALESCE(g.v, 0.0) ORDER BY grid.j) AS row FROM grid "
+        "LEFT JOIN g ON g.i = grid.i AND g.j = grid.j GROUP BY grid.i)",
+        "aug2 AS (SELECT aug.i, list_concat(list_concat(aug.row, [COALESCE(xy.v, 0.0)]), "
+        "list_transform(range((SELECT p FROM dims)), lambda q: CASE WHEN q = aug.i THEN 1.0 ELSE 0.0 END)) AS r "
+        "FROM aug LEFT JOIN xy ON xy.i = aug.i)",
+        "gj(k, i, r) AS (SELECT 0, i, r FROM aug2 UNION ALL "
+        "SELECT k + 1, i, CASE WHEN i = k THEN list_transform(r, lambda x: x / r[k + 1]) "
+        "ELSE list_transform(list_zip(r, piv), lambda z: z[1] - r[k + 1] * z[2] / piv[k + 1]) END "
+        "FROM (SELECT k, i, r, max(CASE WHEN i = k THEN r END) OVER () AS piv FROM gj) "
+        "WHERE k < (SELECT p FROM dims))",
+        "sol AS (SELECT i, r FROM gj WHERE k = (SELECT p FROM dims))",
+        "beta AS (SELECT i, r[(SELECT p FROM dims) + 1] AS b FROM sol)",
+        "ginv AS (SELECT sol.i, q.range AS j, sol.r[(SELECT p FROM dims) + 2 + q.range] AS v "
+        "FROM sol, range((SELECT p FROM dims)) q)",
+        "fit AS (SELECT e.cid, SUM(e.v * beta.b) AS f FROM e JOIN beta ON beta.i = e.j GROUP BY e.cid)",
+        "res AS (SELECT c.cid, c.s2 - 2 * fit.f * c.s1 + c.n * fit.f * fit.f AS e2, "
+        "c.s4 - 4 * fit.f * c.s3 + 6 * fit.f * fit.f * c.s2 - 4 * fit.f * fit.f * fit.f * c.s1 "
+        "+ c.n * fit.f * fit.f * fit.f * fit.f AS e4 FROM c JOIN fit USING (cid))",
+        "meat AS (SELECT a.j AS i, b.j AS j, SUM(res.e2 * a.v * b.v) AS v FROM e a JOIN e b USING (cid) "
+        "JOIN res USING (cid) GROUP BY 1, 2)",
+        "gm AS (SELECT ginv.i, meat.j, SUM(ginv.v * meat.v) AS v FROM ginv JOIN meat ON meat.i = ginv.j GROUP BY 1, 2)",
+        "cov AS (SELECT gm.i, SUM(gm.v * ginv.v) * (SELECT nn / (nn - p) FROM dims) AS v "
+        "FROM gm JOIN ginv ON ginv.i = gm.j AND ginv.j = gm.i GROUP BY gm.i)",
+        "fitstat AS (SELECT 1 - (SELECT SUM(e2) FROM res) / (SUM(s2) - SUM(s1) * SUM(s1) / SUM(n)) AS r2 FROM c)",
+    ]
+    if output == "bp":
+        # Breusch-Pagan: e^2 regressed on X; LM = n R^2, F = (R^2/(p-1)) / ((1-R^2)/(n-p))
+        parts += [
+            "xe2 AS (SELECT e.j AS i, SUM(res.e2 * e.v) AS v FROM e JOIN res USING (cid) GROUP BY 1)",
+            "gam AS (SELECT ginv.i, SUM(ginv.v * xe2.v) AS v FROM ginv JOIN xe2 ON xe2.i = ginv.j GROUP BY 1)",
+            "aux AS (SELECT 1 - ((SELECT SUM(e4) FROM res) - (SELECT SUM(gam.v * xe2.v) FROM gam JOIN xe2 USING (i))) "
+            "/ ((SELECT SUM(e4) FROM res) - (SELECT SUM(e2) FROM res) * (SELECT SUM(e2) FROM res) / (SELECT nn FROM dims)) "
+            "AS r2)",
+        ]
+        body = (f"SELECT {r6('dims.nn * aux.r2')} AS lm, "
+                f"{r6('(aux.r2 / (dims.p - 1)) / ((1 - aux.r2) / (dims.nn - dims.p))')} AS fvalue, "
+                "CAST(dims.p - 1 AS INTEGER) AS df_model FROM dims, aux")
+        return ",\n".join(parts) + "\n" + body
+    if output == "stats":
+        body = (f"SELECT dims.nn AS nobs, dims.p AS n_params, CAST(dims.nn - dims.p AS DOUBLE) AS df_resid, "
+                f"{r6('fitstat.r2')} AS rsquared FROM dims, fitstat")
+        return ",\n".join(parts) + "\n" + body
+    if output == "vif":
+        # column i on the others: centred TSS * (G^-1)_ii; the intercept uses the uncentred one (n)
+        body = (f"SELECT nm.term, {r6('tss.t * ginv.v')} AS vif, "
+                "(tss.t * ginv.v > 10 AND nm.term <> 'Intercept') AS high "
+                "FROM nm JOIN ginv ON ginv.i = nm.j AND ginv.j = nm.j JOIN "
+                "(SELECT g.i, CASE WHEN g.i = 0 THEN (SELECT nn FROM dims) "
+                " ELSE g.v - g0.v * g0.v / (SELECT nn FROM dims) END AS t "
+                " FROM g JOIN g g0 ON g0.i = 0 AND g0.j = g.i WHERE g.j = g.i) tss ON tss.i = nm.j")
+        return ",\n".join(parts) + "\n" + body
+    body = (f"SELECT nm.term, {r6('beta.b')} AS coef, {r6('sqrt(cov.v)')} AS robust_se, "
+            f"{r6('beta.b / sqrt(cov.v)')} AS z, {r6('beta.b - 1.959963984540054 * sqrt(cov.v)')} AS ci_low, "
+            f"{r6('beta.b + 1.959963984540054 * sqrt(cov.v)')} AS ci_high, {r6('fitstat.r2')} AS rsquared "
+            "FROM nm JOIN beta ON beta.i = nm.j JOIN cov ON cov.i = nm.j, fitstat")
+    return ",\n".join(parts) + "\n" + body
+
+
+__all__ = ["ols_hc1_sql", "_levels_values"]
