@@ -210,6 +210,15 @@ def q_risk_sensitivity_findings(spark, sf_dir):
     return risk(spark, sf_dir).findings()
 
 
+def q_risk_inference_coefficients(spark, sf_dir):
+    """Unpenalised logit: estimate, standard error, odds ratio and its interval per term, pseudo R^2."""
+    fit = risk(spark, sf_dir).inference
+    t = fit.table(spark).filter(~F.isnan("coef"))
+    return _round(t.select("term", "coef", "se", F.exp("coef").alias("odds_ratio"),
+                           F.exp("ci_low").alias("or_ci_low"), F.exp("ci_high").alias("or_ci_high"),
+                           F.lit(float(fit.pseudo_r2)).alias("pseudo_r2")))
+
+
 def q_risk_odds_ratios(spark, sf_dir):
     return risk(spark, sf_dir).odds_ratios()
 
@@ -348,6 +357,7 @@ MODEL_QUERIES = {
     "risk_threshold_report": q_risk_threshold_report,
     "risk_cost_sensitivity": q_risk_cost_sensitivity,
     "risk_sensitivity_findings": q_risk_sensitivity_findings,
+    "risk_inference_coefficients": q_risk_inference_coefficients,
     "risk_odds_ratios": q_risk_odds_ratios,
     "risk_odds_picks": q_risk_odds_picks,
     "risk_inference_summary": q_risk_inference_summary,

@@ -275,6 +275,48 @@ def _model_stats() -> str:
     return (f"SELECT 'M1' AS model, * FROM ({m1})\nUNION ALL\nSELECT 'M2', * FROM ({m2})")
 
 
+def _risk_features() -> str:
+    """Train rows with the risk features; top-N sets and references from train."""
+    n = P.top_n_airports
+    hb = ("CASE WHEN dep_hour <= 4 THEN 'red_eye' WHEN dep_hour <= 7 THEN 'early_morning' "
+          "WHEN dep_hour <= 11 THEN 'morning' WHEN dep_hour <= 15 THEN 'midday' "
+          "WHEN dep_hour <= 19 THEN 'evening' WHEN dep_hour <= 23 THEN 'night' END")
+    return f""",
+tor AS (SELECT origin, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, origin) AS rk FROM train GROUP BY origin
+        ORDER BY rk LIMIT {n}),
+tde AS (SELECT dest FROM train GROUP BY dest ORDER BY COUNT(*) DESC, dest LIMIT {n}),
+refap AS (SELECT origin AS ref FROM tor WHERE origin IN (SELECT dest FROM tde) ORDER BY rk LIMIT 1),
+rf AS (SELECT is_delayed, {hb} AS dep_hour_bin, dow, holiday_flag, airline,
+              CASE WHEN origin IN (SELECT origin FROM tor) THEN origin ELSE 'OTHER' END AS origin_top,
+              CASE WHEN dest IN (SELECT dest FROM tde) THEN dest ELSE 'OTHER' END AS dest_top,
+              ln(distance) AS log_distance
+       FROM train)"""
+
+
+def _risk_terms() -> list[dict]:
+    from .ols_sql import _levels_values
+    ap = ("SELECT val, CAST(ROW_NUMBER() OVER (ORDER BY CASE WHEN val = (SELECT ref FROM refap) THEN 0 "
+          "WHEN val = 'OTHER' THEN 2 ELSE 1 END, val) - 1 AS INTEGER) AS ord FROM (SELECT DISTINCT {c} AS val FROM rf)")
+    return [
+        {"kind": "factor", "col": "dep_hour_bin", "label": "C(dep_hour_bin)",
+         "levels_sql": _levels_values(C.DEP_HOUR_BIN_MODEL_ORDER)},
+        {"kind": "factor", "col": "dow", "label": "C(dow)", "levels_sql": _levels_values(C.DOW_ORDER)},
+        {"kind": "flag", "col": "holiday_flag"},
+        {"kind": "factor", "col": "airline", "label": "C(airline)",
+         "levels_sql": "SELECT airline AS val, CAST(ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, airline) - 1 "
+                       "AS INTEGER) AS ord FROM rf GROUP BY airline"},
+        {"kind": "factor", "col": "origin_top", "label": "C(origin_top)", "levels_sql": ap.format(c="origin_top")},
+        {"kind": "factor", "col": "dest_top", "label": "C(dest_top)", "levels_sql": ap.format(c="dest_top")},
+        {"kind": "numeric", "col": "log_distance"},
+    ]
+
+
+def _risk_inference() -> str:
+    from .ols_sql import logit_irls_sql
+    sql = with_(split_ctes(P), _risk_features() + ",\n" + logit_irls_sql("rf", "is_delayed", _risk_terms()))
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _proof(table: str, a: str, a_pred: str, b: str, b_pred: str) -> str:
     hits = f"(CASE WHEN {a_pred} THEN 1 ELSE 0 END + CASE WHEN {b_pred} THEN 1 ELSE 0 END)"
     return with_(split_ctes(P), f"""
@@ -313,6 +355,8 @@ def models_sql() -> dict[str, str]:
         "ols_m2_hc1": _ols_hc1(full=True),
         "ols_m2_bp_stats": _ols_hc1(full=True, output="bp"),
         "ols_model_stats": _model_stats(),
+        # the inference logit is fit on the seeded sample = all of train at the checked scales
+        "risk_inference_coefficients": _risk_inference(),
         "ols_vif": _ols_hc1(full=True, output="vif", vif=True),
         "ols_other_shares": _ols_other_shares(),
         "ols_b1_means": with_(split_ctes(P), f"""

@@ -116,3 +116,73 @@ def ols_hc1_sql(src: str, y: str, terms: list[dict], output: str = "coef") -> st
 
 
 __all__ = ["ols_hc1_sql", "_levels_values"]
+
+
+def logit_irls_sql(src: str, label: str, terms: list[dict], iterations: int = 14) -> str:
+    """Unpenalised binomial logit by IRLS, unrolled: iteration t builds X'WX and
+    X'(W eta + y - p) at the previous estimate and solves it by Gauss-Jordan in
+    its own recursive CTE. Ends in a SELECT of term, coef, se, odds_ratio,
+    or_ci_low, or_ci_high (6 places) plus the McFadden pseudo R^2 row-wise.
+    Levels must all be observed (no empty design column)."""
+    from .ctes import r6
+    cols = [t["col"] for t in terms]
+    parts = [f"c AS (SELECT ROW_NUMBER() OVER () AS cid, {', '.join(cols)}, CAST(COUNT(*) AS DOUBLE) AS n, "
+             f"SUM(CASE WHEN {label} THEN 1.0 ELSE 0.0 END) AS pos FROM {src} GROUP BY {', '.join(cols)})"]
+    entries, names = ["SELECT cid, 0 AS j, CAST(1.0 AS DOUBLE) AS v FROM c"], ["SELECT 0 AS j, 'Intercept' AS term"]
+    off = "1"
+    for k, t in enumerate(terms):
+        if t["kind"] == "factor":
+            parts.append(f"lv{k} AS ({t['levels_sql']})")
+            size = f"((SELECT COUNT(*) FROM lv{k}) - 1)"
+            entries.append(f"SELECT c.cid, {off} + lv.ord - 1, CAST(1.0 AS DOUBLE) FROM c JOIN lv{k} lv "
+                           f"ON c.{t['col']} = lv.val WHERE lv.ord > 0")
+            names.append(f"SELECT {off} + ord - 1, '{t['label']}[T.' || val || ']' FROM lv{k} WHERE ord > 0")
+        elif t["kind"] == "flag":
+            size = "1"
+            entries.append(f"SELECT cid, {off}, CAST(1.0 AS DOUBLE) FROM c WHERE {t['col']}")
+            names.append(f"SELECT {off}, '{t['col']}[T.True]'")
+        else:
+            size = "1"
+            entries.append(f"SELECT cid, {off}, CAST({t['col']} AS DOUBLE) FROM c")
+            names.append(f"SELECT {off}, '{t['col']}'")
+        off = f"({off} + {size})"
+    P = "(SELECT p FROM dims)"
+    parts += [
+        f"dims AS (SELECT CAST({off} AS INTEGER) AS p, (SELECT SUM(n) FROM c) AS nn)",
+        "e AS (" + " UNION ALL ".join(entries) + ")",
+        "nm AS (" + " UNION ALL ".join(names) + ")",
+        "grid AS (SELECT a.range AS i, b.range AS j FROM dims, range(dims.p) a, range(dims.p) b)",
+        f"b0 AS (SELECT range AS i, CAST(0.0 AS DOUBLE) AS b FROM range({P}))",
+    ]
+    for t in range(1, iterations + 2):
+        parts += [
+            f"eta{t} AS (SELECT e.cid, SUM(e.v * b.b) AS eta FROM e JOIN b{t - 1} b ON b.i = e.j GROUP BY e.cid)",
+            f"w{t} AS (SELECT c.cid, c.n * q.p * (1 - q.p) AS w, "
+            f"c.n * q.p * (1 - q.p) * q.eta + c.pos - c.n * q.p AS u FROM c JOIN "
+            f"(SELECT cid, eta, 1 / (1 + exp(-eta)) AS p FROM eta{t}) q USING (cid))",
+            f"g{t} AS (SELECT a.j AS i, b.j AS j, SUM(w.w * a.v * b.v) AS v FROM e a JOIN e b USING (cid) "
+            f"JOIN w{t} w USING (cid) GROUP BY 1, 2)",
+            f"r{t} AS (SELECT e.j AS i, SUM(w.u * e.v) AS v FROM e JOIN w{t} w USING (cid) GROUP BY 1)",
+            f"aug{t} AS (SELECT a.i, list_concat(list_concat(a.row, [COALESCE(r.v, 0.0)]), "
+            f"list_transform(range({P}), lambda q: CASE WHEN q = a.i THEN 1.0 ELSE 0.0 END)) AS r FROM "
+            f"(SELECT grid.i, list(COALESCE(g.v, 0.0) ORDER BY grid.j) AS row FROM grid LEFT JOIN g{t} g "
+            f"ON g.i = grid.i AND g.j = grid.j GROUP BY grid.i) a LEFT JOIN r{t} r ON r.i = a.i)",
+            f"gj{t}(k, i, r) AS (SELECT 0, i, r FROM aug{t} UNION ALL "
+            f"SELECT k + 1, i, CASE WHEN i = k THEN list_transform(r, lambda x: x / r[k + 1]) "
+            f"ELSE list_transform(list_zip(r, piv), lambda z: z[1] - r[k + 1] * z[2] / piv[k + 1]) END "
+            f"FROM (SELECT k, i, r, max(CASE WHEN i = k THEN r END) OVER () AS piv FROM gj{t}) WHERE k < {P})",
+            f"b{t} AS (SELECT i, r[{P} + 1] AS b FROM gj{t} WHERE k = {P})",
+        ]
+    T = iterations + 1
+    parts += [
+        f"se AS (SELECT i, sqrt(r[{P} + 2 + i]) AS s FROM gj{T} WHERE k = {P})",
+        f"ll AS (SELECT SUM(c.pos * ln(q.p) + (c.n - c.pos) * ln(1 - q.p)) AS llf, "
+        f"SUM(c.pos) / SUM(c.n) AS pbar FROM c JOIN (SELECT cid, 1 / (1 + exp(-eta)) AS p FROM eta{T}) q USING (cid))",
+        "ll0 AS (SELECT SUM(c.pos * ln(ll.pbar) + (c.n - c.pos) * ln(1 - ll.pbar)) AS llnull FROM c, ll)",
+    ]
+    body = (f"SELECT nm.term, {r6('b.b')} AS coef, {r6('se.s')} AS se, {r6('exp(b.b)')} AS odds_ratio, "
+            f"{r6('exp(b.b - 1.959963984540054 * se.s)')} AS or_ci_low, "
+            f"{r6('exp(b.b + 1.959963984540054 * se.s)')} AS or_ci_high, "
+            f"{r6('1 - ll.llf / ll0.llnull')} AS pseudo_r2 "
+            f"FROM nm JOIN b{T - 1} b ON b.i = nm.j JOIN se ON se.i = nm.j, ll, ll0")
+    return ",\n".join(parts) + "\n" + body
