@@ -167,7 +167,7 @@ def q_risk_fit_summary(spark, sf_dir):
 
 
 def q_risk_coefficients(spark, sf_dir):
-    return risk(spark, sf_dir).coefficients()
+    return _round(risk(spark, sf_dir).coefficients())
 
 
 def q_risk_discrimination(spark, sf_dir):

@@ -275,8 +275,9 @@ def _model_stats() -> str:
     return (f"SELECT 'M1' AS model, * FROM ({m1})\nUNION ALL\nSELECT 'M2', * FROM ({m2})")
 
 
-def _risk_features() -> str:
-    """Train rows with the risk features; top-N sets and references from train."""
+def _risk_features(fit_only: bool = False) -> str:
+    """Train rows with the risk features; top-N sets and references from train.
+    With ``fit_only`` also ``rfit``: the rows before the fit cut-off."""
     n = P.top_n_airports
     hb = ("CASE WHEN dep_hour <= 4 THEN 'red_eye' WHEN dep_hour <= 7 THEN 'early_morning' "
           "WHEN dep_hour <= 11 THEN 'morning' WHEN dep_hour <= 15 THEN 'midday' "
@@ -289,8 +290,9 @@ refap AS (SELECT origin AS ref FROM tor WHERE origin IN (SELECT dest FROM tde) O
 rf AS (SELECT is_delayed, {hb} AS dep_hour_bin, dow, holiday_flag, airline,
               CASE WHEN origin IN (SELECT origin FROM tor) THEN origin ELSE 'OTHER' END AS origin_top,
               CASE WHEN dest IN (SELECT dest FROM tde) THEN dest ELSE 'OTHER' END AS dest_top,
-              ln(distance) AS log_distance
-       FROM train)"""
+              ln(distance) AS log_distance, flight_date
+       FROM train)""" + (f""",
+rfit AS (SELECT * FROM rf WHERE flight_date < {d(P.fit_cutoff)})""" if fit_only else "")
 
 
 def _risk_terms() -> list[dict]:
@@ -311,6 +313,26 @@ def _risk_terms() -> list[dict]:
     ]
 
 
+def _deploy_terms() -> list[dict]:
+    """The deployed model's columns: every listed level, OTHER included."""
+    ap = ("SELECT val, CAST(ROW_NUMBER() OVER (ORDER BY CASE WHEN val = (SELECT ref FROM refap) THEN 0 "
+          "WHEN val = 'OTHER' THEN 2 ELSE 1 END, val) - 1 AS INTEGER) AS ord FROM "
+          "(SELECT {c} AS val FROM {t} UNION SELECT 'OTHER')")
+    t = _risk_terms()
+    fac = {x["col"]: x for x in t}
+    fac["origin_top"] = dict(fac["origin_top"], levels_sql=ap.format(c="origin", t="tor"))
+    fac["dest_top"] = dict(fac["dest_top"], levels_sql=ap.format(c="dest", t="tde"))
+    return [fac["dep_hour_bin"], fac["dow"], fac["airline"], fac["origin_top"], fac["dest_top"],
+            fac["log_distance"], fac["holiday_flag"]]
+
+
+def _risk_deploy() -> str:
+    from .ols_sql import logit_irls_sql
+    body = logit_irls_sql("rfit", "is_delayed", _deploy_terms(), penalty=1.0, output="coef")
+    sql = with_(split_ctes(P), _risk_features(fit_only=True) + ",\n" + body)
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _risk_inference() -> str:
     from .ols_sql import logit_irls_sql
     sql = with_(split_ctes(P), _risk_features() + ",\n" + logit_irls_sql("rf", "is_delayed", _risk_terms()))
@@ -357,6 +379,7 @@ def models_sql() -> dict[str, str]:
         "ols_model_stats": _model_stats(),
         # the inference logit is fit on the seeded sample = all of train at the checked scales
         "risk_inference_coefficients": _risk_inference(),
+        "risk_coefficients": _risk_deploy(),
         "ols_vif": _ols_hc1(full=True, output="vif", vif=True),
         "ols_other_shares": _ols_other_shares(),
         "ols_b1_means": with_(split_ctes(P), f"""

@@ -118,7 +118,8 @@ def ols_hc1_sql(src: str, y: str, terms: list[dict], output: str = "coef") -> st
 __all__ = ["ols_hc1_sql", "_levels_values"]
 
 
-def logit_irls_sql(src: str, label: str, terms: list[dict], iterations: int = 14) -> str:
+def logit_irls_sql(src: str, label: str, terms: list[dict], iterations: int = 14,
+                   penalty: float = 0.0, output: str = "inference") -> str:
     """Unpenalised binomial logit by IRLS, unrolled: iteration t builds X'WX and
     X'(W eta + y - p) at the previous estimate and solves it by Gauss-Jordan in
     its own recursive CTE. Ends in a SELECT of term, coef, se, odds_ratio,
@@ -165,7 +166,8 @@ def logit_irls_sql(src: str, label: str, terms: list[dict], iterations: int = 14
             f"r{t} AS (SELECT e.j AS i, SUM(w.u * e.v) AS v FROM e JOIN w{t} w USING (cid) GROUP BY 1)",
             f"aug{t} AS (SELECT a.i, list_concat(list_concat(a.row, [COALESCE(r.v, 0.0)]), "
             f"list_transform(range({P}), lambda q: CASE WHEN q = a.i THEN 1.0 ELSE 0.0 END)) AS r FROM "
-            f"(SELECT grid.i, list(COALESCE(g.v, 0.0) ORDER BY grid.j) AS row FROM grid LEFT JOIN g{t} g "
+            f"(SELECT grid.i, list(COALESCE(g.v, 0.0) + CASE WHEN grid.i = grid.j AND grid.i > 0 "
+            f"THEN {float(penalty)} ELSE 0.0 END ORDER BY grid.j) AS row FROM grid LEFT JOIN g{t} g "
             f"ON g.i = grid.i AND g.j = grid.j GROUP BY grid.i) a LEFT JOIN r{t} r ON r.i = a.i)",
             f"gj{t}(k, i, r) AS (SELECT 0, i, r FROM aug{t} UNION ALL "
             f"SELECT k + 1, i, CASE WHEN i = k THEN list_transform(r, lambda x: x / r[k + 1]) "
@@ -180,6 +182,10 @@ def logit_irls_sql(src: str, label: str, terms: list[dict], iterations: int = 14
         f"SUM(c.pos) / SUM(c.n) AS pbar FROM c JOIN (SELECT cid, 1 / (1 + exp(-eta)) AS p FROM eta{T}) q USING (cid))",
         "ll0 AS (SELECT SUM(c.pos * ln(ll.pbar) + (c.n - c.pos) * ln(1 - ll.pbar)) AS llnull FROM c, ll)",
     ]
+    if output == "coef":
+        return ",\n".join(parts) + "\n" + (
+            f"SELECT nm.term, split_part(nm.term, '[', 1) AS family, {r6('b.b')} AS coef "
+            f"FROM nm JOIN b{T - 1} b ON b.i = nm.j")
     body = (f"SELECT nm.term, {r6('b.b')} AS coef, {r6('se.s')} AS se, {r6('exp(b.b)')} AS odds_ratio, "
             f"{r6('exp(b.b - 1.959963984540054 * se.s)')} AS or_ci_low, "
             f"{r6('exp(b.b + 1.959963984540054 * se.s)')} AS or_ci_high, "
