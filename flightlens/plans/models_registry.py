@@ -171,43 +171,43 @@ def q_risk_coefficients(spark, sf_dir):
 
 
 def q_risk_discrimination(spark, sf_dir):
-    return risk(spark, sf_dir).discrimination()
+    return _round(risk(spark, sf_dir).discrimination())
 
 
 def q_risk_calibration(spark, sf_dir):
-    return risk(spark, sf_dir).calibration()
+    return _round(risk(spark, sf_dir).calibration())
 
 
 def q_risk_brier(spark, sf_dir):
-    return risk(spark, sf_dir).brier_full()
+    return _round(risk(spark, sf_dir).brier_full())
 
 
 def q_risk_recalibration(spark, sf_dir):
-    return risk(spark, sf_dir).recalibration()
+    return _round(risk(spark, sf_dir).recalibration().drop("newton_steps"))
 
 
 def q_risk_recalibration_curves(spark, sf_dir):
-    return risk(spark, sf_dir).recalibration_curves()
+    return _round(risk(spark, sf_dir).recalibration_curves())
 
 
 def q_risk_threshold_costs(spark, sf_dir):
-    return risk(spark, sf_dir).threshold_costs()
+    return _round(risk(spark, sf_dir).threshold_costs())
 
 
 def q_risk_chosen_threshold(spark, sf_dir):
-    return risk(spark, sf_dir).chosen_threshold()
+    return _round(risk(spark, sf_dir).chosen_threshold())
 
 
 def q_risk_threshold_report(spark, sf_dir):
-    return risk(spark, sf_dir).threshold_report()
+    return _round(risk(spark, sf_dir).threshold_report())
 
 
 def q_risk_cost_sensitivity(spark, sf_dir):
-    return risk(spark, sf_dir).sensitivity()
+    return _round(risk(spark, sf_dir).sensitivity())
 
 
 def q_risk_sensitivity_findings(spark, sf_dir):
-    return risk(spark, sf_dir).findings()
+    return _round(risk(spark, sf_dir).findings())
 
 
 def q_risk_inference_coefficients(spark, sf_dir):

@@ -135,7 +135,12 @@ val AS (SELECT * FROM train WHERE flight_date >= {d(P.fit_cutoff)} AND flight_da
 rates AS (SELECT dep_hour, AVG(CASE WHEN is_delayed THEN 1.0 ELSE 0.0 END) AS rate FROM fit GROUP BY dep_hour),
 overall AS (SELECT AVG(CASE WHEN is_delayed THEN 1.0 ELSE 0.0 END) AS o FROM fit),
 sv AS (SELECT v.is_delayed AS y, COALESCE(r.rate, overall.o) AS p FROM val v CROSS JOIN overall LEFT JOIN rates r USING (dep_hour)),
-st AS (SELECT t.is_delayed AS y, t.flight_date, COALESCE(r.rate, overall.o) AS p FROM test t CROSS JOIN overall LEFT JOIN rates r USING (dep_hour)),
+st AS (SELECT t.is_delayed AS y, t.flight_date, COALESCE(r.rate, overall.o) AS p FROM test t CROSS JOIN overall LEFT JOIN rates r USING (dep_hour))""" + _sweep_ctes()
+
+
+def _sweep_ctes() -> str:
+    """Brute-force threshold sweeps over scored validation rows sv(y, p) and test rows st(y, p)."""
+    return f""",
 th AS (SELECT k, CAST(k + {C.THRESHOLD_PCT_RANGE[0] - 1} AS DOUBLE) / 100.0 AS threshold
        FROM (SELECT CAST(range AS INTEGER) AS k FROM range(1, {C.THRESHOLD_PCT_RANGE[1] - C.THRESHOLD_PCT_RANGE[0] + 2}))),
 sweep_v AS (SELECT th.k, th.threshold,
@@ -333,6 +338,129 @@ def _risk_deploy() -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+def _risk_scored() -> str:
+    """The deployed model fitted in SQL, then validation rows sv(y, p) and test
+    rows st(y, flight_date, p, o) scored from its own estimates (o = offset,
+    the log-odds without the intercept)."""
+    from .ols_sql import entry_selects, logit_irls_sql
+    terms = _deploy_terms()
+    chain = logit_irls_sql("rfit", "is_delayed", terms, penalty=1.0, output="chain")
+    hb = ("CASE WHEN dep_hour <= 4 THEN 'red_eye' WHEN dep_hour <= 7 THEN 'early_morning' "
+          "WHEN dep_hour <= 11 THEN 'morning' WHEN dep_hour <= 15 THEN 'midday' "
+          "WHEN dep_hour <= 19 THEN 'evening' WHEN dep_hour <= 23 THEN 'night' END")
+    ve, _ = entry_selects(terms, "rv", "rid")
+    te, _ = entry_selects(terms, "rt", "rid")
+    return _risk_features(fit_only=True) + ",\n" + chain + f""",
+rv AS (SELECT ROW_NUMBER() OVER () AS rid, * FROM rf
+       WHERE flight_date >= {d(P.fit_cutoff)} AND flight_date <= {d(P.validation_end)}),
+rt AS (SELECT ROW_NUMBER() OVER () AS rid, is_delayed, flight_date, {hb} AS dep_hour_bin, dow, holiday_flag, airline,
+              CASE WHEN origin IN (SELECT origin FROM tor) THEN origin ELSE 'OTHER' END AS origin_top,
+              CASE WHEN dest IN (SELECT dest FROM tde) THEN dest ELSE 'OTHER' END AS dest_top,
+              ln(distance) AS log_distance
+       FROM test),
+ven(rid, j, v) AS ({" UNION ALL ".join(ve)}),
+ten(rid, j, v) AS ({" UNION ALL ".join(te)}),
+b_int AS (SELECT b FROM coefs WHERE i = 0),
+sv AS (SELECT rv.is_delayed AS y, 1 / (1 + exp(-q.eta)) AS p FROM rv JOIN
+       (SELECT rid, SUM(ven.v * coefs.b) AS eta FROM ven JOIN coefs ON coefs.i = ven.j GROUP BY rid) q USING (rid)),
+st AS (SELECT rt.is_delayed AS y, rt.flight_date, 1 / (1 + exp(-q.eta)) AS p, q.eta - (SELECT b FROM b_int) AS o
+       FROM rt JOIN (SELECT rid, SUM(ten.v * coefs.b) AS eta FROM ten JOIN coefs ON coefs.i = ten.j GROUP BY rid) q
+       USING (rid))""" + _sweep_ctes()
+
+
+def _risk_metric_sql() -> dict[str, str]:
+    base = _risk_scored()
+    yv = "CASE WHEN y THEN 1.0 ELSE 0.0 END"
+
+    def q(body: str) -> str:
+        return with_(split_ctes(P), base + body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+    ranking = f""",
+g AS (SELECT p AS score, SUM(CASE WHEN y THEN 1 ELSE 0 END) AS pos, SUM(CASE WHEN y THEN 0 ELSE 1 END) AS neg FROM st GROUP BY p),
+cc AS (SELECT score, CAST(pos AS DOUBLE) AS pos, CAST(neg AS DOUBLE) AS neg,
+        CAST(SUM(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS cum_pos,
+        CAST(SUM(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS cum_neg FROM g),
+tot AS (SELECT CAST(SUM(pos) AS DOUBLE) AS P, CAST(SUM(neg) AS DOUBLE) AS N FROM g),
+rk AS (SELECT SUM(neg * ((cum_pos - pos) + pos * 0.5)) / (MAX(P) * MAX(N)) AS roc_auc,
+              SUM(pos / P * cum_pos / (cum_pos + cum_neg)) AS ap, MAX(P) / (MAX(P) + MAX(N)) AS rate FROM cc, tot)
+SELECT {r6('roc_auc')} AS roc_auc, {r6('ap')} AS pr_auc, {r6('rate')} AS pr_auc_floor, {r6('ap / rate')} AS lift FROM rk"""
+    calib = lambda rel, p: f"""SELECT CAST({_calibration_case(p)} AS INTEGER) AS bin,
+  {r6(f'AVG({yv})')} AS prob_true, {r6(f'AVG({p})')} AS prob_pred, COUNT(*) AS n FROM {rel} GROUP BY 1"""
+    brier = f"""
+SELECT {r6(f'AVG((p - {yv}) * (p - {yv}))')} AS brier, {r6('AVG(p)')} AS mean_pred, {r6(f'AVG({yv})')} AS positive_rate,
+  COUNT(*) AS n, {r6(f'AVG(p) - AVG({yv})')} AS gap FROM st"""
+    costs = f"""
+SELECT k, {r6('threshold')} AS threshold, fp, fn, n,
+  {r6(f'(CAST(fp AS DOUBLE) * {_dbl(P.false_alarm_cost)} + CAST(fn AS DOUBLE) * {_dbl(P.missed_delay_cost)}) / CAST(n AS DOUBLE) * 1000.0')} AS cost_per_1000
+FROM sweep_v"""
+    chosen_cte = f""",
+ch AS (SELECT k, threshold, (CAST(fp AS DOUBLE) * {_dbl(P.false_alarm_cost)} + CAST(fn AS DOUBLE) * {_dbl(P.missed_delay_cost)})
+                         / CAST(n AS DOUBLE) * 1000.0 AS cost FROM sweep_v ORDER BY cost, k LIMIT 1)"""
+    chosen = chosen_cte + f"""
+SELECT 0 AS scenario, {r6(_dbl(P.false_alarm_cost))} AS cost_fp, {r6(_dbl(P.missed_delay_cost))} AS cost_fn, k,
+  {r6('threshold')} AS threshold, {r6('cost')} AS val_cost_per_1000 FROM ch"""
+    k_default = E_K_DEFAULT
+
+    def rep(label: str, kexpr: str) -> str:
+        return (f"SELECT '{label}' AS label, k, threshold, tp, fp, fn, tn, n, "
+                f"CASE WHEN n = 0 THEN 0.0 ELSE CAST(tp + tn AS DOUBLE) / n END AS accuracy, "
+                f"CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS precision, "
+                f"CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END AS recall, "
+                f"CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) END AS f1, "
+                f"(CAST(fp AS DOUBLE) * {_dbl(P.false_alarm_cost)} + CAST(fn AS DOUBLE) * {_dbl(P.missed_delay_cost)}) "
+                f"/ CAST(n AS DOUBLE) * 1000.0 AS cost FROM sweep_t WHERE k = {kexpr}")
+    report = chosen_cte + f""",
+rr AS ({rep('cost-optimal', '(SELECT k FROM ch)')} UNION ALL {rep('default 0.5', str(k_default))})
+SELECT label, k, {r6('threshold')} AS threshold, tp, fp, fn, tn, n, {r6('accuracy')} AS accuracy,
+  {r6('precision')} AS precision, {r6('recall')} AS recall, {r6('f1')} AS f1, {r6('cost')} AS cost_per_1000,
+  {r6("(SELECT cost FROM rr WHERE label = 'default 0.5') - cost")} AS saving_vs_default_per_1000 FROM rr"""
+    recal_ctes = f""",
+gof AS (SELECT o, CAST(COUNT(*) AS DOUBLE) AS n, SUM({yv}) AS pos FROM st
+        WHERE flight_date >= {d(P.split_date)} AND flight_date <= {d(P.recal_end)} GROUP BY o),
+it(k, b) AS (
+  SELECT 0, CAST(0 AS DOUBLE)
+  UNION ALL
+  SELECT k + 1, b + (SELECT SUM(pos - n / (1 + exp(-(o + it.b))))
+                            / SUM(n / (1 + exp(-(o + it.b))) * (1 - 1 / (1 + exp(-(o + it.b))))) FROM gof)
+  FROM it WHERE k < 60),
+nb AS (SELECT b FROM it WHERE k = 60),
+rem AS (SELECT y, 1 / (1 + exp(-(o + (SELECT b FROM b_int)))) AS p_before, 1 / (1 + exp(-(o + (SELECT b FROM nb)))) AS p_after
+        FROM st WHERE flight_date >= {d(P.remainder_start)})"""
+    recal = recal_ctes + f"""
+SELECT {r6('(SELECT b FROM b_int)')} AS original_intercept, {r6('(SELECT b FROM nb)')} AS recalibrated_intercept,
+  {r6(f'AVG((p_before - {yv}) * (p_before - {yv}))')} AS brier_before,
+  {r6(f'AVG((p_after - {yv}) * (p_after - {yv}))')} AS brier_after,
+  AVG((p_after - {yv}) * (p_after - {yv})) < AVG((p_before - {yv}) * (p_before - {yv})) AS improved,
+  COUNT(*) AS remaining_rows FROM rem"""
+    curves = recal_ctes + f"""
+SELECT 'before' AS which, * FROM ({calib('rem', 'p_before')})
+UNION ALL SELECT 'after', * FROM ({calib('rem', 'p_after')})"""
+    sens = _sensitivity_body()
+    return {
+        "risk_discrimination": q(ranking),
+        "risk_calibration": q("\n" + calib("st", "p")),
+        "risk_brier": q(brier),
+        "risk_threshold_costs": q(costs),
+        "risk_chosen_threshold": q(chosen),
+        "risk_threshold_report": q(report),
+        "risk_cost_sensitivity": q(sens + f"\nSELECT {_sens_cols()} FROM sens"),
+        "risk_sensitivity_findings": q(sens + f""",
+f1 AS (SELECT 'first_ratio_flagging_under_half' AS finding, * FROM sens WHERE flagged_share < {C.FLAGGED_SHARE_LIMIT}
+       ORDER BY cost_ratio_fn_fp DESC, scenario LIMIT 1),
+f2 AS (SELECT 'lowest_ratio_with_meaningful_saving' AS finding, * FROM sens
+       WHERE (flag_all_cost_per_1000 - model_cost_per_1000) / flag_all_cost_per_1000 * 100.0 >= {C.MEANINGFUL_SAVING_PCT}
+       ORDER BY cost_ratio_fn_fp ASC, scenario LIMIT 1),
+f AS (SELECT * FROM f1 UNION ALL SELECT * FROM f2)
+SELECT finding, {_sens_cols('f.')} FROM f"""),
+        "risk_recalibration": q(recal),
+        "risk_recalibration_curves": q(curves),
+    }
+
+
+E_K_DEFAULT = [k for k in range(C.THRESHOLD_PCT_RANGE[0], C.THRESHOLD_PCT_RANGE[1] + 1)].index(
+    round(C.DEFAULT_THRESHOLD * 100)) + 1
+
+
 def _risk_inference() -> str:
     from .ols_sql import logit_irls_sql
     sql = with_(split_ctes(P), _risk_features() + ",\n" + logit_irls_sql("rf", "is_delayed", _risk_terms()))
@@ -380,6 +508,7 @@ def models_sql() -> dict[str, str]:
         # the inference logit is fit on the seeded sample = all of train at the checked scales
         "risk_inference_coefficients": _risk_inference(),
         "risk_coefficients": _risk_deploy(),
+        **_risk_metric_sql(),
         "ols_vif": _ols_hc1(full=True, output="vif", vif=True),
         "ols_other_shares": _ols_other_shares(),
         "ols_b1_means": with_(split_ctes(P), f"""

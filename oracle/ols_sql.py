@@ -118,6 +118,27 @@ def ols_hc1_sql(src: str, y: str, terms: list[dict], output: str = "coef") -> st
 __all__ = ["ols_hc1_sql", "_levels_values"]
 
 
+def entry_selects(terms: list[dict], rel: str, id_col: str) -> tuple[list[str], str]:
+    """SELECTs of (id, j, v) design entries of relation ``rel`` (intercept
+    included) against the level tables lv<k>; unknown levels give no entry
+    (an all-zero indicator block). Returns (selects, width expression)."""
+    sel = [f"SELECT {id_col}, 0, CAST(1.0 AS DOUBLE) FROM {rel}"]
+    off = "1"
+    for k, t in enumerate(terms):
+        if t["kind"] == "factor":
+            size = f"((SELECT COUNT(*) FROM lv{k}) - 1)"
+            sel.append(f"SELECT x.{id_col}, {off} + lv.ord - 1, CAST(1.0 AS DOUBLE) FROM {rel} x JOIN lv{k} lv "
+                       f"ON x.{t['col']} = lv.val WHERE lv.ord > 0")
+        elif t["kind"] == "flag":
+            size = "1"
+            sel.append(f"SELECT {id_col}, {off}, CAST(1.0 AS DOUBLE) FROM {rel} WHERE {t['col']}")
+        else:
+            size = "1"
+            sel.append(f"SELECT {id_col}, {off}, CAST({t['col']} AS DOUBLE) FROM {rel}")
+        off = f"({off} + {size})"
+    return sel, off
+
+
 def logit_irls_sql(src: str, label: str, terms: list[dict], iterations: int = 14,
                    penalty: float = 0.0, output: str = "inference") -> str:
     """Unpenalised binomial logit by IRLS, unrolled: iteration t builds X'WX and
@@ -182,6 +203,9 @@ def logit_irls_sql(src: str, label: str, terms: list[dict], iterations: int = 14
         f"SUM(c.pos) / SUM(c.n) AS pbar FROM c JOIN (SELECT cid, 1 / (1 + exp(-eta)) AS p FROM eta{T}) q USING (cid))",
         "ll0 AS (SELECT SUM(c.pos * ln(ll.pbar) + (c.n - c.pos) * ln(1 - ll.pbar)) AS llnull FROM c, ll)",
     ]
+    if output == "chain":
+        # CTEs only; the final estimates are b{T-1}, exposed as "coefs(i, b)"
+        return ",\n".join(parts + [f"coefs AS (SELECT i, b FROM b{T - 1})"])
     if output == "coef":
         return ",\n".join(parts) + "\n" + (
             f"SELECT nm.term, split_part(nm.term, '[', 1) AS family, {r6('b.b')} AS coef "
