@@ -86,3 +86,30 @@ def test_model_table_has_no_leakage(spark):
     mt = study_for(spark, SF0001).model_table()
     assert mt.columns == C.MODEL_COLUMNS
     assert not set(mt.columns) & set(C.LEAKAGE_COLUMNS)
+
+
+def test_airline_seen_only_in_test_stops_the_baseline(spark):
+    """J1: the per-airline baseline refuses a test airline without a train mean."""
+    import pytest
+    from pyspark.sql import functions as F
+    from flightlens.operators.checks import DataQualityError
+
+    st = study_for(spark, SF0001)
+
+    class NewCarrierInTest:
+        spark, params = st.spark, st.params
+        train, train_sample = st.train, st.train_sample
+
+        def test(self):
+            t = st.test()
+            return t.unionByName(t.limit(1).withColumn("airline", F.lit("QQ")))
+
+    with pytest.raises(DataQualityError, match="airline_without_train_mean"):
+        Magnitude(NewCarrierInTest()).comparison()
+
+
+def test_zero_denominator_rate_is_null(spark):
+    from pyspark.sql import functions as F
+    from flightlens.functions import columns as X
+    r = spark.range(1).select(X.safe_rate_pct(F.lit(3), F.lit(0)).alias("r")).collect()[0]
+    assert r["r"] is None
