@@ -62,7 +62,7 @@ def q_ols_model_stats(spark, sf_dir):
 
 
 def q_ols_model_comparison(spark, sf_dir):
-    return magnitude(spark, sf_dir).comparison()
+    return _round(magnitude(spark, sf_dir).comparison())
 
 
 def q_ols_baselines(spark, sf_dir):

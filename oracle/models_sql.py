@@ -274,6 +274,44 @@ def _ols_hc1(full: bool, output: str = "coef", vif: bool = False) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+def _model_comparison() -> str:
+    """B0, B1, M1, M2 on the late test rows; M1 / M2 refitted in SQL and scored through their own levels."""
+    from .ols_sql import entry_selects, namespaced, ols_hc1_sql
+    t1, t2 = _m_terms(False), _m_terms(True)
+    m1 = namespaced(ols_hc1_sql("lf", "y", t1, output="chain"), "m1_")
+    m2 = namespaced(ols_hc1_sql("lf", "y", t2, output="chain"), "m2_")
+    hb = ("CASE WHEN dep_hour <= 4 THEN 'red_eye' WHEN dep_hour <= 7 THEN 'early_morning' "
+          "WHEN dep_hour <= 11 THEN 'morning' WHEN dep_hour <= 15 THEN 'midday' "
+          "WHEN dep_hour <= 19 THEN 'evening' WHEN dep_hour <= 23 THEN 'night' END")
+    e1, _ = entry_selects(t1, "tl", "rid", lv="m1_lv")
+    e2, _ = entry_selects(t2, "tl", "rid", lv="m2_lv")
+
+    def metrics(col):
+        return (f"{r6(f'sqrt(AVG((y - {col}) * (y - {col})))')} AS rmse_log, {r6(f'AVG(abs(y - {col}))')} AS mae_log, "
+                f"{r6(f'sqrt(AVG((arr_delay - exp({col})) * (arr_delay - exp({col}))))')} AS rmse_minutes, "
+                f"{r6(f'AVG(abs(arr_delay - exp({col})))')} AS mae_minutes")
+    body = _late_features() + ",\n" + m1 + ",\n" + m2 + f""",
+tl AS (SELECT ROW_NUMBER() OVER () AS rid, arr_delay, ln(arr_delay) AS y, {hb} AS dep_hour_bin, dow, holiday_flag,
+              airline,
+              CASE WHEN origin IN (SELECT origin FROM tor) THEN origin ELSE 'OTHER' END AS origin_top,
+              CASE WHEN dest IN (SELECT dest FROM tde) THEN dest ELSE 'OTHER' END AS dest_top,
+              ln(distance) AS log_distance
+       FROM test WHERE arr_delay > 0),
+e1(rid, j, v) AS ({" UNION ALL ".join(e1)}),
+e2(rid, j, v) AS ({" UNION ALL ".join(e2)}),
+f1 AS (SELECT rid, SUM(e1.v * m1_beta.b) AS f FROM e1 JOIN m1_beta ON m1_beta.i = e1.j GROUP BY rid),
+f2 AS (SELECT rid, SUM(e2.v * m2_beta.b) AS f FROM e2 JOIN m2_beta ON m2_beta.i = e2.j GROUP BY rid),
+bm0 AS (SELECT AVG(y) AS m FROM lf),
+bm1 AS (SELECT airline, AVG(y) AS m FROM lf GROUP BY airline),
+pr AS (SELECT tl.y, tl.arr_delay, bm0.m AS p0, bm1.m AS p1, f1.f AS pm1, f2.f AS pm2
+       FROM tl CROSS JOIN bm0 LEFT JOIN bm1 USING (airline) JOIN f1 USING (rid) JOIN f2 USING (rid))
+SELECT 'B0: train mean' AS model, {metrics('p0')} FROM pr
+UNION ALL SELECT 'B1: per-airline mean', {metrics('p1')} FROM pr
+UNION ALL SELECT 'M1: schedule only', {metrics('pm1')} FROM pr
+UNION ALL SELECT 'M2: + airline/airport/distance', {metrics('pm2')} FROM pr"""
+    return with_(split_ctes(P), body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _model_stats() -> str:
     m1 = _ols_hc1(full=False, output="stats")
     m2 = _ols_hc1(full=True, output="stats")
@@ -505,6 +543,7 @@ def models_sql() -> dict[str, str]:
         "ols_m2_hc1": _ols_hc1(full=True),
         "ols_m2_bp_stats": _ols_hc1(full=True, output="bp"),
         "ols_model_stats": _model_stats(),
+        "ols_model_comparison": _model_comparison(),
         # the inference logit is fit on the seeded sample = all of train at the checked scales
         "risk_inference_coefficients": _risk_inference(),
         "risk_coefficients": _risk_deploy(),

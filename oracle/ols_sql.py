@@ -99,6 +99,8 @@ def ols_hc1_sql(src: str, y: str, terms: list[dict], output: str = "coef") -> st
         body = (f"SELECT dims.nn AS nobs, dims.p AS n_params, CAST(dims.nn - dims.p AS DOUBLE) AS df_resid, "
                 f"{r6('fitstat.r2')} AS rsquared FROM dims, fitstat")
         return ",\n".join(parts) + "\n" + body
+    if output == "chain":
+        return ",\n".join(parts)
     if output == "vif":
         # column i on the others: centred TSS * (G^-1)_ii; the intercept uses the uncentred one (n)
         body = (f"SELECT nm.term, {r6('tss.t * ginv.v')} AS vif, "
@@ -118,7 +120,7 @@ def ols_hc1_sql(src: str, y: str, terms: list[dict], output: str = "coef") -> st
 __all__ = ["ols_hc1_sql", "_levels_values"]
 
 
-def entry_selects(terms: list[dict], rel: str, id_col: str) -> tuple[list[str], str]:
+def entry_selects(terms: list[dict], rel: str, id_col: str, lv: str = "lv") -> tuple[list[str], str]:
     """SELECTs of (id, j, v) design entries of relation ``rel`` (intercept
     included) against the level tables lv<k>; unknown levels give no entry
     (an all-zero indicator block). Returns (selects, width expression)."""
@@ -126,8 +128,8 @@ def entry_selects(terms: list[dict], rel: str, id_col: str) -> tuple[list[str],
     off = "1"
     for k, t in enumerate(terms):
         if t["kind"] == "factor":
-            size = f"((SELECT COUNT(*) FROM lv{k}) - 1)"
-            sel.append(f"SELECT x.{id_col}, {off} + lv.ord - 1, CAST(1.0 AS DOUBLE) FROM {rel} x JOIN lv{k} lv "
+            size = f"((SELECT COUNT(*) FROM {lv}{k}) - 1)"
+            sel.append(f"SELECT x.{id_col}, {off} + lv.ord - 1, CAST(1.0 AS DOUBLE) FROM {rel} x JOIN {lv}{k} lv "
                        f"ON x.{t['col']} = lv.val WHERE lv.ord > 0")
         elif t["kind"] == "flag":
             size = "1"
@@ -216,3 +218,14 @@ def logit_irls_sql(src: str, label: str, terms: list[dict], iterations: int = 14
             f"{r6('1 - ll.llf / ll0.llnull')} AS pseudo_r2 "
             f"FROM nm JOIN b{T - 1} b ON b.i = nm.j JOIN se ON se.i = nm.j, ll, ll0")
     return ",\n".join(parts) + "\n" + body
+
+
+_CHAIN_NAMES = ["c", "dims", "e", "nm", "g", "xy", "grid", "aug", "aug2", "gj", "sol", "beta", "ginv", "fit",
+                "res", "meat", "gm", "cov", "fitstat"]
+
+
+def namespaced(sql: str, ns: str, n_levels: int = 10) -> str:
+    """Prefix the CTE names of an ``ols_hc1_sql`` chain so two chains fit in one WITH."""
+    import re
+    names = _CHAIN_NAMES + [f"lv{k}" for k in range(n_levels)]
+    return re.sub(r"\b(" + "|".join(sorted(names, key=len, reverse=True)) + r")\b", lambda m: ns + m.group(1), sql)
