@@ -46,15 +46,15 @@ def risk(spark, sf_dir) -> Risk:
 # --- magnitude model ---------------------------------------------------------------
 
 def q_ols_m1_coefficients(spark, sf_dir):
-    return magnitude(spark, sf_dir).coefficients("m1")
+    return _round(magnitude(spark, sf_dir).coefficients("m1"))
 
 
 def q_ols_m2_coefficients(spark, sf_dir):
-    return magnitude(spark, sf_dir).coefficients("m2")
+    return _round(magnitude(spark, sf_dir).coefficients("m2"))
 
 
 def q_ols_m2_top15(spark, sf_dir):
-    return magnitude(spark, sf_dir).top_coefficients()
+    return _round(magnitude(spark, sf_dir).top_coefficients())
 
 
 def q_ols_model_stats(spark, sf_dir):
@@ -70,7 +70,7 @@ def q_ols_baselines(spark, sf_dir):
 
 
 def q_ols_headline(spark, sf_dir):
-    return magnitude(spark, sf_dir).headline()
+    return _round(magnitude(spark, sf_dir).headline())
 
 
 def q_ols_breusch_pagan(spark, sf_dir):
@@ -220,11 +220,11 @@ def q_risk_inference_coefficients(spark, sf_dir):
 
 
 def q_risk_odds_ratios(spark, sf_dir):
-    return risk(spark, sf_dir).odds_ratios()
+    return _round(risk(spark, sf_dir).odds_ratios())
 
 
 def q_risk_odds_picks(spark, sf_dir):
-    return risk(spark, sf_dir).picks()
+    return _round(risk(spark, sf_dir).picks())
 
 
 def q_risk_inference_summary(spark, sf_dir):

@@ -274,6 +274,41 @@ def _ols_hc1(full: bool, output: str = "coef", vif: bool = False) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+def _ols_table(full: bool, tail: str) -> str:
+    from .ols_sql import ols_hc1_sql
+    body = _late_features() + ",\n" + ols_hc1_sql("lf", "y", _m_terms(full), output="table") + "\n" + tail
+    return with_(split_ctes(P), body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_COEF_COLS = "term, family, coef, se AS robust_se, z, p_value, ci_low, ci_high"
+_ODDS_COLS = "term, family, coef, odds_ratio, or_ci_low, or_ci_high, p_value"
+
+
+def _headline_filter() -> str:
+    conds = []
+    for f, lv in P.headline_terms:
+        needles = [f] + ([str(lv)] if lv is not None else [])
+        conds.append("(" + " AND ".join(f"contains(term, '{x}')" for x in needles) + ")")
+    return " OR ".join(conds)
+
+
+def _odds_tables() -> dict[str, str]:
+    from .ols_sql import logit_irls_sql
+    head = with_(split_ctes(P), _risk_features() + ",\n" + logit_irls_sql("rf", "is_delayed", _risk_terms(),
+                                                                          output="table"))
+    top = f""",
+top AS (SELECT *, ROW_NUMBER() OVER (ORDER BY abs(b_raw) DESC, term) AS rk FROM ctab
+        WHERE term <> 'Intercept' ORDER BY rk LIMIT {C.TOP_COEFFICIENTS})"""
+    odds = head + top + f"\nSELECT {_ODDS_COLS} FROM top"
+    picks = head + top + f""",
+fp AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY family ORDER BY rk) AS fr FROM top),
+pk AS (SELECT * FROM fp WHERE fr = 1 ORDER BY rk LIMIT 3)
+SELECT {_ODDS_COLS} FROM pk WHERE (SELECT COUNT(*) FROM pk) >= 3
+UNION ALL SELECT {_ODDS_COLS} FROM top WHERE (SELECT COUNT(*) FROM pk) < 3 AND rk <= 3"""
+    return {"risk_odds_ratios": odds.replace("WITH ", "WITH RECURSIVE ", 1),
+            "risk_odds_picks": picks.replace("WITH ", "WITH RECURSIVE ", 1)}
+
+
 def _model_comparison() -> str:
     """B0, B1, M1, M2 on the late test rows; M1 / M2 refitted in SQL and scored through their own levels."""
     from .ols_sql import entry_selects, namespaced, ols_hc1_sql
@@ -544,6 +579,13 @@ def models_sql() -> dict[str, str]:
         "ols_m2_bp_stats": _ols_hc1(full=True, output="bp"),
         "ols_model_stats": _model_stats(),
         "ols_model_comparison": _model_comparison(),
+        "ols_m1_coefficients": _ols_table(False, f"SELECT {_COEF_COLS} FROM ctab"),
+        "ols_m2_coefficients": _ols_table(True, f"SELECT {_COEF_COLS} FROM ctab"),
+        "ols_m2_top15": _ols_table(True, f"SELECT {_COEF_COLS} FROM ctab ORDER BY abs(b_raw) DESC, term "
+                                         f"LIMIT {C.TOP_COEFFICIENTS}"),
+        "ols_headline": _ols_table(True, "SELECT term, coef, se AS robust_se, ci_low, ci_high, p_value, "
+                                         f"approx_pct_change FROM ctab WHERE {_headline_filter()}"),
+        **_odds_tables(),
         # the inference logit is fit on the seeded sample = all of train at the checked scales
         "risk_inference_coefficients": _risk_inference(),
         "risk_coefficients": _risk_deploy(),

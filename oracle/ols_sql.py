@@ -101,6 +101,10 @@ def ols_hc1_sql(src: str, y: str, terms: list[dict], output: str = "coef") -> st
         return ",\n".join(parts) + "\n" + body
     if output == "chain":
         return ",\n".join(parts)
+    if output == "table":
+        parts.append("otab AS (SELECT nm.j AS id, nm.term, beta.b AS b, sqrt(cov.v) AS se "
+                     "FROM nm JOIN beta ON beta.i = nm.j JOIN cov ON cov.i = nm.j)")
+        return ",\n".join(parts) + coef_table_sql("otab")
     if output == "vif":
         # column i on the others: centred TSS * (G^-1)_ii; the intercept uses the uncentred one (n)
         body = (f"SELECT nm.term, {r6('tss.t * ginv.v')} AS vif, "
@@ -205,6 +209,10 @@ def logit_irls_sql(src: str, label: str, terms: list[dict], iterations: int = 14
         f"SUM(c.pos) / SUM(c.n) AS pbar FROM c JOIN (SELECT cid, 1 / (1 + exp(-eta)) AS p FROM eta{T}) q USING (cid))",
         "ll0 AS (SELECT SUM(c.pos * ln(ll.pbar) + (c.n - c.pos) * ln(1 - ll.pbar)) AS llnull FROM c, ll)",
     ]
+    if output == "table":
+        parts.append(f"ltab AS (SELECT nm.j AS id, nm.term, b.b AS b, se.s AS se FROM nm "
+                     f"JOIN b{T - 1} b ON b.i = nm.j JOIN se ON se.i = nm.j)")
+        return ",\n".join(parts) + coef_table_sql("ltab")
     if output == "chain":
         # CTEs only; the final estimates are b{T-1}, exposed as "coefs(i, b)"
         return ",\n".join(parts + [f"coefs AS (SELECT i, b FROM b{T - 1})"])
@@ -229,3 +237,36 @@ def namespaced(sql: str, ns: str, n_levels: int = 10) -> str:
     import re
     names = _CHAIN_NAMES + [f"lv{k}" for k in range(n_levels)]
     return re.sub(r"\b(" + "|".join(sorted(names, key=len, reverse=True)) + r")\b", lambda m: ns + m.group(1), sql)
+
+
+def erfc_ctes(src: str, ns: str = "") -> str:
+    """CTEs computing erfc(x) for rows (id, x >= 0) of ``src`` into ``{ns}ec(id, v)``:
+    Taylor series of erf below 1.5, the continued fraction of erfc above it
+    (evaluated bottom-up to a fixed depth); ~1e-16 relative error."""
+    return f"""{ns}ser(id, x, n, c, s) AS (
+  SELECT id, x, 0, x, x FROM {src} WHERE x < 1.5
+  UNION ALL
+  SELECT id, x, n + 1, c * (-x * x) / (n + 1), s + c * (-x * x) / (n + 1) / (2 * (n + 1) + 1)
+  FROM {ns}ser WHERE n < 60),
+{ns}cf(id, x, k, t) AS (
+  SELECT id, x, 300, x FROM {src} WHERE x >= 1.5
+  UNION ALL
+  SELECT id, x, k - 1, x + (CAST(k AS DOUBLE) / 2.0) / t FROM {ns}cf WHERE k > 0),
+{ns}ec AS (SELECT id, 1 - 2 / sqrt(pi()) * s AS v FROM {ns}ser WHERE n = 60
+           UNION ALL SELECT id, exp(-x * x) / sqrt(pi()) / t FROM {ns}cf WHERE k = 0)"""
+
+
+def coef_table_sql(tab: str) -> str:
+    """From ``tab(id, term, b, se)``: the coefficient table with two-sided
+    normal p-values, as CTE ``ctab`` (raw b kept for ordering)."""
+    from .ctes import r6
+    return f""",
+zv AS (SELECT id, abs(b / se) / sqrt(2) AS x FROM {tab}),
+{erfc_ctes("zv")},
+ctab AS (SELECT t.term, split_part(t.term, '[', 1) AS family, t.b AS b_raw,
+           {r6('t.b')} AS coef, {r6('t.se')} AS se, {r6('t.b / t.se')} AS z, {r6('ec.v')} AS p_value,
+           {r6('t.b - 1.959963984540054 * t.se')} AS ci_low, {r6('t.b + 1.959963984540054 * t.se')} AS ci_high,
+           {r6('exp(t.b)')} AS odds_ratio, {r6('exp(t.b - 1.959963984540054 * t.se)')} AS or_ci_low,
+           {r6('exp(t.b + 1.959963984540054 * t.se)')} AS or_ci_high,
+           {r6('(exp(t.b) - 1) * 100')} AS approx_pct_change
+         FROM {tab} t JOIN ec USING (id))"""
