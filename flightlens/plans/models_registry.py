@@ -74,7 +74,7 @@ def q_ols_headline(spark, sf_dir):
 
 
 def q_ols_breusch_pagan(spark, sf_dir):
-    return magnitude(spark, sf_dir).breusch_pagan()
+    return _round(magnitude(spark, sf_dir).breusch_pagan())
 
 
 def q_ols_vif(spark, sf_dir):

@@ -264,13 +264,13 @@ def _m_terms(full: bool) -> list[dict]:
     return terms
 
 
-def _ols_hc1(full: bool, output: str = "coef", vif: bool = False) -> str:
+def _ols_hc1(full: bool, output: str = "coef", vif: bool = False, with_pvalues: bool = False) -> str:
     from .ols_sql import ols_hc1_sql
     terms = _m_terms(full)
     if vif:   # dep_hour_bin, dow, holiday, airline, log_distance
         terms = _m_terms(True)
         terms = terms[:4] + terms[6:]
-    sql = with_(split_ctes(P), _late_features() + ",\n" + ols_hc1_sql("lf", "y", terms, output))
+    sql = with_(split_ctes(P), _late_features() + ",\n" + ols_hc1_sql("lf", "y", terms, output, with_pvalues))
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
@@ -577,6 +577,7 @@ def models_sql() -> dict[str, str]:
         "ols_m1_hc1": _ols_hc1(full=False),
         "ols_m2_hc1": _ols_hc1(full=True),
         "ols_m2_bp_stats": _ols_hc1(full=True, output="bp"),
+        "ols_breusch_pagan": _ols_hc1(full=True, output="bp", with_pvalues=True),
         "ols_model_stats": _model_stats(),
         "ols_model_comparison": _model_comparison(),
         "ols_m1_coefficients": _ols_table(False, f"SELECT {_COEF_COLS} FROM ctab"),

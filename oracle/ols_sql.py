@@ -14,7 +14,7 @@ def _levels_values(levels: list[str]) -> str:
     return "SELECT * FROM (VALUES " + ", ".join(f"('{v}', {i})" for i, v in enumerate(levels)) + ") t(val, ord)"
 
 
-def ols_hc1_sql(src: str, y: str, terms: list[dict], output: str = "coef") -> str:
+def ols_hc1_sql(src: str, y: str, terms: list[dict], output: str = "coef", with_pvalues: bool = False) -> str:
     """CTE text (to follow other CTEs) ending in a SELECT of
     term, coef, robust_se, z, ci_low, ci_high, rsquared (rounded to 6 places).
 
@@ -94,6 +94,17 @@ def ols_hc1_sql(src: str, y: str, terms: list[dict], output: str = "coef") -> st
         body = (f"SELECT {r6('dims.nn * aux.r2')} AS lm, "
                 f"{r6('(aux.r2 / (dims.p - 1)) / ((1 - aux.r2) / (dims.nn - dims.p))')} AS fvalue, "
                 "CAST(dims.p - 1 AS INTEGER) AS df_model FROM dims, aux")
+        if with_pvalues:
+            parts += [
+                "bpv AS (SELECT dims.nn * aux.r2 AS lm, (aux.r2 / (dims.p - 1)) / ((1 - aux.r2) / (dims.nn - dims.p)) "
+                "AS fv, CAST(dims.p - 1 AS DOUBLE) AS k, dims.nn - dims.p AS d2 FROM dims, aux)",
+                "chi_in AS (SELECT lm AS x, k FROM bpv)",
+                chi2_sf_ctes("chi_in"),
+                "bet_in AS (SELECT d2 / 2 AS a, k / 2 AS b, d2 / (d2 + k * fv) AS x FROM bpv)",
+                betai_ctes("bet_in"),
+            ]
+            body = (f"SELECT {r6('bpv.lm')} AS lm, {r6('chi.v')} AS lm_pvalue, {r6('bpv.fv')} AS fvalue, "
+                    f"{r6('bet.v')} AS f_pvalue, CAST(bpv.k AS INTEGER) AS df_model FROM bpv, chi, bet")
         return ",\n".join(parts) + "\n" + body
     if output == "stats":
         body = (f"SELECT dims.nn AS nobs, dims.p AS n_params, CAST(dims.nn - dims.p AS DOUBLE) AS df_resid, "
@@ -270,3 +281,46 @@ ctab AS (SELECT t.term, split_part(t.term, '[', 1) AS family, t.b AS b_raw,
            {r6('exp(t.b + 1.959963984540054 * t.se)')} AS or_ci_high,
            {r6('(exp(t.b) - 1) * 100')} AS approx_pct_change
          FROM {tab} t JOIN ec USING (id))"""
+
+
+def chi2_sf_ctes(src: str, ns: str = "chi") -> str:
+    """Q(k/2, x/2) for the one row (x, k) of ``src`` into ``{ns}(v)``: the
+    regularised upper incomplete gamma by its series (x < a+1) or Lentz
+    continued fraction, 500 fixed steps each."""
+    return f"""{ns}_p AS (SELECT CAST(k AS DOUBLE) / 2 AS a, CAST(x AS DOUBLE) / 2 AS x FROM {src}),
+{ns}_s(i, ap, del, s) AS (SELECT 0, a, 1 / a, 1 / a FROM {ns}_p WHERE x < a + 1
+  UNION ALL SELECT i + 1, ap + 1, del * (SELECT x FROM {ns}_p) / (ap + 1), s + del * (SELECT x FROM {ns}_p) / (ap + 1)
+  FROM {ns}_s WHERE i < 500),
+{ns}_c(i, b, c, d, h) AS (SELECT 0, x + 1 - a, CAST(1e300 AS DOUBLE), 1 / (x + 1 - a), 1 / (x + 1 - a)
+  FROM {ns}_p WHERE x >= a + 1
+  UNION ALL SELECT i + 1, b + 2,
+    (b + 2) + (-(i + 1) * ((i + 1) - (SELECT a FROM {ns}_p))) / c,
+    1 / ((-(i + 1) * ((i + 1) - (SELECT a FROM {ns}_p))) * d + (b + 2)),
+    h * (1 / ((-(i + 1) * ((i + 1) - (SELECT a FROM {ns}_p))) * d + (b + 2)))
+      * ((b + 2) + (-(i + 1) * ((i + 1) - (SELECT a FROM {ns}_p))) / c)
+  FROM {ns}_c WHERE i < 500),
+{ns} AS (SELECT CASE WHEN x < a + 1 THEN 1 - (SELECT s FROM {ns}_s WHERE i = 500) * exp(-x + a * ln(x) - lgamma(a))
+                     ELSE (SELECT h FROM {ns}_c WHERE i = 500) * exp(-x + a * ln(x) - lgamma(a)) END AS v
+         FROM {ns}_p)"""
+
+
+def betai_ctes(src: str, ns: str = "bet") -> str:
+    """I_x(a, b) for the one row (a, b, x) of ``src`` into ``{ns}(v)``: Lentz
+    continued fraction with the symmetry switch, 400 fixed steps."""
+    return f"""{ns}_w AS (SELECT x < (a + 1) / (a + b + 2) AS direct,
+              CASE WHEN x < (a + 1) / (a + b + 2) THEN a ELSE b END AS aa,
+              CASE WHEN x < (a + 1) / (a + b + 2) THEN b ELSE a END AS bb,
+              CASE WHEN x < (a + 1) / (a + b + 2) THEN x ELSE 1 - x END AS xx,
+              exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x) + b * ln(1 - x)) AS bt FROM {src}),
+{ns}_f(m, c, d, h) AS (
+  SELECT 0, CAST(1.0 AS DOUBLE), CAST(1 / (1 - (aa + bb) * xx / (aa + 1)) AS DOUBLE),
+         CAST(1 / (1 - (aa + bb) * xx / (aa + 1)) AS DOUBLE) FROM {ns}_w
+  UNION ALL
+  SELECT m + 1, c2, d2, h * d1 * c1 * d2 * c2 FROM (
+    SELECT m, h, d1, c1, 1 / (1 + e2 * d1) AS d2, 1 + e2 / c1 AS c2 FROM (
+      SELECT m, h, 1 / (1 + e1 * d) AS d1, 1 + e1 / c AS c1, e2 FROM (
+        SELECT m, c, d, h,
+          (m + 1) * (w.bb - (m + 1)) * w.xx / ((w.aa - 1 + 2 * (m + 1)) * (w.aa + 2 * (m + 1))) AS e1,
+          -(w.aa + (m + 1)) * (w.aa + w.bb + (m + 1)) * w.xx / ((w.aa + 2 * (m + 1)) * (w.aa + 1 + 2 * (m + 1))) AS e2
+        FROM {ns}_f, {ns}_w w WHERE m < 400)))),
+{ns} AS (SELECT CASE WHEN direct THEN bt * h / aa ELSE 1 - bt * h / aa END AS v FROM {ns}_w, {ns}_f WHERE m = 400)"""
