@@ -1,12 +1,17 @@
-"""Oracle SQL for the model and evaluation queries that have closed forms.
-
-* one-factor OLS: coefficients are group-mean differences; HC1 variance is
-  n/(n-k) * (SSE_k / n_k^2 + SSE_ref / n_ref^2);
-* simple regression: slope / intercept by regr_*, HC1 from the influence
-  weights; one-factor Breusch-Pagan: n * R^2 of e^2 on the groups, chi-square
-  tail in closed form for even degrees of freedom;
-* one-factor logit: log-odds differences, SE sqrt(1/(n p q) + ...);
+"""Oracle SQL for the model and evaluation queries.
+
+* closed forms: one-factor OLS (group-mean differences, HC1 variance
+  n/(n-k) * (SSE_k / n_k^2 + SSE_ref / n_ref^2)), simple regression
+  (regr_* plus influence weights), one-factor Breusch-Pagan, one-factor logit;
+* full refits in plain SQL (``oracle.ols_sql``): the multi-factor OLS with HC1
+  errors, Breusch-Pagan and VIF; the unpenalised and the penalised logit;
+  the models' predictions, coefficient tables with p-values, and every risk
+  metric recomputed from the SQL fit's own scores;
 * evaluation operators on the per-hour rate scorer: brute-force SQL.
+
+Queries whose Spark side fits on the seeded train sample assume, as at the
+shipped scales, that train has at most ``sample_size`` rows (the sample is
+then all of train).
 """
 
 from __future__ import annotations
@@ -18,6 +23,9 @@ from .ctes import d, r6, split_ctes, with_
 
 P = FIXTURE
 Z = repr(C.Z_975)
+# index (1-based) of the 0.5 threshold in the 0.05 .. 0.95 grid
+E_K_DEFAULT = [k for k in range(C.THRESHOLD_PCT_RANGE[0], C.THRESHOLD_PCT_RANGE[1] + 1)].index(
+    round(C.DEFAULT_THRESHOLD * 100)) + 1
 
 
 def _dbl(x: float) -> str:
@@ -530,10 +538,6 @@ SELECT finding, {_sens_cols('f.')} FROM f"""),
     }
 
 
-E_K_DEFAULT = [k for k in range(C.THRESHOLD_PCT_RANGE[0], C.THRESHOLD_PCT_RANGE[1] + 1)].index(
-    round(C.DEFAULT_THRESHOLD * 100)) + 1
-
-
 def _risk_inference() -> str:
     from .ols_sql import logit_irls_sql
     sql = with_(split_ctes(P), _risk_features() + ",\n" + logit_irls_sql("rf", "is_delayed", _risk_terms()))
