@@ -23,11 +23,30 @@ from .params import STUDY_2024, StudyParams
 from .plans.magnitude import Magnitude
 from .plans.risk import Risk
 from .plans.stages import Study
-from .session import build_session
+from .session import build_session, reliable_checkpoint
 from .sources.raw_csv import read_raw_csv
 from .sources.sinks import export_report_csv, publish_table, write_parquet
 
 
+_MEASURES = ["total_flights", "delayed_flights", "delay_rate_pct", "avg_dep_delay_min"]
+
+
+def _report_layouts() -> list:
+    """report -> (columns from the one-pass table, order of the exported rows)."""
+    return [
+        ("delay_by_airline", [F.col("key").alias("airline"), *_MEASURES],
+         [F.col("delay_rate_pct").desc(), F.col("airline")]),
+        ("delay_by_month", [F.col("key").cast("int").alias("month"), *_MEASURES], [F.col("month")]),
+        ("delay_by_dow", [F.col("key").alias("day_of_week"), *_MEASURES],
+         [F.array_position(F.array(*[F.lit(d) for d in C.DOW_ORDER]), F.col("day_of_week"))]),
+        ("delay_by_airport", [F.col("key").alias("origin"), *_MEASURES],
+         [F.col("total_flights").desc(), F.col("origin")]),
+        ("worst_routes", [F.col("key").alias("route"), *_MEASURES], [F.col("delay_rate_pct").desc(), F.col("route")]),
+        ("delay_heatmap_dow_month", [F.col("key").alias("day_of_week"), "month", "total_flights", "delay_rate_pct",
+                                     "avg_arr_delay_min"], [F.col("month"), F.col("day_of_week")]),
+    ]
+
+
 def run_study(spark: SparkSession, raw: str, out: str, params: StudyParams = STUDY_2024,
               table: str | None = None, models: bool = True) -> dict[str, str]:
     """Build every stage and write every result; returns {result name: path}."""
@@ -49,12 +68,12 @@ def run_study(spark: SparkSession, raw: str, out: str, params: StudyParams = STU
         written[name] = path
 
     p = params
-    csv("delay_by_airline", R.delay_by_airline(flights))
-    csv("delay_by_month", R.delay_by_month(flights))
-    csv("delay_by_dow", R.delay_by_dow(flights))
-    csv("delay_by_airport", R.delay_by_airport(flights, p.airport_min_flights, p.airport_top_k))
-    csv("worst_routes", R.worst_routes(flights, p.route_min_flights))
-    csv("delay_heatmap_dow_month", R.delay_heatmap(flights))
+    # the six reports from ONE scan of the clean table, then reshaped per report
+    dash = reliable_checkpoint(R.dashboard_one_pass(flights, p.airport_min_flights, p.airport_top_k,
+                                                    p.route_min_flights))
+    for name, cols, order in _report_layouts():
+        part = dash.filter(F.col("report") == name).select(*cols)
+        csv(name, part.orderBy(*order))
     csv("delay_by_airline_extract", R.delay_by_airline_export(flights))
     csv("worst_routes_extract", R.worst_routes_export(flights, p.route_min_flights))
     csv("delay_heatmap_extract", R.delay_heatmap_export(flights))
@@ -67,12 +86,8 @@ def run_study(spark: SparkSession, raw: str, out: str, params: StudyParams = STU
     parquet("eda_coverage", PR.coverage(tr))
     parquet("eda_arr_delay_describe", PR.describe(tr))
     parquet("eda_target_shares", PR.target_shares(tr))
-    for col, kw in (("dep_hour", {}), ("dow", {"levels": C.DOW_ORDER}), ("month", {}),
-                    ("airline", {"sort_by": "value", "ascending": False}), ("holiday_flag", {})):
-        parquet(f"eda_by_{col}", R.summarize_by(tr, col, **kw))
-    top = PR.top_levels(tr, "origin", C.EDA_TOP_ORIGINS)
-    parquet("eda_by_origin_top15", R.summarize_by(tr.filter(F.col("origin").isin(top)), "origin",
-                                                  sort_by="volume", ascending=False))
+    # every group summary (hour, weekday, month, carrier, holiday, top-15 origins) from one scan
+    parquet("eda_summaries", R.summaries_one_pass(tr))
     parquet("eda_airport_coverage", PR.airport_coverage(tr))
     parquet("eda_distance_corr", PR.distance_correlation(tr))
     parquet("eda_distance_quintiles", PR.distance_quintiles(tr))

@@ -230,3 +230,33 @@ def summarize_by(df: DataFrame, group_col: str, sort_by: str = "index", ascendin
         key = F.col(group_col)
     key = key.asc() if ascending else key.desc()
     return out.orderBy(key, F.col(group_col))
+
+
+def summaries_one_pass(df: DataFrame, cols: Sequence[str] = ("dep_hour", "dow", "month", "airline",
+                                                             "holiday_flag", "origin"),
+                       top_origins: int = C.EDA_TOP_ORIGINS) -> DataFrame:
+    """Every ``summarize_by`` table from ONE scan (GROUPING SETS).
+
+    Long format: feature, level (as text), n, delay_rate,
+    mean_arr_delay_if_late. The origin rows are cut to the ``top_origins``
+    busiest (ties by level) as feature ``origin_top15``; that window runs
+    over per-airport rows only.
+    """
+    cols = list(cols)
+    late = F.when(F.col("arr_delay") > 0, F.col("arr_delay"))
+    g = (df.select(*cols, "is_delayed", "arr_delay")
+         .groupingSets([[F.col(c)] for c in cols], *cols)
+         .agg(F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("n"),
+              F.avg(F.col("is_delayed").cast("double")).alias("delay_rate"),
+              F.avg(late).alias("mean_arr_delay_if_late")))
+    feature, level = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, c in enumerate(cols):
+        gid = int("".join("0" if j == i else "1" for j in range(len(cols))), 2)
+        name = "origin_top15" if c == "origin" else c
+        feature = F.when(F.col("_gid") == gid, F.lit(name)).otherwise(feature)
+        level = F.when(F.col("_gid") == gid, F.col(c).cast("string")).otherwise(level)
+    long = g.select(feature.alias("feature"), level.alias("level"), "n", "delay_rate", "mean_arr_delay_if_late")
+    w = Window.partitionBy("feature").orderBy(F.col("n").desc(), F.col("level"))
+    rk = F.when(F.col("feature") == "origin_top15", F.row_number().over(w))
+    return (long.withColumn("_rk", rk)
+            .filter(F.col("_rk").isNull() | (F.col("_rk") <= top_origins)).drop("_rk"))

@@ -73,6 +73,17 @@ FROM train"""),
         "eda_by_origin_top15": _summary(
             "origin", f"WHERE origin IN (SELECT origin FROM train GROUP BY origin "
                       f"ORDER BY COUNT(*) DESC, origin LIMIT {C.EDA_TOP_ORIGINS})"),
+        "eda_summaries_one_pass": with_(split_ctes(P), f""",
+m AS (SELECT *, CASE WHEN is_delayed THEN 1.0 ELSE 0.0 END AS d, CASE WHEN arr_delay > 0 THEN arr_delay END AS l FROM train),
+u AS (
+  SELECT 'dep_hour' AS feature, CAST(dep_hour AS VARCHAR) AS level, COUNT(*) AS n, AVG(d) AS r, AVG(l) AS ml FROM m GROUP BY dep_hour
+  UNION ALL SELECT 'dow', dow, COUNT(*), AVG(d), AVG(l) FROM m GROUP BY dow
+  UNION ALL SELECT 'month', CAST(month AS VARCHAR), COUNT(*), AVG(d), AVG(l) FROM m GROUP BY month
+  UNION ALL SELECT 'airline', airline, COUNT(*), AVG(d), AVG(l) FROM m GROUP BY airline
+  UNION ALL SELECT 'holiday_flag', CAST(holiday_flag AS VARCHAR), COUNT(*), AVG(d), AVG(l) FROM m GROUP BY holiday_flag
+  UNION ALL SELECT * FROM (SELECT 'origin_top15', origin, COUNT(*), AVG(d), AVG(l) FROM m GROUP BY origin
+                           ORDER BY COUNT(*) DESC, origin LIMIT {C.EDA_TOP_ORIGINS}))
+SELECT feature, level, n, {r6("r")} AS delay_rate, {r6("ml")} AS mean_arr_delay_if_late FROM u"""),
         "eda_airport_coverage": with_(split_ctes(P), f""",
 c AS (SELECT 'origin' AS feature, origin AS level, COUNT(*) AS n FROM train GROUP BY origin
       UNION ALL SELECT 'dest', dest, COUNT(*) FROM train GROUP BY dest),

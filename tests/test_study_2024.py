@@ -85,9 +85,15 @@ def test_full_2024_study_runs(spark, tmp_dir):
     n = write_raw_2024(raw)
     out = os.path.join(tmp_dir, "out")
     written = run_study(spark, raw + "/*.csv", out, STUDY_2024)
-    assert {"delay_by_airline", "worst_routes_extract", "ols_headline", "risk_sensitivity_findings"} <= set(written)
+    assert {"delay_by_airline", "worst_routes_extract", "ols_headline", "risk_sensitivity_findings",
+            "eda_summaries"} <= set(written)
+    feats = {r[0] for r in spark.read.parquet(written["eda_summaries"]).select("feature").distinct().collect()}
+    assert feats == {"dep_hour", "dow", "month", "airline", "holiday_flag", "origin_top15"}
     air = spark.read.option("header", True).csv(written["delay_by_airline"])
+    assert air.columns == ["airline", "total_flights", "delayed_flights", "delay_rate_pct", "avg_dep_delay_min"]
     assert air.agg(F.sum(F.col("total_flights").cast("long"))).collect()[0][0] == n
+    heat = spark.read.option("header", True).csv(written["delay_heatmap_dow_month"])
+    assert heat.count() == 84 and heat.columns[-1] == "avg_arr_delay_min"
     head = spark.read.parquet(written["ols_headline"])
     assert head.count() == len(STUDY_2024.headline_terms)          # every published term is found once
     assert {r["term"] for r in head.collect()} >= {"C(airline)[T.F9]", "C(origin_top)[T.ORD]", "log_distance"}
