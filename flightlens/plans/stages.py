@@ -22,6 +22,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from ..operators import clean as clean_op
 from ..operators import prepare as prep_op
@@ -120,13 +121,33 @@ class Study:
         return split_op.split_proof(self.model_table(), self.params.split_date)
 
     def _split(self) -> None:
+        """Train and test written in ONE pass over the model table
+        (partitioned by side), each read back from its own folder; the proof
+        of the split is one aggregation over what was written."""
         if "train" in self._cache:
             return
         mt = self.model_table()
-        tr, te = split_op.time_split(mt, self.params.split_date)
-        self._stage("train", lambda: tr)
-        self._stage("test", lambda: te)
-        split_op.check_split(self.split_proof().collect()[0], self.params.split_date)
+        path, marker = f"{self.root}/split", f"{self.root}/_checked_split"
+        if not _exists(self.spark, marker):
+            d = F.col("flight_date")
+            side = F.when(d < F.lit(self.params.split_date).cast("date"), F.lit("train")).otherwise(F.lit("test"))
+            mt.withColumn("_side", side).write.mode("overwrite").partitionBy("_side").parquet(path)
+            written = self.spark.read.parquet(path)
+            d = F.col("flight_date")
+            row = written.agg(
+                F.count(F.lit(1)).alias("rows_total"),
+                F.count_if(F.col("_side") == "train").alias("rows_before"),
+                F.count_if(F.col("_side") == "test").alias("rows_after"),
+                F.max(F.when(F.col("_side") == "train", d)).alias("max_before"),
+                F.min(F.when(F.col("_side") == "test", d)).alias("min_after")).collect()[0]
+            split_op.check_split(row, self.params.split_date)
+            if row["rows_total"] != mt.count():       # Parquet footers: no data scan
+                raise split_op.DataQualityError("split: written rows differ from the model table")
+            self.spark.range(1).write.mode("overwrite").parquet(marker)
+        for name in ("train", "test"):
+            side_path = f"{path}/_side={name}"
+            self._cache[name] = (self.spark.read.parquet(side_path) if _exists(self.spark, side_path)
+                                 else self.spark.createDataFrame([], mt.schema))
 
     def train(self) -> DataFrame:
         self._split()
