@@ -83,13 +83,11 @@ def run_study(spark: SparkSession, raw: str, out: str, params: StudyParams = STU
     st.train_sample()
 
     tr = st.train()
-    parquet("eda_coverage", PR.coverage(tr))
-    parquet("eda_arr_delay_describe", PR.describe(tr))
-    parquet("eda_target_shares", PR.target_shares(tr))
+    # coverage, describe + quantiles, shares, class balance, correlations: one aggregation
+    parquet("eda_profile", PR.train_profile_one_pass(tr))
     # every group summary (hour, weekday, month, carrier, holiday, top-15 origins) from one scan
     parquet("eda_summaries", R.summaries_one_pass(tr))
     parquet("eda_airport_coverage", PR.airport_coverage(tr))
-    parquet("eda_distance_corr", PR.distance_correlation(tr))
     parquet("eda_distance_quintiles", PR.distance_quintiles(tr))
     parquet("eda_hist_arr_delay", PR.histogram(tr, "arr_delay", C.HIST_BINS))
     lo, hi = C.ZOOM_RANGE
@@ -98,7 +96,6 @@ def run_study(spark: SparkSession, raw: str, out: str, params: StudyParams = STU
     late = tr.filter(F.col("arr_delay") > 0)
     parquet("eda_hist_late", PR.histogram(late, "arr_delay", C.HIST_BINS))
     parquet("eda_hist_late_log", PR.histogram(late, F.log(F.col("arr_delay")), C.HIST_BINS))
-    parquet("eda_class_balance", PR.class_balance(tr))
 
     if models:
         m = Magnitude(st)

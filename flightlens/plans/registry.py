@@ -159,6 +159,10 @@ def q_eda_by_origin_top15(spark, sf_dir):
                                         sort_by="volume", ascending=False))
 
 
+def q_eda_profile_one_pass(spark, sf_dir):
+    return round_doubles(PR.train_profile_one_pass(_st(spark, sf_dir).train()))
+
+
 def q_eda_summaries_one_pass(spark, sf_dir):
     return round_doubles(R.summaries_one_pass(_st(spark, sf_dir).train()))
 
@@ -228,6 +232,7 @@ QUERIES: dict[str, QueryFn] = {
     "eda_by_holiday_flag": _summary("holiday_flag"),
     "eda_by_origin_top15": q_eda_by_origin_top15,
     "eda_summaries_one_pass": q_eda_summaries_one_pass,
+    "eda_profile_one_pass": q_eda_profile_one_pass,
     "eda_airport_coverage": q_eda_airport_coverage,
     "eda_distance_corr": q_eda_distance_corr,
     "eda_distance_quintiles": q_eda_distance_quintiles,

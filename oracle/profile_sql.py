@@ -73,6 +73,21 @@ FROM train"""),
         "eda_by_origin_top15": _summary(
             "origin", f"WHERE origin IN (SELECT origin FROM train GROUP BY origin "
                       f"ORDER BY COUNT(*) DESC, origin LIMIT {C.EDA_TOP_ORIGINS})"),
+        "eda_profile_one_pass": with_(split_ctes(P), f"""
+SELECT COUNT(*) AS n_rows, MIN(flight_date) AS min_date, MAX(flight_date) AS max_date,
+  COUNT(DISTINCT airline) AS n_airlines, COUNT(DISTINCT origin) AS n_origins, COUNT(DISTINCT dest) AS n_dests,
+  COUNT(arr_delay) AS count, {r6("AVG(arr_delay)")} AS mean, {r6("STDDEV_SAMP(arr_delay)")} AS std,
+  {r6("MIN(arr_delay)")} AS min, {r6("MAX(arr_delay)")} AS max,
+  {r6("AVG(CASE WHEN arr_delay < 0 THEN 1.0 ELSE 0.0 END) * 100")} AS pct_early,
+  {r6("AVG(CASE WHEN arr_delay = 0 THEN 1.0 ELSE 0.0 END) * 100")} AS pct_on_time,
+  {r6("AVG(CASE WHEN arr_delay > 0 THEN 1.0 ELSE 0.0 END) * 100")} AS pct_late,
+  {r6("AVG(CASE WHEN is_delayed THEN 1.0 ELSE 0.0 END) * 100")} AS pct_delayed15,
+  COUNT(*) FILTER (WHERE arr_delay > 0) AS n_late,
+  {r6("AVG(CASE WHEN is_delayed THEN 1.0 ELSE 0.0 END)")} AS positive_rate,
+  COUNT(*) FILTER (WHERE is_delayed) AS n_pos, COUNT(*) FILTER (WHERE NOT is_delayed) AS n_neg,
+  {r6("corr(distance, arr_delay)")} AS corr_arr_delay,
+  {r6("corr(distance, CASE WHEN is_delayed THEN 1.0 ELSE 0.0 END)")} AS corr_is_delayed, {q}
+FROM train"""),
         "eda_summaries_one_pass": with_(split_ctes(P), f""",
 m AS (SELECT *, CASE WHEN is_delayed THEN 1.0 ELSE 0.0 END AS d, CASE WHEN arr_delay > 0 THEN arr_delay END AS l FROM train),
 u AS (

@@ -86,7 +86,9 @@ def test_full_2024_study_runs(spark, tmp_dir):
     out = os.path.join(tmp_dir, "out")
     written = run_study(spark, raw + "/*.csv", out, STUDY_2024)
     assert {"delay_by_airline", "worst_routes_extract", "ols_headline", "risk_sensitivity_findings",
-            "eda_summaries"} <= set(written)
+            "eda_summaries", "eda_profile"} <= set(written)
+    prof = spark.read.parquet(written["eda_profile"]).collect()[0]
+    assert prof["n_pos"] + prof["n_neg"] == prof["n_rows"] and prof["p99_9"] >= prof["p50"]
     feats = {r[0] for r in spark.read.parquet(written["eda_summaries"]).select("feature").distinct().collect()}
     assert feats == {"dep_hour", "dow", "month", "airline", "holiday_flag", "origin_top15"}
     air = spark.read.option("header", True).csv(written["delay_by_airline"])
