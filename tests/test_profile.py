@@ -58,3 +58,22 @@ def test_coverage_rows(spark):
     total = sum(r["count"] for r in counts)
     assert cov[("origin", 10)]["covered"] == sum(r["count"] for r in counts[:10])
     assert cov[("origin", 100)]["covered"] == total     # fewer levels than N: all of them
+
+
+def test_one_pass_profiles_equal_the_separate_ones(spark):
+    from flightlens.operators import reports as R
+    tr = study_for(spark, SF0001).train()
+    one = {(r["feature"], r["level"]): r for r in R.summaries_one_pass(tr).collect()}
+    for col in ("dep_hour", "dow", "month", "airline", "holiday_flag"):
+        for r in R.summarize_by(tr, col).collect():
+            o = one[(col, str(r[col]).lower() if isinstance(r[col], bool) else str(r[col]))]
+            assert o["n"] == r["n"]
+            assert o["delay_rate"] == pytest.approx(r["delay_rate"], abs=1e-12)
+    top = PR.top_levels(tr, "origin", 15)
+    assert {lv for (f, lv) in one if f == "origin_top15"} == set(top)
+    prof = PR.train_profile_one_pass(tr).collect()[0]
+    desc = PR.describe(tr).collect()[0]
+    cov = PR.coverage(tr).collect()[0]
+    for k in ("count", "p1", "p50", "p99_9"):
+        assert prof[k] == pytest.approx(desc[k])
+    assert (prof["n_rows"], prof["n_origins"]) == (cov["n_rows"], cov["n_origins"])
