@@ -51,3 +51,31 @@ def test_exact_sample_property(spark, values, n, seed, buckets):
     h = F.xxhash64(F.lit(seed), F.col("a"), F.col("b"))
     brute = df.select("a", "b", h.alias("_h")).orderBy("_h", "a", "b").limit(want_n).drop("_h")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, brute.collect()))
+
+
+@SETTINGS
+@given(st.lists(st.floats(min_value=-1e6, max_value=1e6, allow_nan=False), min_size=1, max_size=200),
+       st.sampled_from([1, 2, 6]))
+def test_half_away_rounding_property(spark, values, digits):
+    """ROUND = half away from zero on the value fixed to 10 decimal places."""
+    from decimal import ROUND_HALF_UP, Decimal
+    from flightlens.functions import columns as X
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [r[0] for r in df.select(X.half_away_round("x", digits)).collect()]
+    for v, g in zip(values, got):
+        d10 = Decimal(repr(v)).quantize(Decimal(1).scaleb(-10), rounding=ROUND_HALF_UP)
+        want = float(d10.quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_UP))
+        assert g == want, (v, g, want)
+
+
+@SETTINGS
+@given(st.lists(st.one_of(st.none(), st.integers(min_value=-100, max_value=400).map(float)), min_size=1, max_size=200))
+def test_delay_bucket_property(spark, values):
+    """Right-closed bins (-inf,0], (0,15], (15,60], (60,180], (180,inf), NULL in NULL out, like pd.cut."""
+    from flightlens import constants as C
+    from flightlens.functions import columns as X
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [r[0] for r in df.select(X.delay_bucket("x")).collect()]
+    want = pd.cut(pd.Series(values, dtype="float64"), bins=[-np.inf] + C.DELAY_BUCKET_EDGES + [np.inf],
+                  labels=C.DELAY_BUCKET_LABELS)
+    assert got == [None if pd.isna(w) else str(w) for w in want]
