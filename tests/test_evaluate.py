@@ -108,3 +108,16 @@ def test_collapsed_counts_give_row_level_results(spark):
     cb = sorted(map(tuple, E.calibration_curve(cells, F.col("p"), F.col("pos"), F.col("neg")).collect()))
     assert [r[0] for r in ca] == [r[0] for r in cb] and [r[3] for r in ca] == [r[3] for r in cb]
     assert np.allclose([r[1] for r in ca], [r[1] for r in cb]) and np.allclose([r[2] for r in ca], [r[2] for r in cb])
+
+
+def test_ranking_metrics_with_a_hot_score(spark):
+    """A third of the rows share one score: it is one grouped record, not one task's worth of rows."""
+    rng = np.random.default_rng(3)
+    n = 3000
+    p = np.where(np.arange(n) < n // 3, 0.42, np.round(rng.random(n), 2))
+    y = rng.random(n) < p
+    df = spark.createDataFrame(pd.DataFrame({"p": p, "y": y}))
+    r = E.ranking_metrics(df, F.col("p"), *E.label_counts(F.col("y"))).collect()[0]
+    auc, ap = _auc_ap(p, y)
+    assert r["roc_auc"] == pytest.approx(auc, abs=1e-12)
+    assert r["average_precision"] == pytest.approx(ap, abs=1e-12)
