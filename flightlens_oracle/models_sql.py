@@ -3,7 +3,7 @@
 * closed forms: one-factor OLS (group-mean differences, HC1 variance
   n/(n-k) * (SSE_k / n_k^2 + SSE_ref / n_ref^2)), simple regression
   (regr_* plus influence weights), one-factor Breusch-Pagan, one-factor logit;
-* full refits in plain SQL (``oracle.ols_sql``): the multi-factor OLS with HC1
+* full refits in plain SQL (``flightlens_oracle.ols_sql``): the multi-factor OLS with HC1
   errors, Breusch-Pagan and VIF; the unpenalised and the penalised logit;
   the models' predictions, coefficient tables with p-values, and every risk
   metric recomputed from the SQL fit's own scores;
