@@ -88,7 +88,8 @@ def all_levels_by_count(df: DataFrame, col: str, max_levels: int = MAX_FACTOR_LE
 
 
 def level_counts(df: DataFrame, col: str) -> DataFrame:
-    return df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    """Value counts, most frequent first, ties by the level (one grouped count)."""
+    return df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col(col))
 
 
 def airport_coverage(df: DataFrame, cols: Sequence[str] = ("origin", "dest"),

@@ -77,3 +77,8 @@ def test_one_pass_profiles_equal_the_separate_ones(spark):
     for k in ("count", "p1", "p50", "p99_9"):
         assert prof[k] == pytest.approx(desc[k])
     assert (prof["n_rows"], prof["n_origins"]) == (cov["n_rows"], cov["n_origins"])
+
+
+def test_level_counts_order(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("b",), ("c",), ("a",)], "x string")
+    assert [(r["x"], r["n"]) for r in PR.level_counts(df, "x").collect()] == [("a", 2), ("b", 2), ("c", 1)]
