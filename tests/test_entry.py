@@ -118,12 +118,12 @@ def test_zero_denominator_rate_is_null(spark):
     assert r["r"] is None
 
 
-def test_every_oracle_statement_binds():
-    """All oracle SQL parses and binds against the shipped tables (EXPLAIN, no execution)."""
+def test_every_oracle_statement_runs():
+    """All oracle SQL runs against the smallest shipped tables."""
     con = duckdb.connect()
     for t in TABLES:
         p = f"{SF0001}/{t}.parquet"
         if os.path.exists(p):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
     for name, sql in E.oracle_sql().items():
-        con.execute("EXPLAIN " + sql)
+        con.execute(sql).fetchall()
