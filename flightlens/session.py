@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -75,6 +78,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on every executor (once per application).
+
+    Python functions that run on executors import ``flightlens``. The sources
+    are zipped into the shared folder and announced with ``addPyFile``, so a
+    cluster needs neither an installed package nor ``--py-files``.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_flightlens_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    files = sorted(os.path.join(d, f) for d, _, names in os.walk(top) for f in names if f.endswith(".py"))
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for f in files:
+            with open(f, "rb") as source:
+                z.writestr(zipfile.ZipInfo(os.path.relpath(f, os.path.dirname(top))), source.read())
+    data = buffer.getvalue()
+    name = f"flightlens-{hashlib.sha256(data).hexdigest()[:16]}.zip"
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/code/{name}")
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        out = fs.create(path, True)
+        out.write(bytearray(data))
+        out.close()
+    sc.addPyFile(fs.makeQualified(path).toString())
+    sc._flightlens_shipped = True
+
+
 def work_root(spark: SparkSession) -> str:
     """Folder under the checkpoint dir that holds materialised stage tables."""
     return ensure_checkpoint_dir(spark) + "/flightlens-stages"
