@@ -20,10 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from flightlens.llm.wordhash import U64, mix
+from flightlens.llm.wordhash import U64, mix, window_hashes
 
 _RUN = U64(0xD6E8FEB86659FD93)
 _PAIR = U64(0xA0761D6478BD642F)
+_HALF = U64(0xE7037ED1A0B428DB)
 OUTSIDE = 1 << 40        # a context that reaches past its document fits no window
 
 
@@ -125,6 +126,15 @@ def levels(words: np.ndarray, first: np.ndarray, width: int, most: int):
         k += 1
 
 
+def _halves(words: np.ndarray, first: np.ndarray, doc: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place, hashes of the ``half`` words before it and of the ``half`` words from it on."""
+    h = window_hashes(words, half, 0x9E3779B97F4A7C15)
+    before, after = np.zeros(len(words) + 1, dtype=U64), np.zeros(len(words) + 1, dtype=U64)
+    after[:len(h)] = h
+    before[half:half + len(h)] = ~h
+    return before, after
+
+
 def anchors(words: np.ndarray, first: np.ndarray, width: int,
             most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(name, from, to): one high-level symbol inside each window.
@@ -134,7 +144,10 @@ def anchors(words: np.ndarray, first: np.ndarray, width: int,
     of the highest level inside it whose context takes at most half a window;
     level 0, the words, always has one. ``from .. to`` are the starts of the
     windows that were given this symbol. The choice depends on the window's
-    words alone, so equal windows, wherever they stand, are given equal names.
+    words alone. The name returned joins the symbol's with a hash of the half
+    window beside the front of its context that lies inside the window, which
+    verifies most of it; so equal windows, wherever they stand, are given equal
+    names, and others seldom are.
     """
     n = len(words)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -142,6 +155,7 @@ def anchors(words: np.ndarray, first: np.ndarray, width: int,
     for d in np.flatnonzero(np.diff(first) >= width):
         free[first[d]:first[d + 1] - width + 1] = True
     names, froms, tos = [], [], []
+    left_hash, right_hash = _halves(words, first, doc, width // 2)
     for s in reversed(list(levels(words, first, width // 2, most))):
         total = np.zeros(n + 2, dtype=np.int32)
         np.cumsum(free, out=total[1:])
@@ -152,7 +166,7 @@ def anchors(words: np.ndarray, first: np.ndarray, width: int,
         lo, hi = np.maximum(s.right[fits] - width, first[of]), np.minimum(s.left[fits], first[of + 1] - width)
         use = lo <= hi
         use[use] = total[hi[use] + 1] > total[lo[use]]
-        name, lo, hi = s.name[fits][use], lo[use], hi[use]
+        name, lo, hi, left = s.name[fits][use], lo[use], hi[use], s.left[fits][use]
         frm, to = lo.copy(), hi.copy()
         step = 1
         while step < len(name):                  # symbols seen together by some window
@@ -165,12 +179,15 @@ def anchors(words: np.ndarray, first: np.ndarray, width: int,
             b = np.flatnonzero(near & ~won)
             to[b] = np.minimum(to[b], lo[b + step] - 1)
             step += 1
-        keep = frm <= to
-        name, frm, to = name[keep], frm[keep], to[keep]
-        keep = total[to + 1] > total[frm]
-        names.append(name[keep])
-        froms.append(frm[keep])
-        tos.append(to[keep])
+        # a window that starts within half a window before the context holds the half window
+        # from there on, any other one holds the half window up to there
+        split = left - width // 2
+        for side, f, t in ((right_hash, np.maximum(frm, split + 1), to), (left_hash, frm, np.minimum(to, split))):
+            keep = np.flatnonzero(f <= t)
+            keep = keep[total[t[keep] + 1] > total[f[keep]]]
+            names.append(mix(name[keep] * _HALF + side[left[keep]]))
+            froms.append(f[keep])
+            tos.append(t[keep])
         mark = np.zeros(n + 2, dtype=np.int32)
         np.add.at(mark, lo, 1)
         np.add.at(mark, hi + 1, -1)

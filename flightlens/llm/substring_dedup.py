@@ -10,6 +10,7 @@ whose word sequence also starts in a document with a smaller id.
 2. Symbols that stand in two or more documents are found with one grouped
    aggregation (partial before the shuffle, so a symbol of a third of all
    documents arrives as one row per task).
+   A document equal to an earlier one is settled as a whole.
 3. Only windows given such a shared symbol can repeat. They alone get a
    128-bit hash of their words, which decides: the smallest document id of
    each hash, joined back (the join's large groups are split by AQE).
@@ -32,11 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightlens.llm import recompression
-from flightlens.llm.runtime import prepare, rows_by_bytes, staged, text_bytes
+from flightlens.llm.runtime import discard, prepare, rows_by_bytes, staged, text_bytes
 from flightlens.llm.wordhash import WordHasher, window_hashes
 
 WIDTH = 50
 LEVELS = 8
+EVERYWHERE = -1                 # stands for all windows of a document
 _SPAN = 6                       # bits for the number of windows of one symbol, less one
 _BASES = (6364136223846793005, 2862933555777941757)
 _hashers: dict[int, WordHasher] = {}
@@ -95,7 +97,9 @@ def _cut(width: int, carry: list[str], keep_layout: bool):
             for data, at in zip(batch.column("data").to_pylist(), batch.column("ats").to_pylist()):
                 words = (data or b"").split()
                 total.append(len(words))
-                if at:
+                if at and at[0] == EVERYWHERE:
+                    words = words if len(words) < width else []
+                elif at:
                     cover = np.zeros(len(words) + 1, dtype=np.int32)
                     np.add.at(cover, np.asarray(at), 1)
                     np.add.at(cover, np.asarray(at) + width, -1)
@@ -128,17 +132,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("data"),
                          F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("key"),
                          *carry)
-    found = staged(source.select("doc_id", "data", "key").filter("doc_id IS NOT NULL AND data IS NOT NULL")
+    known = source.filter("doc_id IS NOT NULL AND data IS NOT NULL")
+    found = staged(known.select("doc_id", "data", "key")
                    .mapInArrow(_parse(width), "name long, doc_id long, key long, span long"))
+    # a document with the same words as an earlier one: all its windows stand there too
+    whole = known.select("doc_id", "key", F.md5("data").alias("whole"))
+    first = whole.groupBy("whole").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
+    copies = staged(whole.join(first.select("whole", "lo"), "whole").filter("lo < doc_id").select("key").distinct())
     shared = (found.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
               .filter("lo < hi").select("name"))
-    spans = found.join(shared, "name").groupBy("key").agg(F.collect_list("span").alias("spans"))
-    text = source.select("doc_id", "data", "key")
-    windows = staged(text.join(spans, "key").select("doc_id", "data", "key", "spans")
+    spans = staged(found.select("name", "key", "span").join(shared, "name").join(copies, "key", "left_anti")
+                   .groupBy("key").agg(F.collect_list("span").alias("spans")))
+    discard(spark, found)
+    windows = staged(source.select("doc_id", "data", "key").join(spans, "key").select("doc_id", "data", "key", "spans")
                      .mapInArrow(_windows(width), "a long, b long, doc_id long, key long, at int"))
+    discard(spark, spans)
     least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    gone = (windows.join(least.select("a", "b", "lo"), ["a", "b"]).filter("lo < doc_id")
-            .groupBy("key").agg(F.collect_list("at").alias("ats")))
+    gone = staged(windows.join(least.select("a", "b", "lo"), ["a", "b"]).filter("lo < doc_id")
+                  .groupBy("key").agg(F.collect_list("at").alias("ats"))
+                  .unionByName(copies.select("key", F.array(F.lit(EVERYWHERE)).alias("ats"))))
+    discard(spark, windows, copies)
     keep = ["doc_id", *carry]
     fields = {f.name: f.dataType.simpleString() for f in source.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in keep) + ", n_words long, n_removed long, kept binary"
