@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightlens.llm.runtime import prepare, rows_by_bytes, text_bytes
+from flightlens.llm.runtime import prepare, rows_by_bytes, staged, text_bytes
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
@@ -206,7 +206,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
             part = part.filter("size(items) > 0").select("row", "spans", "items")
             more = part if more is None else more.unionByName(part)
     if more is not None:                     # rows that are alike have alike places, so uniting them changes nothing
-        more = more.groupBy("row").agg(F.collect_list("spans").alias("more_spans"), F.collect_list("items").alias("more_items"))
+        more = staged(more.groupBy("row").agg(F.collect_list("spans").alias("more_spans"),
+                                              F.collect_list("items").alias("more_items")))
         found = (found.join(more, "row", "left")
                  .withColumn("spans", F.concat(F.array("spans"), F.coalesce("more_spans", F.array())))
                  .withColumn("items", F.concat(F.array("items"), F.coalesce("more_items", F.array())))

@@ -113,8 +113,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     texts = per.select("host", "copy").distinct().groupBy("host").agg(F.count("*").alias("texts"))
     often = (per.select("host", "copy", F.explode("lines.hash").alias("hash")).distinct()
              .groupBy("host", "hash").agg(F.count("*").alias("times")).filter(F.col("times") > floor))
-    hosts = (often.join(texts, "host").filter(F.col("times") > share * F.col("texts"))
-             .groupBy("host").agg(F.collect_list("hash").alias("boilerplate")))
+    hosts = staged(often.join(texts, "host").filter(F.col("times") > share * F.col("texts"))
+                   .groupBy("host").agg(F.collect_list("hash").alias("boilerplate")))
     removed = F.aggregate(F.filter("lines", lambda x: F.array_contains("boilerplate", x["hash"])),
                           F.lit(0).cast("long"), lambda n, x: n + x["words"])
     failed = f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words"

@@ -164,14 +164,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepare(spark)
     prints = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("data"))
                     .mapInArrow(_prints(shingle, ["doc_id"]), "doc_id long, bits long"))
-    nodes = prints.filter("doc_id IS NOT NULL").groupBy("bits").agg(F.min("doc_id").alias("node"))
+    # written before they are joined back, so that AQE can split the rows of a hot fingerprint
+    nodes = staged(prints.filter("doc_id IS NOT NULL").groupBy("bits").agg(F.min("doc_id").alias("node")))
     postings = nodes.select("bits", "node", _postings(distance).alias("list")).select("list.*", "bits", "node")
     sizes = postings.groupBy("kind", "value").count().filter("count > 1").select("kind", "value")
     links = (postings.join(sizes, ["kind", "value"]).repartition("kind", "value")
              .sortWithinPartitions("kind", "value", "bits").mapInArrow(_links(distance), "u long, v long"))
     groups = components(links).withColumnRenamed("node", "first")
-    named = nodes.join(groups, nodes["node"] == groups["first"], "left").select(
-        F.col("bits").alias("of"), F.coalesce("component", "node").alias("component"))
+    named = staged(nodes.join(groups, nodes["node"] == groups["first"], "left").select(
+        F.col("bits").alias("of"), F.coalesce("component", "node").alias("component")))
     return prints.join(named, prints["bits"] == named["of"], "left").select(
         "doc_id", "bits", F.expr("IF(doc_id IS NULL, NULL, component)").alias("component_id"))
 

@@ -137,21 +137,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    .mapInArrow(_parse(width), "name long, doc_id long, key long, span long"))
     # a document with the same words as an earlier one: all its windows stand there too
     whole = known.select("doc_id", "key", F.md5("data").alias("whole"))
-    first = whole.groupBy("whole").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    copies = staged(whole.join(first.select("whole", "lo"), "whole").filter("lo < doc_id").select("key").distinct())
-    shared = (found.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-              .filter("lo < hi").select("name"))
+    first = staged(whole.groupBy("whole").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+                   .filter("lo < hi").select("whole", "lo"))
+    copies = staged(whole.join(first, "whole").filter("lo < doc_id").select("key").distinct())
+    # tables of grouped keys are written before they are joined back: then the join's sides are
+    # plain shuffles, and AQE can split the rows of a hot key over tasks
+    shared = staged(found.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+                    .filter("lo < hi").select("name"))
+    discard(spark, first)
     spans = staged(found.select("name", "key", "span").join(shared, "name").join(copies, "key", "left_anti")
                    .groupBy("key").agg(F.collect_list("span").alias("spans")))
-    discard(spark, found)
+    discard(spark, found, shared)
     windows = staged(source.select("doc_id", "data", "key").join(spans, "key").select("doc_id", "data", "key", "spans")
                      .mapInArrow(_windows(width), "a long, b long, doc_id long, key long, at int"))
     discard(spark, spans)
-    least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    gone = staged(windows.join(least.select("a", "b", "lo"), ["a", "b"]).filter("lo < doc_id")
+    least = staged(windows.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+                   .filter("lo < hi").select("a", "b", "lo"))
+    discard(spark)
+    gone = staged(windows.join(least, ["a", "b"]).filter("lo < doc_id")
                   .groupBy("key").agg(F.collect_list("at").alias("ats"))
                   .unionByName(copies.select("key", F.array(F.lit(EVERYWHERE)).alias("ats"))))
-    discard(spark, windows, copies)
+    discard(spark, windows, least, copies)
     keep = ["doc_id", *carry]
     fields = {f.name: f.dataType.simpleString() for f in source.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in keep) + ", n_words long, n_removed long, kept binary"
