@@ -34,7 +34,7 @@ from flightlens.llm.runtime import prepare, rows_by_bytes
 
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 2048, 2048
 BUFFER = 512                     # open pieces of a task
-CACHE = 600_000                  # word ids a worker remembers; forgotten all at once
+CACHE = 450_000                  # word ids a worker remembers; forgotten all at once
 END_ID = 1
 
 # characters for which lower-casing and splitting below equal the library's; other texts go to it whole
