@@ -105,7 +105,7 @@ class Packer:
             self._put(doc, at, ids[4 * at:4 * (at + most)], n, self._new(), 0)
             at += most
         while at < n:
-            take = min(n - at, most) if loss is None else self._room(loss[at:], most)
+            take = min(n - at, most, int(self.limits[2])) if loss is None else self._room(loss[at:], most)
             self.open.append([doc, at, ids[4 * at:4 * (at + take)], None if loss is None else loss[at:at + take], n])
             at += take
         while len(self.open) >= BUFFER:
@@ -158,6 +158,8 @@ class Packer:
                     self.open[i] = [piece[0], piece[1] + take, piece[2][4 * take:],
                                     None if piece[3] is None else piece[3][take:], piece[4]]
             break
+        if not chosen:
+            raise AssertionError("a piece that fits no sequence")      # add() never makes one
         self.open = [p for p, a in zip(self.open, alive) if a]
         if last and self.cut and not self.open:
             self._powers(chosen)

@@ -258,15 +258,19 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                   .mapInArrow(_write(folder), "path string, records long"))
 
 
+def _spread(archives: DataFrame, *columns: str) -> DataFrame:
+    """About one task per archive: the rows are few and small, the files are not."""
+    return archives.select(*columns).repartition(max(1, archives.count()), "path")
+
+
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
     """Rewrite the archives in ``path``; returns the staged list ``path, index, records``."""
-    spread = archives.select("path").repartition(F.col("path"))
-    return staged(spread.mapInArrow(_normalise(folder), "path string, index string, records long"))
+    return staged(_spread(archives, "path").mapInArrow(_normalise(folder), "path string, index string, records long"))
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """``page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to`` of each record."""
-    return archives.select("path", "index").repartition(F.col("path")).mapInArrow(
+    return _spread(archives, "path", "index").mapInArrow(
         _read, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, "
                "record_type string, refers_to long")
 
