@@ -22,7 +22,7 @@ from .operators import reports as R
 from .params import STUDY_2024, StudyParams
 from .plans.magnitude import Magnitude
 from .plans.risk import Risk
-from .plans.stages import Study
+from .plans.stages import Study, input_state
 from .session import build_session, reliable_checkpoint
 from .sources.raw_csv import read_raw_csv
 from .sources.sinks import export_report_csv, publish_table, write_parquet
@@ -51,7 +51,7 @@ def run_study(spark: SparkSession, raw: str, out: str, params: StudyParams = STU
               table: str | None = None, models: bool = True) -> dict[str, str]:
     """Build every stage and write every result; returns {result name: path}."""
     out = out.rstrip("/")
-    st = Study(spark, params, raw=lambda: read_raw_csv(spark, raw), source_key=f"csv:{raw}")
+    st = Study(spark, params, raw=lambda: read_raw_csv(spark, raw), source_key=f"csv:{raw}:{input_state(spark, raw)}")
     flights = st.flights()
     if table:
         publish_table(flights, table)

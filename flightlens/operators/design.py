@@ -188,7 +188,7 @@ Prep = Callable[[pd.DataFrame, np.ndarray], tuple]
 
 
 def cross_products(cell_df: DataFrame, design: Design, prep: Prep, n_rhs: int,
-                   n_scalars: int, max_tasks: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                   n_scalars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sum over cells of X' diag(w) X, X' R and scalars s, where
     ``prep(pdf, X) -> (w, R, s)`` gives per-cell weights (len m), right-hand
     sides (m x n_rhs) and scalar contributions (n_scalars).
@@ -210,12 +210,8 @@ def cross_products(cell_df: DataFrame, design: Design, prep: Prep, n_rhs: int,
                 acc[p * p + p * n_rhs:] += np.asarray(s, dtype=float)
         yield pd.DataFrame({"k": np.arange(size, dtype=np.int64), "v": acc})
 
-    # each task emits p*p + p*k partial sums; a narrow coalesce (no shuffle)
-    # caps the tasks so the partials stay <= max_tasks * size rows however the
-    # cells were partitioned upstream
-    n_parts = cell_df.rdd.getNumPartitions()
-    src = cell_df.coalesce(max_tasks) if n_parts > max_tasks else cell_df
-    parts = src.mapInPandas(per_partition, "k long, v double")
+    # each task emits its p*p + p*k partial sums; they are added by position in a distributed sum
+    parts = cell_df.mapInPandas(per_partition, "k long, v double")
     total = np.zeros(size)
     for r in parts.groupBy("k").agg(F.sum("v").alias("v")).collect():
         total[r["k"]] = r["v"]

@@ -71,19 +71,13 @@ def top_levels(df: DataFrame, col: str, n: int) -> list:
     return [r[col] for r in rows]
 
 
-MAX_FACTOR_LEVELS = 100_000
-
-
-def all_levels_by_count(df: DataFrame, col: str, max_levels: int = MAX_FACTOR_LEVELS) -> list:
+def all_levels_by_count(df: DataFrame, col: str) -> list:
     """Every level of a factor, most frequent first (ties by level).
 
-    A factor's level list is model metadata and must be complete; a column
-    with more levels than ``max_levels`` is refused, never truncated.
+    A factor's level list is model metadata and must be complete: the design
+    has a column for each level, so whoever fits it can hold the list.
     """
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    n = counts.count()
-    if n > max_levels:
-        raise DataQualityError(f"{col} has {n} levels; too many for a treatment-coded factor")
     return [r[col] for r in counts.orderBy(F.col("_n").desc(), F.col(col)).collect()]
 
 
@@ -169,9 +163,8 @@ def histogram(df: DataFrame, col: str | Column, bins: int) -> DataFrame:
     x = F.col(col) if isinstance(col, str) else col
     vals = df.select(x.alias("v")).filter(F.col("v").isNotNull())
     mm = vals.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()[0]
-    if mm["lo"] is None:
-        return df.sparkSession.range(0).select(F.lit(0).alias("bin"))
-    lo, hi = float(mm["lo"]), float(mm["hi"])
+    # no value: all bins over [0, 1], with 0 rows each
+    lo, hi = (0.0, 1.0) if mm["lo"] is None else (float(mm["lo"]), float(mm["hi"]))
     if lo == hi:
         lo, hi = lo - 0.5, hi + 0.5
     step = (hi - lo) / bins

@@ -25,8 +25,6 @@ from ..operators.split import exact_sample
 from ..session import reliable_checkpoint
 from .stages import Study
 
-BROADCAST_ROWS_LIMIT = 100_000
-
 
 def late_only(df: DataFrame) -> DataFrame:
     return df.filter(F.col("arr_delay") > 0).withColumn("log_delay", F.log(F.col("arr_delay")))
@@ -41,7 +39,7 @@ class Magnitude:
     # -- frames ------------------------------------------------------------------
     @cached_property
     def _train_late_raw(self) -> DataFrame:
-        return late_only(self.study.train_sample())
+        return late_only(self.study.train())
 
     @cached_property
     def top_origins(self) -> list:
@@ -74,10 +72,10 @@ class Magnitude:
     @staticmethod
     def _rules() -> dict:
         return {
-            "arr_delay_not_positive": ~(F.col("arr_delay") > 0),
+            "arr_delay_not_positive": ~F.coalesce(F.col("arr_delay") > 0, F.lit(False)),
             "log_delay_not_finite": F.col("log_delay").isNull() | F.isnan("log_delay"),
             "dep_hour_bin_missing": F.col("dep_hour_bin").isNull(),
-            "distance_not_positive": ~(F.col("distance") > 0),
+            "distance_not_positive": ~F.coalesce(F.col("distance") > 0, F.lit(False)),
         }
 
     def _check(self, df: DataFrame, label: str) -> None:
@@ -148,10 +146,7 @@ class Magnitude:
         scoring refuses them) and of airlines without a train mean; any
         violation raises before a result is returned.
         """
-        means = self.b1_means
-        if means.count() <= BROADCAST_ROWS_LIMIT:     # one row per airline
-            means = F.broadcast(means)
-        te = self.test.join(means, "airline", "left")
+        te = self.test.join(self.b1_means, "airline", "left")
         preds = {
             "B0: train mean": F.lit(self.b0_value),
             "B1: per-airline mean": F.col("b1_pred"),
@@ -216,15 +211,16 @@ class Magnitude:
             [(bp["lm"], bp["lm_pvalue"], bp["fvalue"], bp["f_pvalue"], int(bp["df_model"]))],
             "lm double, lm_pvalue double, fvalue double, f_pvalue double, df_model int")
 
-    def find_term(self, factor: str, level) -> str:
-        needles = [factor] + ([str(level)] if level is not None else [])
-        matches = [n for n in self.m2_design.names if all(x in n for x in needles)]
-        if len(matches) != 1:
-            raise DataQualityError(f"expected exactly 1 term for {needles}, got {matches}")
-        return matches[0]
+    def design_term(self, column: str, level) -> str:
+        """Name of the M2 design column made from ``column`` (and, for a factor, ``level``)."""
+        design = self.m2_design
+        by_source = dict(zip(zip(design.term_column(), design.term_level()), design.names))
+        if (column, level) not in by_source:
+            raise DataQualityError(f"M2 has no column for {column} = {level!r}")
+        return by_source[column, level]
 
     def headline(self) -> DataFrame:
-        terms = [self.find_term(f, lv) for f, lv in self.params.headline_terms]
+        terms = [self.design_term(f, lv) for f, lv in self.params.headline_terms]
         order = F.array_position(F.array(*[F.lit(t) for t in terms]), F.col("term"))
         t = self.coefficients("m2").filter(F.col("term").isin(terms))
         return (t.select("term", "coef", "robust_se", "ci_low", "ci_high", "p_value",
@@ -240,12 +236,12 @@ class Magnitude:
     @cached_property
     def diag_sample(self) -> DataFrame:
         """Seeded exact-size sample of fitted rows with both residuals on one row."""
+        # ranked by source columns only: predictions may differ in their last bits between runs
+        rows = self.train.select(*self.m2_design.source_columns, "log_delay", "arr_delay")
         fitted = self.m2.predict()
-        rows = self.train.select(
-            *self.m2_design.source_columns, "log_delay", "arr_delay",
-            fitted.alias("fitted"), (F.col("log_delay") - fitted).alias("resid"),
-            (F.col("arr_delay") - self.m2_raw.predict()).alias("resid_raw"))
-        return exact_sample(rows, self.params.diag_sample_size, self.params.diag_seed)
+        return exact_sample(rows, self.params.diag_sample_size, self.params.diag_seed).withColumns({
+            "fitted": fitted, "resid": F.col("log_delay") - fitted,
+            "resid_raw": F.col("arr_delay") - self.m2_raw.predict()})
 
     def residuals_vs_fitted(self) -> DataFrame:
         return self.diag_sample.select("fitted", "resid")

@@ -35,7 +35,7 @@ from ..sources.raw_csv import read_raw_csv, write_raw_csv
 _PKG = Path(__file__).resolve().parent.parent
 _CODE_FILES = ["constants.py", "params.py", "functions/columns.py", "sources/fixture.py",
                "sources/raw_csv.py", "operators/clean.py", "operators/prepare.py",
-               "operators/split.py", "plans/stages.py"]
+               "operators/split.py", "operators/checks.py", "plans/stages.py"]
 
 
 def _code_digest() -> str:
@@ -61,6 +61,24 @@ def _exists(spark: SparkSession, path: str) -> bool:
             return False
 
 
+def input_state(spark: SparkSession, *patterns: str) -> str:
+    """Digest of the names, sizes and modification times of the files behind paths or globs."""
+    jvm, conf, seen = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for pattern in patterns:
+        path = jvm.org.apache.hadoop.fs.Path(pattern)
+        fs = path.getFileSystem(conf)
+        for top in fs.globStatus(path) or []:
+            files = fs.listFiles(top.getPath(), True)
+            while files.hasNext():
+                f = files.next()
+                seen.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(seen)).encode()).hexdigest()[:16]
+
+
+def fixture_state(spark: SparkSession, sf_dir: str) -> str:
+    return input_state(spark, *(f"{sf_dir.rstrip('/')}/{t}.parquet" for t in fixture.FLIGHT_TABLES))
+
+
 class Study:
     """Stage tables of one input under one parameter set."""
 
@@ -72,7 +90,7 @@ class Study:
         if raw is None:
             assert sf_dir is not None, "either sf_dir (shipped tables) or a raw frame builder"
             raw = lambda: fixture.raw_flights(spark, sf_dir)
-            source_key = source_key or f"fixture:{sf_dir.rstrip('/')}"
+            source_key = source_key or f"fixture:{sf_dir.rstrip('/')}:{fixture_state(spark, sf_dir)}"
         self._raw = raw
         key = f"{source_key}|{params.key()}|{_code_digest()}"
         self.key = hashlib.sha1(key.encode()).hexdigest()[:16]
@@ -167,10 +185,11 @@ _STUDIES: dict[tuple, Study] = {}
 
 def study_for(spark: SparkSession, sf_dir: str, params: StudyParams = FIXTURE) -> Study:
     """Shared Study per (session, input, parameters) so queries reuse stage tables."""
-    k = (id(spark), sf_dir.rstrip("/"), params.key())
+    k, state = (id(spark), sf_dir.rstrip("/"), params.key()), fixture_state(spark, sf_dir)
     st = _STUDIES.get(k)
-    if st is None or st.spark is not spark:
-        st = Study(spark, params, sf_dir=sf_dir)
+    if st is None or st.spark is not spark or getattr(st, "state", state) != state:
+        st = Study(spark, params, sf_dir=sf_dir)     # new, or the files are not those of last time
+        st.state = state
         _STUDIES[k] = st
     return st
 

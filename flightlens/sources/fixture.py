@@ -17,13 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FLIGHT_TABLES = ["lineitem", "orders", "customer", "supplier", "part", "nation"]
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-NATION_BROADCAST_ROWS = 10_000
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -39,9 +37,6 @@ def raw_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     origin_n = nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("origin_name"))
     dest_n = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("dest_name"))
-    # nation has 25 rows in this schema; broadcast it only after checking that
-    if nation.count() <= NATION_BROADCAST_ROWS:
-        origin_n, dest_n = F.broadcast(origin_n), F.broadcast(dest_n)
 
     j = (li.join(orders, li.l_orderkey == orders.o_orderkey)
            .join(cust, F.col("o_custkey") == F.col("c_custkey"))

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import csv
 from collections import OrderedDict
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 
 from .. import constants as C
 
-MAX_FILES_FOR_HEADER_SCAN = 256
+HEADER_READERS = 32          # first lines read at a time
 
 
 def list_files(spark: SparkSession, path: str) -> list[str]:
@@ -72,22 +73,23 @@ def _read_group(spark: SparkSession, files: list[str], header: tuple[str, ...])
     return df.select(*[F.col(f"`{c}`") for c in keep])
 
 
-def read_raw_csv(spark: SparkSession, path: str, layout: str = "auto") -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str, layout: str = "by_header") -> DataFrame:
     """All raw files under ``path`` with the mapped source columns only.
 
-    layout: "by_header" (group files by header), "single" (one validated
-    scan), or "auto" (by_header up to MAX_FILES_FOR_HEADER_SCAN files).
+    layout: "by_header" (files are grouped by their header, however many there
+    are) or "single" (the caller knows they are alike: one scan, and Spark
+    rejects a file with another header).
     """
     files = list_files(spark, path)
     if not files:
         raise FileNotFoundError(path)
-    if layout == "auto":
-        layout = "by_header" if len(files) <= MAX_FILES_FOR_HEADER_SCAN else "single"
     if layout == "single":
         return _read_group(spark, files, file_header(spark, files[0]))
     groups: OrderedDict[tuple, list[str]] = OrderedDict()
-    for f in files:
-        groups.setdefault(file_header(spark, f), []).append(f)
+    with ThreadPoolExecutor(HEADER_READERS) as pool:        # waits for storage, not for the CPU
+        headers = pool.map(lambda f: file_header(spark, f), files)
+        for f, header in zip(files, headers):
+            groups.setdefault(header, []).append(f)
     frames = [_read_group(spark, fs, h) for h, fs in groups.items()]
     out = frames[0]
     for fr in frames[1:]:
