@@ -243,17 +243,22 @@ def sensitivity(val_sweep: DataFrame, test_sweep: DataFrame,
     )
 
 
+FINDINGS = ("first_ratio_flagging_under_half", "lowest_ratio_with_meaningful_saving")
+
+
 def sensitivity_findings(sens: DataFrame, flagged_limit: float = C.FLAGGED_SHARE_LIMIT,
                          saving_pct: float = C.MEANINGFUL_SAVING_PCT) -> DataFrame:
-    """Two findings: first ratio (high to low) flagging under 50%, and the
-    lowest ratio saving at least 10% against flagging everything."""
+    """Two findings, a row each: the highest ratio flagging under 50%, and the
+    lowest ratio saving at least 10% against flagging everything. A finding
+    that no cost pair shows keeps its row, with nulls."""
     under = (sens.filter(F.col("flagged_share") < flagged_limit)
              .orderBy(F.col("cost_ratio_fn_fp").desc(), F.col("scenario")).limit(1)
-             .select(F.lit("first_ratio_flagging_under_half").alias("finding"), "*"))
+             .select(F.lit(FINDINGS[0]).alias("finding"), "*"))
     saving = (sens.filter(F.col("savings_pct_of_flag_all") >= saving_pct)
               .orderBy(F.col("cost_ratio_fn_fp").asc(), F.col("scenario")).limit(1)
-              .select(F.lit("lowest_ratio_with_meaningful_saving").alias("finding"), "*"))
-    return under.unionByName(saving)
+              .select(F.lit(FINDINGS[1]).alias("finding"), "*"))
+    names = sens.sparkSession.createDataFrame([(n,) for n in FINDINGS], "finding string")
+    return names.join(under.unionByName(saving), "finding", "left")
 
 
 def report_at(test_hist_sweep: DataFrame, threshold_k: int, c_fp: float, c_fn: float) -> DataFrame:

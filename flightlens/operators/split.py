@@ -67,27 +67,63 @@ def check_windows(row, stage: str) -> None:
 
 # --- exact-size seeded sample -------------------------------------------------
 
-def _unit(h: Column) -> Column:
-    """Signed 64-bit hash -> [0, 1], monotone in the hash."""
-    return (h.cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64)
+HOT_COPIES = 1 << 16         # copies of one row written by one record at most
 
 
-def exact_sample(df: DataFrame, n: int, seed: int, buckets: int = 1024,
+def row_text(df: DataFrame) -> Column:
+    """A row as text, the same in any engine: columns in order, joined by ``|``.
+
+    NULL is ``\\N``; a fractional number is its millionths as a whole number
+    (rows that differ only beyond that are told apart by their values).
+    """
+    parts = []
+    for f in df.schema.fields:
+        c, text = F.col(f.name), F.col(f.name).cast("string")
+        if f.dataType.typeName() in ("double", "float"):
+            text = F.coalesce((c.cast("double") * F.lit(1e6)).try_cast("decimal(38,0)").cast("string"), text)
+        parts.append(F.coalesce(text, F.lit("\\N")))
+    return F.concat_ws("|", *parts)
+
+
+def rank_key(df: DataFrame, seed: int) -> Column:
+    """md5 of the seed and the row's text: 32 hex digits."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), row_text(df)))
+
+
+def _unit(key: Column) -> Column:
+    """Hex digest -> [0, 1), monotone in the digest (its first 52 bits)."""
+    return F.conv(F.substring(key, 1, 13), 16, 10).cast("double") / F.lit(2.0 ** 52)
+
+
+def _expand(kept: DataFrame, cols: list[str]) -> DataFrame:
+    """Each row ``_k`` times; a hot row is cut into chunks that are dealt over the tasks first."""
+    def times(df, k):
+        return df.select(*cols, F.explode(F.sequence(F.lit(1).cast("bigint"), k)).alias("_i")).select(*cols)
+    k = F.col("_k").cast("bigint")
+    cool = times(kept.filter(k <= HOT_COPIES), k)
+    chunk = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((k - 1) / HOT_COPIES))).alias("_chunk")
+    hot = kept.filter(k > HOT_COPIES).select(*cols, "_k", chunk)
+    hot = hot.select(*cols, F.least(F.lit(HOT_COPIES), k - F.col("_chunk") * HOT_COPIES).cast("bigint").alias("_k"))
+    return cool.unionByName(times(hot.repartition(hot.sparkSession.sparkContext.defaultParallelism), F.col("_k")))
+
+
+def exact_sample(df: DataFrame, n: int, seed: int, buckets: int | None = None,
                  oversample: float = 1.1) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows, the same ones on every run.
+    """Exactly ``min(n, rows)`` rows, the same ones on every run and partitioning.
 
-    Rows are ranked by (xxhash64(seed, all columns), all columns): a seeded
-    random permutation that needs no row key; identical rows are
-    interchangeable, so the chosen multiset is unique. The n smallest are
-    found without a global sort of the table:
+    Rows are ranked by (md5 of the seed and the row's text, all columns): a
+    seeded random permutation that needs no row key and that SQL elsewhere can
+    repeat; identical rows are interchangeable, so the chosen multiset is
+    unique. The n smallest are found without a global sort of the table:
 
-    1. count rows (Parquet metadata);
-    2. keep candidates whose hash falls in the lowest ~1.1 n/N of the range,
+    1. count rows;
+    2. keep candidates whose digest falls in the lowest ~1.1 n/N of the range,
        collapsed to (distinct row, copies) -- partial aggregation first, so a
        row repeated a billion times is one record -- and write them to the
        checkpoint folder (one scan);
-    3. histogram the candidate copies into ``buckets`` hash ranges (<= buckets
-       rows reach the driver) and find the range holding the n-th row;
+    3. histogram the candidate copies into ``buckets`` ranges (about n/50,000
+       and 1024 at least; one number each reaches the driver) and find the
+       range holding the n-th row;
     4. every candidate of lower ranges, plus the first ones of that range by
        the full key with a running count of copies (~n/buckets distinct rows);
        each kept row is expanded to the number of copies it contributes.
@@ -96,9 +132,9 @@ def exact_sample(df: DataFrame, n: int, seed: int, buckets: int = 1024,
     total = df.count()
     if n >= total:
         return df
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])
+    buckets = buckets or max(1024, n // 50_000)
     q = min(1.0, n / total * oversample + 64.0 / total)
-    keyed = df.select(*cols, h.alias("_h"))
+    keyed = df.select(*cols, rank_key(df, seed).alias("_h"))
     while True:
         cand = reliable_checkpoint(keyed.filter(_unit(F.col("_h")) <= F.lit(q))
                                    .groupBy("_h", *cols).agg(F.count(F.lit(1)).alias("_c")))
@@ -125,5 +161,4 @@ def exact_sample(df: DataFrame, n: int, seed: int, buckets: int = 1024,
             .withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
             .filter(F.col("_before") < F.lit(need))
             .select(*cols, F.least(F.col("_c"), F.lit(need) - F.col("_before")).alias("_k")))
-    kept = below.unionByName(edge)
-    return kept.select(*cols, F.explode(F.sequence(F.lit(1), F.col("_k").cast("int"))).alias("_copy")).select(*cols)
+    return _expand(below.unionByName(edge), cols)

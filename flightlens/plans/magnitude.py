@@ -1,6 +1,6 @@
 """How late does a late flight run? Log-linear OLS with HC1 errors.
 
-Fit population: rows of the seeded train sample with arr_delay > 0; test
+Fit population: all train rows with arr_delay > 0; test
 rows with arr_delay > 0 are only scored. Every fitted object (top-N airport
 sets, reference airline, level lists, per-airline means) comes from the
 train frame and is passed on as a value, so the test frame never shapes a
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import columns as X
-from ..functions.udfs import normal_quantile
+from ..functions import dist
 from ..operators import ols as O
 from ..operators import profile as PR
 from ..operators.checks import DataQualityError, require
@@ -235,13 +235,16 @@ class Magnitude:
     # -- diagnostics ------------------------------------------------------------------
     @cached_property
     def diag_sample(self) -> DataFrame:
-        """Seeded exact-size sample of fitted rows with both residuals on one row."""
-        # ranked by source columns only: predictions may differ in their last bits between runs
-        rows = self.train.select(*self.m2_design.source_columns, "log_delay", "arr_delay")
+        """Seeded exact-size sample of the late train rows, then both residuals of each.
+
+        Ranked by source columns only, so a coefficient's last bit changes no
+        choice, and only the sample is scored. Written once: three reports read it.
+        """
+        rows = exact_sample(self._train_late_raw.drop("log_delay"), self.params.diag_sample_size, self.params.diag_seed)
         fitted = self.m2.predict()
-        return exact_sample(rows, self.params.diag_sample_size, self.params.diag_seed).withColumns({
-            "fitted": fitted, "resid": F.col("log_delay") - fitted,
-            "resid_raw": F.col("arr_delay") - self.m2_raw.predict()})
+        return reliable_checkpoint(self.features(late_only(rows)).select(
+            fitted.alias("fitted"), (F.col("log_delay") - fitted).alias("resid"),
+            (F.col("arr_delay") - self.m2_raw.predict()).alias("resid_raw")))
 
     def residuals_vs_fitted(self) -> DataFrame:
         return self.diag_sample.select("fitted", "resid")
@@ -265,7 +268,7 @@ class Magnitude:
         m = (F.when(F.col("i") == F.col("n"), last)
               .when(F.col("i") == 1, F.lit(1.0) - last)
               .otherwise((i - F.lit(0.3175)) / (n + F.lit(0.365))))
-        pts = pts.withColumn("u", m).withColumn("theoretical", normal_quantile(F.col("u")))
+        pts = pts.withColumn("u", m).withColumn("theoretical", F.expr(dist.norm_ppf_sql("u")))
         pts = pts.select("model", "i", "theoretical", "sample")
         lines = pts.groupBy("model").agg(
             F.regr_slope("sample", "theoretical").alias("slope"),

@@ -18,6 +18,8 @@ from .risk import Risk
 from .stages import study_for
 
 P = FIXTURE
+# (false alarm, missed delay); the study's own pairs show no finding on the shipped tables
+FINDING_SCENARIOS = ((1.0, 8.0), (1.0, 4.0), (1.0, 2.0), (1.0, 1.0), (2.0, 1.0), (4.0, 1.0))
 _MAG: dict[str, Magnitude] = {}
 _RISK: dict[str, Risk] = {}
 
@@ -87,15 +89,16 @@ def q_ols_m2_bp_stats(spark, sf_dir):
 
 
 def q_ols_residuals_sample(spark, sf_dir):
-    return magnitude(spark, sf_dir).residuals_vs_fitted()
+    return _round(magnitude(spark, sf_dir).residuals_vs_fitted())
 
 
 def q_ols_qq_points(spark, sf_dir):
-    return magnitude(spark, sf_dir).qq()[0]
+    return _round(magnitude(spark, sf_dir).qq()[0])
 
 
 def q_ols_qq_lines(spark, sf_dir):
-    return magnitude(spark, sf_dir).qq()[1]
+    """Lines through the points of the diagnostic sample."""
+    return _round(magnitude(spark, sf_dir).qq()[1])
 
 
 # closed-form checkable fits on the full late train rows
@@ -163,7 +166,8 @@ def q_risk_baselines(spark, sf_dir):
 
 
 def q_risk_fit_summary(spark, sf_dir):
-    return risk(spark, sf_dir).fit_summary()
+    """Facts of the deployed fit; the solver's name and step count are left to ``Risk.fit_summary``."""
+    return _round(risk(spark, sf_dir).fit_summary().drop("solver", "n_iter"))
 
 
 def q_risk_coefficients(spark, sf_dir):
@@ -210,13 +214,19 @@ def q_risk_sensitivity_findings(spark, sf_dir):
     return _round(risk(spark, sf_dir).findings())
 
 
+def q_risk_findings_by_ratio(spark, sf_dir):
+    """The findings for cost pairs from missed delays dear to false alarms dear."""
+    return _round(risk(spark, sf_dir).findings(FINDING_SCENARIOS))
+
+
 def q_risk_inference_coefficients(spark, sf_dir):
     """Unpenalised logit: estimate, standard error, odds ratio and its interval per term, pseudo R^2."""
     fit = risk(spark, sf_dir).inference
-    t = fit.table(spark).filter(~F.isnan("coef"))
-    return _round(t.select("term", "coef", "se", F.exp("coef").alias("odds_ratio"),
-                           F.exp("ci_low").alias("or_ci_low"), F.exp("ci_high").alias("or_ci_high"),
-                           F.lit(float(fit.pseudo_r2)).alias("pseudo_r2")))
+    t = fit.table(spark)     # a term without data has no estimate: NULL, not NaN
+    known = {c: F.when(~F.isnan(c), F.col(c)) for c in ("coef", "se", "ci_low", "ci_high")}
+    return _round(t.withColumns(known).select(
+        "term", "coef", "se", F.exp("coef").alias("odds_ratio"), F.exp("ci_low").alias("or_ci_low"),
+        F.exp("ci_high").alias("or_ci_high"), F.lit(float(fit.pseudo_r2)).alias("pseudo_r2")))
 
 
 def q_risk_odds_ratios(spark, sf_dir):
@@ -228,7 +238,7 @@ def q_risk_odds_picks(spark, sf_dir):
 
 
 def q_risk_inference_summary(spark, sf_dir):
-    return risk(spark, sf_dir).inference_summary()
+    return _round(risk(spark, sf_dir).inference_summary().drop("iterations"))
 
 
 def q_risk_other_shares(spark, sf_dir):
@@ -312,6 +322,11 @@ def q_eval_rate_findings(spark, sf_dir):
     return _round(E.sensitivity_findings(E.sensitivity(vs, ts, P.cost_scenarios)))
 
 
+def q_eval_rate_findings_by_ratio(spark, sf_dir):
+    vs, ts = _rate_sweeps(spark, sf_dir)
+    return _round(E.sensitivity_findings(E.sensitivity(vs, ts, FINDING_SCENARIOS)))
+
+
 def q_eval_rate_recal_intercept(spark, sf_dir):
     """Intercept refit with the hour-rate log-odds as offset on the first test weeks."""
     _, te = _rate_scored(spark, sf_dir)
@@ -357,6 +372,7 @@ MODEL_QUERIES = {
     "risk_threshold_report": q_risk_threshold_report,
     "risk_cost_sensitivity": q_risk_cost_sensitivity,
     "risk_sensitivity_findings": q_risk_sensitivity_findings,
+    "risk_findings_by_ratio": q_risk_findings_by_ratio,
     "risk_inference_coefficients": q_risk_inference_coefficients,
     "risk_odds_ratios": q_risk_odds_ratios,
     "risk_odds_picks": q_risk_odds_picks,
@@ -370,5 +386,6 @@ MODEL_QUERIES = {
     "eval_rate_threshold_costs": q_eval_rate_threshold_costs,
     "eval_rate_sensitivity": q_eval_rate_sensitivity,
     "eval_rate_findings": q_eval_rate_findings,
+    "eval_rate_findings_by_ratio": q_eval_rate_findings_by_ratio,
     "eval_rate_recal_intercept": q_eval_rate_recal_intercept,
 }

@@ -8,6 +8,7 @@ the oracle SQL) so results compare exactly across engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,8 @@ from ..operators import clean as clean_op
 from ..operators import profile as PR
 from ..operators import reports as R
 from ..params import FIXTURE
+from ..session import work_root
+from ..sources import sinks
 from .stages import csv_study, study_for
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +108,22 @@ def _sql_report(name):
     return q
 
 
+def q_published_delay_by_airline(spark, sf_dir):
+    """The carrier report published as a catalog table (replaced if there), read back from it."""
+    path = f"{work_root(spark)}/tables/{uuid.uuid4().hex}"
+    report = R.delay_by_airline(_st(spark, sf_dir).flights())
+    sinks.publish_table(report.limit(0), "flightlens_delay_by_airline", path=path)
+    return sinks.publish_table(report, "flightlens_delay_by_airline", path=path)
+
+
+def q_exported_worst_routes(spark, sf_dir):
+    """The route extract exported as CSV and read back."""
+    path = f"{work_root(spark)}/exports/{uuid.uuid4().hex}"
+    report = R.worst_routes_export(_st(spark, sf_dir).flights(), P.route_min_flights)
+    sinks.export_report_csv(report, path)
+    return sinks.read_report_csv(report, path)
+
+
 def q_dashboard_one_pass(spark, sf_dir):
     return R.dashboard_one_pass(_st(spark, sf_dir).flights(), P.airport_min_flights,
                                 P.airport_top_k, P.route_min_flights)
@@ -219,6 +238,8 @@ QUERIES: dict[str, QueryFn] = {
     "delay_by_airline_export": q_delay_by_airline_export,
     "worst_routes_export": q_worst_routes_export,
     "delay_heatmap_export": q_delay_heatmap_export,
+    "published_delay_by_airline": q_published_delay_by_airline,
+    "exported_worst_routes": q_exported_worst_routes,
     "model_table": q_model_table,
     "prep_report": q_prep_report,
     "split_summary": q_split_summary,

@@ -330,12 +330,12 @@ class Risk:
     @cached_property
     def val_sweep(self) -> DataFrame:
         h = E.threshold_histogram(self.val_cells, self.model.prob(), F.col("pos"), F.col("neg"))
-        return E.threshold_sweep(h).cache()
+        return reliable_checkpoint(E.threshold_sweep(h))     # 91 rows
 
     @cached_property
     def test_sweep(self) -> DataFrame:
         h = E.threshold_histogram(self.test_cells, self.model.prob(), F.col("pos"), F.col("neg"))
-        return E.threshold_sweep(h).cache()
+        return reliable_checkpoint(E.threshold_sweep(h))     # 91 rows
 
     def threshold_costs(self) -> DataFrame:
         return self.val_sweep.select("k", "threshold", "fp", "fn", "n",
@@ -358,11 +358,11 @@ class Risk:
         default_cost = float(b.select("cost_per_1000").collect()[0][0])   # one scalar
         return both.withColumn("saving_vs_default_per_1000", F.lit(default_cost) - F.col("cost_per_1000"))
 
-    def sensitivity(self) -> DataFrame:
-        return E.sensitivity(self.val_sweep, self.test_sweep, self.p.cost_scenarios)
+    def sensitivity(self, scenarios=None) -> DataFrame:
+        return E.sensitivity(self.val_sweep, self.test_sweep, scenarios or self.p.cost_scenarios)
 
-    def findings(self) -> DataFrame:
-        return E.sensitivity_findings(self.sensitivity())
+    def findings(self, scenarios=None) -> DataFrame:
+        return E.sensitivity_findings(self.sensitivity(scenarios))
 
     def odds_ratios(self) -> DataFrame:
         return L.odds_ratio_table(self.inference, self.spark)

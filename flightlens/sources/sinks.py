@@ -11,11 +11,17 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     w.parquet(path)
 
 
-def publish_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Replace a catalog table (the warehouse load) and return it as read back."""
+
+def publish_table(df: DataFrame, name: str, partition_by: list[str] | None = None, path: str | None = None) -> DataFrame:
+    """Replace a catalog table (the warehouse load) and return it as read back.
+
+    ``path``: keep the table's files there instead of in the warehouse folder.
+    """
     w = df.write.mode("overwrite").format("parquet")
     if partition_by:
         w = w.partitionBy(*partition_by)
+    if path:
+        w = w.option("path", path)
     w.saveAsTable(name)
     return df.sparkSession.table(name)
 
@@ -27,3 +33,8 @@ def export_report_csv(report: DataFrame, path: str) -> None:
     size follows those levels and not the number of flights.
     """
     report.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_report_csv(like: DataFrame, path: str) -> DataFrame:
+    """An exported report read back with the columns and types of ``like``."""
+    return like.sparkSession.read.schema(like.schema).option("header", True).option("enforceSchema", False).csv(path)

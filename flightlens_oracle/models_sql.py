@@ -9,14 +9,16 @@
   metric recomputed from the SQL fit's own scores;
 * evaluation operators on the per-hour rate scorer: brute-force SQL.
 
-Queries whose Spark side fits on the seeded train sample assume, as at the
-shipped scales, that train has at most ``sample_size`` rows (the sample is
-then all of train).
+The inference logit is fitted on the seeded train sample; its SQL takes all of
+train, which is the same while train has at most ``sample_size`` rows, as at
+the shipped scales. The diagnostic and the 10,000-row sample are smaller than
+their tables, and SQL repeats the choice.
 """
 
 from __future__ import annotations
 
 from flightlens import constants as C
+from flightlens.functions.dist import norm_ppf_sql
 from flightlens.params import FIXTURE
 
 from .ctes import d, r6, split_ctes, with_
@@ -167,8 +169,8 @@ sweep_t AS (SELECT th.k, th.threshold,
   FROM th CROSS JOIN st GROUP BY th.k, th.threshold)"""
 
 
-def _sensitivity_body() -> str:
-    sc = ", ".join(f"({i}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for i, (a, b) in enumerate(P.cost_scenarios))
+def _sensitivity_body(scenarios=P.cost_scenarios) -> str:
+    sc = ", ".join(f"({i}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for i, (a, b) in enumerate(scenarios))
     return f""",
 scen(scenario, cost_fp, cost_fn) AS (VALUES {sc}),
 costs AS (SELECT scen.*, sweep_v.k, sweep_v.threshold,
@@ -184,6 +186,22 @@ sens AS (SELECT best.scenario, best.cost_fp, best.cost_fn, best.cost_fn / best.c
   FROM best JOIN sweep_t t USING (k))"""
 
 
+FINDING_SCENARIOS = ((1.0, 8.0), (1.0, 4.0), (1.0, 2.0), (1.0, 1.0), (2.0, 1.0), (4.0, 1.0))
+
+
+def _findings_body() -> str:
+    """Both findings, a row each; nulls where no cost pair shows one."""
+    return f""",
+f1 AS (SELECT 'first_ratio_flagging_under_half' AS finding, * FROM sens WHERE flagged_share < {C.FLAGGED_SHARE_LIMIT}
+       ORDER BY cost_ratio_fn_fp DESC, scenario LIMIT 1),
+f2 AS (SELECT 'lowest_ratio_with_meaningful_saving' AS finding, * FROM sens
+       WHERE (flag_all_cost_per_1000 - model_cost_per_1000) / flag_all_cost_per_1000 * 100.0 >= {C.MEANINGFUL_SAVING_PCT}
+       ORDER BY cost_ratio_fn_fp ASC, scenario LIMIT 1),
+f AS (SELECT * FROM f1 UNION ALL SELECT * FROM f2),
+fn(finding) AS (VALUES ('first_ratio_flagging_under_half'), ('lowest_ratio_with_meaningful_saving'))
+SELECT finding, {_sens_cols('f.')} FROM fn LEFT JOIN f USING (finding)"""
+
+
 def _sens_cols(prefix: str = "") -> str:
     p = prefix
     return (f"{p}scenario, {r6(f'{p}cost_fp')} AS cost_fp, {r6(f'{p}cost_fn')} AS cost_fn, "
@@ -248,6 +266,68 @@ lf AS (SELECT ln(arr_delay) AS y, {hb} AS dep_hour_bin, dow, holiday_flag, airli
        FROM late0)"""
 
 
+_MODEL_KINDS = {"distance": "double", "arr_delay": "double"}
+
+
+def _sampled(src: str, n: int, seed: int) -> str:
+    """The n rows of a model-table relation with the smallest md5 of seed and row text."""
+    text = ", ".join("COALESCE(" + (f"CAST(TRY_CAST({c} * CAST(1e6 AS DOUBLE) AS DECIMAL(38,0)) AS VARCHAR)"
+                                    if c in _MODEL_KINDS else f"CAST({c} AS VARCHAR)") + ", '\\N')" for c in C.MODEL_COLUMNS)
+    return (f"SELECT {', '.join(C.MODEL_COLUMNS)} FROM {src} "
+            f"ORDER BY md5('{seed}|' || concat_ws('|', {text})), {', '.join(C.MODEL_COLUMNS)} LIMIT {n}")
+
+
+def _diagnostics(tail: str) -> str:
+    """``dg(resid, resid_raw, fitted)``: sampled late train rows under M2 and its raw-minutes twin."""
+    from .ols_sql import entry_selects, ols_hc1_sql
+    terms = _m_terms(True)
+    keys = ", ".join(t["col"] for t in terms)
+    hb = ("CASE WHEN dep_hour <= 4 THEN 'red_eye' WHEN dep_hour <= 7 THEN 'early_morning' "
+          "WHEN dep_hour <= 11 THEN 'morning' WHEN dep_hour <= 15 THEN 'midday' "
+          "WHEN dep_hour <= 19 THEN 'evening' WHEN dep_hour <= 23 THEN 'night' END")
+    es, _ = entry_selects(terms, "ds", "rid")
+    body = _late_features() + ",\n" + ols_hc1_sql("lf", "y", terms, output="chain") + f""",
+minutes AS (SELECT {keys}, SUM(exp(y)) AS m FROM lf GROUP BY {keys}),
+xm AS (SELECT e.j AS i, SUM(minutes.m * e.v) AS v FROM e JOIN c USING (cid) JOIN minutes USING ({keys}) GROUP BY 1),
+beta_raw AS (SELECT ginv.i, SUM(ginv.v * xm.v) AS b FROM ginv JOIN xm ON xm.i = ginv.j GROUP BY ginv.i),
+smp AS ({_sampled('late0', P.diag_sample_size, P.diag_seed)}),
+ds AS (SELECT ROW_NUMBER() OVER () AS rid, arr_delay, ln(arr_delay) AS y, {hb} AS dep_hour_bin, dow, holiday_flag, airline,
+              CASE WHEN origin IN (SELECT origin FROM tor) THEN origin ELSE 'OTHER' END AS origin_top,
+              CASE WHEN dest IN (SELECT dest FROM tde) THEN dest ELSE 'OTHER' END AS dest_top,
+              ln(distance) AS log_distance FROM smp),
+de(rid, j, v) AS ({" UNION ALL ".join(es)}),
+df AS (SELECT rid, SUM(de.v * beta.b) AS f, SUM(de.v * beta_raw.b) AS fr
+       FROM de JOIN beta ON beta.i = de.j JOIN beta_raw ON beta_raw.i = de.j GROUP BY rid),
+dg AS (SELECT df.f AS fitted, ds.y - df.f AS resid, ds.arr_delay - df.fr AS resid_raw FROM ds JOIN df USING (rid)),
+pts AS (SELECT model, sample, CAST(ROW_NUMBER() OVER (PARTITION BY model ORDER BY sample) AS INTEGER) AS i,
+               COUNT(*) OVER (PARTITION BY model) AS n
+        FROM (SELECT 'log' AS model, resid AS sample FROM dg UNION ALL SELECT 'raw', resid_raw FROM dg)),
+med AS (SELECT *, CASE WHEN i = n THEN pow(CAST(0.5 AS DOUBLE), CAST(1.0 AS DOUBLE) / n)
+                       WHEN i = 1 THEN 1 - pow(CAST(0.5 AS DOUBLE), CAST(1.0 AS DOUBLE) / n)
+                       ELSE (i - CAST(0.3175 AS DOUBLE)) / (n + CAST(0.365 AS DOUBLE)) END AS u FROM pts),
+qq AS (SELECT model, i, sample, {norm_ppf_sql('u')} AS theoretical FROM med)
+{tail}"""
+    return with_(split_ctes(P), body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _risk_summaries() -> dict[str, str]:
+    from .ols_sql import logit_irls_sql
+    fit = with_(split_ctes(P), _risk_features(fit_only=True) + ",\n"
+                + logit_irls_sql("rfit", "is_delayed", _deploy_terms(), penalty=1.0, output="chain") + f""",
+rvs AS (SELECT * FROM rf WHERE flight_date >= {d(P.fit_cutoff)} AND flight_date <= {d(P.validation_end)})
+SELECT TRUE AS converged, {r6('(SELECT b FROM coefs WHERE i = 0)')} AS intercept,
+  (SELECT CAST(COUNT(*) AS DOUBLE) FROM rfit) AS fit_rows,
+  {r6('(SELECT AVG(CASE WHEN is_delayed THEN 1.0 ELSE 0.0 END) FROM rfit)')} AS fit_delay_rate,
+  (SELECT CAST(COUNT(*) AS DOUBLE) FROM rvs) AS validation_rows,
+  {r6('(SELECT AVG(CASE WHEN is_delayed THEN 1.0 ELSE 0.0 END) FROM rvs)')} AS validation_delay_rate,
+  (SELECT airline FROM rf GROUP BY airline ORDER BY COUNT(*) DESC, airline LIMIT 1) AS ref_airline,
+  (SELECT ref FROM refap) AS ref_airport, dims.p - 1 AS n_features FROM dims""")
+    inference = with_(split_ctes(P), _risk_features() + ",\n"
+                      + logit_irls_sql("rf", "is_delayed", _risk_terms(), output="stats"))
+    return {"risk_fit_summary": fit.replace("WITH ", "WITH RECURSIVE ", 1),
+            "risk_inference_summary": inference.replace("WITH ", "WITH RECURSIVE ", 1)}
+
+
 def _m_terms(full: bool) -> list[dict]:
     from .ols_sql import _levels_values
     terms = [
@@ -525,22 +605,22 @@ UNION ALL SELECT 'after', * FROM ({calib('rem', 'p_after')})"""
         "risk_chosen_threshold": q(chosen),
         "risk_threshold_report": q(report),
         "risk_cost_sensitivity": q(sens + f"\nSELECT {_sens_cols()} FROM sens"),
-        "risk_sensitivity_findings": q(sens + f""",
-f1 AS (SELECT 'first_ratio_flagging_under_half' AS finding, * FROM sens WHERE flagged_share < {C.FLAGGED_SHARE_LIMIT}
-       ORDER BY cost_ratio_fn_fp DESC, scenario LIMIT 1),
-f2 AS (SELECT 'lowest_ratio_with_meaningful_saving' AS finding, * FROM sens
-       WHERE (flag_all_cost_per_1000 - model_cost_per_1000) / flag_all_cost_per_1000 * 100.0 >= {C.MEANINGFUL_SAVING_PCT}
-       ORDER BY cost_ratio_fn_fp ASC, scenario LIMIT 1),
-f AS (SELECT * FROM f1 UNION ALL SELECT * FROM f2)
-SELECT finding, {_sens_cols('f.')} FROM f"""),
+        "risk_sensitivity_findings": q(sens + _findings_body()),
+        "risk_findings_by_ratio": q(_sensitivity_body(FINDING_SCENARIOS) + _findings_body()),
         "risk_recalibration": q(recal),
         "risk_recalibration_curves": q(curves),
     }
 
 
 def _risk_inference() -> str:
+    """A level of the design without rows (only OTHER can be one) has no estimate: nulls."""
     from .ols_sql import logit_irls_sql
-    sql = with_(split_ctes(P), _risk_features() + ",\n" + logit_irls_sql("rf", "is_delayed", _risk_terms()))
+    unseen = " UNION ALL ".join(
+        f"SELECT 'C({c})[T.OTHER]' AS term WHERE NOT EXISTS (SELECT 1 FROM rf WHERE {c} = 'OTHER')"
+        for c in ("origin_top", "dest_top"))
+    body = logit_irls_sql("rf", "is_delayed", _risk_terms()) + f"""
+UNION ALL SELECT term, NULL, NULL, NULL, NULL, NULL, {r6('1 - ll.llf / ll0.llnull')} FROM ({unseen}), ll, ll0"""
+    sql = with_(split_ctes(P), _risk_features() + ",\n" + body)
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
@@ -577,7 +657,6 @@ def models_sql() -> dict[str, str]:
         "bp_dow": _bp_dow(),
         "logit_dow": _logit_dow(),
         "ols_baselines": _ols_baselines(),
-        # the seeded sample is the whole train table at the checked scales (train <= sample_size rows)
         "ols_m1_hc1": _ols_hc1(full=False),
         "ols_m2_hc1": _ols_hc1(full=True),
         "ols_m2_bp_stats": _ols_hc1(full=True, output="bp"),
@@ -590,6 +669,13 @@ def models_sql() -> dict[str, str]:
                                          f"LIMIT {C.TOP_COEFFICIENTS}"),
         "ols_headline": _ols_table(True, "SELECT term, coef, se AS robust_se, ci_low, ci_high, p_value, "
                                          f"approx_pct_change FROM ctab WHERE {_headline_filter()}"),
+        "ols_residuals_sample": _diagnostics(f"SELECT {r6('fitted')} AS fitted, {r6('resid')} AS resid FROM dg"),
+        "ols_qq_points": _diagnostics(f"SELECT model, i, {r6('theoretical')} AS theoretical, {r6('sample')} AS sample FROM qq"),
+        "ols_qq_lines": _diagnostics(f"SELECT model, {r6('regr_slope(sample, theoretical)')} AS slope, "
+                                     f"{r6('regr_intercept(sample, theoretical)')} AS intercept, "
+                                     f"{r6('corr(sample, theoretical)')} AS r FROM qq GROUP BY model"),
+        "train_sample_seeded": with_(split_ctes(P), "\n" + _sampled("train", 10_000, P.sample_seed)),
+        **_risk_summaries(),
         **_odds_tables(),
         # the inference logit is fit on the seeded sample = all of train at the checked scales
         "risk_inference_coefficients": _risk_inference(),
@@ -632,12 +718,6 @@ SELECT k, {r6('threshold')} AS threshold, tp, fp, fn, tn, n,
 FROM sweep_v"""),
         "eval_rate_sensitivity": with_(sc, rc + _sensitivity_body() + f"""
 SELECT {_sens_cols()} FROM sens"""),
-        "eval_rate_findings": with_(sc, rc + _sensitivity_body() + f""",
-f1 AS (SELECT 'first_ratio_flagging_under_half' AS finding, * FROM sens WHERE flagged_share < {C.FLAGGED_SHARE_LIMIT}
-       ORDER BY cost_ratio_fn_fp DESC, scenario LIMIT 1),
-f2 AS (SELECT 'lowest_ratio_with_meaningful_saving' AS finding, * FROM sens
-       WHERE (flag_all_cost_per_1000 - model_cost_per_1000) / flag_all_cost_per_1000 * 100.0 >= {C.MEANINGFUL_SAVING_PCT}
-       ORDER BY cost_ratio_fn_fp ASC, scenario LIMIT 1),
-f AS (SELECT * FROM f1 UNION ALL SELECT * FROM f2)
-SELECT finding, {_sens_cols('f.')} FROM f"""),
+        "eval_rate_findings": with_(sc, rc + _sensitivity_body() + _findings_body()),
+        "eval_rate_findings_by_ratio": with_(sc, rc + _sensitivity_body(FINDING_SCENARIOS) + _findings_body()),
     }

@@ -231,6 +231,9 @@ def logit_irls_sql(src: str, label: str, terms: list[dict], iterations: int = 14
         return ",\n".join(parts) + "\n" + (
             f"SELECT nm.term, split_part(nm.term, '[', 1) AS family, {r6('b.b')} AS coef "
             f"FROM nm JOIN b{T - 1} b ON b.i = nm.j")
+    if output == "stats":
+        return ",\n".join(parts) + "\n" + (
+            f"SELECT dims.nn AS nobs, TRUE AS converged, {r6('1 - ll.llf / ll0.llnull')} AS pseudo_r2 FROM dims, ll, ll0")
     body = (f"SELECT nm.term, {r6('b.b')} AS coef, {r6('se.s')} AS se, {r6('exp(b.b)')} AS odds_ratio, "
             f"{r6('exp(b.b - 1.959963984540054 * se.s)')} AS or_ci_low, "
             f"{r6('exp(b.b + 1.959963984540054 * se.s)')} AS or_ci_high, "

@@ -106,6 +106,8 @@ HAVING COUNT(*) <= {P.sample_size}"""),
     for n in ("delay_by_airline", "delay_by_month", "delay_by_dow", "delay_by_airport", "worst_routes",
               "delay_heatmap_dow_month"):
         out[f"sql_{n}"] = out[n]
+    out["published_delay_by_airline"] = out["delay_by_airline"]
+    out["exported_worst_routes"] = out["worst_routes_export"]
     from .models_sql import models_sql
     from .profile_sql import profile_sql
     out.update(profile_sql())

@@ -152,3 +152,14 @@ def test_inference_fit_with_a_level_that_has_no_rows(spark):
     assert np.allclose(a.params[keep], b.params, atol=1e-9)
     odds = L.odds_ratio_table(a, spark).collect()
     assert all(r["term"] != "C(a)[T.never]" for r in odds)
+
+
+def test_norm_ppf_sql_equals_the_library(spark):
+    us = [1e-300, 1e-20, 1e-9, 0.01, 0.074, 0.075, 0.3, 0.5, 0.7, 0.925, 0.9999, 1 - 1e-9]
+    df = spark.createDataFrame([(u,) for u in us], "u double").selectExpr("u", f"{dist.norm_ppf_sql('u')} AS z")
+    for r in df.collect():
+        assert math.isclose(r.z, dist.norm_ppf(r.u), rel_tol=1e-12, abs_tol=1e-14)
+
+
+def test_f_tail_of_very_many_degrees_is_the_chi_square_limit():
+    assert math.isclose(dist.f_sf(1.1, 127, 1e12), dist.chi2_sf(1.1 * 127, 127), rel_tol=1e-9)

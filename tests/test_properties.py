@@ -48,8 +48,7 @@ def test_exact_sample_property(spark, values, n, seed, buckets):
     df = spark.createDataFrame([(v, v % 3) for v in values], "a int, b int")
     want_n = min(n, len(values))
     got = S.exact_sample(df, n, seed, buckets=buckets)
-    h = F.xxhash64(F.lit(seed), F.col("a"), F.col("b"))
-    brute = df.select("a", "b", h.alias("_h")).orderBy("_h", "a", "b").limit(want_n).drop("_h")
+    brute = df.select("a", "b", S.rank_key(df, seed).alias("_h")).orderBy("_h", "a", "b").limit(want_n).drop("_h")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, brute.collect()))
 
 

@@ -31,8 +31,7 @@ def test_window_proof_detects_gaps(spark):
 
 def _brute(df, n, seed):
     cols = df.columns
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])
-    return df.select(*cols, h.alias("_h")).orderBy("_h", *cols).limit(n).drop("_h")
+    return df.select(*cols, S.rank_key(df, seed).alias("_h")).orderBy("_h", *cols).limit(n).drop("_h")
 
 
 @pytest.mark.parametrize("n", [1, 37, 1000])
@@ -71,3 +70,16 @@ def test_exact_sample_with_a_hot_duplicate_row(spark):
         got = S.exact_sample(df, n, 3)
         assert got.count() == n
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, _brute(df, n, 3).collect()))
+
+
+def test_exact_sample_splits_hot_copies(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT_COPIES", 16)
+    df = spark.createDataFrame([(7, "hot", None)] * 1000 + [(i, "x", 0.5) for i in range(200)], "a int, b string, c double")
+    for n in (300, 1100):
+        assert sorted(map(str, S.exact_sample(df, n, 3).collect())) == sorted(map(str, _brute(df, n, 3).collect()))
+
+
+def test_exact_sample_does_not_depend_on_partitions(spark):
+    tr = study_for(spark, SF0001).train()
+    a, b = (sorted(map(tuple, S.exact_sample(tr.repartition(k), 300, 42).collect())) for k in (1, 9))
+    assert a == b
