@@ -89,13 +89,9 @@ def run_study(spark: SparkSession, raw: str, out: str, params: StudyParams = STU
     parquet("eda_summaries", R.summaries_one_pass(tr))
     parquet("eda_airport_coverage", PR.airport_coverage(tr))
     parquet("eda_distance_quintiles", PR.distance_quintiles(tr))
-    parquet("eda_hist_arr_delay", PR.histogram(tr, "arr_delay", C.HIST_BINS))
-    lo, hi = C.ZOOM_RANGE
-    parquet("eda_hist_arr_delay_zoom", PR.histogram(tr.filter(F.col("arr_delay").between(lo, hi)),
-                                                    "arr_delay", C.ZOOM_BINS))
-    late = tr.filter(F.col("arr_delay") > 0)
-    parquet("eda_hist_late", PR.histogram(late, "arr_delay", C.HIST_BINS))
-    parquet("eda_hist_late_log", PR.histogram(late, F.log(F.col("arr_delay")), C.HIST_BINS))
+    hist = reliable_checkpoint(PR.delay_histograms(tr))     # four histograms in two passes
+    for name in ("arr_delay", "arr_delay_zoom", "late", "late_log"):
+        parquet(f"eda_hist_{name}", hist.filter(F.col("histogram") == name).drop("histogram"))
 
     if models:
         m = Magnitude(st)

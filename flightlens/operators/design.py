@@ -6,13 +6,12 @@ Two ways to use it:
 
 * ``linear_predictor`` -- the fitted model as ONE Catalyst expression
   (CASE per factor), so scoring stays JVM-side and needs no join;
-* ``cells`` + ``cross_products`` -- the fit. Rows with the same design row
-  are collapsed by a grouped aggregation (partial aggregation before the
-  shuffle, so a hot level costs nothing) into per-cell sums of y^k; then a
-  ``mapInPandas`` pass builds X'WX and X'r per partition with numpy and a
-  grouped sum adds the partials. Only p*p + p*k numbers reach the driver.
-  Work after the first aggregation scales with the number of distinct
-  design rows, which the level lists bound (top-N + OTHER), not with rows.
+* the fits. ``moments`` groups the rows by the factors only, whose level
+  lists bound the number of cells whatever the number of rows, and keeps
+  power sums of the numeric column and of y; ``moment_products`` turns cells
+  into X'WX and X'r. ``row_products`` does the same straight from rows, with
+  no shuffle, where weights depend on each row (logit steps). Both add up per
+  task with numpy; only p*p + p*k numbers reach the driver.
 """
 
 from __future__ import annotations
@@ -25,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 
 @dataclass(frozen=True)
 class Factor:
@@ -137,15 +138,6 @@ class Design:
                 k += 1
         return expr
 
-    def unknown_level_count(self, df: DataFrame) -> dict[str, int]:
-        """Rows whose factor value is not a known level (formula scoring refuses these)."""
-        rules = {t.column: ~F.coalesce(F.col(t.column).isin(list(t.levels)), F.lit(False))
-                 for t in self.terms if isinstance(t, Factor)}
-        if not rules:
-            return {}
-        row = df.agg(*[F.count_if(r).alias(k) for k, r in rules.items()]).collect()[0]
-        return {k: int(row[k]) for k in rules}
-
     # -- numpy side -------------------------------------------------------------
     def matrix(self, pdf: pd.DataFrame) -> np.ndarray:
         n = len(pdf)
@@ -165,57 +157,133 @@ class Design:
         return np.hstack(blocks) if blocks else np.zeros((n, 0))
 
 
-def cells(df: DataFrame, design: Design, targets: dict[str, tuple[Column, int]] | None = None,
-          label: Column | None = None) -> DataFrame:
-    """Collapse rows to distinct design rows.
+def _numeric(design: Design) -> Numeric | None:
+    found = [t for t in design.terms if isinstance(t, Numeric)]
+    if len(found) > 1:
+        raise ValueError("power sums are kept for one numeric column at most")
+    return found[0] if found else None
+
+
+def _powers(numeric: bool, degree: int) -> set[tuple[int, int]]:
+    """(power of x, power of y) of the sums that squared (and fourth-power) residuals need."""
+    need = {(a, 0) for a in range(3 if numeric else 1)}
+    if degree:
+        for a in range(3 if numeric else 1):
+            need |= {(a, 0), (a, 1), (a, 2)}
+            if numeric:
+                need |= {(a + 1, 0), (a + 2, 0), (a + 1, 1)}
+    if degree == 4:
+        need |= {(a, b) for a in range(5 if numeric else 1) for b in range(5 - a)}
+    return need
+
+
+def power_name(prefix: str, a: int, b: int) -> str:
+    return f"{prefix}_{a}_{b}" if b else f"x{a}"
 
-    Columns: the design's source columns, ``n``, and for every target
-    ``prefix -> (y, k)`` the power sums ``prefix1 .. prefixk`` of y; with a
-    label, ``pos`` = number of positive rows.
+
+def moments(df: DataFrame, design: Design, targets: dict[str, tuple[Column, int]] | None = None) -> DataFrame:
+    """Cells of equal factor values with power sums: one scan, partial sums before the shuffle.
+
+    ``targets``: prefix -> (y, degree); degree 2 serves the fit and its
+    errors, 4 also Breusch-Pagan. Columns: the factors, ``x{a}`` = sum of x^a
+    (``x0`` = rows) and ``{prefix}_{a}_{b}`` = sum of x^a y^b.
     """
-    aggs = [F.count(F.lit(1)).cast("double").alias("n")]
-    for prefix, (y, moments) in (targets or {}).items():
-        power = y
-        for k in range(1, moments + 1):
-            aggs.append(F.sum(power).alias(f"{prefix}{k}"))
-            power = power * y
-    if label is not None:
-        aggs.append(F.sum(label.cast("double")).alias("pos"))
-    return df.groupBy(*design.source_columns).agg(*aggs)
+    num = _numeric(design)
+    x = F.col(num.column).cast("double") if num else None
+
+    def power(c, k):
+        out = F.lit(1.0)
+        for i in range(k):
+            out = c if i == 0 else out * c
+        return out
+
+    sums = {}
+    for prefix, (y, degree) in {**(targets or {}), "": (None, 0)}.items():
+        for a, b in sorted(_powers(num is not None, degree)):
+            term = power(x, a) if not b else power(y, b) if not a else power(x, a) * power(y, b)
+            sums[power_name(prefix, a, b)] = F.sum(term)
+    keys = [t.column for t in design.terms if t is not num]
+    return df.groupBy(*keys).agg(*[v.alias(k) for k, v in sums.items()])
 
 
 Prep = Callable[[pd.DataFrame, np.ndarray], tuple]
 
 
-def cross_products(cell_df: DataFrame, design: Design, prep: Prep, n_rhs: int,
-                   n_scalars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sum over cells of X' diag(w) X, X' R and scalars s, where
-    ``prep(pdf, X) -> (w, R, s)`` gives per-cell weights (len m), right-hand
-    sides (m x n_rhs) and scalar contributions (n_scalars).
+def _sum_by_position(parts: DataFrame, shapes: Sequence[tuple]) -> list[np.ndarray]:
+    """Adds the ``k, v`` rows of all tasks and cuts the total into arrays."""
+    sizes = [int(np.prod(s)) for s in shapes]
+    total = np.zeros(sum(sizes))
+    for r in parts.groupBy("k").agg(F.sum("v").alias("v")).collect():
+        total[r["k"]] = r["v"]
+    return [x.reshape(s) for x, s in zip(np.split(total, np.cumsum(sizes)[:-1]), shapes)]
+
+
+def moment_products(cell_df: DataFrame, design: Design, prep: Prep, n_rhs: int,
+                    n_scalars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """X'WX, X'R and scalars from cells of ``moments``.
+
+    ``prep(pdf, F)`` gets the cells and their factor columns and gives
+    ``(W, R, s)``: ``W[a]`` the per-cell sums of w x^a (a = 0..2; a = 0 only
+    without a numeric column), ``R`` a list of n_rhs such sums (a = 0..1),
+    ``s`` n_scalars numbers.
     """
-    p = design.width
-    size = p * p + p * n_rhs + n_scalars
+    num = _numeric(design)
+    factors = Design(tuple(t for t in design.terms if t is not num), design.intercept)
+    p, q = design.width, factors.width
 
     def per_partition(batches):
-        acc = np.zeros(size)
+        G, B, S = np.zeros((p, p)), np.zeros((p, n_rhs)), np.zeros(n_scalars)
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            X = design.matrix(pdf)
-            w, R, s = prep(pdf, X)
-            acc[:p * p] += ((X.T * w) @ X).ravel()
-            if n_rhs:
-                acc[p * p:p * p + p * n_rhs] += (X.T @ np.asarray(R).reshape(len(pdf), n_rhs)).ravel()
-            if n_scalars:
-                acc[p * p + p * n_rhs:] += np.asarray(s, dtype=float)
-        yield pd.DataFrame({"k": np.arange(size, dtype=np.int64), "v": acc})
-
-    # each task emits its p*p + p*k partial sums; they are added by position in a distributed sum
-    parts = cell_df.mapInPandas(per_partition, "k long, v double")
-    total = np.zeros(size)
-    for r in parts.groupBy("k").agg(F.sum("v").alias("v")).collect():
-        total[r["k"]] = r["v"]
-    G = total[:p * p].reshape(p, p)
-    B = total[p * p:p * p + p * n_rhs].reshape(p, n_rhs)
-    S = total[p * p + p * n_rhs:]
-    return G, B, S
+            X = factors.matrix(pdf)
+            W, R, s = prep(pdf, X)
+            G[:q, :q] += (X.T * W[0]) @ X
+            for k, r in enumerate(R):
+                B[:q, k] += X.T @ r[0]
+            if num:
+                side = X.T @ W[1]
+                G[:q, q] += side
+                G[q, :q] += side
+                G[q, q] += W[2].sum()
+                for k, r in enumerate(R):
+                    B[q, k] += r[1].sum()
+            S += s
+        acc = np.concatenate([G.ravel(), B.ravel(), S])
+        yield pd.DataFrame({"k": np.arange(len(acc), dtype=np.int64), "v": acc})
+
+    ship_package(cell_df.sparkSession)
+    G, B, S = _sum_by_position(cell_df.mapInPandas(per_partition, "k long, v double"),
+                               [(p, p), (p, n_rhs), (n_scalars,)])
+    at = order(design)
+    return G[np.ix_(at, at)], B[at], S
+
+
+def order(design: Design) -> np.ndarray:
+    """Position of each design column among (factor columns, numeric column)."""
+    num, at, k = _numeric(design), [0] if design.intercept else [], int(design.intercept)
+    for t in design.terms:
+        n = 0 if t is num else len(t.names())
+        at += [design.width - 1] if t is num else list(range(k, k + n))
+        k += n
+    return np.array(at, dtype=int)
+
+
+def row_products(df: DataFrame, design: Design, prep: Prep, n_rhs: int) -> tuple[np.ndarray, np.ndarray]:
+    """X' diag(w) X and X'R straight from rows, ``prep(pdf, X) -> (w, R)``; no shuffle of rows."""
+    p = design.width
+
+    def per_partition(batches):
+        G, B = np.zeros((p, p)), np.zeros((p, n_rhs))
+        for pdf in batches:
+            if len(pdf):
+                X = design.matrix(pdf)
+                w, R = prep(pdf, X)
+                G += (X.T * w) @ X
+                B += X.T @ np.asarray(R).reshape(len(pdf), n_rhs)
+        acc = np.concatenate([G.ravel(), B.ravel()])
+        yield pd.DataFrame({"k": np.arange(len(acc), dtype=np.int64), "v": acc})
+
+    ship_package(df.sparkSession)
+    G, B = _sum_by_position(df.mapInPandas(per_partition, "k long, v double"), [(p, p), (p, n_rhs)])
+    return G, B

@@ -1,18 +1,16 @@
-"""Logistic models on Spark ML over collapsed design rows.
+"""Logistic models on Spark ML, fitted on rows.
 
-Rows sharing a design row are collapsed to (n, positives) by one grouped
-aggregation; each group becomes at most two weighted rows (label 1 with
-weight = positives, label 0 with weight = negatives). The log-likelihood,
-its gradient and Hessian -- hence every estimate and standard error -- are
-unchanged, while each optimiser pass reads the distinct design rows instead
-of all flights.
-
-* ``fit_penalized`` -- L2 logistic regression (L-BFGS): the penalty
+* ``fit_penalized`` -- L2 logistic regression: the penalty
   1/2 ||b||^2 + C * sum(log-loss) with a free intercept equals Spark's
   mean log-loss + (regParam/2) ||b||^2 with regParam = 1 / (C * n) and no
-  standardisation.
+  standardisation. L-BFGS (one tree aggregation a step), then Newton steps
+  until the estimate stands still.
 * ``fit_inference`` -- unpenalised binomial GLM (IRLS) with standard errors,
   p-values, confidence intervals and McFadden's pseudo R^2.
+
+No row is shuffled: each optimiser step is a scan with sums per task. Rows
+are not collapsed to equal design rows first, because a numeric column makes
+nearly every design row its own.
 """
 
 from __future__ import annotations
@@ -30,25 +28,15 @@ from pyspark.sql import types as T
 from .. import constants as C
 from ..functions import columns as X
 from ..functions import dist
-from ..session import reliable_checkpoint
-from .design import Design, Factor, Flag, cells, cross_products
-
-
-def weighted_rows(df: DataFrame, design: Design, label: Column,
-                  cell_df: DataFrame | None = None) -> DataFrame:
-    """(features vector, label, weight) rows, two per distinct design row at most."""
-    g = cell_df if cell_df is not None else cells(df, design, label=label)
-    two = F.explode(F.array(
-        F.struct(F.lit(1.0).alias("label"), F.col("pos").alias("w")),
-        F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("pos")).alias("w"))))
-    rows = g.select(*design.source_columns, two.alias("lw")).select(
-        *design.source_columns, F.col("lw.label").alias("label"), F.col("lw.w").alias("w"))
-    rows = rows.filter(F.col("w") > 0)
+from .design import Design, Factor, Numeric, row_products
+
+
+def labelled_rows(df: DataFrame, design: Design, label: Column) -> DataFrame:
+    """(features vector, label) per row."""
     ind = design.indicator_columns()
     names = [f"x{i}" for i in range(len(ind))]
-    rows = rows.select("label", "w", *[c.alias(n) for c, n in zip(ind, names)])
-    vec = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
-    return reliable_checkpoint(vec.select("features", "label", "w"))
+    rows = df.select(label.cast("double").alias("label"), *[c.alias(n) for c, n in zip(ind, names)])
+    return VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("features", "label")
 
 
 @dataclass
@@ -107,88 +95,69 @@ class LogisticFit:
         return spark.createDataFrame(self.coef_rows(), schema)
 
 
-def fit_penalized(df: DataFrame | None, design: Design, label: Column, C_reg: float = 1.0,
+def fit_penalized(df: DataFrame, design: Design, label: Column, C_reg: float = 1.0,
                   max_iter: int = C.LOGREG_MAX_ITER, tol: float = 1e-8,
-                  cell_df: DataFrame | None = None, newton_tol: float = 1e-12,
-                  max_newton: int = 25) -> LogisticFit:
+                  newton_tol: float = 1e-8, max_newton: int = 25) -> LogisticFit:
     """L2 logistic regression, C * sum(log-loss) + 1/2 ||b||^2, free intercept.
 
-    Spark ML's L-BFGS finds the optimum to its tolerance; a few Newton steps
-    on the collapsed rows then make it exact (each step one Gram pass over
-    the cells: X'WX + penalty, X'(W eta + y - p)). ``cell_df``: rows already
-    collapsed (design columns, n, pos); then ``df`` is unused.
+    Spark ML's L-BFGS comes near the optimum; Newton steps (X'WX + penalty,
+    X'(W eta + y - p)) then make it exact. They square the error, so a step
+    below ``newton_tol`` leaves about its square. ``converged`` is false if
+    none of ``max_newton`` steps was that small.
     """
-    g = cell_df if cell_df is not None else reliable_checkpoint(cells(df, design, label=label))
-    rows = weighted_rows(None, design, label, cell_df=g)
-    n = rows.agg(F.sum("w")).collect()[0][0]
-
-    def run(iters: int):
-        lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w",
-                                regParam=1.0 / (C_reg * n), elasticNetParam=0.0,
-                                standardization=False, fitIntercept=True, maxIter=iters, tol=tol)
-        m = lr.fit(rows)
-        return m, m.summary.totalIterations
-
-    model, iters = run(max_iter)
-    solver = "lbfgs"
-    if iters >= max_iter:
-        # not converged: continue from scratch with a larger budget
-        model, iters = run(max_iter * 10)
-        solver = "lbfgs-extended"
-    converged = iters < (max_iter if solver == "lbfgs" else max_iter * 10)
+    df = df.select(*design.source_columns, label.cast("double").alias("_label"))
+    n = df.count()
+    lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (C_reg * n), elasticNetParam=0.0,
+                            standardization=False, fitIntercept=True, maxIter=max_iter, tol=tol)
+    model = lr.fit(labelled_rows(df, design, F.col("_label")))
+    iters = model.summary.totalIterations
     beta = np.concatenate([[model.intercept], model.coefficients.toArray()])
     penalty = np.full(design.width, 1.0 / C_reg)
     penalty[0] = 0.0                                   # the intercept is not penalised
-    steps = 0
-    for steps in range(1, max_newton + 1):
-        b = beta.copy()
-
-        def prep(pdf, X, b=b):
+    converged, steps = False, 0
+    while not converged and steps < max_newton:
+        def prep(pdf, X, b=beta):
             eta = X @ b
             p = 1.0 / (1.0 + np.exp(-eta))
-            nn, pos = pdf["n"].to_numpy(float), pdf["pos"].to_numpy(float)
-            w = nn * p * (1.0 - p)
-            return w, w * eta + pos - nn * p, []
+            w = p * (1.0 - p)
+            return w, w * eta + pdf["_label"].to_numpy(float) - p
 
-        G, B, _ = cross_products(g, design, prep, 1, 0)
+        G, B = row_products(df, design, prep, 1)
         new = np.linalg.solve(G + np.diag(penalty), B[:, 0])
-        delta = float(np.max(np.abs(new - beta)))
+        converged = bool(np.max(np.abs(new - beta)) < newton_tol)
         beta = new
-        if delta < newton_tol:
-            break
-    return LogisticFit(design, float(beta[0]), beta[1:], int(iters), bool(converged),
-                       f"{solver}+newton({steps})", float(n))
+        steps += 1
+    return LogisticFit(design, float(beta[0]), beta[1:], int(iters), converged,
+                       f"lbfgs+newton({steps})", float(n))
 
 
-def supported_design(cell_df: DataFrame, design: Design) -> Design:
+def supported_design(df: DataFrame, design: Design) -> Design:
     """The design without columns that are zero on every row (levels or flags
     never seen in the fit frame); their estimates are undefined, and an
     unpenalised fit would otherwise face a singular information matrix.
-    Reads the collapsed cells only: one distinct pass per factor, bounded by
-    its level count."""
-    terms = []
+    One aggregation, one number per design column."""
+    cols = design.indicator_columns()
+    seen = df.agg(*[F.max(c != 0.0).alias(f"s{i}") for i, c in enumerate(cols)]).collect()[0] if cols else []
+    terms, k = [], 0
     for t in design.terms:
-        if isinstance(t, Factor):
-            seen = {r[0] for r in cell_df.select(t.column).distinct().collect()}
-            terms.append(Factor(t.column, (t.levels[0],) + tuple(lv for lv in t.levels[1:] if lv in seen), t.label))
-        elif isinstance(t, Flag):
-            if cell_df.filter(F.col(t.column)).limit(1).count():
-                terms.append(t)
-        else:
+        mine = seen[k:k + len(t.names())]
+        k += len(mine)
+        if isinstance(t, Numeric):
+            terms.append(t)
+        elif isinstance(t, Factor):
+            terms.append(Factor(t.column, t.levels[:1] + tuple(lv for lv, s in zip(t.levels[1:], mine) if s), t.label))
+        elif mine[0]:
             terms.append(t)
     return Design(tuple(terms), design.intercept)
 
 
 def fit_inference(df: DataFrame, design: Design, label: Column,
                   max_iter: int = C.LOGIT_MAX_ITER, tol: float = 1e-10) -> LogisticFit:
-    g = reliable_checkpoint(cells(df, design, label=label))
-    used = supported_design(g, design)
-    rows = weighted_rows(df, used, label, cell_df=g)
-    n = rows.agg(F.sum("w")).collect()[0][0]
+    df = df.select(*design.source_columns, label.cast("double").alias("_label"))
+    used = supported_design(df, design)
     glr = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="features",
-                                      labelCol="label", weightCol="w", maxIter=max_iter, tol=tol,
-                                      regParam=0.0, fitIntercept=True)
-    m = glr.fit(rows)
+                                      labelCol="label", maxIter=max_iter, tol=tol, regParam=0.0, fitIntercept=True)
+    m = glr.fit(labelled_rows(df, used, F.col("_label")))
     s = m.summary
     se_all = np.array(s.coefficientStandardErrors)   # coefficients first, intercept last
     fitted = dict(zip(used.names, np.concatenate([[m.intercept], m.coefficients.toArray()])))
@@ -197,7 +166,7 @@ def fit_inference(df: DataFrame, design: Design, label: Column,
     coef = np.array([fitted.get(nm, np.nan) for nm in design.names])
     se = np.array([fitted_se.get(nm, np.nan) for nm in design.names])
     iters = int(s.numIterations)
-    return LogisticFit(design, float(coef[0]), coef[1:], iters, iters < max_iter, "irls", float(n), se=se,
+    return LogisticFit(design, float(coef[0]), coef[1:], iters, iters < max_iter, "irls", float(s.numInstances), se=se,
                        deviance=float(s.deviance), null_deviance=float(s.nullDeviance))
 
 

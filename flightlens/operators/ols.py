@@ -1,16 +1,18 @@
 """Least squares with heteroscedasticity-robust (HC1) errors on Spark.
 
-Two passes over the sufficient-statistic cells of the design
-(``design.cells``): pass 1 gives X'X and X'y, hence b; pass 2 uses b to get
-each cell's sum of squared (and fourth-power) residuals from its power sums,
-giving the HC1 "meat" X' diag(e^2) X, the residual sum of squares and the
-Breusch-Pagan auxiliary regression of e^2 on X -- all without touching the
-rows again. The cells are checkpointed to the shared folder between passes.
+One scan groups the rows into cells of equal factor values with power sums of
+the numeric column and of y (``design.moments``). Pass 1 over the cells gives
+X'X and X'y, hence b; pass 2 uses b to expand each cell's sums of squared
+(and fourth-power) residuals, weighted by powers of the numeric column, from
+its power sums: the HC1 "meat" X' diag(e^2) X, the residual sum of squares
+and the Breusch-Pagan regression of e^2 on X -- all without touching the rows
+again. The cells are checkpointed to the shared folder between passes.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from math import factorial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +21,7 @@ from pyspark.sql import types as T
 from .. import constants as C
 from ..functions import dist
 from ..session import reliable_checkpoint
-from .design import Design, cells, cross_products
+from .design import Design, Numeric, moment_products, moments, power_name
 
 
 @dataclass
@@ -67,11 +69,6 @@ class OLSFit:
         ])
         return spark.createDataFrame(self.rows(), schema)
 
-    def summary(self) -> dict:
-        return {"nobs": self.nobs, "n_params": self.design.width, "rank": self.rank,
-                "df_resid": self.df_resid, "rsquared": self.rsquared, "ssr": self.ssr,
-                "cov_type": self.cov_type, **{f"bp_{k}": v for k, v in self.bp.items()}}
-
 
 def fit_ols(df: DataFrame | None, design: Design, y: Column | None, cov_type: str = "HC1",
             breusch_pagan: bool = False, cell_df: DataFrame | None = None, prefix: str = "s") -> OLSFit:
@@ -79,39 +76,54 @@ def fit_ols(df: DataFrame | None, design: Design, y: Column | None, cov_type: st
 
     cov_type: "HC1" (robust, n/(n-k) * B M B) or "nonrobust" (s^2 (X'X)^-1).
     Rank-deficient designs use the pseudo-inverse, as a formula front end
-    would. ``cell_df``: cells already aggregated (``design.cells``) with the
-    power sums of y under ``prefix`` (1..2, or 1..4 for Breusch-Pagan); several
-    targets can share one cells pass this way.
+    would. ``cell_df``: cells already aggregated (``design.moments``, of this
+    design or one with more terms) with the power sums of y under ``prefix``
+    (degree 4 for Breusch-Pagan); several fits can share one scan this way.
     """
-    moments = 4 if breusch_pagan else 2
+    degree = 4 if breusch_pagan else 2
     if cell_df is None:
-        cell_df = reliable_checkpoint(cells(df, design, {prefix: (y, moments)}))
-    k1, k2, k3, k4 = (f"{prefix}{i}" for i in range(1, 5))
+        cell_df = reliable_checkpoint(moments(df, design, {prefix: (y, degree)}))
+    at_x = [i for i, (t, c) in enumerate(zip(design.names, design.term_column()))
+            if any(isinstance(n, Numeric) and n.column == c for n in design.terms)]
+    powers = range(3 if at_x else 1)
+
+    def sums(pdf):
+        return lambda a, b: pdf[power_name(prefix, a, b)].to_numpy()
 
     def prep1(pdf, X):
-        n, s1, s2 = pdf["n"].to_numpy(), pdf[k1].to_numpy(), pdf[k2].to_numpy()
-        return n, s1, [n.sum(), s1.sum(), s2.sum()]
+        m = sums(pdf)
+        return ([m(a, 0) for a in powers], [[m(a, 1) for a in powers[:2]]],
+                [m(0, 0).sum(), m(0, 1).sum(), m(0, 2).sum()])
 
-    G, B, S = cross_products(cell_df, design, prep1, 1, 3)
+    G, B, S = moment_products(cell_df, design, prep1, 1, 3)
     Ginv = np.linalg.pinv(G)
     beta = Ginv @ B[:, 0]
     nobs, sy, syy = S
     rank = int(np.linalg.matrix_rank(G))
     centered_tss = syy - sy * sy / nobs
 
-    def prep2(pdf, X):
-        f = X @ beta
-        n = pdf["n"].to_numpy()
-        s1, s2 = pdf[k1].to_numpy(), pdf[k2].to_numpy()
-        e2 = s2 - 2.0 * f * s1 + n * f * f
-        if moments == 4:
-            s3, s4 = pdf[k3].to_numpy(), pdf[k4].to_numpy()
-            e4 = s4 - 4.0 * f * s3 + 6.0 * f * f * s2 - 4.0 * f ** 3 * s1 + n * f ** 4
-        else:
-            e4 = np.zeros_like(e2)
-        return e2, e2, [e2.sum(), e4.sum()]
+    slope = float(beta[at_x[0]]) if at_x else 0.0
+    fixed = np.delete(beta, at_x)
 
-    M, Be2, S2 = cross_products(cell_df, design, prep2, 1, 2)
+    def prep2(pdf, X):
+        m, f = sums(pdf), X @ fixed          # residual = y - f - slope * x
+
+        def squares(a):                      # sum of e^2 x^a
+            out = m(a, 2) + f * f * m(a, 0) - 2.0 * f * m(a, 1)
+            if at_x:
+                out = out + slope * (slope * m(a + 2, 0) - 2.0 * m(a + 1, 1) + 2.0 * f * m(a + 1, 0))
+            return out
+
+        e2, e4 = [squares(a) for a in powers], 0.0
+        if degree == 4:                      # multinomial expansion of (y - slope x - f)^4
+            for a in range(5 if at_x else 1):
+                for b in range(5 - a):
+                    k = 4 - a - b
+                    ways = 24 // (factorial(a) * factorial(b) * factorial(k))
+                    e4 = e4 + (ways * (-slope) ** a * (-f) ** k * m(a, b)).sum()
+        return e2, [e2[:2]], [e2[0].sum(), e4]
+
+    M, Be2, S2 = moment_products(cell_df, design, prep2, 1, 2)
     ssr, sum_e4 = float(S2[0]), float(S2[1])
     if cov_type == "HC1":
         cov = (Ginv @ M @ Ginv) * (nobs / (nobs - rank))
@@ -132,20 +144,23 @@ def fit_ols(df: DataFrame | None, design: Design, y: Column | None, cov_type: st
     return fit
 
 
-def vif(df: DataFrame, design: Design) -> list[tuple[str, float]]:
+def vif(df: DataFrame | None, design: Design, cell_df: DataFrame | None = None) -> list[tuple[str, float]]:
     """Variance inflation factor of every design column from one X'X pass.
 
     Column i regressed on the others: SSR_i = 1 / (X'X)^-1_ii. Centred total
     sum of squares when the others hold the intercept; for the intercept
     itself the others have no constant, so the uncentred one (n).
+    ``cell_df``: cells of this design or of one with more terms.
     """
-    cell_df = cells(df, design)
+    if cell_df is None:
+        cell_df = moments(df, design)
+    numeric = any(isinstance(t, Numeric) for t in design.terms)
 
     def prep(pdf, X):
-        n = pdf["n"].to_numpy()
-        return n, None, [n.sum()]
+        W = [pdf[power_name("", a, 0)].to_numpy() for a in range(3 if numeric else 1)]
+        return W, [], [W[0].sum()]
 
-    G, _, S = cross_products(cell_df, design, prep, 0, 1)
+    G, _, S = moment_products(cell_df, design, prep, 0, 1)
     nobs = float(S[0])
     Ginv = np.linalg.pinv(G)
     out = []

@@ -15,15 +15,28 @@ from .. import constants as C
 from .checks import DataQualityError
 
 
+def level_totals(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
+    """Distinct non-null values per column, from one GROUPING SETS count.
+
+    The scan expands to one narrow row per column, collapsed map-side, where
+    several ``count_distinct`` would carry every other aggregate along.
+    """
+    g = df.select(*cols).groupingSets([[F.col(c)] for c in cols], *cols).agg(F.grouping_id().alias("_gid"))
+    gid = [int("".join("0" if j == i else "1" for j in range(len(cols))), 2) for i in range(len(cols))]
+    row = g.agg(*[F.count_if((F.col("_gid") == k) & F.col(c).isNotNull()).alias(c) for c, k in zip(cols, gid)]).collect()[0]
+    return {c: int(row[c]) for c in cols}
+
+
+def _level_columns(df: DataFrame) -> list[Column]:
+    n = level_totals(df, ("airline", "origin", "dest"))
+    return [F.lit(n[c]).cast("bigint").alias(a)
+            for c, a in (("airline", "n_airlines"), ("origin", "n_origins"), ("dest", "n_dests"))]
+
+
 def coverage(df: DataFrame) -> DataFrame:
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.min("flight_date").alias("min_date"),
-        F.max("flight_date").alias("max_date"),
-        F.count_distinct("airline").alias("n_airlines"),
-        F.count_distinct("origin").alias("n_origins"),
-        F.count_distinct("dest").alias("n_dests"),
-    )
+    base = df.agg(F.count(F.lit(1)).alias("n_rows"), F.min("flight_date").alias("min_date"),
+                  F.max("flight_date").alias("max_date"))
+    return base.select("*", *_level_columns(df))
 
 
 def _pct_name(p: float) -> str:
@@ -152,40 +165,69 @@ def distance_quintiles(df: DataFrame, labels: Sequence[str] = C.QUINTILE_LABELS)
             .filter(F.col("quintile").isNotNull()))
 
 
-def histogram(df: DataFrame, col: str | Column, bins: int) -> DataFrame:
-    """Equal-width histogram over the data's own [min, max] (numpy rules).
+def histograms(df: DataFrame, specs: dict[str, tuple[str | Column, int, Column | None]]) -> DataFrame:
+    """Equal-width histograms of several columns at once: ``histogram, bin, bin_lo, bin_hi, n``.
 
-    Edges are lo + i*(hi-lo)/bins with the last edge exactly hi; a value
-    goes to the bin whose [edge_i, edge_i+1) holds it, the last bin is
-    closed. Two jobs: min/max, then one grouped count; all bins are
-    returned, empty ones with 0.
+    ``specs``: name -> (column, number of bins, row filter or None). Each is
+    over its own [min, max]: edges are lo + i*(hi-lo)/bins with the last edge
+    exactly hi; a value goes to the bin whose [edge_i, edge_i+1) holds it, the
+    last bin is closed. Two passes for all of them: min/max, then one grouped
+    count. All bins are returned, empty ones with 0; without any value they
+    lie over [0, 1].
     """
-    x = F.col(col) if isinstance(col, str) else col
-    vals = df.select(x.alias("v")).filter(F.col("v").isNotNull())
-    mm = vals.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()[0]
-    # no value: all bins over [0, 1], with 0 rows each
-    lo, hi = (0.0, 1.0) if mm["lo"] is None else (float(mm["lo"]), float(mm["hi"]))
-    if lo == hi:
-        lo, hi = lo - 0.5, hi + 0.5
-    step = (hi - lo) / bins
-    n = F.lit(bins)
-
-    def edge(i: Column) -> Column:
-        return F.when(i == n, F.lit(hi)).otherwise(i.cast("double") * F.lit(step) + F.lit(lo))
-
-    v = F.col("v")
-    i0 = F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(bins))).cast("int")
-    i1 = F.when(i0 == n, n - 1).otherwise(i0)
-    i2 = F.when(v < edge(i1), i1 - 1).otherwise(i1)
-    i3 = F.when((v >= edge(i2 + 1)) & (i2 != n - 1), i2 + 1).otherwise(i2)
-    counts = vals.groupBy(i3.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    spark = df.sparkSession
-    all_bins = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return (all_bins.join(F.broadcast(counts), "bin", "left")
-            .select("bin",
-                    edge(F.col("bin")).alias("bin_lo"),
-                    edge(F.col("bin") + 1).alias("bin_hi"),
-                    F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))
+    names = list(specs)
+    values = []
+    for name in names:
+        col, _, keep = specs[name]
+        x = (F.col(col) if isinstance(col, str) else col).cast("double")
+        values.append((x if keep is None else F.when(keep, x)).alias(name))
+    vals = df.select(*values)
+    mm = vals.agg(*[f(n).alias(f"{k}_{i}") for i, n in enumerate(names) for k, f in (("lo", F.min), ("hi", F.max))]).collect()[0]
+    grids = []
+    for i, name in enumerate(names):
+        lo, hi = (0.0, 1.0) if mm[f"lo_{i}"] is None else (mm[f"lo_{i}"], mm[f"hi_{i}"])
+        if lo == hi:
+            lo, hi = lo - 0.5, hi + 0.5
+        bins = specs[name][1]
+        step = (hi - lo) / bins
+        grids.append((name, lo, hi, bins, [*(float(k) * step + lo for k in range(bins)), hi]))
+    # each value once: its histogram, bin count, range and edges ride along as literals
+    one = F.explode(F.array(*[F.struct(F.lit(i).alias("h"), F.col(g[0]).alias("v")) for i, g in enumerate(grids)]))
+    long = vals.select(one.alias("x")).select("x.*").filter(F.col("v").isNotNull())
+
+    def pick(values):
+        out = F.lit(values[0])
+        for i, v in enumerate(values[1:], 1):
+            out = F.when(F.col("h") == i, F.lit(v)).otherwise(out)
+        return out
+
+    edges = F.array(*[F.array(*[F.lit(e) for e in g[4]]) for g in grids])
+    lo, width, bins = (pick([f(g) for g in grids]) for f in (lambda g: g[1], lambda g: g[2] - g[1], lambda g: float(g[3])))
+    # guess, then step at most one bin down or up; each step is a column of its own
+    long = long.withColumn("last", pick([g[3] - 1 for g in grids]))
+    long = long.withColumn("b", F.least(F.floor((F.col("v") - lo) / width * bins).cast("int"), F.col("last")))
+    long = long.withColumn("e", F.get(edges, F.col("h")))
+    long = long.withColumn("b", F.when(F.col("v") < F.get("e", F.col("b")), F.col("b") - 1).otherwise(F.col("b")))
+    long = long.withColumn("b", F.when((F.col("b") < F.col("last")) & (F.col("v") >= F.get("e", F.col("b") + 1)),
+                                       F.col("b") + 1).otherwise(F.col("b")))
+    counts = long.groupBy("h", "b").agg(F.count(F.lit(1)).alias("n"))
+    grid = df.sparkSession.createDataFrame(
+        [(i, g[0], k, g[4][k], g[4][k + 1]) for i, g in enumerate(grids) for k in range(g[3])],
+        "h int, histogram string, bin int, bin_lo double, bin_hi double")
+    return (grid.join(counts.withColumnRenamed("b", "bin"), ["h", "bin"], "left")
+            .select("histogram", "bin", "bin_lo", "bin_hi", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+
+
+def histogram(df: DataFrame, col: str | Column, bins: int) -> DataFrame:
+    """One equal-width histogram: ``bin, bin_lo, bin_hi, n`` (see ``histograms``)."""
+    return histograms(df, {"v": (col, bins, None)}).drop("histogram")
+
+
+def delay_histograms(df: DataFrame) -> DataFrame:
+    """The four delay histograms of the profile in two passes."""
+    x, (lo, hi) = F.col("arr_delay"), C.ZOOM_RANGE
+    return histograms(df, {"arr_delay": (x, C.HIST_BINS, None), "arr_delay_zoom": (x, C.ZOOM_BINS, x.between(lo, hi)),
+                           "late": (x, C.HIST_BINS, x > 0), "late_log": (F.when(x > 0, F.log(x)), C.HIST_BINS, x > 0)})
 
 
 def class_balance(df: DataFrame, label: str = "is_delayed") -> DataFrame:
@@ -200,14 +242,13 @@ def class_balance(df: DataFrame, label: str = "is_delayed") -> DataFrame:
 def train_profile_one_pass(df: DataFrame, col: str = "arr_delay",
                            levels_pct: Sequence[float] = C.QUANTILE_LEVELS_PCT) -> DataFrame:
     """Coverage, describe + quantiles, target shares, class balance and the
-    distance correlations as ONE aggregation (one scan instead of five)."""
+    distance correlations in one plain aggregation; the level counts in another."""
     levels = sorted(set([25.0, 50.0, 75.0] + [float(p) for p in levels_pct]))
     x, y = F.col(col), F.col("is_delayed")
     pct = lambda c: F.avg(c.cast("double")) * F.lit(100.0)
     row = df.agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("flight_date").alias("min_date"),
-        F.max("flight_date").alias("max_date"), F.count_distinct("airline").alias("n_airlines"),
-        F.count_distinct("origin").alias("n_origins"), F.count_distinct("dest").alias("n_dests"),
+        F.max("flight_date").alias("max_date"),
         F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
         F.min(col).alias("min"), F.max(col).alias("max"),
         F.percentile(x, F.array(*[F.lit(p / 100.0) for p in levels])).alias("_q"),
@@ -217,5 +258,5 @@ def train_profile_one_pass(df: DataFrame, col: str = "arr_delay",
         F.corr("distance", col).alias("corr_arr_delay"),
         F.corr(F.col("distance"), y.cast("int").cast("double")).alias("corr_is_delayed"),
     )
-    return row.select(*[c for c in row.columns if c != "_q"],
+    return row.select(*[c for c in row.columns if c != "_q"], *_level_columns(df),
                       *[F.col("_q")[i].alias(_pct_name(p)) for i, p in enumerate(levels)])

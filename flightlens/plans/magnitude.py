@@ -20,7 +20,7 @@ from ..functions import dist
 from ..operators import ols as O
 from ..operators import profile as PR
 from ..operators.checks import DataQualityError, require
-from ..operators.design import Design, Factor, Flag, Numeric, cells
+from ..operators.design import Design, Factor, Flag, Numeric, moments
 from ..operators.split import exact_sample
 from ..session import reliable_checkpoint
 from .stages import Study
@@ -112,22 +112,23 @@ class Magnitude:
     # -- fits ----------------------------------------------------------------------
     @cached_property
     def m1(self) -> O.OLSFit:
-        return O.fit_ols(self.train, self.m1_design, F.col("log_delay"))
+        return O.fit_ols(None, self.m1_design, None, cell_df=self.cells, prefix="s")
 
     @cached_property
-    def m2_cells(self) -> DataFrame:
-        """One cells pass for both M2 targets: log minutes (4 power sums) and raw minutes (2)."""
-        return reliable_checkpoint(cells(self.train, self.m2_design,
-                                         {"s": (F.col("log_delay"), 4), "r": (F.col("arr_delay"), 2)}))
+    def cells(self) -> DataFrame:
+        """One scan for every fit: the factors of M2 with power sums of log distance, of log minutes
+        (to the fourth, for Breusch-Pagan) and of raw minutes."""
+        return reliable_checkpoint(moments(self.train, self.m2_design,
+                                           {"s": (F.col("log_delay"), 4), "r": (F.col("arr_delay"), 2)}))
 
     @cached_property
     def m2(self) -> O.OLSFit:
-        return O.fit_ols(None, self.m2_design, None, breusch_pagan=True, cell_df=self.m2_cells, prefix="s")
+        return O.fit_ols(None, self.m2_design, None, breusch_pagan=True, cell_df=self.cells, prefix="s")
 
     @cached_property
     def m2_raw(self) -> O.OLSFit:
         """Same right-hand side on raw minutes; only its residuals are used."""
-        return O.fit_ols(None, self.m2_design, None, cov_type="nonrobust", cell_df=self.m2_cells, prefix="r")
+        return O.fit_ols(None, self.m2_design, None, cov_type="nonrobust", cell_df=self.cells, prefix="r")
 
     # -- baselines and comparison --------------------------------------------------------
     @cached_property
@@ -228,7 +229,7 @@ class Magnitude:
                 .orderBy(order))
 
     def vif_table(self) -> DataFrame:
-        rows = O.vif(self.train, self.vif_design)
+        rows = O.vif(None, self.vif_design, cell_df=self.cells)
         df = self.spark.createDataFrame(rows, "term string, vif double")
         return df.withColumn("high", (F.col("vif") > 10.0) & (F.col("term") != "Intercept"))
 

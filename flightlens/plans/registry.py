@@ -218,6 +218,10 @@ def q_eda_hist_late_log(spark, sf_dir):
     return round_doubles(PR.histogram(tr, F.log(F.col("arr_delay")), C.HIST_BINS))
 
 
+def q_eda_histograms_two_passes(spark, sf_dir):
+    return round_doubles(PR.delay_histograms(_st(spark, sf_dir).train()))
+
+
 def q_eda_class_balance(spark, sf_dir):
     return round_doubles(PR.class_balance(_st(spark, sf_dir).train()))
 
@@ -261,6 +265,7 @@ QUERIES: dict[str, QueryFn] = {
     "eda_hist_arr_delay_zoom": q_eda_hist_arr_delay_zoom,
     "eda_hist_late": q_eda_hist_late,
     "eda_hist_late_log": q_eda_hist_late_log,
+    "eda_histograms_two_passes": q_eda_histograms_two_passes,
     "eda_class_balance": q_eda_class_balance,
 }
 

@@ -83,7 +83,7 @@ class Risk:
         require_scalar(t["min_date"] is None or t["min_date"] >= dt.date.fromisoformat(self.p.train_start),
                        "train starts too early")
         require_scalar(t["max_date"] is None or t["max_date"] < s, "train reaches the split date")
-        test_min = self.test_cells.agg(F.min("min_date")).collect()[0][0]
+        test_min = self.test_rows.agg(F.min("flight_date")).collect()[0][0]
         require_scalar(test_min is None or test_min >= s, "test starts before the split date")
 
     @cached_property
@@ -184,7 +184,7 @@ class Risk:
         """Share of train / test rows folded into OTHER, per airport column (percent).
 
         Train from the level counts of the one profile scan, test from the
-        collapsed test cells: no extra pass over either table.
+        test rows in one aggregation.
         """
         prof = self._train_profile
         n = prof["total"]["n"]
@@ -192,7 +192,7 @@ class Risk:
         for col, top in (("origin", self.top_origins), ("dest", self.top_dests)):
             inside = sum(prof["counts"][col].get(a, 0) for a in top)
             rows.append(("train", f"{col}_top", (n - inside) / n * 100.0 if n else None))
-        tc = self.test_cells
+        tc = self.test_rows
         t = tc.agg(*[(F.sum(F.when(F.col(c) == C.OTHER_LEVEL, F.col("n")).otherwise(0)) / F.sum("n")
                       * F.lit(100.0)).alias(c) for c in ("origin_top", "dest_top")]).collect()[0]
         rows += [("test", "origin_top", t["origin_top"]), ("test", "dest_top", t["dest_top"])]
@@ -201,52 +201,48 @@ class Risk:
     # -- models -----------------------------------------------------------------------
     @cached_property
     def model(self) -> L.LogisticFit:
-        fit_cells = self.train_cells.filter(F.col("in_fit"))
-        return L.fit_penalized(None, self.deploy_design, F.col("is_delayed"), cell_df=fit_cells)
+        return L.fit_penalized(self.train_rows.filter(F.col("in_fit")), self.deploy_design, F.col("is_delayed"))
 
     @cached_property
     def inference(self) -> L.LogisticFit:
         sample = self.features(self.study.train_sample())
         return L.fit_inference(sample, self.inference_design, F.col("is_delayed"))
 
-    # -- train and test, each collapsed once -------------------------------------------
-    # The fit, every test metric and the validation sweep depend on a row only
-    # through its design row, the rule baseline's flag (hour >= 16 splits one
-    # hour bin, so it is its own boolean) and its date slice. Train and test are
-    # each grouped ONCE into (those keys) -> n, positives and checkpointed; the
-    # fit, the sweeps and every metric read those tables.
-    CELL_KEYS = ("dep_hour_bin", "dow", "airline", "origin_top", "dest_top", "log_distance", "holiday_flag")
-
-    def _collapse(self, df: DataFrame, flags: dict[str, Column] | None = None) -> DataFrame:
-        flags = dict(flags or {})
-        flags["rule_flag"] = F.col("dep_hour") >= C.RULE_BASELINE_HOUR
-        pos, _ = E.label_counts(F.col("is_delayed"))
-        g = (df.groupBy(*self.CELL_KEYS, *[c.alias(k) for k, c in flags.items()])
-             .agg(F.count(F.lit(1)).alias("n"), F.sum(pos).cast("bigint").alias("pos"),
-                  F.min("flight_date").alias("min_date")))
-        return reliable_checkpoint(g.select("*", (F.col("n") - F.col("pos")).alias("neg")))
+    # -- train and test rows as the fit and the metrics read them ---------------------------
+    # Only the columns a metric depends on: the design row, the rule baseline's flag
+    # (hour >= 16 splits one hour bin, so it is its own boolean), the date slice and
+    # the label as counts. A projection of the stage table: no shuffle, and the slice
+    # filters reach the scan.
+    ROW_COLUMNS = ("dep_hour_bin", "dow", "airline", "origin_top", "dest_top", "log_distance", "holiday_flag")
+
+    def _rows(self, df: DataFrame, flags: dict[str, Column]) -> DataFrame:
+        pos, neg = E.label_counts(F.col("is_delayed"))
+        return df.select(*self.ROW_COLUMNS, *[c.alias(k) for k, c in flags.items()],
+                         (F.col("dep_hour") >= C.RULE_BASELINE_HOUR).alias("rule_flag"), "is_delayed",
+                         F.lit(1).cast("bigint").alias("n"), pos.cast("bigint").alias("pos"),
+                         neg.cast("bigint").alias("neg"), "flight_date")
 
     @cached_property
-    def test_cells(self) -> DataFrame:
+    def test_rows(self) -> DataFrame:
         recal, rest = self._recal_masks()
-        return self._collapse(self.test, {"in_recal": recal, "in_rest": rest})
+        return self._rows(self.test, {"in_recal": recal, "in_rest": rest})
 
     @cached_property
-    def train_cells(self) -> DataFrame:
+    def train_rows(self) -> DataFrame:
         self.fit_val_proof            # fit and validation cover train exactly once
-        return self._collapse(self.train, {"in_fit": self.fit_mask()})
+        return self._rows(self.train, {"in_fit": self.fit_mask()})
 
     @cached_property
-    def val_cells(self) -> DataFrame:
-        return self.train_cells.filter(~F.col("in_fit"))
+    def val_rows(self) -> DataFrame:
+        return self.train_rows.filter(~F.col("in_fit"))
 
     def scored_test(self) -> DataFrame:
-        """Test cells with the model's log-odds and probability (one expression)."""
-        return self.test_cells.select("*", self.model.logit().alias("logit"), self.model.prob().alias("p"))
+        """Test rows with the model's log-odds and probability (one expression)."""
+        return self.test_rows.select("*", self.model.logit().alias("logit"), self.model.prob().alias("p"))
 
     # -- reports ------------------------------------------------------------------------
     def baselines(self) -> DataFrame:
-        c, pos, neg = self.test_cells, F.col("pos"), F.col("neg")
+        c, pos, neg = self.test_rows, F.col("pos"), F.col("neg")
         b0 = E.confusion(c, F.lit(False), pos, neg).select(F.lit("B0: always not delayed").alias("baseline"), "*")
         b1 = E.confusion(c, F.col("rule_flag"), pos, neg).select(
             F.lit(f"B1: dep_hour >= {C.RULE_BASELINE_HOUR}").alias("baseline"), "*")
@@ -256,7 +252,7 @@ class Risk:
         m = self.model
         t = self._train_profile["total"]
         fit_rate = t["fit_pos"] / t["rows_fit"] if t["rows_fit"] else None
-        val = self.val_cells.agg(F.sum("n"), F.sum("pos") / F.sum("n")).collect()[0]
+        val = self.val_rows.agg(F.sum("n"), F.sum("pos") / F.sum("n")).collect()[0]
         return self.spark.createDataFrame(
             [(m.solver, m.n_iter, m.converged, m.intercept, m.nobs, fit_rate, float(val[0]), val[1],
               self.ref_airline, self.ref_airport, self.deploy_design.width - 1)],
@@ -288,7 +284,7 @@ class Risk:
 
     def recal_proof(self) -> DataFrame:
         """Rows per slice, rows in neither and in both (exhaustive and disjoint)."""
-        c = self.test_cells
+        c = self.test_rows
         r, s = F.coalesce(F.col("in_recal"), F.lit(False)), F.coalesce(F.col("in_rest"), F.lit(False))
         return c.agg(F.sum(F.when(r, F.col("n")).otherwise(0)).cast("bigint").alias("rows_recal"),
                      F.sum(F.when(s, F.col("n")).otherwise(0)).cast("bigint").alias("rows_remaining"),
@@ -298,13 +294,13 @@ class Risk:
     @cached_property
     def recalibrated_intercept(self) -> tuple[float, int]:
         S.check_windows(self.recal_proof().collect()[0], "recalibration slices")
-        recal = self.test_cells.filter(F.col("in_recal"))
+        recal = self.test_rows.filter(F.col("in_recal"))
         return E.refit_intercept(recal, self.model.offset(), F.col("pos"), F.col("neg"))
 
     def _remaining_scored(self) -> DataFrame:
         new_b, _ = self.recalibrated_intercept
         off = self.model.offset()
-        return self.test_cells.filter(F.col("in_rest")).select(
+        return self.test_rows.filter(F.col("in_rest")).select(
             "pos", "neg",
             X.sigmoid(off + F.lit(self.model.intercept)).alias("p_before"),
             X.sigmoid(off + F.lit(new_b)).alias("p_after"))
@@ -329,12 +325,12 @@ class Risk:
 
     @cached_property
     def val_sweep(self) -> DataFrame:
-        h = E.threshold_histogram(self.val_cells, self.model.prob(), F.col("pos"), F.col("neg"))
+        h = E.threshold_histogram(self.val_rows, self.model.prob(), F.col("pos"), F.col("neg"))
         return reliable_checkpoint(E.threshold_sweep(h))     # 91 rows
 
     @cached_property
     def test_sweep(self) -> DataFrame:
-        h = E.threshold_histogram(self.test_cells, self.model.prob(), F.col("pos"), F.col("neg"))
+        h = E.threshold_histogram(self.test_rows, self.model.prob(), F.col("pos"), F.col("neg"))
         return reliable_checkpoint(E.threshold_sweep(h))     # 91 rows
 
     def threshold_costs(self) -> DataFrame:

@@ -130,6 +130,12 @@ FROM b WHERE quintile IS NOT NULL GROUP BY quintile"""),
                                          C.ZOOM_BINS),
         "eda_hist_late": _hist("arr_delay", "arr_delay > 0", C.HIST_BINS),
         "eda_hist_late_log": _hist("ln(arr_delay)", "arr_delay > 0", C.HIST_BINS),
+        "eda_histograms_two_passes": "\nUNION ALL\n".join(
+            f"SELECT '{name}' AS histogram, * FROM ({_hist(*spec)})" for name, spec in {
+                "arr_delay": ("arr_delay", "TRUE", C.HIST_BINS),
+                "arr_delay_zoom": ("arr_delay", f"arr_delay BETWEEN {C.ZOOM_RANGE[0]} AND {C.ZOOM_RANGE[1]}", C.ZOOM_BINS),
+                "late": ("arr_delay", "arr_delay > 0", C.HIST_BINS),
+                "late_log": ("ln(arr_delay)", "arr_delay > 0", C.HIST_BINS)}.items()),
         "eda_class_balance": with_(split_ctes(P), f"""
 SELECT {r6("AVG(CASE WHEN is_delayed THEN 1.0 ELSE 0.0 END)")} AS positive_rate,
   COUNT(*) FILTER (WHERE is_delayed) AS n_pos, COUNT(*) FILTER (WHERE NOT is_delayed) AS n_neg,
