@@ -28,7 +28,11 @@ def violation_counts(df: DataFrame, rules: Mapping[str, Column]) -> dict[str, in
 
 
 def require(df: DataFrame, rules: Mapping[str, Column], stage: str) -> None:
-    counts = violation_counts(df, rules)
+    require_none(violation_counts(df, rules), stage)
+
+
+def require_none(counts: Mapping[str, int | None], stage: str) -> None:
+    """Raise if any of the named violation counts is above zero."""
     bad = {k: v for k, v in counts.items() if v}
     if bad:
         raise DataQualityError(f"{stage}: failed checks {bad}")

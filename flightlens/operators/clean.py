@@ -6,13 +6,13 @@ columns. Nothing here shuffles, so the stage scales with the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
 from ..functions import columns as X
-from .checks import require
+from .checks import require_none
 
 # Types of the 23 clean columns (the raw files carry text; the typed fixture
 # carries numbers -- both are coerced to these).
@@ -69,33 +69,52 @@ def _coerce(c: Column, dtype: T.DataType, target: str) -> Column:
     return c.cast(target)
 
 
-def rename_and_type(raw: DataFrame) -> DataFrame:
-    """Keep the 23 mapped columns by name (absent ones become NULL) and fix types."""
+def _typed(raw: DataFrame) -> dict[str, tuple[Column | None, Column]]:
+    """Clean column -> (source column or None, typed column)."""
     fields = {f.name: f.dataType for f in raw.schema.fields}
-    out = []
+    out = {}
     for src, dst in C.RAW_COLUMN_MAP.items():
-        target = CLEAN_TYPES[dst]
+        # a flag keeps its 0/1 number here; clean_flights makes it a boolean
+        target = "double" if CLEAN_TYPES[dst] == "boolean" else CLEAN_TYPES[dst]
         if src not in fields:
-            out.append(F.lit(None).cast(target if target != "boolean" else "double").alias(dst))
+            out[dst] = (None, F.lit(None).cast(target))
             continue
-        c, dt = F.col(f"`{src}`"), fields[src]
-        if dst == "flight_date":
-            out.append(_parse_date(c, dt).alias(dst))
-        elif target == "boolean":
-            # keep the 0/1 number here; turned into a boolean in clean_flights
-            out.append(_coerce(c, dt, "double").alias(dst))
-        else:
-            out.append(_coerce(c, dt, target).alias(dst))
-    return raw.select(*out)
-
-
-def clean_flights(raw: DataFrame) -> DataFrame:
+        c, kind = F.col(f"`{src}`"), fields[src]
+        out[dst] = (c, _parse_date(c, kind) if dst == "flight_date" else _coerce(c, kind, target))
+    return out
+
+
+def rename_and_type(raw: DataFrame) -> DataFrame:
+    """Keep the 23 mapped columns by name (absent ones become NULL) and fix types."""
+    return raw.select(*[typed.alias(dst) for dst, (_, typed) in _typed(raw).items()])
+
+
+def _lost(raw: DataFrame) -> Column:
+    """Values of a row that are not blank in the source but have no typed form."""
+    n = F.lit(0)
+    for source, typed in _typed(raw).values():
+        if source is not None:
+            n = n + F.when((F.trim(source.cast("string")) != "") & typed.isNull(), 1).otherwise(0)
+    return n
+
+
+def clean_flights(raw: DataFrame, observation: Observation | None = None) -> DataFrame:
     """Raw frame (source column names) -> the 29-column clean table.
 
-    Pure and lazy; run ``check_clean`` on the written table (a three-column
-    Parquet scan) instead of scanning the raw text twice.
+    Pure and lazy. With an ``observation`` the write of the result also counts
+    what ``check_clean`` judges: no second scan of the text or of the table.
     """
-    typed = rename_and_type(raw).fillna(0.0, subset=C.CAUSE_COLUMNS)
+    if observation is None:
+        typed = rename_and_type(raw)
+    else:
+        typed = raw.select(*[t.alias(c) for c, (_, t) in _typed(raw).items()], _lost(raw).alias("_lost")).observe(
+            observation,
+            F.count_if(F.col("flight_date").isNull()).alias("flight_date_unparsed"),
+            # a missing flag would otherwise silently count as not cancelled / diverted
+            F.count_if(F.col("cancelled").isNull()).alias("cancelled_missing"),
+            F.count_if(F.col("diverted").isNull()).alias("diverted_missing"),
+            F.sum("_lost").alias("values_unreadable"))
+    typed = typed.fillna(0.0, subset=C.CAUSE_COLUMNS)
     d = F.col("flight_date")
     return typed.select(
         *[X.flag_to_bool(c).alias(c) if c in ("cancelled", "diverted") else F.col(c)
@@ -109,13 +128,13 @@ def clean_flights(raw: DataFrame) -> DataFrame:
     )
 
 
-def check_clean(flights: DataFrame) -> None:
-    # a missing flag would otherwise silently count as not cancelled / diverted
-    require(flights, {
-        "flight_date_unparsed": F.col("flight_date").isNull(),
-        "cancelled_missing": F.col("cancelled").isNull(),
-        "diverted_missing": F.col("diverted").isNull(),
-    }, "clean")
+def check_clean(observation: Observation) -> None:
+    """Raise if the written rows had missing dates or flags, or values lost in parsing.
+
+    A repeated task may be counted twice, which can raise a count above zero
+    further but never make a zero count anything else.
+    """
+    require_none(observation.get, "clean")
 
 
 def bucket_counts(flights: DataFrame) -> DataFrame:

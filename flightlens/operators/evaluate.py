@@ -107,7 +107,7 @@ def descending_prefix_sums(counts: DataFrame, cols: Sequence[str], partitions: i
 
 def ranking_metrics(df: DataFrame, score: Column, pos: Column, neg: Column) -> DataFrame:
     """roc_auc (ties count half) and average_precision (step sum over distinct scores)."""
-    counts = score_counts(df, score, pos, neg)
+    counts = reliable_checkpoint(score_counts(df, score, pos, neg))    # read three times below
     cum = descending_prefix_sums(counts, ["pos", "neg"])
     tot = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).collect()[0]
     P, N = float(tot["P"] or 0), float(tot["N"] or 0)

@@ -6,13 +6,16 @@ quantiles, at most a few hundred level counts) ever reach the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..session import reliable_checkpoint
 from .checks import DataQualityError
+from .evaluate import descending_prefix_sums
 
 
 def level_totals(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
@@ -43,26 +46,49 @@ def _pct_name(p: float) -> str:
     return "p" + (f"{p:g}".replace(".", "_"))
 
 
-def describe(df: DataFrame, col: str = "arr_delay",
-             levels_pct: Sequence[float] = C.QUANTILE_LEVELS_PCT) -> DataFrame:
-    """count, mean, sample std, min, quartiles, max and the extra percentiles.
+def exact_quantiles(df: DataFrame, col: str | Column, probs: Sequence[float]) -> list[float | None]:
+    """Quantiles with linear interpolation between order statistics, whatever the number of distinct values.
 
-    ``percentile`` is exact with linear interpolation; it aggregates a
-    value -> count map, so its memory follows the number of distinct values
-    (minutes of delay), not the number of rows.
+    Rows collapse to (value, count), partial sums first; a distributed prefix
+    sum of the counts places every value, and one aggregation picks the order
+    statistics at floor and ceil of (n - 1) * p. Only those numbers reach the
+    driver; no task holds the column's values.
     """
+    x = (F.col(col) if isinstance(col, str) else col).cast("double")
+    counts = reliable_checkpoint(df.select((-x).alias("score")).filter("score IS NOT NULL")
+                                 .groupBy("score").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).collect()[0][0]
+    if not total:
+        return [None] * len(probs)
+    at = sorted({k for p in probs for k in (math.floor((total - 1) * p), math.ceil((total - 1) * p))})
+    placed = descending_prefix_sums(counts, ["n"])       # descending -x: ascending x
+    row = placed.agg(*[F.max(F.when(F.col("cum_n") > k, F.col("score"))).alias(f"v{i}") for i, k in enumerate(at)]).collect()[0]
+    value = {k: -row[f"v{i}"] + 0.0 for i, k in enumerate(at)}
+    out = []
+    for p in probs:
+        h = (total - 1) * p
+        lo, hi = value[math.floor(h)], value[math.ceil(h)]
+        out.append(lo + (hi - lo) * (h - math.floor(h)))
+    return out
+
+
+def _quantile_columns(df: DataFrame, col: str, levels_pct: Sequence[float]) -> list[Column]:
     levels = sorted(set([25.0, 50.0, 75.0] + [float(p) for p in levels_pct]))
-    q = F.percentile(F.col(col), F.array(*[F.lit(p / 100.0) for p in levels]))
+    return [F.lit(q).cast("double").alias(_pct_name(p))
+            for p, q in zip(levels, exact_quantiles(df, col, [p / 100.0 for p in levels]))]
+
+
+def describe(df: DataFrame, col: str = "arr_delay",
+             levels_pct: Sequence[float] = C.QUANTILE_LEVELS_PCT) -> DataFrame:
+    """count, mean, sample std, min, quartiles, max and the extra percentiles (exact)."""
     base = df.agg(
         F.count(col).alias("count"),
         F.avg(col).alias("mean"),
         F.stddev_samp(col).alias("std"),
         F.min(col).alias("min"),
         F.max(col).alias("max"),
-        q.alias("_q"),
     )
-    return base.select("count", "mean", "std", "min", "max",
-                       *[F.col("_q")[i].alias(_pct_name(p)) for i, p in enumerate(levels)])
+    return base.select("*", *_quantile_columns(df, col, levels_pct))
 
 
 def target_shares(df: DataFrame, col: str = "arr_delay") -> DataFrame:
@@ -138,9 +164,7 @@ def distance_correlation(df: DataFrame) -> DataFrame:
 
 
 def quantile_edges(df: DataFrame, col: str, k: int) -> list[float]:
-    probs = [i / k for i in range(k + 1)]
-    row = df.agg(F.percentile(F.col(col), F.array(*[F.lit(p) for p in probs])).alias("e")).collect()[0]
-    return [float(x) for x in row["e"]]
+    return exact_quantiles(df, col, [i / k for i in range(k + 1)])
 
 
 def quantile_bin(x: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
@@ -153,7 +177,7 @@ def quantile_bin(x: Column, edges: Sequence[float], labels: Sequence[str]) -> Co
 
 def distance_quintiles(df: DataFrame, labels: Sequence[str] = C.QUINTILE_LABELS) -> DataFrame:
     edges = quantile_edges(df, "distance", len(labels))
-    if any(b <= a for a, b in zip(edges, edges[1:])):
+    if None in edges or any(b <= a for a, b in zip(edges, edges[1:])):
         raise DataQualityError(f"quintile edges are not unique: {edges}")
     b = quantile_bin(F.col("distance"), edges, labels)
     return (df.groupBy(b.alias("quintile"))
@@ -242,8 +266,7 @@ def class_balance(df: DataFrame, label: str = "is_delayed") -> DataFrame:
 def train_profile_one_pass(df: DataFrame, col: str = "arr_delay",
                            levels_pct: Sequence[float] = C.QUANTILE_LEVELS_PCT) -> DataFrame:
     """Coverage, describe + quantiles, target shares, class balance and the
-    distance correlations in one plain aggregation; the level counts in another."""
-    levels = sorted(set([25.0, 50.0, 75.0] + [float(p) for p in levels_pct]))
+    distance correlations: one plain aggregation, one level count, one value count."""
     x, y = F.col(col), F.col("is_delayed")
     pct = lambda c: F.avg(c.cast("double")) * F.lit(100.0)
     row = df.agg(
@@ -251,12 +274,10 @@ def train_profile_one_pass(df: DataFrame, col: str = "arr_delay",
         F.max("flight_date").alias("max_date"),
         F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
         F.min(col).alias("min"), F.max(col).alias("max"),
-        F.percentile(x, F.array(*[F.lit(p / 100.0) for p in levels])).alias("_q"),
         pct(x < 0).alias("pct_early"), pct(x == 0).alias("pct_on_time"), pct(x > 0).alias("pct_late"),
         pct(y).alias("pct_delayed15"), F.count_if(x > 0).alias("n_late"),
         F.avg(y.cast("double")).alias("positive_rate"), F.count_if(y).alias("n_pos"), F.count_if(~y).alias("n_neg"),
         F.corr("distance", col).alias("corr_arr_delay"),
         F.corr(F.col("distance"), y.cast("int").cast("double")).alias("corr_is_delayed"),
     )
-    return row.select(*[c for c in row.columns if c != "_q"], *_level_columns(df),
-                      *[F.col("_q")[i].alias(_pct_name(p)) for i, p in enumerate(levels)])
+    return row.select("*", *_level_columns(df), *_quantile_columns(df, col, levels_pct))

@@ -8,7 +8,7 @@ takes a ``StudyParams`` instead of reading globals.
 from __future__ import annotations
 
 import datetime as _dt
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from . import constants as C
 
@@ -37,14 +37,13 @@ class StudyParams:
     cost_scenarios: tuple = tuple(C.COST_SCENARIOS)
     false_alarm_cost: float = C.FALSE_ALARM_COST
     missed_delay_cost: float = C.MISSED_DELAY_COST
-    extra: dict = field(default_factory=dict)
 
     def with_(self, **kw) -> "StudyParams":
         return replace(self, **kw)
 
     def key(self) -> str:
         """Stable text for cache keys of stage tables."""
-        parts = [f"{k}={getattr(self, k)!r}" for k in sorted(self.__dataclass_fields__) if k != "extra"]
+        parts = [f"{k}={getattr(self, k)!r}" for k in sorted(self.__dataclass_fields__)]
         return ";".join(parts)
 
 

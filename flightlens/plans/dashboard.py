@@ -10,8 +10,6 @@ TakeOrderedAndProject.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 from .. import constants as C
 
 DELAYED = "SUM(CASE WHEN is_delayed THEN 1 ELSE 0 END)"
@@ -77,7 +75,3 @@ FROM {view}
 GROUP BY day_of_week, month
 ORDER BY month, day_of_week""",
     }
-
-
-def run_report(spark: SparkSession, name: str, **kw) -> DataFrame:
-    return spark.sql(report_sql(**kw)[name])

@@ -7,8 +7,8 @@ Each stage ends in a Parquet table under the shared checkpoint folder
 between steps. Writing cuts lineage (a lost executor re-runs one stage, not
 the chain), later steps get column pruning and min/max skipping on the
 stage files, and every query downstream reads the stage instead of
-recomputing the joins of the raw input. Each stage runs its quality checks
-as one aggregation over the written table.
+recomputing the joins of the raw input. The clean stage's checks are counted
+while it is written, the others in one aggregation over the written table.
 
 Tables are keyed by the input, the parameters and a digest of the code that
 builds them, so a changed rule never reads a stale table.
@@ -20,7 +20,7 @@ import hashlib
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
@@ -124,8 +124,9 @@ class Study:
         return self._raw()
 
     def flights(self) -> DataFrame:
-        return self._stage("flights", lambda: clean_op.clean_flights(self.raw()),
-                           clean_op.check_clean)
+        seen = Observation()      # the checks' counts are taken while the table is written
+        return self._stage("flights", lambda: clean_op.clean_flights(self.raw(), seen),
+                           lambda _: clean_op.check_clean(seen))
 
     def prep_report(self) -> DataFrame:
         return prep_op.prep_report(self.flights(), self.params)

@@ -12,6 +12,7 @@ nor duplicates rows.
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.clean import clean_flights
@@ -32,6 +33,10 @@ def start_monthly_ingest(spark: SparkSession, raw_dir: str, out_dir: str, checkp
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.csv(raw_dir)
     clean = clean_flights(raw)
+    # the clean checks, per row: a bad file fails its micro-batch, and nothing of it is committed
+    known = F.col("flight_date").isNotNull() & F.col("cancelled").isNotNull() & F.col("diverted").isNotNull()
+    clean = clean.filter(F.when(known, F.lit(True)).otherwise(
+        F.raise_error(F.lit("clean: a row without date, cancelled or diverted flag")).cast("boolean")))
     writer = (clean.writeStream.format("parquet").option("path", out_dir)
               .option("checkpointLocation", checkpoint_dir).outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

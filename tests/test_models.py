@@ -163,3 +163,38 @@ def test_norm_ppf_sql_equals_the_library(spark):
 
 def test_f_tail_of_very_many_degrees_is_the_chi_square_limit():
     assert math.isclose(dist.f_sf(1.1, 127, 1e12), dist.chi2_sf(1.1 * 127, 127), rel_tol=1e-9)
+
+
+def test_ols_cells_do_not_follow_the_numeric_column(spark):
+    """Grouped by factors only: every row may have its own x, the cells stay as many as the levels."""
+    from flightlens.operators.design import moments
+    rng = np.random.default_rng(4)
+    n = 2000
+    pdf = pd.DataFrame({"a": rng.choice(["p", "q", "r", "s"], n), "b": rng.random(n) < 0.5, "x": rng.normal(size=n) + 5.0})
+    pdf["y"] = 2.0 + 0.3 * pdf["x"] + rng.normal(size=n)
+    df = spark.createDataFrame(pdf)
+    assert moments(df, DESIGN, {"s": (F.col("y"), 4)}).count() == 8
+    fit = O.fit_ols(df, DESIGN, F.col("y"), breusch_pagan=True)
+    _, _, beta, e, cov = _numpy_ols(pdf)
+    assert np.allclose(fit.coef, beta, atol=1e-9) and np.allclose(fit.se, np.sqrt(np.diag(cov)), rtol=1e-8)
+
+
+def test_one_cells_pass_serves_smaller_designs(spark):
+    from flightlens.operators.design import moments
+    df, _ = _frame(spark)
+    cells = moments(df, DESIGN, {"s": (F.col("y"), 2)})
+    small = Design((Factor("a", ("p", "q", "r", "s")),))
+    a, b = O.fit_ols(None, small, None, cell_df=cells), O.fit_ols(df, small, F.col("y"))
+    assert np.allclose(a.coef, b.coef) and np.allclose(a.se, b.se) and math.isclose(a.rsquared, b.rsquared)
+
+
+def test_unfinished_newton_is_not_called_converged(spark):
+    df, _ = _logit_frame(spark)
+    assert not L.fit_penalized(df, DESIGN, F.col("y"), max_iter=1, max_newton=1).converged
+
+
+def test_findings_name_what_they_show_and_what_they_do_not(spark):
+    cols = "scenario int, cost_ratio_fn_fp double, flagged_share double, savings_pct_of_flag_all double"
+    got = {r.finding: r.scenario for r in E.sensitivity_findings(spark.createDataFrame(
+        [(0, 4.0, 0.9, 1.0), (1, 2.0, 0.4, 5.0), (2, 1.0, 0.1, 8.0)], cols)).collect()}
+    assert got == {"first_ratio_flagging_under_half": 1, "lowest_ratio_with_meaningful_saving": None}

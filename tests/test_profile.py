@@ -82,3 +82,20 @@ def test_one_pass_profiles_equal_the_separate_ones(spark):
 def test_level_counts_order(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("c",), ("a",)], "x string")
     assert [(r["x"], r["n"]) for r in PR.level_counts(df, "x").collect()] == [("a", 2), ("b", 2), ("c", 1)]
+
+
+def test_quantiles_match_numpy_on_any_values(spark):
+    x = np.concatenate([np.random.default_rng(2).normal(size=777), [3.0] * 400, [-0.0, 0.0, 1e12]])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+    probs = [0.0, 0.001, 0.2, 0.5, 0.77, 0.999, 1.0]
+    assert np.allclose(PR.exact_quantiles(df, "v", probs), np.quantile(x, probs), rtol=1e-12)
+    assert PR.exact_quantiles(df.limit(0), "v", [0.5]) == [None]
+
+
+def test_histograms_of_several_columns_are_the_single_ones(spark):
+    tr = study_for(spark, SF0001).train()
+    both = PR.delay_histograms(tr)
+    late = tr.filter("arr_delay > 0")
+    for name, one in (("arr_delay", PR.histogram(tr, "arr_delay", 100)), ("late_log", PR.histogram(late, F.log("arr_delay"), 100))):
+        got = both.filter(F.col("histogram") == name).drop("histogram")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, one.collect()))

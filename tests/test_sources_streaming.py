@@ -2,9 +2,11 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from flightlens import constants as C
+from flightlens.operators.checks import DataQualityError
 from flightlens.operators.clean import CLEAN_COLUMNS, clean_flights
 from flightlens.sources.raw_csv import read_raw_csv
 from flightlens.sources.sinks import export_report_csv, publish_table
@@ -102,20 +104,32 @@ def test_single_layout_scan_validates_every_header(spark, tmp_dir):
     assert clean_flights(read_raw_csv(spark, bad + "/*.csv", layout="by_header")).count() == 8
 
 
-def test_clean_checks_stop_on_bad_dates_and_missing_flags(spark, tmp_dir):
-    import pytest
-    from flightlens.operators.checks import DataQualityError
+def _check(spark, path):
+    from pyspark.sql import Observation
     from flightlens.operators.clean import check_clean
+    seen = Observation()
+    clean_flights(read_raw_csv(spark, path), seen).write.format("noop").mode("overwrite").save()
+    check_clean(seen)
+
 
+@pytest.mark.parametrize("column, value, rule", [
+    ("FL_DATE", "not a date", "flight_date_unparsed"), ("CANCELLED", "", "cancelled_missing"), ("DIVERTED", "", "diverted_missing"),
+    ("ARR_DELAY", "12x", "values_unreadable"), ("DISTANCE", "abc", "values_unreadable")])
+def test_clean_checks_stop_on_missing_and_unreadable_values(spark, tmp_dir, column, value, rule):
     rows = _rows(1)
-    rows[0]["FL_DATE"] = "not a date"
-    _write(os.path.join(tmp_dir, "bad_date.csv"), rows, HEADER, trailing_comma=True)
-    fl = clean_flights(read_raw_csv(spark, os.path.join(tmp_dir, "bad_date.csv")))
-    with pytest.raises(DataQualityError, match="flight_date_unparsed"):
-        check_clean(fl)
+    _write(os.path.join(tmp_dir, "good.csv"), rows, HEADER, trailing_comma=True)
+    _check(spark, os.path.join(tmp_dir, "good.csv"))
+    rows[2][column] = value
+    _write(os.path.join(tmp_dir, "bad.csv"), rows, HEADER, trailing_comma=True)
+    with pytest.raises(DataQualityError, match=rule):
+        _check(spark, os.path.join(tmp_dir, "*.csv"))
+
+
+def test_ingest_stops_on_a_row_without_flag(spark, tmp_dir):
     rows = _rows(1)
-    rows[2]["CANCELLED"] = ""
-    _write(os.path.join(tmp_dir, "no_flag.csv"), rows, HEADER, trailing_comma=True)
-    fl = clean_flights(read_raw_csv(spark, os.path.join(tmp_dir, "no_flag.csv")))
-    with pytest.raises(DataQualityError, match="cancelled_missing"):
-        check_clean(fl)
+    rows[1]["CANCELLED"] = ""
+    os.mkdir(os.path.join(tmp_dir, "raw"))
+    _write(os.path.join(tmp_dir, "raw", "jan.csv"), rows, HEADER, trailing_comma=False)
+    q = start_monthly_ingest(spark, os.path.join(tmp_dir, "raw"), os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck"))
+    with pytest.raises(Exception, match="without date"):
+        q.awaitTermination(120)
