@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from .. import constants as C
 from ..functions import columns as X
 from ..functions import dist
+from ..session import reliable_checkpoint
 from .design import Design, Factor, Numeric, row_products
 
 
@@ -157,7 +158,8 @@ def fit_inference(df: DataFrame, design: Design, label: Column,
     used = supported_design(df, design)
     glr = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="features",
                                       labelCol="label", maxIter=max_iter, tol=tol, regParam=0.0, fitIntercept=True)
-    m = glr.fit(labelled_rows(df, used, F.col("_label")))
+    # IRLS reads its input anew each step: the vectors are written once (no shuffle)
+    m = glr.fit(reliable_checkpoint(labelled_rows(df, used, F.col("_label"))))
     s = m.summary
     se_all = np.array(s.coefficientStandardErrors)   # coefficients first, intercept last
     fitted = dict(zip(used.names, np.concatenate([[m.intercept], m.coefficients.toArray()])))
