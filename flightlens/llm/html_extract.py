@@ -8,15 +8,18 @@ stands on one side only becomes optional, and where a label would stand twice
 the stretch between folds into one repeated group of optional labels. So a
 node's expression never names a label twice, and its size is bounded by the
 template's labels, not by the pages. Merging wrappers two by two gives the
-wrapper of all pages of a host, in any number of steps: each task merges what
-it reads (one row per host and task), then the tasks' wrappers are merged.
+wrapper of all pages of a host, in any number of steps. Pages with the same
+text (scripts, menus and the like aside) count as one: each page's wrapper is
+dealt by host and text, each task merges the distinct ones it has (one row per
+host and task), then the tasks' wrappers are merged.
 
 The wrapper tells which labels of a host form the main text: its article if
 it has one, else its main part, else the node that holds most of the varying
 text. Within it, menus, headers, footers, side bars, notices, adverts, forms,
 scripts, styles and reader comments are left out by their labels, and other
-containers if their slot has the same text on every page that has it. All
-other text is kept, block by block, in page order.
+containers if their slot has the same text on every page that has it, and at
+least five pages of different text have it; inside an article nothing is left
+out for that. All other text is kept, block by block, in page order.
 
 Defined cases: null or empty html: empty text; a null url belongs to the host
 without a name; a page that does not fit its host's wrapper is read by the
@@ -49,7 +52,7 @@ SKIP_CLASSES = frozenset("ad ads advert adverts advertisement advertising sponso
                          "navigation navbar breadcrumb breadcrumbs header footer masthead notice notices cookie cookies consent "
                          "comment comments reply replies discussion disqus share sharing social related newsletter subscribe "
                          "popup modal widget toolbar pagination pager".split())
-CONSTANT_PAGES = 5             # a slot with one text on so many pages, at least, is template
+CONSTANT_PAGES = 5             # a slot with one text on so many pages of different text, at least, is template
 DEEPEST = 200                  # elements nested deeper lie beside each other in the last one that counts
 MANY_LABELS = 64               # labels of one tag under a node before they are told apart by the tag alone
 
@@ -124,7 +127,7 @@ def _node(tag: str, attributes: str) -> Node:
 #                  "groups": [[{label: optional?}, repeated?], ...], "kids": {label: wrapper node}}
 
 def infer(node: Node) -> dict:
-    """The wrapper of one page."""
+    """The wrapper of one page; ``n`` is 1 in every node, also where a label stands several times."""
     kids: dict[str, dict] = {}
     order: list[str] = []
     own: list[str] = []
@@ -136,7 +139,7 @@ def infer(node: Node) -> dict:
             continue
         w = infer(item)
         if item.label in kids:
-            _merge_into(kids[item.label], w)
+            _merge_into(kids[item.label], w, same_page=True)
         else:
             kids[item.label] = w
         order.append(item.label)
@@ -159,6 +162,22 @@ def _all_text(node: Node) -> str:
     return " ".join(" ".join(out).split())
 
 
+def text_digest(root: Node) -> bytes:
+    """Of the text that the label rules alone leave of a page: equal for copies, whatever their scripts, menus or adverts."""
+    h = xxhash.xxh3_128()
+    todo = list(reversed(root.items))
+    blank = True
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            for word in x.split():
+                h.update(word.encode("utf-8", "surrogatepass") + b" ")
+                blank = False
+        elif not (x.tag in RAW or x.tag in VOID or skipped(x.tag, x.names)):
+            todo += reversed(x.items)
+    return b"" if blank else h.digest()
+
+
 def _fold(steps: list) -> list:
     """Groups in which no label stands twice: a stretch between two equal labels becomes a repeated group."""
     out: list[list] = []                 # [labels: {label: optional}, repeated]
@@ -219,15 +238,15 @@ def _align(a: list, b: list) -> list:
     return result
 
 
-def _merge_into(a: dict, b: dict) -> None:
-    a["n"] += b["n"]
+def _merge_into(a: dict, b: dict, same_page: bool = False) -> None:
+    a["n"] = max(a["n"], b["n"]) if same_page else a["n"] + b["n"]
     a["mass"] += b["mass"]
     if a["text"] != b["text"]:
         a["text"] = None
     a["groups"] = _align(a["groups"], b["groups"])
     for label, kid in b["kids"].items():
         if label in a["kids"]:
-            _merge_into(a["kids"][label], kid)
+            _merge_into(a["kids"][label], kid, same_page)
         else:
             a["kids"][label] = kid
     _generalise(a)
@@ -266,7 +285,7 @@ def main_path(wrapper: dict) -> list[str]:
         parts = {label: _mass(kid) for label, kid in node["kids"].items() if not _skip_label(label) and _tag(label) not in INLINE}
         best = max(parts, key=lambda x: (parts[x], x), default=None)
         if best is None or _tag(best) in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "table") \
-                or parts[best] < 0.8 * _mass(node):
+                or not parts[best] or parts[best] < 0.8 * _mass(node):
             return path
         path.append(best)
         node = node["kids"][best]
@@ -282,7 +301,7 @@ def _skip_label(label: str) -> bool:
 
 def _mass(node: dict) -> int:
     """Characters of varying text, without what is never main text."""
-    own = node["mass"] if node["text"] is None or node["n"] == 1 else 0
+    own = node["mass"] if node["text"] is None or node["n"] < CONSTANT_PAGES else 0
     return own + sum(_mass(k) for label, k in node["kids"].items() if not _skip_label(label))
 
 
@@ -304,6 +323,7 @@ def _find(node: dict, wanted) -> list[str] | None:
 def extract(root: Node, wrapper: dict | None) -> str:
     path = main_path(wrapper) if wrapper else []
     tops = _at(root, path, wrapper) if path else []
+    whole = any(_tag(label) == "article" for label in path)      # nothing of an article is dropped as template
     if not tops:                       # not as the host's other pages: by its labels alone
         own = infer(root)
         path = main_path(own)
@@ -341,7 +361,7 @@ def extract(root: Node, wrapper: dict | None) -> str:
 
     for top, w in tops:
         end()
-        visit(top, w if wrapper else None, 0)
+        visit(top, w if wrapper and not whole else None, 0)
     end()
     return "\n\n".join(blocks)
 
@@ -369,18 +389,41 @@ def host_of(url) -> F.Column:
     return F.lower(F.coalesce(found, F.lit("")))
 
 
-def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    wrappers: dict[str, dict] = {}
+def _page(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wrapper of each page; what a task has handed over already is left out."""
+    seen: set[bytes] = set()
     for batch in rows_by_bytes(batches, "html"):
+        out: dict[str, list] = {"host": [], "digest": [], "wrapper": []}
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            w = infer(parse(page))
+            root = parse(page)
+            text, wrapper = text_digest(root), json.dumps(infer(root))
+            key = xxhash.xxh3_128_digest(b"\0".join((host.encode(), text, wrapper.encode())))
+            if key not in seen:
+                seen.add(key)
+                out["host"].append(host)
+                out["digest"].append(text)
+                out["wrapper"].append(wrapper)
+        yield pa.RecordBatch.from_pydict({"host": pa.array(out["host"], pa.string()), "digest": pa.array(out["digest"], pa.binary()),
+                                          "wrapper": pa.array(out["wrapper"], pa.string())})
+
+
+def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by host, digest and wrapper: one wrapper per distinct page text counts, the first."""
+    wrappers: dict[str, dict] = {}
+    last = None
+    for batch in batches:
+        for host, digest, text in zip(*(batch.column(c).to_pylist() for c in ("host", "digest", "wrapper"))):
+            if (host, digest) == last:
+                continue
+            last = host, digest
+            w = json.loads(text)
             if host in wrappers:
                 _merge_into(wrappers[host], w)
             else:
+                if len(wrappers) > 2000:         # a task of many hosts hands over what it has
+                    yield _rows(wrappers)
+                    wrappers = {}
                 wrappers[host] = w
-        if len(wrappers) > 2000:         # a task of many hosts hands over what it has
-            yield _rows(wrappers)
-            wrappers = {}
     yield _rows(wrappers)
 
 
@@ -413,7 +456,10 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
     """``host, wrapper`` (JSON), a row per host."""
     prepare(pages.sparkSession)
     source = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
-    first = source.filter("html IS NOT NULL").mapInArrow(_infer, "host string, wrapper string")
+    # pages are dealt by host and text, so a host with most of them is many tasks' work
+    each = source.filter("html IS NOT NULL").mapInArrow(_page, "host string, digest binary, wrapper string")
+    first = (each.repartition("host", "digest").sortWithinPartitions("host", "digest", "wrapper")
+             .mapInArrow(_infer, "host string, wrapper string"))
     return staged(first.repartition("host").sortWithinPartitions("host").mapInArrow(_merge, "host string, wrapper string"))
 
 

@@ -95,6 +95,34 @@ def test_html_extract_edges(spark):
     assert html_extract.extract_text(pages.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_change_no_text(spark):
+    """1, 2, 5 and 6 equal pages of a host; the copies differ in a script and a menu."""
+    words, tail = "real words of the story " * 9, "more at the end of it " * 5
+    kinds = [f"<article><h1>Head</h1><div class=entry>{words}</div><ul><li>item</ul><table><tr><td>cell</table></article>",
+             f"<body><div class=wrap><h1>Head</h1><div class=entry><div class=inner>{words}</div></div><section>{tail}</section></div></body>",
+             f"<main><h1>Head</h1><div id=story-x>{words}</div></main>"]
+    rows = [(i, f"http://h{k}-{n}/", f"<script>var nonce={i}</script><nav>menu {i}</nav>{html}")
+            for k, html in enumerate(kinds) for n in (1, 2, 5, 6) for i in range(n)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {}
+    for r in html_extract.extract_text(pages).collect():
+        got.setdefault(r.url[7:9], set()).add(r.text)
+    tails = ["\n\nitem\n\ncell", f"\n\n{tail.strip()}", ""]
+    assert got == {f"h{k}": {f"Head\n\n{words.strip()}{t}"} for k, t in enumerate(tails)}
+
+
+def test_template_of_different_pages_goes_but_not_from_articles():
+    import functools
+    def read(page, pages):
+        ws = [html_extract.infer(html_extract.parse(x)) for x in pages]
+        return html_extract.extract(html_extract.parse(page), functools.reduce(lambda a, b: (html_extract._merge_into(a, b), a)[1], ws))
+    for tag, left in (("div", "s0"), ("article", "s0\n\nsame box")):
+        pages = [f"<body><{tag}><p>s{i}</p><div class=box>same box</div></{tag}></body>" for i in range(5)]
+        assert read(pages[0], pages) == left
+    once = "<body><div><p>" + "s" * 99 + "</p>" + "<div class=box>same box</div>" * 6 + "</div></body>"
+    assert read(once, [once]) == "s" * 99 + "\n\nsame box" * 6
+
+
 def test_wrappers_are_union_free_and_order_free():
     import copy
     pages = ["<div><h1>a</h1><p>b</p></div>", "<div><p>b</p><p>c</p><ul><li>x</li></ul><p>d</p></div>", "<div><h1>z</h1></div>"]
