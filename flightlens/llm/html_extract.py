@@ -16,7 +16,9 @@ host and task), then the tasks' wrappers are merged.
 The wrapper tells which labels of a host form the main text: its article if
 it has one, else its main part, else the node that holds most of the varying
 text. Within it, menus, headers, footers, side bars, notices, adverts, forms,
-scripts, styles and reader comments are left out by their labels, and other
+scripts, styles and reader comments are left out by their labels (a class, id
+or role as a whole, not a word in it; never html, body, main, an article or
+what holds the article), and other
 containers if their slot has the same text on every page that has it, and at
 least five pages of different text have it; inside an article nothing is left
 out for that. All other text is kept, block by block, in page order.
@@ -52,6 +54,9 @@ SKIP_CLASSES = frozenset("ad ads advert adverts advertisement advertising sponso
                          "navigation navbar breadcrumb breadcrumbs header footer masthead notice notices cookie cookies consent "
                          "comment comments reply replies discussion disqus share sharing social related newsletter subscribe "
                          "popup modal widget toolbar pagination pager".split())
+BOX_WORDS = frozenset("site main top primary secondary mobile list item items box block bar slot unit buttons links form".split())
+OTHERS = frozenset("comment comments reply replies discussion disqus related".split())
+PAGE_TAGS = frozenset("#page html body main article".split())     # never left out for their names
 CONSTANT_PAGES = 5             # a slot with one text on so many pages of different text, at least, is template
 DEEPEST = 200                  # elements nested deeper lie beside each other in the last one that counts
 MANY_LABELS = 64               # labels of one tag under a node before they are told apart by the tag alone
@@ -62,16 +67,16 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("label", "tag", "names", "items")
+    __slots__ = ("label", "tag", "skip", "items")
 
-    def __init__(self, label: str, tag: str, names: frozenset):
-        self.label, self.tag, self.names = label, tag, names
+    def __init__(self, label: str, tag: str, skip: bool):
+        self.label, self.tag, self.skip = label, tag, skip
         self.items: list = []          # child nodes and strings
 
 
 def parse(page: str) -> Node:
     """A lenient tree; unclosed paragraphs and list items end where the next block begins."""
-    root = Node("#page", "#page", frozenset())
+    root = Node("#page", "#page", False)
     stack, at, n = [root], 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -101,7 +106,7 @@ def parse(page: str) -> Node:
             node.items.append(page[at:end.start() if end else n])
             at = end.end() if end else n
         elif tag not in VOID and not m.group(3).endswith("/") and (
-                len(stack) < DEEPEST or skipped(tag, node.names) and not skipped(stack[-1].tag, stack[-1].names)):
+                len(stack) < DEEPEST or node.skip and not stack[-1].skip):
             stack.append(node)
     return root
 
@@ -116,11 +121,22 @@ def _close(stack: list[Node], tag: str, *within: str) -> None:
 
 
 def _node(tag: str, attributes: str) -> Node:
-    names: set[str] = set()
+    """The label holds the words of class, id and role; ``!`` at its end marks names that are left out."""
+    words: set[str] = set()
+    skip = False
     if "=" in attributes:
         for key, value in _ATTRIBUTE.findall(attributes):
-            names.update(_WORDS.findall(value.lower()))
-    return Node(f"{tag}.{'.'.join(sorted(names))}" if names else tag, tag, frozenset(names))
+            for token in value.lower().strip("\"'").split():
+                words.update(found := _WORDS.findall(token))
+                skip = skip or _skip_name(token, found)
+    skip = skip and tag not in PAGE_TAGS
+    label = f"{tag}.{'.'.join(sorted(words))}" if words else tag
+    return Node(f"{label}!" if skip else label, tag, skip or tag in SKIP_TAGS)
+
+
+def _skip_name(token: str, words: list[str]) -> bool:
+    """The whole name is one of those left out, or made of them and words for a box ("comment-list", not "has-comments")."""
+    return token in SKIP_CLASSES or not SKIP_CLASSES.isdisjoint(words) and all(x in SKIP_CLASSES or x in BOX_WORDS for x in words)
 
 
 # a wrapper node: {"n": pages, "mass": characters, "text": hash of the only text or None,
@@ -173,7 +189,7 @@ def text_digest(root: Node) -> bytes:
             for word in x.split():
                 h.update(word.encode("utf-8", "surrogatepass") + b" ")
                 blank = False
-        elif not (x.tag in RAW or x.tag in VOID or skipped(x.tag, x.names)):
+        elif not (x.tag in RAW or x.tag in VOID or x.skip):
             todo += reversed(x.items)
     return b"" if blank else h.digest()
 
@@ -260,7 +276,7 @@ def _generalise(a: dict) -> None:
     for label in a["kids"]:
         tags.setdefault(label.partition(".")[0], []).append(label)
     for tag, labels in tags.items():
-        plain = [x for x in labels if not skipped(tag, frozenset(x.split(".")[1:]))]
+        plain = [x for x in labels if not _skip_label(x)]
         if len(plain) > MANY_LABELS // 2:
             kept = a["kids"].pop(plain[0])
             for x in plain[1:]:
@@ -271,15 +287,14 @@ def _generalise(a: dict) -> None:
             a["groups"] = _align(steps[:1], steps[1:]) if steps else []
 
 
-def skipped(tag: str, names: frozenset) -> bool:
-    return tag in SKIP_TAGS or bool(names & SKIP_CLASSES)
-
-
 def main_path(wrapper: dict) -> list[str]:
     """Labels from the page down to the node that holds the main text; [] for the whole page."""
     for wanted in (lambda tag, names: tag == "article", lambda tag, names: tag == "main" or "main" in names):
         if (path := _find(wrapper, wanted)) is not None:
             return path
+    for wanted in (lambda tag, names: tag == "article", lambda tag, names: tag == "main"):
+        if (path := _find(wrapper, wanted, True)) is not None:     # names do not leave out a node that holds the article
+            return path
     path, node = [], wrapper
     while True:                      # down while one part holds most of what varies
         parts = {label: _mass(kid) for label, kid in node["kids"].items() if not _skip_label(label) and _tag(label) not in INLINE}
@@ -296,7 +311,7 @@ def _tag(label: str) -> str:
 
 
 def _skip_label(label: str) -> bool:
-    return skipped(_tag(label), frozenset(label.split(".")[1:])) or _tag(label) == "header"
+    return label[-1] == "!" or _tag(label) in SKIP_TAGS or _tag(label) == "header"
 
 
 def _mass(node: dict) -> int:
@@ -305,21 +320,28 @@ def _mass(node: dict) -> int:
     return own + sum(_mass(k) for label, k in node["kids"].items() if not _skip_label(label))
 
 
-def _find(node: dict, wanted) -> list[str] | None:
+def _find(node: dict, wanted, within_skipped: bool = False) -> list[str] | None:
+    """The first such label from the top. Within nodes left out for their names only if it holds more text than
+    all that is not left out, and not among comments and links to other articles."""
     level = [([], node)]
+    least = _mass(node) if within_skipped else -1
     while level:
         below = []
         for path, x in level:
             for label, kid in x["kids"].items():
-                if _skip_label(label):
+                if _skip_label(label) and not (within_skipped and _may_hold_article(label)):
                     continue
-                if wanted(_tag(label), frozenset(label.split(".")[1:])):
+                if wanted(_tag(label), frozenset(label.split(".")[1:])) and _mass(kid) > least:
                     return [*path, label]
                 below.append(([*path, label], kid))
         level = below
     return None
 
 
+def _may_hold_article(label: str) -> bool:
+    return (_tag(label) not in SKIP_TAGS or _tag(label) == "form") and OTHERS.isdisjoint(label.rstrip("!").split(".")[1:])
+
+
 def extract(root: Node, wrapper: dict | None) -> str:
     path = main_path(wrapper) if wrapper else []
     tops = _at(root, path, wrapper) if path else []
@@ -344,7 +366,7 @@ def extract(root: Node, wrapper: dict | None) -> str:
                 run.append(item)
             elif item.tag == "br":
                 run.append("\n")
-            elif item.tag in VOID or item.tag in RAW or skipped(item.tag, item.names):
+            elif item.tag in VOID or item.tag in RAW or item.skip:
                 if item.tag not in INLINE:
                     end()
             elif item.tag == "header" and not _has_title(item):

@@ -123,6 +123,19 @@ def test_template_of_different_pages_goes_but_not_from_articles():
     assert read(once, [once]) == "s" * 99 + "\n\nsame box" * 6
 
 
+def test_names_leave_out_boxes_not_pages():
+    def read(page):
+        root = html_extract.parse(page)
+        return html_extract.extract(root, html_extract.infer(root))
+    kept = ["<body class='single no-sidebar'><p>text</p></body>", "<article class='post has-comments'><p>text</p></article>",
+            "<div id='share-story'><p>text</p></div>", "<main class='with-sidebar'><p>text</p></main>",
+            "<body class=sidebar><main id=menu><p>text</p></main></body>", "<div class='page sidebar'><article><p>text</p></article></div>",
+            "<form id=widget><div class=social><article class=comments><p>text</p></article></div></form>"]
+    assert [read(x) for x in kept] == ["text"] * len(kept)
+    for name in ("comments", "comment-list", "Cookie-Notice", "x ad", "site_header", "main-menu"):
+        assert read(f"<body><div id=d><p>{'text ' * 9}</p><div class='{name}'>box <article>{'other ' * 5}</article></div></div></body>") == ("text " * 9).strip()
+
+
 def test_wrappers_are_union_free_and_order_free():
     import copy
     pages = ["<div><h1>a</h1><p>b</p></div>", "<div><p>b</p><p>c</p><ul><li>x</li></ul><p>d</p></div>", "<div><h1>z</h1></div>"]
