@@ -13,7 +13,8 @@ text (scripts, menus and the like aside) count as one: each page's wrapper is
 dealt by host and text, each task merges the distinct ones it has (one row per
 host and task), then the tasks' wrappers are merged.
 
-The wrapper tells which labels of a host form the main text: its article if
+A page's children are matched against the expressions, which give each its
+slot. The wrapper tells which labels of a host form the main text: its article if
 it has one, else its main part, else the node that holds most of the varying
 text. Within it, menus, headers, footers, side bars, notices, adverts, forms,
 scripts, styles and reader comments are left out by their labels (a class, id
@@ -24,8 +25,10 @@ least five pages of different text have it; inside an article nothing is left
 out for that. All other text is kept, block by block, in page order.
 
 Defined cases: null or empty html: empty text; a null url belongs to the host
-without a name; a page that does not fit its host's wrapper is read by the
-same label rules alone; repeated rows are extracted alike.
+without a name; a page that does not match its host's expressions down to the
+main text is read by the same label rules alone, and so is what lies below a
+node of the main text whose children do not match; repeated rows are extracted
+alike.
 """
 
 from __future__ import annotations
@@ -240,9 +243,13 @@ def _align(a: list, b: list) -> list:
         out.append([merged, again or len(taken) > 1])
         done = max(done, hits[-1] + 1)
     out += [[dict.fromkeys(g[0], True), g[1]] for g in b[done:]]
-    # crossings leave a label in two groups: fold the stretch between
+    return _crossed(out)
+
+
+def _crossed(groups: list) -> list:
+    """Crossings leave a label in two groups: fold the stretch between."""
     result: list[list] = []
-    for labels, repeated in out:
+    for labels, repeated in groups:
         first = next((i for i, g in enumerate(result) if g[0].keys() & labels.keys()), None)
         if first is None:
             result.append([labels, repeated])
@@ -283,8 +290,7 @@ def _generalise(a: dict) -> None:
                 _merge_into(kept, a["kids"].pop(x))
             a["kids"][tag] = kept
             swap = set(plain)
-            steps = [[{tag if x in swap else x: o for x, o in g[0].items()}, g[1]] for g in a["groups"]]
-            a["groups"] = _align(steps[:1], steps[1:]) if steps else []
+            a["groups"] = _crossed([[{tag if x in swap else x: o or x in swap for x, o in g[0].items()}, g[1]] for g in a["groups"]])
 
 
 def main_path(wrapper: dict) -> list[str]:
@@ -360,7 +366,8 @@ def extract(root: Node, wrapper: dict | None) -> str:
         if text:
             blocks.append(text)
 
-    def visit(node: Node, w: dict | None, depth: int) -> None:
+    def visit(node: Node, w: dict | None) -> None:
+        slots = _slots(node, w) or {}
         for item in node.items:
             if isinstance(item, str):
                 run.append(item)
@@ -372,18 +379,18 @@ def extract(root: Node, wrapper: dict | None) -> str:
             elif item.tag == "header" and not _has_title(item):
                 end()
             else:
-                below = w["kids"].get(item.label, w["kids"].get(item.tag)) if w else None
+                below = slots.get(id(item))
                 block = item.tag not in INLINE
                 if block:
                     end()
                 if not (block and _constant(item, below)):
-                    visit(item, below, depth + 1)
+                    visit(item, below)
                 if block:
                     end()
 
     for top, w in tops:
         end()
-        visit(top, w if wrapper and not whole else None, 0)
+        visit(top, w if wrapper and not whole else None)
     end()
     return "\n\n".join(blocks)
 
@@ -398,11 +405,35 @@ def _has_title(node: Node) -> bool:
     return any(not isinstance(x, str) and (x.tag == "h1" or _has_title(x)) for x in node.items)
 
 
-def _at(node: Node, path: list[str], w: dict | None) -> list[tuple[Node, dict | None]]:
+def _slots(node: Node, w: dict | None) -> dict[int, dict] | None:
+    """The slot of each child by its ``id``, if the children match the wrapper node's expression; else None."""
+    if w is None:
+        return None
+    where = {label: i for i, g in enumerate(w["groups"]) for label in g[0]}
+    slots: dict[int, dict] = {}
+    seen: set[str] = set()
+    at = -1
+    for item in node.items:
+        if isinstance(item, str) or item.tag in RAW or item.tag in VOID:
+            continue
+        label = item.label if item.label in where else item.tag
+        i = where.get(label, -1)
+        if i < at or i < 0 or i == at and not w["groups"][i][1]:
+            return None
+        at = i
+        seen.add(label)
+        slots[id(item)] = w["kids"][label]
+    if any(not optional and label not in seen for g in w["groups"] for label, optional in g[0].items()):
+        return None
+    return slots
+
+
+def _at(node: Node, path: list[str], w: dict) -> list[tuple[Node, dict]]:
+    """The nodes at the end of the path and their slots; a node on the way whose children do not match leads nowhere."""
     level = [(node, w)]
     for label in path:
-        level = [(k, (x["kids"].get(label) if x else None)) for n, x in level for k in n.items
-                 if not isinstance(k, str) and k.label == label]
+        level = [(k, slots[id(k)]) for n, x in level if (slots := _slots(n, x)) for k in n.items
+                 if not isinstance(k, str) and id(k) in slots and slots[id(k)] is x["kids"].get(label)]
     return level
 
 

@@ -136,6 +136,43 @@ def test_names_leave_out_boxes_not_pages():
         assert read(f"<body><div id=d><p>{'text ' * 9}</p><div class='{name}'>box <article>{'other ' * 5}</article></div></div></body>") == ("text " * 9).strip()
 
 
+_TREES = st.recursive(st.sampled_from(["<p>t</p>", "u"]), lambda inner: st.builds(
+    lambda tag, kids: f"<{tag}>{''.join(kids)}</{tag.split()[0]}>", st.sampled_from(["div", "div class=a", "ul", "section", "b"]),
+    st.lists(inner, max_size=5)), max_leaves=12)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(_TREES, max_size=4).map("".join), min_size=1, max_size=6))
+def test_pages_match_the_expressions_of_their_host(pages):
+    whole = html_extract.infer(html_extract.parse(pages[0]))
+    for page in pages[1:]:
+        html_extract._merge_into(whole, html_extract.infer(html_extract.parse(page)))
+    todo = [(html_extract.parse(page), whole) for page in pages]
+    while todo:
+        node, w = todo.pop()
+        slots = html_extract._slots(node, w)
+        assert slots is not None
+        todo += [(k, slots[id(k)]) for k in node.items if not isinstance(k, str) and id(k) in slots]
+
+
+def test_expressions_decide_the_text():
+    wrapper = None
+    for i in range(5):
+        w = html_extract.infer(html_extract.parse(f"<main><h1>h{i}</h1><div class=box>same</div><p>s{i}</p></main>"))
+        wrapper = html_extract._merge_into(wrapper, w) or wrapper if wrapper else w
+    read = lambda page: html_extract.extract(html_extract.parse(page), wrapper)
+    assert read("<main><h1>h</h1><div class=box>same</div><p>s</p></main>") == "h\n\ns"
+    assert read("<main><h1>h</h1><p>s</p><div class=box>same</div></main>") == "h\n\ns\n\nsame"      # other order
+    assert read("<main><div class=box>same</div><p>s</p></main>") == "same\n\ns"                       # no title
+    many = "".join(f"<div class=x{chr(97 + i // 26)}{chr(97 + i % 26)}>x</div>" for i in range(90))
+    trees = [html_extract.parse(f"<main>{a}<p>s</p>{b}</main>") for a, b in ((many, many), ("<div>x</div>", many), (many, ""))]
+    whole = html_extract.infer(trees[0])
+    for tree in trees[1:]:
+        html_extract._merge_into(whole, html_extract.infer(tree))
+    assert set(whole["kids"]["main"]["kids"]) == {"div", "p"}
+    assert all(html_extract._slots(tree.items[0], whole["kids"]["main"]) for tree in trees)
+
+
 def test_wrappers_are_union_free_and_order_free():
     import copy
     pages = ["<div><h1>a</h1><p>b</p></div>", "<div><p>b</p><p>c</p><ul><li>x</li></ul><p>d</p></div>", "<div><h1>z</h1></div>"]
