@@ -74,7 +74,7 @@ FIXTURE = StudyParams(
     ref_airport=None,   # highest-volume origin in train
     sample_size=1_000_000,
     sample_seed=42,
-    diag_sample_size=5_000,     # below the late train rows of sf0.01, so that the choice is checked
+    diag_sample_size=50_000,    # the study's own
     diag_seed=42,
     airport_min_flights=2000,
     airport_top_k=30,

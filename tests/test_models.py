@@ -198,3 +198,24 @@ def test_findings_name_what_they_show_and_what_they_do_not(spark):
     got = {r.finding: r.scenario for r in E.sensitivity_findings(spark.createDataFrame(
         [(0, 4.0, 0.9, 1.0), (1, 2.0, 0.4, 5.0), (2, 1.0, 0.1, 8.0)], cols)).collect()}
     assert got == {"first_ratio_flagging_under_half": 1, "lowest_ratio_with_meaningful_saving": None}
+
+
+def test_diagnostic_sample_is_the_studys_and_its_choice_equals_sql(spark, monkeypatch):
+    import duckdb
+    from conftest import SF0001
+    from flightlens import constants as C
+    from flightlens.params import FIXTURE
+    from flightlens.plans.magnitude import Magnitude
+    from flightlens.plans.stages import Study
+    from flightlens_oracle import models_sql
+    assert FIXTURE.diag_sample_size == C.DIAG_SAMPLE_SIZE == 50_000
+    small = FIXTURE.with_(diag_sample_size=300)
+    m = Magnitude(Study(spark, small, sf_dir=SF0001))
+    assert m._train_late_raw.count() > 300
+    monkeypatch.setattr(models_sql, "P", small)
+    con = duckdb.connect()
+    for name in ("lineitem", "orders", "customer", "supplier", "part", "nation", "region"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SF0001}/{name}.parquet')")
+    want = con.execute(models_sql._diagnostics("SELECT fitted, resid FROM dg")).fetchall()
+    got = m.residuals_vs_fitted().collect()
+    assert len(got) == 300 and np.allclose(sorted(map(tuple, got)), sorted(want), atol=1e-6)
