@@ -5,7 +5,9 @@ array of each: the document positions whose suffix can match a test suffix far
 enough, sorted by the words that follow. Each test suffix is then looked up by
 binary search; the range it finds holds the places of all its verbatim matches
 of at least a window (or of the whole item, if that is shorter). The union of
-these places are the hit words; consecutive matches join to longer spans.
+these places are the hit words. A span is such a union: hits that overlap or
+abut join, also hits of several items, so a span need not stand in any one
+item as a whole, and its item and place in the item are not kept.
 
 Positions are left out of a suffix array only if no test suffix can match
 there for a whole window: a word pair must occur in the benchmark to be part
@@ -175,15 +177,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                        block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, *carry, n_words, spans, items, n_hit, contaminated``, a row per input row.
 
-    ``spans``: where words match the benchmark verbatim (place and length in
-    words); ``items``: the items found, sorted as strings.
+    ``spans``: the union of the places where windows match the benchmark verbatim
+    (place and length in words); ``items``: the items found, sorted as strings.
     """
     if clash := {"doc_id", "n_words", "spans", "items", "n_hit", "contaminated", "data", "row"} & set(carry):
         raise ValueError(f"carried columns clash with result columns: {sorted(clash)}")
     spark = docs.sparkSession
     prepare(spark)
     test = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"),
-                            text_bytes(item_text).alias("data"))
+                            text_bytes(item_text).alias("data")).distinct()     # repeats would all land in one block
     size = test.agg(F.sum(F.octet_length("data") + F.octet_length("item"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("data"), *carry)

@@ -102,6 +102,17 @@ def test_decontamination_edges(spark, edge_docs, edge_rows):
     assert decontamination.find_contamination(edge_docs.limit(0), bench).count() == 0
 
 
+def test_repeated_benchmark_rows_stay_within_the_blocks(spark, edge_docs, edge_rows, monkeypatch):
+    items = [(1, " ".join(f"w{i}" for i in range(30, 60)))] * 200 + [(2, "ende x")] * 200
+    taken = []
+    init = decontamination.TestBlock.__init__
+    monkeypatch.setattr(decontamination.TestBlock, "__init__", lambda self, rows, window: taken.append(rows) or init(self, rows, window))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.find_contamination(edge_docs, bench, block_bytes=2000)
+    same(decontamination.digest(got).collect(), decontamination.brute_force([r[:2] for r in edge_rows], items))
+    assert sum(map(len, taken)) == 2
+
+
 def test_token_counts_equal_the_library(spark, edge_docs):
     import sentencepiece
     path = tokenizer_path("piece_bpe_32k.model")
