@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +51,21 @@ def _hasher(lanes: int) -> WordHasher:
     return _hashers[lanes]
 
 
+def _once(batch: pa.RecordBatch, seen: set) -> pa.RecordBatch:
+    """Without rows that the task has had before: repeats have the same windows, and are cut by the same list."""
+    new = []
+    for row in zip(batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(),
+                   pc.binary_length(batch.column("data")).to_pylist()):
+        new.append(row not in seen)
+        seen.add(row)
+    return batch.filter(pa.array(new, pa.bool_()))
+
+
 def _parse(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _hasher(1)
-        for batch in rows_by_bytes(batches, "data"):
+        seen: set = set()
+        for batch in rows_by_bytes((_once(b, seen) for b in batches), "data"):
             words = [hasher(x or b"")[0] for x in batch.column("data").to_pylist()]
             first = np.append(0, np.cumsum([len(w) for w in words]))
             name, frm, to = recompression.anchors(np.concatenate(words), first, width, LEVELS)
@@ -72,7 +84,8 @@ def _parse(width: int):
 def _windows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _hasher(2)
-        for batch in rows_by_bytes(batches, "data"):
+        seen: set = set()
+        for batch in rows_by_bytes((_once(b, seen) for b in batches), "data"):
             for data, doc, key, spans in zip(*(batch.column(c).to_pylist() for c in ("data", "doc_id", "key", "spans"))):
                 lanes = hasher(data)
                 spans = np.asarray(spans, dtype=np.int64)
@@ -146,7 +159,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     .filter("lo < hi").select("name"))
     discard(spark, first)
     spans = staged(found.select("name", "key", "span").join(shared, "name").join(copies, "key", "left_anti")
-                   .groupBy("key").agg(F.collect_list("span").alias("spans")))
+                   .groupBy("key").agg(F.collect_set("span").alias("spans")))
     discard(spark, found, shared)
     windows = staged(source.select("doc_id", "data", "key").join(spans, "key").select("doc_id", "data", "key", "spans")
                      .mapInArrow(_windows(width), "a long, b long, doc_id long, key long, at int"))
@@ -155,7 +168,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    .filter("lo < hi").select("a", "b", "lo"))
     discard(spark)
     gone = staged(windows.join(least, ["a", "b"]).filter("lo < doc_id")
-                  .groupBy("key").agg(F.collect_list("at").alias("ats"))
+                  .groupBy("key").agg(F.collect_set("at").alias("ats"))
                   .unionByName(copies.select("key", F.array(F.lit(EVERYWHERE)).alias("ats"))))
     discard(spark, windows, least, copies)
     keep = ["doc_id", *carry]

@@ -113,6 +113,21 @@ def test_repeated_benchmark_rows_stay_within_the_blocks(spark, edge_docs, edge_r
     assert sum(map(len, taken)) == 2
 
 
+def test_repeated_rows_make_no_longer_groups(spark, monkeypatch):
+    shared = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, shared + " one")] + [(2, "two " + shared + f" x{i // 60}") for i in range(120)]
+    grouped = []
+
+    def watched(df, staged=substring_dedup.staged):
+        out = staged(df)
+        grouped.extend(list(r[c]) for c in ("spans", "ats") if c in out.columns for r in out.select(c).collect())
+        return out
+    monkeypatch.setattr(substring_dedup, "staged", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    same(substring_dedup.digest(substring_dedup.remove_repeats(docs)).collect(), substring_dedup.brute_force(rows))
+    assert grouped and all(len(x) == len(set(x)) for x in grouped)
+
+
 def test_token_counts_equal_the_library(spark, edge_docs):
     import sentencepiece
     path = tokenizer_path("piece_bpe_32k.model")
