@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF0001
+from fixture_paths import SF0001
 from flightlens import constants as C
 from flightlens.plans.magnitude import Magnitude
 from flightlens.plans.stages import study_for

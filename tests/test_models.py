@@ -202,7 +202,7 @@ def test_findings_name_what_they_show_and_what_they_do_not(spark):
 
 def test_diagnostic_sample_is_the_studys_and_its_choice_equals_sql(spark, monkeypatch):
     import duckdb
-    from conftest import SF0001
+    from fixture_paths import SF0001
     from flightlens import constants as C
     from flightlens.params import FIXTURE
     from flightlens.plans.magnitude import Magnitude

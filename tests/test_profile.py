@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF0001
+from fixture_paths import SF0001
 from flightlens.operators import profile as PR
 from flightlens.operators.checks import DataQualityError
 from flightlens.plans.stages import study_for

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import SF0001
+from fixture_paths import SF0001
 from flightlens.operators import reports as R
 from flightlens.params import FIXTURE
 from flightlens.plans.dashboard import report_sql

@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF0001
+from fixture_paths import SF0001
 from flightlens.operators import profile as PR
 from flightlens.operators.checks import DataQualityError, require
 from flightlens.plans.magnitude import Magnitude

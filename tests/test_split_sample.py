@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF0001
+from fixture_paths import SF0001
 from flightlens.operators import split as S
 from flightlens.operators.checks import DataQualityError
 from flightlens.plans.stages import study_for
