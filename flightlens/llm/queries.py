@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flightlens.llm import (chat_format, decontamination, html_extract, packing, quality, simhash_dedup,
-                            substring_dedup, token_counts, url_filter, warc)
+from flightlens.llm import (chat_format, decontamination, html_extract, lexical_rank, license_scan, merkle, packing,
+                            quality, simhash_dedup, substring_dedup, token_counts, url_filter, warc)
 from flightlens.llm.runtime import table
 
 
@@ -57,12 +57,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.round_trip(table(spark, sf_dir, "pages")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(merkle.prove_all(table(spark, sf_dir, "documents")))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan_licenses(table(spark, sf_dir, "documents")))
+
+
+def op13_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_rank.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_packing, op3_simhash_dedup, op4_chat_format, op5_url_filter, op6_quality_rules,
-    op7_decontamination, op8_token_counts, op9_html_extract, op10_warc)}
+    op7_decontamination, op8_token_counts, op9_html_extract, op10_warc, op11_merkle_manifest, op12_license_scan,
+    op13_lexical_rank)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORD = r"'[^\x20\x09-\x0D]+'"
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
 
 ORACLE_SQL = {
     "op1_substring_dedup": f"""
@@ -150,4 +164,69 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
        CASE WHEN largest IS NOT NULL AND page_id IS DISTINCT FROM largest THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN largest IS NOT NULL AND page_id IS DISTINCT FROM largest THEN largest END AS refers_to
 FROM m""",
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE c AS (
+  SELECT doc_id, lang, source, n_chars, text,
+         list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                             lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))) AS reg
+  FROM documents),
+f AS (SELECT doc_id, lang, n_chars, reg,
+        coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+          || coalesce(strlen(lang) || ':' || lang, '-') AS front,
+        coalesce(strlen(text) || ':' || text, '-') AS back FROM c),
+g AS (SELECT doc_id, lang, sha256(front || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || back) AS leaf,
+        CASE WHEN xor(reg, 4294967295) % {merkle.TAMPER} = 0 AND n_chars IS NOT NULL
+             THEN sha256(front || strlen((n_chars::HUGEINT + 1)::VARCHAR) || ':' || (n_chars::HUGEINT + 1) || back) END AS altered
+      FROM f),
+d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS spot,
+        count(*) OVER (PARTITION BY lang) AS n FROM g),
+node AS (SELECT lang, n AS width, 0 AS level, spot, leaf AS h FROM d
+         UNION ALL
+         SELECT lang, (width + 1) // 2, level + 1, spot // 2, sha256(string_agg(h, '' ORDER BY spot))
+         FROM node WHERE width > 1 GROUP BY lang, width, level, spot // 2),
+sub AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS spot, count(*) OVER () AS n
+        FROM node WHERE width = 1),
+high AS (SELECT n AS width, 0 AS level, spot, subroot AS h FROM sub
+         UNION ALL
+         SELECT (width + 1) // 2, level + 1, spot // 2, sha256(string_agg(h, '' ORDER BY spot))
+         FROM high WHERE width > 1 GROUP BY width, level, spot // 2),
+own AS (SELECT d.lang, d.spot, string_agg(s.h, '' ORDER BY s.level) AS steps
+        FROM d, range(40) AS k(level) JOIN node s
+          ON s.lang IS NOT DISTINCT FROM d.lang AND s.level = k.level AND s.spot = xor(d.spot >> k.level::INT, 1) GROUP BY ALL),
+over_it AS (SELECT sub.lang, string_agg(s.h, '' ORDER BY s.level) AS steps
+            FROM sub, range(40) AS k(level) JOIN high s ON s.level = k.level AND s.spot = xor(sub.spot >> k.level::INT, 1) GROUP BY ALL),
+fold AS (SELECT lang, spot, n AS width, 0 AS level, spot AS j, coalesce(altered, leaf) AS h FROM d
+         UNION ALL
+         SELECT f.lang, f.spot, (width + 1) // 2, f.level + 1, f.j // 2,
+                sha256(CASE WHEN f.j % 2 = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END)
+         FROM fold f LEFT JOIN (SELECT lang, level, spot, h FROM node) s
+           ON s.lang IS NOT DISTINCT FROM f.lang AND s.level = f.level AND s.spot = xor(f.j, 1) WHERE width > 1),
+fold_high AS (SELECT f.lang, f.spot, sub.n AS width, 0 AS level, sub.spot AS j, f.h
+              FROM fold f JOIN sub ON sub.lang IS NOT DISTINCT FROM f.lang WHERE f.width = 1
+              UNION ALL
+              SELECT f.lang, f.spot, (width + 1) // 2, f.level + 1, f.j // 2,
+                     sha256(CASE WHEN f.j % 2 = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END)
+              FROM fold_high f LEFT JOIN (SELECT level, spot, h FROM high) s ON s.level = f.level AND s.spot = xor(f.j, 1)
+              WHERE width > 1)
+SELECT d.doc_id, d.leaf, sub.subroot, r.h AS root, sha256(coalesce(own.steps, '') || coalesce(over_it.steps, '')) AS proof_sha256,
+       e.h AS folded_root, e.h = r.h AS verified
+FROM d JOIN sub ON sub.lang IS NOT DISTINCT FROM d.lang
+JOIN (SELECT h FROM high WHERE width = 1) r ON true
+JOIN fold_high e ON e.width = 1 AND e.lang IS NOT DISTINCT FROM d.lang AND e.spot = d.spot
+LEFT JOIN own ON own.lang IS NOT DISTINCT FROM d.lang AND own.spot = d.spot
+LEFT JOIN over_it ON over_it.lang IS NOT DISTINCT FROM d.lang""",
+    "op13_lexical_rank": f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(translate(text, {_AZ}), {_TERM})) AS term
+           FROM documents),
+tf AS (SELECT r, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+len AS (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS length FROM len),
+want AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, {_AZ}), {_TERM})) AS term FROM benchmark),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term, docs),
+s AS (SELECT item_id, r, doc_id,
+             sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // length))))::BIGINT AS score
+      FROM want JOIN tf USING (term) JOIN w USING (term) JOIN len USING (r), total GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= {lexical_rank.TOP}""",
 }
