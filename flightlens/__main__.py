@@ -51,7 +51,8 @@ def run_study(spark: SparkSession, raw: str, out: str, params: StudyParams = STU
               table: str | None = None, models: bool = True) -> dict[str, str]:
     """Build every stage and write every result; returns {result name: path}."""
     out = out.rstrip("/")
-    st = Study(spark, params, raw=lambda: read_raw_csv(spark, raw), source_key=f"csv:{raw}:{input_state(spark, raw)}")
+    st = Study(spark, params, raw=lambda: read_raw_csv(spark, raw), source_key=f"csv:{raw}:{input_state(spark, raw)}",
+               by_month=True)
     flights = st.flights()
     if table:
         publish_table(flights, table)

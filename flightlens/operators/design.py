@@ -9,9 +9,8 @@ Two ways to use it:
 * the fits. ``moments`` groups the rows by the factors only, whose level
   lists bound the number of cells whatever the number of rows, and keeps
   power sums of the numeric column and of y; ``moment_products`` turns cells
-  into X'WX and X'r. ``row_products`` does the same straight from rows, with
-  no shuffle, where weights depend on each row (logit steps). Both add up per
-  task with numpy; only p*p + p*k numbers reach the driver.
+  into X'WX and X'r, added up per task with numpy; only p*p + p*k numbers reach
+  the driver. Logistic fits take the design's columns as Spark ML vectors.
 """
 
 from __future__ import annotations
@@ -267,23 +266,3 @@ def order(design: Design) -> np.ndarray:
         at += [design.width - 1] if t is num else list(range(k, k + n))
         k += n
     return np.array(at, dtype=int)
-
-
-def row_products(df: DataFrame, design: Design, prep: Prep, n_rhs: int) -> tuple[np.ndarray, np.ndarray]:
-    """X' diag(w) X and X'R straight from rows, ``prep(pdf, X) -> (w, R)``; no shuffle of rows."""
-    p = design.width
-
-    def per_partition(batches):
-        G, B = np.zeros((p, p)), np.zeros((p, n_rhs))
-        for pdf in batches:
-            if len(pdf):
-                X = design.matrix(pdf)
-                w, R = prep(pdf, X)
-                G += (X.T * w) @ X
-                B += X.T @ np.asarray(R).reshape(len(pdf), n_rhs)
-        acc = np.concatenate([G.ravel(), B.ravel()])
-        yield pd.DataFrame({"k": np.arange(len(acc), dtype=np.int64), "v": acc})
-
-    ship_package(df.sparkSession)
-    G, B = _sum_by_position(df.mapInPandas(per_partition, "k long, v double"), [(p, p), (p, n_rhs)])
-    return G, B

@@ -1,16 +1,17 @@
 """Logistic models on Spark ML, fitted on rows.
 
-* ``fit_penalized`` -- L2 logistic regression: the penalty
-  1/2 ||b||^2 + C * sum(log-loss) with a free intercept equals Spark's
-  mean log-loss + (regParam/2) ||b||^2 with regParam = 1 / (C * n) and no
-  standardisation. L-BFGS (one tree aggregation a step), then Newton steps
-  until the estimate stands still.
+* ``fit_penalized`` -- L2 logistic regression, 1/2 ||b||^2 + C * sum(log-loss)
+  with a free intercept. First solver: IRLS (``GeneralizedLinearRegression``),
+  which comes to the optimum in a few passes. If it does not settle, the second
+  solver: L-BFGS (``LogisticRegression``); the fit says which one it is from and
+  why.
 * ``fit_inference`` -- unpenalised binomial GLM (IRLS) with standard errors,
   p-values, confidence intervals and McFadden's pseudo R^2.
 
-No row is shuffled: each optimiser step is a scan with sums per task. Rows
-are not collapsed to equal design rows first, because a numeric column makes
-nearly every design row its own.
+No row is shuffled by a step: each is a scan with sums per task. With a numeric
+column nearly every design row is its own, so rows are fitted as they are; a
+design of factors and flags alone has as many distinct rows as the product of
+its levels, and is fitted on these cells, weighted by their rows.
 """
 
 from __future__ import annotations
@@ -29,15 +30,15 @@ from .. import constants as C
 from ..functions import columns as X
 from ..functions import dist
 from ..session import reliable_checkpoint
-from .design import Design, Factor, Numeric, row_products
+from .design import Design, Factor, Numeric
 
 
-def labelled_rows(df: DataFrame, design: Design, label: Column) -> DataFrame:
-    """(features vector, label) per row."""
+def labelled_rows(df: DataFrame, design: Design, label: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(features vector, label, *keep) per row."""
     ind = design.indicator_columns()
     names = [f"x{i}" for i in range(len(ind))]
-    rows = df.select(label.cast("double").alias("label"), *[c.alias(n) for c, n in zip(ind, names)])
-    return VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("features", "label")
+    rows = df.select(label.cast("double").alias("label"), *keep, *[c.alias(n) for c, n in zip(ind, names)])
+    return VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("features", "label", *keep)
 
 
 @dataclass
@@ -52,6 +53,7 @@ class LogisticFit:
     se: np.ndarray | None = None          # intercept first, then coef (inference fits)
     deviance: float | None = None
     null_deviance: float | None = None
+    reason: str | None = None             # why the second solver was used
 
     @property
     def params(self) -> np.ndarray:
@@ -96,40 +98,60 @@ class LogisticFit:
         return spark.createDataFrame(self.coef_rows(), schema)
 
 
+IRLS_COLUMNS = 4096          # Spark ML's limit for its normal equations
+
+
+def _irls(rows: DataFrame, n: int, C_reg: float, max_iter: int, tol: float, rounds: int) -> tuple[np.ndarray, int, str | None]:
+    """(intercept and coefficients, passes, why it did not settle).
+
+    Spark's IRLS penalises the mean over working weights, whose sum
+    S = sum p (1 - p) belongs to the solution: the penalty sought needs
+    regParam = 1 / (C S). A few fits with S from the one before reach it, each
+    with about twice the correct digits.
+    """
+    rate = rows.agg(F.avg("label")).first()[0]
+    if rate is None:
+        raise ValueError("no rows to fit")
+    total, passes = n * rate * (1.0 - rate), 0
+    if not total:
+        return np.zeros(0), passes, "labels of one class"
+    for _ in range(rounds):
+        m = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="features", labelCol="label",
+                                        regParam=1.0 / (C_reg * total), maxIter=max_iter, tol=tol).fit(rows)
+        steps = int(m.summary.numIterations)
+        passes += steps
+        if steps >= max_iter:
+            return np.zeros(0), passes, f"irls had not settled after {steps} steps"
+        p = F.col("prediction")
+        new = m.transform(rows).agg(F.sum(p * (1.0 - p))).first()[0]
+        if abs(new - total) <= 1e-9 * total:
+            return np.concatenate([[m.intercept], m.coefficients.toArray()]), passes, None
+        total = new
+    return np.zeros(0), passes, f"irls penalty had not settled after {rounds} rounds"
+
+
 def fit_penalized(df: DataFrame, design: Design, label: Column, C_reg: float = 1.0,
-                  max_iter: int = C.LOGREG_MAX_ITER, tol: float = 1e-8,
-                  newton_tol: float = 1e-8, max_newton: int = 25) -> LogisticFit:
+                  max_iter: int = C.LOGIT_MAX_ITER, tol: float = 1e-12, rounds: int = 10,
+                  lbfgs_max_iter: int = C.LOGREG_MAX_ITER, lbfgs_tol: float = 1e-12) -> LogisticFit:
     """L2 logistic regression, C * sum(log-loss) + 1/2 ||b||^2, free intercept.
 
-    Spark ML's L-BFGS comes near the optimum; Newton steps (X'WX + penalty,
-    X'(W eta + y - p)) then make it exact. They square the error, so a step
-    below ``newton_tol`` leaves about its square. ``converged`` is false if
-    none of ``max_newton`` steps was that small.
+    ``converged`` is that of the solver whose estimate it is; ``reason`` says
+    why the second solver was needed, if it was.
     """
-    df = df.select(*design.source_columns, label.cast("double").alias("_label"))
-    n = df.count()
-    lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (C_reg * n), elasticNetParam=0.0,
-                            standardization=False, fitIntercept=True, maxIter=max_iter, tol=tol)
-    model = lr.fit(labelled_rows(df, design, F.col("_label")))
-    iters = model.summary.totalIterations
-    beta = np.concatenate([[model.intercept], model.coefficients.toArray()])
-    penalty = np.full(design.width, 1.0 / C_reg)
-    penalty[0] = 0.0                                   # the intercept is not penalised
-    converged, steps = False, 0
-    while not converged and steps < max_newton:
-        def prep(pdf, X, b=beta):
-            eta = X @ b
-            p = 1.0 / (1.0 + np.exp(-eta))
-            w = p * (1.0 - p)
-            return w, w * eta + pdf["_label"].to_numpy(float) - p
-
-        G, B = row_products(df, design, prep, 1)
-        new = np.linalg.solve(G + np.diag(penalty), B[:, 0])
-        converged = bool(np.max(np.abs(new - beta)) < newton_tol)
-        beta = new
-        steps += 1
-    return LogisticFit(design, float(beta[0]), beta[1:], int(iters), converged,
-                       f"lbfgs+newton({steps})", float(n))
+    rows = reliable_checkpoint(labelled_rows(df, design, label.cast("double")))
+    n = rows.count()
+    if design.width - 1 > IRLS_COLUMNS:
+        beta, passes, reason = np.zeros(0), 0, f"more than {IRLS_COLUMNS} design columns"
+    else:
+        beta, passes, reason = _irls(rows, n, C_reg, max_iter, tol, rounds)
+    if reason is None:
+        return LogisticFit(design, float(beta[0]), beta[1:], passes, True, "irls", float(n))
+    # mean log-loss + (regParam / 2) ||b||^2: the same objective divided by C n
+    m = LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (C_reg * n), elasticNetParam=0.0,
+                           standardization=False, fitIntercept=True, maxIter=lbfgs_max_iter, tol=lbfgs_tol).fit(rows)
+    steps = int(m.summary.totalIterations)
+    return LogisticFit(design, float(m.intercept), m.coefficients.toArray(), steps, steps < lbfgs_max_iter, "lbfgs", float(n),
+                       reason=reason)
 
 
 def supported_design(df: DataFrame, design: Design) -> Design:
@@ -155,11 +177,18 @@ def supported_design(df: DataFrame, design: Design) -> Design:
 def fit_inference(df: DataFrame, design: Design, label: Column,
                   max_iter: int = C.LOGIT_MAX_ITER, tol: float = 1e-10) -> LogisticFit:
     df = df.select(*design.source_columns, label.cast("double").alias("_label"))
-    used = supported_design(df, design)
     glr = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="features",
                                       labelCol="label", maxIter=max_iter, tol=tol, regParam=0.0, fitIntercept=True)
-    # IRLS reads its input anew each step: the vectors are written once (no shuffle)
-    m = glr.fit(reliable_checkpoint(labelled_rows(df, used, F.col("_label"))))
+    if any(isinstance(t, Numeric) for t in design.terms):
+        used, nobs = supported_design(df, design), None
+        # IRLS reads its input anew each step: the vectors are written once (no shuffle)
+        m = glr.fit(reliable_checkpoint(labelled_rows(df, used, F.col("_label"))))
+    else:
+        # one row per cell and label, at most the product of the levels: partial counts are all that is shuffled
+        cells = reliable_checkpoint(df.groupBy(*dict.fromkeys(design.source_columns), "_label")
+                                    .agg(F.count(F.lit(1)).cast("double").alias("_rows")))
+        used, nobs = supported_design(cells, design), cells.agg(F.sum("_rows")).first()[0]
+        m = glr.setWeightCol("_rows").fit(labelled_rows(cells.coalesce(1), used, F.col("_label"), ("_rows",)))
     s = m.summary
     se_all = np.array(s.coefficientStandardErrors)   # coefficients first, intercept last
     fitted = dict(zip(used.names, np.concatenate([[m.intercept], m.coefficients.toArray()])))
@@ -168,7 +197,8 @@ def fit_inference(df: DataFrame, design: Design, label: Column,
     coef = np.array([fitted.get(nm, np.nan) for nm in design.names])
     se = np.array([fitted_se.get(nm, np.nan) for nm in design.names])
     iters = int(s.numIterations)
-    return LogisticFit(design, float(coef[0]), coef[1:], iters, iters < max_iter, "irls", float(s.numInstances), se=se,
+    return LogisticFit(design, float(coef[0]), coef[1:], iters, iters < max_iter, "irls", float(nobs or s.numInstances),
+                       se=se,
                        deviance=float(s.deviance), null_deviance=float(s.nullDeviance))
 
 

@@ -8,13 +8,15 @@ aggregation job (``prep_report``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import columns as X
 from ..params import StudyParams
-from .checks import DataQualityError
+from .checks import DataQualityError, quarantine
 
 
 def model_table(flights: DataFrame, params: StudyParams) -> DataFrame:
@@ -36,6 +38,18 @@ def model_table(flights: DataFrame, params: StudyParams) -> DataFrame:
     return out
 
 
+def prep_rules() -> dict[str, Column]:
+    """Rule -> true for a row of the clean table that would break it in the model table."""
+    kept = ~F.col("cancelled") & ~F.col("diverted")
+    hour, d = X.dep_hour("scheduled_dep_time"), F.col("flight_date")
+    return {
+        "bad_null_arr_delay": kept & F.col("arr_delay").isNull(),
+        "bad_dep_hour": kept & (hour.isNull() | ~hour.between(0, 23)),
+        "bad_dow": kept & ~F.coalesce(X.day_name(d).isin(C.DOW_ORDER), F.lit(False)),
+        "bad_month": kept & ~F.coalesce(F.month(d) == F.col("month"), F.lit(False)),
+    }
+
+
 def prep_report(flights: DataFrame, params: StudyParams) -> DataFrame:
     """One row: rows removed per filter step, rows kept, the 2400 remaps,
     holiday-flag count and share, and the violation count of every check."""
@@ -43,7 +57,6 @@ def prep_report(flights: DataFrame, params: StudyParams) -> DataFrame:
     kept = ~c & ~dv
     d = F.col("flight_date")
     t = F.col("scheduled_dep_time")
-    hour = X.dep_hour(t)
     hol = X.holiday_flag(d, params.holidays, params.holiday_window_days)
     n_kept = F.count_if(kept)
     return flights.agg(
@@ -54,15 +67,13 @@ def prep_report(flights: DataFrame, params: StudyParams) -> DataFrame:
         F.count_if(kept & (t == 2400)).alias("remapped_2400"),
         F.count_if(kept & hol).alias("holiday_rows"),
         F.try_divide(F.count_if(kept & hol).cast("double"), n_kept.cast("double")).alias("holiday_share"),
-        F.count_if(kept & F.col("arr_delay").isNull()).alias("bad_null_arr_delay"),
-        F.count_if(kept & (hour.isNull() | ~hour.between(0, 23))).alias("bad_dep_hour"),
-        F.count_if(kept & ~F.coalesce(X.day_name(d).isin(C.DOW_ORDER), F.lit(False))).alias("bad_dow"),
-        F.count_if(kept & ~F.coalesce(F.month(d) == F.col("month"), F.lit(False))).alias("bad_month"),
+        *[F.count_if(rule).alias(name) for name, rule in prep_rules().items()],
     )
 
 
-def check_prep(report_row) -> None:
-    bad = {k: report_row[k] for k in ("bad_null_arr_delay", "bad_dep_hour", "bad_dow", "bad_month")
-           if report_row[k]}
-    if bad:
-        raise DataQualityError(f"prepare: failed checks {bad}")
+def check_prep(report_row, flights: DataFrame, path: str) -> None:
+    """Stop if the report counts violations; the rows are written to ``path`` with the rules they break."""
+    if any(report_row[name] for name in prep_rules()):
+        rules = prep_rules()
+        bad = flights.filter(reduce(lambda a, b: a | b, (F.coalesce(c, F.lit(False)) for c in rules.values())))
+        quarantine(bad, rules, path).raise_if_any("prepare")

@@ -166,8 +166,8 @@ def q_risk_baselines(spark, sf_dir):
 
 
 def q_risk_fit_summary(spark, sf_dir):
-    """Facts of the deployed fit; the solver's name and step count are left to ``Risk.fit_summary``."""
-    return _round(risk(spark, sf_dir).fit_summary().drop("solver", "n_iter"))
+    """Facts of the deployed fit; the solver's name, step count and reason are left to ``Risk.fit_summary``."""
+    return _round(risk(spark, sf_dir).fit_summary().drop("solver", "n_iter", "reason"))
 
 
 def q_risk_coefficients(spark, sf_dir):

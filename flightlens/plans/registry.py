@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,16 +18,19 @@ from pyspark.sql import types as T
 
 from ..functions import columns as X
 from .. import constants as C
+from ..operators import checks, intervals, levels
 from ..operators import clean as clean_op
 from ..operators import profile as PR
 from ..operators import reports as R
 from ..params import FIXTURE
 from ..session import work_root
-from ..sources import sinks
+from ..sources import fixture, months, sinks
 from .stages import csv_study, study_for
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 P = FIXTURE
+RELOADED = (1998, 3)             # the month that ``month_reload`` sends again
+TOP_FLIGHT_NUMBERS = 2_000
 
 
 def r6(c) -> "F.Column":
@@ -151,6 +155,62 @@ def q_split_summary(spark, sf_dir):
     return mt.groupBy(side.alias("split")).agg(*aggs).unionByName(sample)
 
 
+def q_model_windows(spark, sf_dir):
+    """Rows and delayed rows of every slice, each read from its own months."""
+    from .models_registry import risk
+    r = risk(spark, sf_dir)
+    slices = {"train": r.study.train(), "test": r.study.test(), "fit": r.fit_rows, "validation": r.val_rows,
+              "recalibration": r.recal_rows, "remainder": r.remaining_rows}
+    parts = [df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("is_delayed").alias("n_delayed"), F.min("flight_date").alias("min_date"),
+                    F.max("flight_date").alias("max_date")).select(F.lit(name).alias("slice"), "*") for name, df in slices.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def q_month_reload(spark, sf_dir):
+    """The model table kept by month, after one month was sent again (without weekend flights, distances doubled)."""
+    mt, path = _st(spark, sf_dir).model_table(), f"{work_root(spark)}/tables/{uuid.uuid4().hex}"
+    months.write_months(mt, path, together=True)
+    year, month = RELOADED
+    start, before = f"{year}-{month:02}-01", f"{year}-{month + 1:02}-01"
+    again = _st(spark, sf_dir).train(start, before).filter(~X.is_weekend("flight_date")).withColumn("distance", F.col("distance") * 2)
+    months.replace_months(again, path)
+    d = F.col("flight_date")
+    return months.read_months(spark, path, mt.schema).groupBy(F.year(d).alias("year"), F.month(d).alias("month")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(X.is_weekend("flight_date")).alias("n_weekend"),
+        F.sum(F.col("distance").cast("bigint")).alias("distance"))
+
+
+def q_interval_table_flights(spark, sf_dir):
+    """Flights by month, inside and outside the intervals of a table derived from orders.
+
+    Of the table's intervals many repeat or overlap, some have no end and some end before they start.
+    """
+    orders = fixture.read_table(spark, sf_dir, "orders")
+    d, k = F.col("o_orderdate").cast("date"), F.col("o_orderkey")
+    table = orders.filter(F.dayofmonth(d).isin(3, 17)).select(
+        d.alias("first_day"), F.when(k % 7 != 0, F.date_add(d, (k % 5).cast("int") - 1)).alias("last_day"))
+    flagged = intervals.flag_in_intervals(_st(spark, sf_dir).flights(), "flight_date", table, "inside")
+    return flagged.groupBy(F.year("flight_date").alias("year"), "month").agg(
+        F.count(F.lit(1)).alias("n_flights"), F.count_if("inside").alias("n_inside"),
+        F.count_if(F.col("inside") & F.col("is_delayed")).alias("n_inside_delayed"))
+
+
+def q_flight_number_levels(spark, sf_dir):
+    """Flights per flight number, the many beyond the most frequent ones as OTHER."""
+    fl = _st(spark, sf_dir).flights()
+    table = levels.top_level_table(fl, "flight_number", TOP_FLIGHT_NUMBERS)
+    return levels.fold_levels(fl, "flight_number", table, "folded").groupBy("folded").agg(
+        F.count(F.lit(1)).alias("n_flights"), F.count_if("is_delayed").alias("n_delayed"))
+
+
+def q_quarantined_flights(spark, sf_dir):
+    """Rows that break rules set apart: per rule, its rows and those that break no other one."""
+    rules = {"cancelled": F.col("cancelled"), "diverted": F.col("diverted"), "no_arrival_delay": F.col("arr_delay").isNull(),
+             "over_three_hours_late": F.col("arr_delay") > 180, "scheduled_at_2400": F.col("scheduled_dep_time") == 2400,
+             "same_airport": F.col("origin") == F.col("dest")}
+    return checks.rule_counts(checks.quarantine(_st(spark, sf_dir).flights(), rules, f"{work_root(spark)}/tables/{uuid.uuid4().hex}"))
+
+
 # --- train-only profile ---------------------------------------------------------
 
 def q_eda_coverage(spark, sf_dir):
@@ -247,6 +307,11 @@ QUERIES: dict[str, QueryFn] = {
     "model_table": q_model_table,
     "prep_report": q_prep_report,
     "split_summary": q_split_summary,
+    "model_windows": q_model_windows,
+    "month_reload": q_month_reload,
+    "interval_table_flights": q_interval_table_flights,
+    "flight_number_levels": q_flight_number_levels,
+    "quarantined_flights": q_quarantined_flights,
     "eda_coverage": q_eda_coverage,
     "eda_arr_delay_describe": q_eda_arr_delay_describe,
     "eda_target_shares": q_eda_target_shares,

@@ -23,7 +23,7 @@ from ..operators import evaluate as E
 from ..operators import logistic as L
 from ..operators import profile as PR
 from ..operators import split as S
-from ..operators.checks import DataQualityError, require_scalar
+from ..operators.checks import DataQualityError, require_none
 from ..operators.design import Design, Factor, Flag, Numeric
 from ..session import reliable_checkpoint
 from .stages import Study
@@ -33,6 +33,17 @@ def _d(x: str) -> Column:
     return F.lit(x).cast("date")
 
 
+def _after(iso: str) -> str:
+    return (dt.date.fromisoformat(iso) + dt.timedelta(days=1)).isoformat()
+
+
+def reference_first(levels: list, reference, what: str) -> tuple:
+    """A level list led by its reference; a level without rows has nothing to be compared with."""
+    if reference not in levels:
+        raise DataQualityError(f"{what}: no rows have the reference level {reference!r}")
+    return (reference, *(x for x in levels if x != reference))
+
+
 class Risk:
     def __init__(self, study: Study):
         self.study = study
@@ -60,6 +71,7 @@ class Risk:
                   F.min(d).alias("min_date"), F.max(d).alias("max_date"),
                   F.count_if(fit).alias("rows_fit"), F.count_if(val).alias("rows_validation"),
                   F.count_if(~fit & ~val).alias("rows_in_none"), F.count_if(fit & val).alias("rows_in_several"),
+                  F.count_if(d < _d(self.p.train_start)).alias("rows_before_the_study"),
                   F.count_if(fit & F.col("is_delayed")).alias("fit_pos")))
         rows = g.collect()          # one scan; a row per airport and carrier
         by_gid: dict[int, list] = {}
@@ -76,16 +88,6 @@ class Risk:
         return {"origin": ordered("origin"), "dest": ordered("dest"), "airline": ordered("airline"),
                 "counts": counts, "total": total}
 
-    @cached_property
-    def _bounds(self) -> None:
-        t = self._train_profile["total"]
-        s = dt.date.fromisoformat(self.p.split_date)
-        require_scalar(t["min_date"] is None or t["min_date"] >= dt.date.fromisoformat(self.p.train_start),
-                       "train starts too early")
-        require_scalar(t["max_date"] is None or t["max_date"] < s, "train reaches the split date")
-        test_min = self.test_rows.agg(F.min("flight_date")).collect()[0][0]
-        require_scalar(test_min is None or test_min >= s, "test starts before the split date")
-
     @cached_property
     def top_origins(self) -> list:
         return self._train_profile["origin"][:self.p.top_n_airports]
@@ -99,18 +101,14 @@ class Risk:
         return self._train_profile["airline"]
 
     @cached_property
-    def ref_airport(self) -> str:
-        # default: the busiest origin that is also a top destination
-        ref = self.p.ref_airport or next((a for a in self.top_origins if a in self.top_dests), None)
-        require_scalar(ref in self.top_origins, f"{ref} not in origin top-{self.p.top_n_airports}")
-        require_scalar(ref in self.top_dests, f"{ref} not in dest top-{self.p.top_n_airports}")
-        return ref
+    def ref_airport(self) -> str | None:
+        """Given, or the busiest origin that is also a top destination."""
+        return self.p.ref_airport or next((a for a in self.top_origins if a in self.top_dests), None)
 
     @cached_property
-    def ref_airline(self) -> str:
-        ref = self.p.ref_airline or self.airline_counts[0]
-        require_scalar(ref in self.airline_counts, f"{ref} not in train airlines")
-        return ref
+    def ref_airline(self) -> str | None:
+        """Given, or the carrier with most train rows."""
+        return self.p.ref_airline or next(iter(self.airline_counts), None)
 
     def features(self, df: DataFrame) -> DataFrame:
         return df.select(
@@ -123,14 +121,15 @@ class Risk:
 
     @cached_property
     def levels(self) -> dict[str, tuple]:
-        self._bounds
-        ra, rp = self.ref_airline, self.ref_airport
+        require_none({"rows_before_the_study": self._train_profile["total"]["rows_before_the_study"]}, "risk train")
+        airports = {c: reference_first(sorted(set(top)), self.ref_airport, f"busiest {c} airports") + (C.OTHER_LEVEL,)
+                    for c, top in (("origin", self.top_origins), ("dest", self.top_dests))}
         return {
             "dep_hour_bin": tuple(C.DEP_HOUR_BIN_MODEL_ORDER),
             "dow": tuple(C.DOW_ORDER),
-            "airline": (ra,) + tuple(a for a in self.airline_counts if a != ra),
-            "origin_top": (rp,) + tuple(sorted(set(self.top_origins) - {rp})) + (C.OTHER_LEVEL,),
-            "dest_top": (rp,) + tuple(sorted(set(self.top_dests) - {rp})) + (C.OTHER_LEVEL,),
+            "airline": reference_first(self.airline_counts, self.ref_airline, "train carriers"),
+            "origin_top": airports["origin"],
+            "dest_top": airports["dest"],
         }
 
     @cached_property
@@ -170,16 +169,6 @@ class Risk:
         S.check_windows(t, "fit/validation")
         return proof
 
-    @cached_property
-    def fit_df(self) -> DataFrame:
-        self.fit_val_proof
-        return self.train.filter(self.fit_mask())
-
-    @cached_property
-    def val_df(self) -> DataFrame:
-        self.fit_val_proof
-        return self.train.filter(self.val_mask())
-
     def other_shares(self) -> DataFrame:
         """Share of train / test rows folded into OTHER, per airport column (percent).
 
@@ -201,7 +190,7 @@ class Risk:
     # -- models -----------------------------------------------------------------------
     @cached_property
     def model(self) -> L.LogisticFit:
-        return L.fit_penalized(self.train_rows.filter(F.col("in_fit")), self.deploy_design, F.col("is_delayed"))
+        return L.fit_penalized(self.fit_rows, self.deploy_design, F.col("is_delayed"))
 
     @cached_property
     def inference(self) -> L.LogisticFit:
@@ -210,9 +199,8 @@ class Risk:
 
     # -- train and test rows as the fit and the metrics read them ---------------------------
     # Only the columns a metric depends on: the design row, the rule baseline's flag
-    # (hour >= 16 splits one hour bin, so it is its own boolean), the date slice and
-    # the label as counts. A projection of the stage table: no shuffle, and the slice
-    # filters reach the scan.
+    # (hour >= 16 splits one hour bin, so it is its own boolean) and the label as
+    # counts. A projection of the stage table: no shuffle; a slice reads its months only.
     ROW_COLUMNS = ("dep_hour_bin", "dow", "airline", "origin_top", "dest_top", "log_distance", "holiday_flag")
 
     def _rows(self, df: DataFrame, flags: dict[str, Column]) -> DataFrame:
@@ -228,13 +216,22 @@ class Risk:
         return self._rows(self.test, {"in_recal": recal, "in_rest": rest})
 
     @cached_property
-    def train_rows(self) -> DataFrame:
+    def fit_rows(self) -> DataFrame:
         self.fit_val_proof            # fit and validation cover train exactly once
-        return self._rows(self.train, {"in_fit": self.fit_mask()})
+        return self._rows(self.features(self.study.train(before=self.p.fit_cutoff)), {})
 
     @cached_property
     def val_rows(self) -> DataFrame:
-        return self.train_rows.filter(~F.col("in_fit"))
+        self.fit_val_proof
+        return self._rows(self.features(self.study.train(start=self.p.fit_cutoff, before=_after(self.p.validation_end))), {})
+
+    @cached_property
+    def recal_rows(self) -> DataFrame:
+        return self._rows(self.features(self.study.test(before=_after(self.p.recal_end))), {})
+
+    @cached_property
+    def remaining_rows(self) -> DataFrame:
+        return self._rows(self.features(self.study.test(start=self.p.remainder_start)), {})
 
     def scored_test(self) -> DataFrame:
         """Test rows with the model's log-odds and probability (one expression)."""
@@ -254,9 +251,9 @@ class Risk:
         fit_rate = t["fit_pos"] / t["rows_fit"] if t["rows_fit"] else None
         val = self.val_rows.agg(F.sum("n"), F.sum("pos") / F.sum("n")).collect()[0]
         return self.spark.createDataFrame(
-            [(m.solver, m.n_iter, m.converged, m.intercept, m.nobs, fit_rate, float(val[0]), val[1],
+            [(m.solver, m.reason, m.n_iter, m.converged, m.intercept, m.nobs, fit_rate, float(val[0]), val[1],
               self.ref_airline, self.ref_airport, self.deploy_design.width - 1)],
-            "solver string, n_iter int, converged boolean, intercept double, fit_rows double, "
+            "solver string, reason string, n_iter int, converged boolean, intercept double, fit_rows double, "
             "fit_delay_rate double, validation_rows double, validation_delay_rate double, "
             "ref_airline string, ref_airport string, n_features int")
 
@@ -294,13 +291,12 @@ class Risk:
     @cached_property
     def recalibrated_intercept(self) -> tuple[float, int]:
         S.check_windows(self.recal_proof().collect()[0], "recalibration slices")
-        recal = self.test_rows.filter(F.col("in_recal"))
-        return E.refit_intercept(recal, self.model.offset(), F.col("pos"), F.col("neg"))
+        return E.refit_intercept(self.recal_rows, self.model.offset(), F.col("pos"), F.col("neg"))
 
     def _remaining_scored(self) -> DataFrame:
         new_b, _ = self.recalibrated_intercept
         off = self.model.offset()
-        return self.test_rows.filter(F.col("in_rest")).select(
+        return self.remaining_rows.select(
             "pos", "neg",
             X.sigmoid(off + F.lit(self.model.intercept)).alias("p_before"),
             X.sigmoid(off + F.lit(new_b)).alias("p_after"))

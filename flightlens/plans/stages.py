@@ -5,10 +5,16 @@ raw -> flights (clean) -> model_table -> train / test -> train_sample
 Each stage ends in a Parquet table under the shared checkpoint folder
 (``spark.checkpoint.dir``), exactly where the chain has a file boundary
 between steps. Writing cuts lineage (a lost executor re-runs one stage, not
-the chain), later steps get column pruning and min/max skipping on the
-stage files, and every query downstream reads the stage instead of
-recomputing the joins of the raw input. The clean stage's checks are counted
-while it is written, the others in one aggregation over the written table.
+the chain), later steps get column pruning, and every query downstream reads
+the stage instead of recomputing the joins of the raw input. The clean stage's
+checks are counted while it is written, the others in one aggregation over the
+written table.
+
+The clean and the model table are laid out by month (``sources.months``).
+Train and test, the fit and validation slices and the recalibration slices are
+windows of the model table that read their months only; they are not written
+again. A month that is sent again replaces its folder in both tables
+(``Study.reload_months``).
 
 Tables are keyed by the input, the parameters and a digest of the code that
 builds them, so a changed rule never reads a stale table.
@@ -23,18 +29,19 @@ from pathlib import Path
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import clean as clean_op
 from ..operators import prepare as prep_op
 from ..operators import split as split_op
 from ..params import FIXTURE, StudyParams
 from ..session import work_root
-from ..sources import fixture
+from ..sources import fixture, months
 from ..sources.raw_csv import read_raw_csv, write_raw_csv
 
 _PKG = Path(__file__).resolve().parent.parent
 _CODE_FILES = ["constants.py", "params.py", "functions/columns.py", "sources/fixture.py",
-               "sources/raw_csv.py", "operators/clean.py", "operators/prepare.py",
+               "sources/raw_csv.py", "sources/months.py", "operators/clean.py", "operators/prepare.py",
                "operators/split.py", "operators/checks.py", "plans/stages.py"]
 
 
@@ -84,9 +91,11 @@ class Study:
 
     def __init__(self, spark: SparkSession, params: StudyParams = FIXTURE,
                  sf_dir: str | None = None, raw: Callable[[], DataFrame] | None = None,
-                 source_key: str | None = None):
+                 source_key: str | None = None, by_month: bool = False):
+        """``by_month``: the raw rows come month by month, as monthly files do, so laying them out needs no shuffle."""
         self.spark = spark
         self.params = params
+        self.by_month = by_month
         if raw is None:
             assert sf_dir is not None, "either sf_dir (shipped tables) or a raw frame builder"
             raw = lambda: fixture.raw_flights(spark, sf_dir)
@@ -96,26 +105,52 @@ class Study:
         self.key = hashlib.sha1(key.encode()).hexdigest()[:16]
         self.root = f"{work_root(spark)}/{self.key}"
         self._cache: dict[str, DataFrame] = {}
+        self._schemas: dict[str, T.StructType] = {}
 
     # -- helpers -------------------------------------------------------------
+    def _marker(self, name: str) -> str:
+        return f"{self.root}/_checked_{name}"
+
+    def _mark(self, name: str) -> None:
+        self.spark.range(1).write.mode("overwrite").parquet(self._marker(name))
+
+    def _unmark(self, *names: str) -> None:
+        """These stages are to be built (or checked) again."""
+        jvm = self.spark._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(self._marker(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._cache.pop(name, None)
+
     def _stage(self, name: str, build: Callable[[], DataFrame],
-               check: Callable[[DataFrame], None] | None = None) -> DataFrame:
+               check: Callable[[DataFrame], None] | None = None, by_month: bool | None = None) -> DataFrame:
+        """The stage's table, built and checked if it is not there. ``by_month``: laid out by month
+        (true: its rows come month by month)."""
         if name in self._cache:
             return self._cache[name]
         path = f"{self.root}/{name}"
-        marker = f"{self.root}/_checked_{name}"
-        if _exists(self.spark, marker):
-            df = self.spark.read.parquet(path)
+
+        def read():
+            if by_month is None:
+                return self.spark.read.parquet(path)
+            if name not in self._schemas:         # the column order of the plan that builds it; nothing is run
+                self._schemas[name] = build().schema
+            return months.read_months(self.spark, path, self._schemas[name])
+
+        if _exists(self.spark, self._marker(name)):
+            df = read()
         else:
-            # no explicit sort: clean and prepare are narrow (no shuffle), so the
-            # date order of the monthly source files carries through to the
-            # row groups, whose min/max statistics serve the date filters
-            build().write.mode("overwrite").parquet(path)
-            df = self.spark.read.parquet(path)
+            built = build()
+            if by_month is None:
+                built.write.mode("overwrite").parquet(path)
+            else:
+                self._schemas[name] = built.schema
+                months.write_months(built, path, together=by_month)
+            df = read()
             if check is not None:
                 check(df)
             # written only once the checks passed; a failed stage is rebuilt
-            self.spark.range(1).write.mode("overwrite").parquet(marker)
+            self._mark(name)
         self._cache[name] = df
         return df
 
@@ -126,60 +161,76 @@ class Study:
     def flights(self) -> DataFrame:
         seen = Observation()      # the checks' counts are taken while the table is written
         return self._stage("flights", lambda: clean_op.clean_flights(self.raw(), seen),
-                           lambda _: clean_op.check_clean(seen))
+                           lambda _: clean_op.check_clean(seen), by_month=self.by_month)
 
     def prep_report(self) -> DataFrame:
         return prep_op.prep_report(self.flights(), self.params)
 
     def model_table(self) -> DataFrame:
         def check(_df):
-            prep_op.check_prep(self.prep_report().collect()[0])
-        return self._stage("model_table", lambda: prep_op.model_table(self.flights(), self.params), check)
+            prep_op.check_prep(self.prep_report().collect()[0], self.flights(), f"{self.root}/quarantine_model_table")
+        return self._stage("model_table", lambda: prep_op.model_table(self.flights(), self.params), check,
+                           by_month=True)        # the clean table's files hold a month each
 
     def split_proof(self) -> DataFrame:
         return split_op.split_proof(self.model_table(), self.params.split_date)
 
     def _split(self) -> None:
-        """Train and test written in ONE pass over the model table
-        (partitioned by side), each read back from its own folder; the proof
-        of the split is one aggregation over what was written."""
-        if "train" in self._cache:
+        """The split is proved once per model table; its sides are windows of that table."""
+        if "split" in self._cache:
             return
         mt = self.model_table()
-        path, marker = f"{self.root}/split", f"{self.root}/_checked_split"
-        if not _exists(self.spark, marker):
-            d = F.col("flight_date")
-            side = F.when(d < F.lit(self.params.split_date).cast("date"), F.lit("train")).otherwise(F.lit("test"))
-            mt.withColumn("_side", side).write.mode("overwrite").partitionBy("_side").parquet(path)
-            written = self.spark.read.parquet(path)
-            d = F.col("flight_date")
-            row = written.agg(
-                F.count(F.lit(1)).alias("rows_total"),
-                F.count_if(F.col("_side") == "train").alias("rows_before"),
-                F.count_if(F.col("_side") == "test").alias("rows_after"),
-                F.max(F.when(F.col("_side") == "train", d)).alias("max_before"),
-                F.min(F.when(F.col("_side") == "test", d)).alias("min_after")).collect()[0]
-            split_op.check_split(row, self.params.split_date)
-            if row["rows_total"] != mt.count():       # Parquet footers: no data scan
-                raise split_op.DataQualityError("split: written rows differ from the model table")
-            self.spark.range(1).write.mode("overwrite").parquet(marker)
-        for name in ("train", "test"):
-            side_path = f"{path}/_side={name}"
-            self._cache[name] = (self.spark.read.parquet(side_path) if _exists(self.spark, side_path)
-                                 else self.spark.createDataFrame([], mt.schema))
-
-    def train(self) -> DataFrame:
+        if not _exists(self.spark, self._marker("split")):
+            split_op.check_split(self.split_proof().collect()[0], self.params.split_date)
+            self._mark("split")
+        self._cache["split"] = mt
+
+    def _window(self, start: str | None, before: str | None) -> DataFrame:
+        mt = self.model_table()
+        return months.read_months(self.spark, f"{self.root}/model_table", mt.schema, start, before)
+
+    def train(self, start: str | None = None, before: str | None = None) -> DataFrame:
+        """Train rows (``start <= flight_date < before``): only the months of the window are read."""
         self._split()
-        return self._cache["train"]
+        return self._window(start, min(filter(None, (before, self.params.split_date))))
 
-    def test(self) -> DataFrame:
+    def test(self, start: str | None = None, before: str | None = None) -> DataFrame:
+        """Test rows (``start <= flight_date < before``): only the months of the window are read."""
         self._split()
-        return self._cache["test"]
+        return self._window(max(filter(None, (start, self.params.split_date))), before)
 
     def train_sample(self) -> DataFrame:
         return self._stage("train_sample", lambda: split_op.exact_sample(
             self.train(), self.params.sample_size, self.params.sample_seed))
 
+    # -- months that are sent again ---------------------------------------------
+    def reload_months(self, raw: DataFrame) -> list[tuple[int, int]]:
+        """Replace every month that ``raw`` holds, in the clean and in the model table; returns these months.
+
+        The new rows are cleaned and checked on the side first, so bad rows
+        change nothing. Only the folders of their months are rewritten; the
+        split is proved anew and the sample drawn anew when next asked for.
+        A run that fails half-way can be repeated: its model table counts as
+        missing until it is whole again.
+        """
+        self.model_table()
+        incoming, seen = f"{self.root}/incoming", Observation()
+        months.write_months(clean_op.clean_flights(raw, seen), incoming)
+        clean_op.check_clean(seen)
+        new = months.read_months(self.spark, incoming, self._schemas["flights"])
+        found = months.months_of(new)
+        prep_op.check_prep(prep_op.prep_report(new, self.params).collect()[0], new, f"{self.root}/quarantine_incoming")
+        self._unmark("model_table", "split", "train_sample")
+        months.replace_months(new, f"{self.root}/flights")
+        self._cache.pop("flights", None)
+        flights = months.read_months(self.spark, f"{self.root}/flights", self._schemas["flights"], months=found)
+        model = prep_op.model_table(flights, self.params)
+        months.replace_months(model, f"{self.root}/model_table")
+        left = set(months.months_of(model))
+        months.remove_months(self.spark, f"{self.root}/model_table", [m for m in found if m not in left])
+        self._mark("model_table")
+        return found
+
 
 _STUDIES: dict[tuple, Study] = {}
 

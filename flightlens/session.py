@@ -6,6 +6,7 @@ import hashlib
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -112,6 +113,17 @@ def work_root(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark) + "/flightlens-stages"
 
 
+def written(df):
+    """``df`` written to the shared folder and read back: survives lost executors, and has a measured size.
+
+    The optimiser knows the bytes of the files, so a join with the table is
+    broadcast if they are few and sorted and merged if they are not.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/flightlens-tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def reliable_checkpoint(df):
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 

@@ -7,6 +7,13 @@ distinct header and each group is read with its own header; the groups are
 then combined by name (``unionByName``, missing columns NULL). Everything is
 read as text and typed by the clean stage (``try_cast``), never inferred.
 
+The headers are read by a Spark job (``header_groups``): the file names are a
+table, tasks open their files and read the first bytes up to a line's end, and
+the files are grouped by that line. The driver opens no file and gets a row per
+layout. Files that a task's Python cannot open by their address (a store that
+only Spark's readers know) are read through by a text scan instead. Files
+without a byte have no header and no rows.
+
 For very many files with one shared layout, ``layout="single"`` reads them
 in one scan and lets Spark check every file's header against the first one
 (``enforceSchema=false``): a file with another layout fails the job instead
@@ -16,16 +23,21 @@ of being silently misaligned.
 from __future__ import annotations
 
 import csv
-from collections import OrderedDict
-from concurrent.futures import ThreadPoolExecutor
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
+from ..session import ship_package
 
-HEADER_READERS = 32          # first lines read at a time
+_LINE_END = re.compile(rb"\r\n|\n|\r")
+HEAD_BYTES = 1 << 16         # bytes read at a time in search of a header's end
+TASK_FILES = 64              # files whose headers one task reads
 
 
 def list_files(spark: SparkSession, path: str) -> list[str]:
@@ -33,35 +45,73 @@ def list_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(spark.read.format("text").load(path).inputFiles())
 
 
-def _first_line(spark: SparkSession, file: str) -> str | None:
-    """First line of a (possibly remote) file through the Hadoop FileSystem API."""
+def _first_line(address: str) -> str | None:
+    """The first line of a file, empty if the file is; None if its address cannot be opened here."""
     try:
-        jvm = spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        stream = fs.open(path)
-        try:
-            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-            return reader.readLine()
-        finally:
-            stream.close()
-    except AttributeError:      # no JVM handle (remote client): let Spark read it
+        store, path = fs.FileSystem.from_uri(address)
+        with store.open_input_stream(path, compression="detect") as stream:
+            head = b""
+            while not (end := _LINE_END.search(head)) and (more := stream.read(HEAD_BYTES)):
+                head += more
+    except (OSError, pa.ArrowException):      # an address of another kind, or one that takes Spark's own settings
         return None
+    return (head[:end.start()] if end else head).decode("utf-8", "replace")
 
 
-def file_header(spark: SparkSession, file: str) -> tuple[str, ...]:
-    """Column names of one file's header, named the way Spark's CSV reader names them.
+def _open_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        files = batch.column("file")
+        yield pa.RecordBatch.from_arrays([files, pa.array([_first_line(f) for f in files.to_pylist()], pa.string())],
+                                         ["file", "line"])
 
-    A metadata-sized read: only the first line of the file. Empty names
-    (a trailing comma) become ``_c<i>``, as in Spark.
-    """
-    line = _first_line(spark, file)
-    if line is None:
-        return tuple(spark.read.option("header", True).csv(file).columns)
-    names = next(iter(csv.reader([line.lstrip("\ufeff")])))
+
+def _read_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first line of each file of a partition, from all its lines."""
+    last = None
+    for batch in batches:
+        take = []
+        for i, file in enumerate(batch.column("file").to_pylist()):
+            if file != last:
+                take.append(i)
+                last = file
+        if take:
+            yield batch.take(pa.array(take))
+
+
+def _grouped(lines: DataFrame) -> list:
+    return lines.groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+
+
+def _names(line: str) -> tuple[str, ...]:
+    """Column names of a header line, as Spark's CSV reader names them: empty ones (a trailing comma) are ``_c<i>``."""
+    names = next(csv.reader([line.lstrip("\ufeff")]), [])
     return tuple(n.strip() or f"_c{i}" for i, n in enumerate(names))
 
 
+def header_groups(spark: SparkSession, files: list[str]) -> list[tuple[tuple[str, ...], list[str]]]:
+    """(column names, files with this header) per layout, ordered by the first file."""
+    ship_package(spark)
+    tasks = max(1, min(len(files), max(spark.sparkContext.defaultParallelism, len(files) // TASK_FILES)))
+    names = spark.createDataFrame([(f,) for f in files], "file string").repartition(tasks)
+    rows = _grouped(names.mapInArrow(_open_files, "file string, line string"))
+    closed = [f for r in rows if r["line"] is None for f in r["files"]]
+    if closed:
+        text = spark.read.text(closed).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"),
+                                              F.col("_metadata.file_block_start").alias("at"))
+        rows = [r for r in rows if r["line"] is not None] + _grouped(
+            text.filter("at = 0").drop("at").mapInArrow(_read_through, "file string, line string"))
+    out: dict[tuple[str, ...], list[str]] = {}
+    for row in rows:
+        if row["line"]:
+            out.setdefault(_names(row["line"]), []).extend(row["files"])
+    return sorted(((h, sorted(fs)) for h, fs in out.items()), key=lambda x: x[1][0])
+
+
+def file_header(spark: SparkSession, file: str) -> tuple[str, ...]:
+    """Column names of one file's header (none if the file is empty)."""
+    return next((h for h, _ in header_groups(spark, [file])), ())
+
+
 def _text_schema(cols) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType(), True) for c in cols])
 
@@ -85,12 +135,10 @@ def read_raw_csv(spark: SparkSession, path: str, layout: str = "by_header") -> D
         raise FileNotFoundError(path)
     if layout == "single":
         return _read_group(spark, files, file_header(spark, files[0]))
-    groups: OrderedDict[tuple, list[str]] = OrderedDict()
-    with ThreadPoolExecutor(HEADER_READERS) as pool:        # waits for storage, not for the CPU
-        headers = pool.map(lambda f: file_header(spark, f), files)
-        for f, header in zip(files, headers):
-            groups.setdefault(header, []).append(f)
-    frames = [_read_group(spark, fs, h) for h, fs in groups.items()]
+    groups = header_groups(spark, files)
+    if not groups:
+        raise FileNotFoundError(f"{path}: only empty files")
+    frames = [_read_group(spark, fs, h) for h, fs in groups]
     out = frames[0]
     for fr in frames[1:]:
         out = out.unionByName(fr, allowMissingColumns=True)

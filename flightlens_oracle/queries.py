@@ -5,9 +5,12 @@ from __future__ import annotations
 from flightlens import constants as C
 from flightlens.params import FIXTURE
 
-from .ctes import flights_ctes, model_ctes, r1, r2, r6, split_ctes, with_
+from .ctes import d, flights_ctes, model_ctes, r1, r2, r6, split_ctes, with_
 
 P = FIXTURE
+# the constants of the queries of these names
+RELOADED = (1998, 3)
+TOP_FLIGHT_NUMBERS = 2_000
 DELAYED = "SUM(CASE WHEN is_delayed THEN 1 ELSE 0 END)"
 
 
@@ -103,6 +106,44 @@ SELECT 'train_sample', COUNT(*), MIN(flight_date), MAX(flight_date),
   {r6("AVG(CASE WHEN is_delayed THEN 1.0 ELSE 0.0 END)")} FROM train
 HAVING COUNT(*) <= {P.sample_size}"""),
     }
+    p = P
+    out["model_windows"] = with_(split_ctes(P), "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS slice, COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE is_delayed) AS n_delayed, "
+        f"MIN(flight_date) AS min_date, MAX(flight_date) AS max_date FROM {table} WHERE {cond}"
+        for name, table, cond in (
+            ("train", "train", "true"), ("test", "test", "true"), ("fit", "train", f"flight_date < {d(p.fit_cutoff)}"),
+            ("validation", "train", f"flight_date BETWEEN {d(p.fit_cutoff)} AND {d(p.validation_end)}"),
+            ("recalibration", "test", f"flight_date BETWEEN {d(p.split_date)} AND {d(p.recal_end)}"),
+            ("remainder", "test", f"flight_date >= {d(p.remainder_start)}"))))
+    year, month = RELOADED
+    out["month_reload"] = with_(model_ctes(P), f"""
+SELECT year(flight_date)::INTEGER AS year, month(flight_date)::INTEGER AS month, COUNT(*) AS n_rows,
+  COUNT(*) FILTER (WHERE isodow(flight_date) >= 6) AS n_weekend,
+  SUM(CASE WHEN {(again := f"(year(flight_date) = {year} AND month(flight_date) = {month})")} THEN 2 * distance ELSE distance END)::BIGINT AS distance
+FROM model WHERE NOT ({again} AND isodow(flight_date) >= 6) GROUP BY 1, 2""")
+    out["interval_table_flights"] = with_(flights_ctes(), """,
+span AS (SELECT CAST(o_orderdate AS DATE) AS a,
+                CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 5 - 1 AS INTEGER) END AS b
+         FROM orders WHERE day(o_orderdate) IN (3, 17)),
+inside AS (SELECT DISTINCT f.flight_date FROM (SELECT DISTINCT flight_date FROM flights) f JOIN (SELECT DISTINCT a, b FROM span) s
+           ON f.flight_date BETWEEN s.a AND s.b)
+SELECT year(f.flight_date)::INTEGER AS year, f.month, COUNT(*) AS n_flights, COUNT(i.flight_date) AS n_inside,
+  COUNT(i.flight_date) FILTER (WHERE is_delayed) AS n_inside_delayed
+FROM flights f LEFT JOIN inside i ON f.flight_date = i.flight_date GROUP BY 1, 2""")
+    out["flight_number_levels"] = with_(flights_ctes(), f""",
+top AS (SELECT flight_number FROM (SELECT flight_number, COUNT(*) AS n FROM flights GROUP BY 1) ORDER BY n DESC, flight_number
+        LIMIT {TOP_FLIGHT_NUMBERS})
+SELECT CASE WHEN flight_number IN (SELECT flight_number FROM top) THEN CAST(flight_number AS VARCHAR) ELSE 'OTHER' END AS folded,
+  COUNT(*) AS n_flights, COUNT(*) FILTER (WHERE is_delayed) AS n_delayed
+FROM flights GROUP BY 1""")
+    out["quarantined_flights"] = with_(flights_ctes(), """,
+rule AS (SELECT row_number() OVER () AS row_no, unnest([
+    CASE WHEN cancelled THEN 'cancelled' END, CASE WHEN diverted THEN 'diverted' END,
+    CASE WHEN arr_delay IS NULL THEN 'no_arrival_delay' END, CASE WHEN arr_delay > 180 THEN 'over_three_hours_late' END,
+    CASE WHEN scheduled_dep_time = 2400 THEN 'scheduled_at_2400' END, CASE WHEN origin = dest THEN 'same_airport' END]) AS rule
+  FROM flights),
+n AS (SELECT *, COUNT(*) OVER (PARTITION BY row_no) AS broken FROM rule WHERE rule IS NOT NULL)
+SELECT rule, COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE broken = 1) AS n_only FROM n GROUP BY rule""")
     for n in ("delay_by_airline", "delay_by_month", "delay_by_dow", "delay_by_airport", "worst_routes",
               "delay_heatmap_dow_month"):
         out[f"sql_{n}"] = out[n]

@@ -101,8 +101,44 @@ def test_penalized_logistic_matches_c1_objective(spark):
     fit = L.fit_penalized(df, DESIGN, F.col("y"))
     X = DESIGN.matrix(pdf)
     w, _ = _newton(X, pdf["y"].to_numpy(float), lam=1.0)
-    assert np.allclose(fit.params, w, atol=1e-8)      # L-BFGS polished by Newton: exact optimum
-    assert fit.converged
+    assert np.allclose(fit.params, w, atol=1e-9)
+    assert fit.converged and (fit.solver, fit.reason) == ("irls", None)
+
+
+def test_second_solver_when_the_first_does_not_settle(spark):
+    df, pdf = _logit_frame(spark)
+    w, _ = _newton(DESIGN.matrix(pdf), pdf["y"].to_numpy(float), lam=1.0)
+    fit = L.fit_penalized(df, DESIGN, F.col("y"), max_iter=1)
+    assert (fit.solver, fit.converged) == ("lbfgs", True) and fit.reason == "irls had not settled after 1 steps"
+    assert np.allclose(fit.params, w, atol=1e-5)
+    fit = L.fit_penalized(df, DESIGN, F.col("y"), rounds=1)
+    assert fit.solver == "lbfgs" and "penalty" in fit.reason
+    fit = L.fit_penalized(df, DESIGN, F.col("y"), C_reg=0.01)
+    strong, _ = _newton(DESIGN.matrix(pdf), pdf["y"].to_numpy(float), lam=100.0)
+    assert fit.solver == "irls" and np.allclose(fit.params, strong, atol=1e-9)
+
+
+def test_neither_solver_settled(spark):
+    df, _ = _logit_frame(spark)
+    fit = L.fit_penalized(df, DESIGN, F.col("y"), max_iter=1, lbfgs_max_iter=1)
+    assert not fit.converged and fit.solver == "lbfgs" and fit.reason
+
+
+def test_factor_designs_are_fitted_on_cells(spark):
+    """The same estimates from weighted cells as from rows, whatever the number of rows; empty levels too."""
+    df, pdf = _logit_frame(spark)
+    factors = Design((Factor("a", ("p", "q", "r", "s", "never")), Flag("b")))
+    fit = L.fit_inference(df, factors, F.col("y"))
+    seen = Design((Factor("a", ("p", "q", "r", "s")), Flag("b")))
+    X, y = seen.matrix(pdf), pdf["y"].to_numpy(float)
+    w, H = _newton(X, y, lam=0.0)
+    keep = [i for i, nm in enumerate(factors.names) if nm != "C(a)[T.never]"]
+    assert np.allclose(fit.params[keep], w, atol=1e-8) and fit.nobs == len(pdf)
+    assert np.allclose(fit.se[keep], np.sqrt(np.diag(np.linalg.inv(H))), rtol=1e-6)
+    eta = X @ w
+    assert math.isclose(fit.deviance, -2 * float(np.sum(y * eta - np.log1p(np.exp(eta)))), rel_tol=1e-9)
+    r = y.mean()
+    assert math.isclose(fit.null_deviance, -2 * len(y) * (r * math.log(r) + (1 - r) * math.log(1 - r)), rel_tol=1e-9)
 
 
 def test_unpenalized_logit_and_standard_errors(spark):
@@ -188,11 +224,6 @@ def test_one_cells_pass_serves_smaller_designs(spark):
     assert np.allclose(a.coef, b.coef) and np.allclose(a.se, b.se) and math.isclose(a.rsquared, b.rsquared)
 
 
-def test_unfinished_newton_is_not_called_converged(spark):
-    df, _ = _logit_frame(spark)
-    assert not L.fit_penalized(df, DESIGN, F.col("y"), max_iter=1, max_newton=1).converged
-
-
 def test_findings_name_what_they_show_and_what_they_do_not(spark):
     cols = "scenario int, cost_ratio_fn_fp double, flagged_share double, savings_pct_of_flag_all double"
     got = {r.finding: r.scenario for r in E.sensitivity_findings(spark.createDataFrame(
