@@ -33,9 +33,11 @@ from ..session import reliable_checkpoint
 from .design import Design, Factor, Numeric
 
 
-def labelled_rows(df: DataFrame, design: Design, label: Column, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(features vector, label, *keep) per row."""
+def labelled_rows(df: DataFrame, design: Design, label: Column, keep: tuple[str, ...] = (),
+                  only: list[int] | None = None) -> DataFrame:
+    """(features vector, label, *keep) per row; ``only``: these design columns (the intercept not counted)."""
     ind = design.indicator_columns()
+    ind = ind if only is None else [ind[i] for i in only]
     names = [f"x{i}" for i in range(len(ind))]
     rows = df.select(label.cast("double").alias("label"), *keep, *[c.alias(n) for c, n in zip(ind, names)])
     return VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("features", "label", *keep)
@@ -136,21 +138,31 @@ def fit_penalized(df: DataFrame, design: Design, label: Column, C_reg: float = 1
     """L2 logistic regression, C * sum(log-loss) + 1/2 ||b||^2, free intercept.
 
     ``converged`` is that of the solver whose estimate it is; ``reason`` says
-    why the second solver was needed, if it was.
+    why the second solver was needed, if it was. A column with one value on all
+    rows (a level without rows) can only add a penalty, so its estimate is 0 and
+    the solvers do not see it.
     """
-    rows = reliable_checkpoint(labelled_rows(df, design, label.cast("double")))
-    n = rows.count()
-    if design.width - 1 > IRLS_COLUMNS:
+    cols = design.indicator_columns()
+    seen = df.agg(F.count(F.lit(1)).alias("n"), *[(F.min(c) != F.max(c)).alias(f"v{i}") for i, c in enumerate(cols)]).first()
+    n, vary = seen["n"], [i for i in range(len(cols)) if seen[f"v{i}"]]
+    rows = reliable_checkpoint(labelled_rows(df, design, label.cast("double"), only=vary))
+
+    def spread(found) -> np.ndarray:
+        coef = np.zeros(len(cols))
+        coef[vary] = found
+        return coef
+
+    if len(vary) > IRLS_COLUMNS:
         beta, passes, reason = np.zeros(0), 0, f"more than {IRLS_COLUMNS} design columns"
     else:
         beta, passes, reason = _irls(rows, n, C_reg, max_iter, tol, rounds)
     if reason is None:
-        return LogisticFit(design, float(beta[0]), beta[1:], passes, True, "irls", float(n))
+        return LogisticFit(design, float(beta[0]), spread(beta[1:]), passes, True, "irls", float(n))
     # mean log-loss + (regParam / 2) ||b||^2: the same objective divided by C n
     m = LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (C_reg * n), elasticNetParam=0.0,
                            standardization=False, fitIntercept=True, maxIter=lbfgs_max_iter, tol=lbfgs_tol).fit(rows)
     steps = int(m.summary.totalIterations)
-    return LogisticFit(design, float(m.intercept), m.coefficients.toArray(), steps, steps < lbfgs_max_iter, "lbfgs", float(n),
+    return LogisticFit(design, float(m.intercept), spread(m.coefficients.toArray()), steps, steps < lbfgs_max_iter, "lbfgs", float(n),
                        reason=reason)
 
 

@@ -118,6 +118,16 @@ def test_second_solver_when_the_first_does_not_settle(spark):
     assert fit.solver == "irls" and np.allclose(fit.params, strong, atol=1e-9)
 
 
+def test_columns_of_one_value_are_zero_under_the_penalty(spark):
+    df, pdf = _logit_frame(spark)
+    wide = Design((Factor("a", ("p", "never", "q", "r", "s")), Flag("b"), Flag("always"), Numeric("x")))
+    fit = L.fit_penalized(df.withColumn("always", F.lit(True)), wide, F.col("y"))
+    w, _ = _newton(DESIGN.matrix(pdf), pdf["y"].to_numpy(float), lam=1.0)
+    got = dict(zip(wide.names, fit.params))
+    assert got.pop("C(a)[T.never]") == got.pop("always[T.True]") == 0.0
+    assert np.allclose(list(got.values()), w, atol=1e-9)
+
+
 def test_neither_solver_settled(spark):
     df, _ = _logit_frame(spark)
     fit = L.fit_penalized(df, DESIGN, F.col("y"), max_iter=1, lbfgs_max_iter=1)
