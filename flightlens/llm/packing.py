@@ -20,12 +20,12 @@ repeatedly; an empty table gives no pieces; extra columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,32 +34,39 @@ from flightlens.llm.runtime import prepare, rows_by_bytes
 
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 2048, 2048
 BUFFER = 512                     # open pieces of a task
-CACHE = 600_000                  # word ids a worker remembers; forgotten all at once
+CACHE = 400_000                  # words a worker learns before it forgets those not met meanwhile
+ENCODE_BYTES = 8 << 20           # text encoded at a time inside a task
 END_ID = 1
 
 # characters for which lower-casing and splitting below equal the library's; other texts go to it whole
-_OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa0-\xff]|<\|")
+_OTHER = r"[^\t\n\r\x20-\x7e\x{a0}-\x{ff}]|<\|"
+# what is a word of its own between letters: contractions, single digits, runs of other characters
 _LETTER, _DIGIT = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
-_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+")
+_APART = rf"('s|'t|'re|'ve|'m|'ll|'d|[{_DIGIT}]|[^\s\x{{a0}}{_LETTER}{_DIGIT}]+)"
 _encoders: dict[str, "WordEncoder"] = {}
 
 
-class WordEncoder(dict):
-    """Ids of words as little-endian bytes, filled from a ``tokenizers`` file on demand."""
+class WordEncoder:
+    """Ids of texts from a ``tokenizers`` file, by their words.
 
-    def __init__(self, path: str):
+    A batch of texts is lower-cased, split into words and factorised by Arrow;
+    only its distinct words are looked up or tokenised by the library, and its
+    ids are gathered from theirs by numpy. Texts with characters for which the
+    words may differ from the library's go to it whole.
+    """
+
+    def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)     # ids that end a word
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.cache = cache
+        self.known: dict[str, bytes] = {}       # ids of words as little-endian bytes
+        self.older: dict[str, bytes] = {}       # those known before; one that is met again is known again
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            new = list(words)
+    def _tokenise(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
         # many words in one text, parted again behind the ids that end a word
         groups = [new[i:i + 1000] for i in range(0, len(new), 1000)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
@@ -69,18 +76,46 @@ class WordEncoder(dict):
                 ends, ids = _one_by_one(self.tokenizer, group)
             data, at = ids.tobytes(), 0
             for w, end in zip(group, ends):
-                self[w] = data[4 * at:4 * end]
+                yield w, data[4 * at:4 * end]
                 at = end
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _OTHER.search(t) else _SPLIT.findall(t.lower()) for t in texts]
-        words: set[str] = set()
-        for s in split:
-            if s:
-                words.update(s)
-        self.learn(words)
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
-                if s is None else b"".join(map(self.__getitem__, s)) for t, s in zip(texts, split)]
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words. A word not met while ``cache`` others were learnt is forgotten."""
+        out = list(map(self.known.get, words))
+        missed = [w for w, ids in zip(words, out) if ids is None]
+        if not missed:
+            return out
+        if len(self.known) + len(missed) > self.cache:
+            self.older, self.known = self.known, {}
+            missed = words
+        again = {w: ids for w in missed if (ids := self.older.get(w)) is not None}
+        again.update(self._tokenise([w for w in missed if w and w not in again]))
+        again[""] = b""                          # white space at the ends of a text leaves empty words
+        self.known.update(again)
+        return [again[w] if ids is None else ids for w, ids in zip(words, out)]
+
+    def encode(self, texts: pa.Array, end: bytes = b"") -> list[bytes]:
+        """The ids of each text and ``end``, as little-endian unsigned 32-bit integers."""
+        texts = texts.fill_null("")
+        whole = pc.match_substring_regex(texts, _OTHER).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(whole), "", texts) if whole.any() else texts
+        words = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(plain), _APART, r" \1 "))
+        coded = words.flatten().dictionary_encode()
+        ids = self._look_up(coded.dictionary.to_pylist()) + [end]
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        start = np.cumsum(size) - size
+        at = words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()
+        word = np.insert(coded.indices.to_numpy().astype(np.int64), at[1:], len(ids) - 1)     # the end id closes a text
+        many = size[word]
+        upto = np.cumsum(many)
+        take = np.arange(upto[-1] if len(upto) else 0) + np.repeat(start[word] - (upto - many), many)
+        data = np.frombuffer(b"".join(ids), dtype="<u4")[take].tobytes()
+        close = upto[at[1:] + np.arange(len(texts))].tolist()
+        out = [data[4 * a:4 * b] for a, b in zip([0, *close], close)]
+        for i in np.flatnonzero(whole).tolist():
+            got = self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids
+            out[i] = np.array(got, dtype="<u4").tobytes() + end
+        return out
 
 
 def _one_by_one(tokenizer, words: list[str]) -> tuple[list[int], np.ndarray]:
@@ -94,6 +129,7 @@ class Packer:
     def __init__(self, limits: tuple[int, int, int], cut: bool, base: int):
         self.limits, self.cut, self.next = np.array(limits, dtype=np.float64), cut, base
         self.open: list[list] = []           # [doc, start, ids, loss, doc_tokens]
+        self.need: list[tuple] = []          # what each takes of the limits
         self.rows: list[tuple] = []
 
     def add(self, doc, ids: bytes, loss: np.ndarray | None) -> None:
@@ -107,6 +143,7 @@ class Packer:
         while at < n:
             take = min(n - at, most, int(self.limits[2])) if loss is None else self._room(loss[at:], most)
             self.open.append([doc, at, ids[4 * at:4 * (at + take)], None if loss is None else loss[at:at + take], n])
+            self.need.append(self._demand(self.open[-1]))
             at += take
         while len(self.open) >= BUFFER:
             self._fill()
@@ -133,7 +170,7 @@ class Packer:
 
     def _fill(self, last: bool = False) -> None:
         """Close one sequence from the open pieces."""
-        demand = np.array([self._demand(p) for p in self.open], dtype=np.float64)
+        demand = np.array(self.need, dtype=np.float64)
         alive = np.ones(len(self.open), dtype=bool)
         share, free = demand / self.limits, self.limits.copy()
         chosen: list[list] = []
@@ -157,10 +194,12 @@ class Packer:
                     chosen.append([piece[0], piece[1], piece[2][:4 * take], None if piece[3] is None else piece[3][:take], piece[4]])
                     self.open[i] = [piece[0], piece[1] + take, piece[2][4 * take:],
                                     None if piece[3] is None else piece[3][take:], piece[4]]
+                    self.need[i] = self._demand(self.open[i])
             break
         if not chosen:
             raise AssertionError("a piece that fits no sequence")      # add() never makes one
-        self.open = [p for p, a in zip(self.open, alive) if a]
+        left = np.flatnonzero(alive).tolist()
+        self.open, self.need = [self.open[i] for i in left], [self.need[i] for i in left]
         if last and self.cut and not self.open:
             self._powers(chosen)
             return
@@ -190,12 +229,10 @@ def _pack(path: str, limits: tuple[int, int, int], cut: bool, end_id: int | None
         encoder = _encoders[path]
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         packer = Packer(limits, cut, TaskContext.get().partitionId() << 40)
-        for batch in rows_by_bytes(batches, "text"):
+        for batch in rows_by_bytes(batches, "text", ENCODE_BYTES):
             docs = batch.column("doc_id").to_pylist()
-            texts = [t or "" for t in batch.column("text").to_pylist()]
             bears = batch.column("loss").to_pylist() if has_loss else [True] * len(docs)
-            for doc, ids, loss in zip(docs, encoder.encode(texts), bears):
-                ids += end
+            for doc, ids, loss in zip(docs, encoder.encode(batch.column("text"), end), bears):
                 packer.add(doc, ids, None if loss else np.zeros(len(ids) // 4, dtype=np.int8))
             if packer.rows:
                 yield _pieces(packer.rows, with_ids)
