@@ -5,7 +5,11 @@ the last return the columns of ``documents``. A stage works on all rows that
 the one before it kept, and is written and read again before the next.
 
 Nulls: a null text has no words, so the first stage rejects it; a null id
-links nothing and removes nothing. Columns beside those of ``documents`` are
+links nothing and removes nothing. Empty and short texts go in the first stage;
+very long ones are worked on whole, by one task at a time. Rows that are equal
+in all columns count once from the second stage on, rows with one id and other
+contents are documents of their own, and the result does not depend on the order
+of rows. An empty table gives no rows. Columns beside those of ``documents`` are
 not passed on.
 """
 
@@ -38,12 +42,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id stays (once)."""
-    docs = _documents(docs)
-    groups = simhash_dedup.near_duplicates(docs)
-    stay = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    return (docs.filter("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-            .unionByName(docs.filter("doc_id IS NULL")).select(*COLUMNS))
+    """Of each group of near copies, the document with the smallest id stays (once).
+
+    Rows are told apart by id and contents: of rows with one id, those of other
+    groups go or stay with their own group. Of several that could stay for one
+    group, the one with the smallest digest of its contents does.
+    """
+    docs = _documents(docs).withColumn("contents", F.md5(F.concat(*[
+        F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+        for c in COLUMNS])))
+    groups = simhash_dedup.near_duplicates(docs, carry=("contents",))
+    stay = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.min("contents").alias("contents"))
+    return (docs.filter("doc_id IS NOT NULL").join(stay, ["doc_id", "contents"], "left_semi")
+            .dropDuplicates(["doc_id", "contents"]).unionByName(docs.filter("doc_id IS NULL")).select(*COLUMNS))
 
 
 def substring_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +81,7 @@ STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", simhash_near_
           ("substring dedup", substring_removal), ("benchmark decontamination", benchmark_decontamination),
           ("packing", sequence_packing)]
 
-#: Fingerprints, their components and tokenisation have no SQL form; see tests/llm/test_pipeline.py.
+#: Fingerprints, their components and tokenisation have no SQL form; see tests/llm/test_web_operators.py.
 ORACLE_SQL = None
 
 

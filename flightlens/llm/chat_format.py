@@ -189,9 +189,17 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars`` of formatted turns."""
+    """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars`` of formatted turns.
+
+    Rows of one turn are read by role and content as they were before escaping.
+    """
+    def plain(escaped):
+        return F.regexp_replace(escaped, r"(?s)\\(.)", "$1")
+    head, start = len(OPEN), F.col("loss_start").cast("int")
+    role = plain(F.substr("chunk", F.lit(head + 1), start - head - len(BETWEEN)))
+    content = plain(F.substr("chunk", start + 1, F.length("chunk") - start - len(CLOSE)))
     return (formatted.select("conv_id", "turn", "chunk", "loss_start", "loss_length").repartition("conv_id")
-            .sortWithinPartitions("conv_id", "turn", "chunk")
+            .sortWithinPartitions("conv_id", "turn", role, content)
             .mapInArrow(_read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, "
                                "loss_sha256 string, formatted_chars long"))
 

@@ -3,18 +3,23 @@
 Base measures are taken from each whole text. The method then hashes every
 normalised line (A-Z lower-cased, white space collapsed), counts in how many
 distinct documents of its host it stands, removes lines above the limit, and
-rejects documents that are depleted by that. Exact copies of a text count as
-one document, so a text is not rejected for having copies; removing those is
+rejects documents that are depleted by that: fewer than ``MIN_WORDS`` words
+are left, or less than ``LEFT_PERCENT`` of them. Exact copies of a text count
+as one document, so a text is not rejected for having copies; removing those is
 the work of a deduplication step.
 
-The limit is a share of the host's documents, with a floor. So a host has at
-most (lines per document / share) lines above it, and their hashes fit into
-one row per host, whatever the corpus size; documents meet them in one join
-on the host, and the counts are partial sums before each shuffle.
+The limit is a number of documents, the same for every host, however large or
+small. (host, line) pairs are counted with partial sums before each shuffle;
+those above the limit are written, and documents meet them by a join of their
+(host, line) pairs, which is broadcast if the measured table is small and
+sorted with hot lines split if not. What is found goes back to the rows by a
+row number given when they were first written.
 
 Defined cases: null or empty text has no words and fails the base rule; a null
-host is a host of its own; repeated rows are judged alike; an empty table
-gives an empty result; extra columns are ignored unless carried.
+host is a host of its own; a line in exactly ``limit`` documents stays; repeated
+rows are judged alike and count as one document; a very long text or line is
+measured whole by one task; an empty table gives an empty result; extra columns
+are ignored unless carried.
 """
 
 from __future__ import annotations
@@ -28,12 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightlens.llm.runtime import prepare, rows_by_bytes, staged, text_bytes
+from flightlens.llm.runtime import discard, prepare, rows_by_bytes, staged, text_bytes
 from flightlens.llm.wordhash import WordHasher, window_hashes
 
 MIN_WORDS = 20
 REPEAT_WIDTH, REPEAT_PERCENT = 8, 30
-LINE_SHARE, LINE_FLOOR = 0.05, 20      # a line above both is boilerplate of its host
+LINE_LIMIT = 8                         # a line in more documents of a host is boilerplate
 LEFT_PERCENT = 20                      # a document with fewer of its words left is depleted
 _SPACE = b" \t\n\x0b\x0c\r"
 _NOT_START = bytes(range(0x80, 0xC0)) + _SPACE
@@ -92,11 +97,10 @@ def _measure(carry: list[str]):
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-          share: float = LINE_SHARE, floor: int = LINE_FLOOR, left_percent: int = LEFT_PERCENT,
-          carry: tuple[str, ...] = ()) -> DataFrame:
-    """A row per input row: ``doc_id, *carry``, the measures, ``boilerplate`` (hashes of the host's
-    lines above the limit), ``n_removed`` (words in them), ``base_failed``, ``kept``."""
-    result = {"doc_id", "host", "copy", "data", *_MEASURES, "lines", "boilerplate", "n_removed", "base_failed", "kept"}
+          limit: int = LINE_LIMIT, left_percent: int = LEFT_PERCENT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row per input row: ``doc_id, *carry``, the measures, ``boilerplate`` (hashes of the row's lines
+    above the limit), ``n_removed`` (words in them), ``base_failed``, ``kept``."""
+    result = {"doc_id", "host", "copy", "row", "data", *_MEASURES, "lines", "boilerplate", "n_removed", "base_failed", "kept"}
     if clash := result & set(carry):
         raise ValueError(f"carried columns clash with result columns: {sorted(clash)}")
     prepare(docs.sparkSession)
@@ -104,24 +108,24 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), *carry,
                          F.coalesce(F.concat(F.lit("h"), F.col(host_col).cast("string")), F.lit("n")).alias("host"),
                          F.xxhash64(F.col(text_col).cast("string"), F.octet_length(F.col(text_col).cast("string"))).alias("copy"),
-                         text_bytes(text_col).alias("data"))
-    keep = ["doc_id", *carry, "host", "copy"]
+                         F.monotonically_increasing_id().alias("row"), text_bytes(text_col).alias("data"))
+    keep = ["doc_id", *carry, "host", "copy", "row"]
     kinds = dict(source.dtypes)
     per = staged(source.mapInArrow(_measure(keep), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", "
                                    + ", ".join(f"{m} long" for m in _MEASURES)
                                    + ", lines array<struct<hash: long, words: long>>"))
-    texts = per.select("host", "copy").distinct().groupBy("host").agg(F.count("*").alias("texts"))
-    often = (per.select("host", "copy", F.explode("lines.hash").alias("hash")).distinct()
-             .groupBy("host", "hash").agg(F.count("*").alias("times")).filter(F.col("times") > floor))
-    hosts = staged(often.join(texts, "host").filter(F.col("times") > share * F.col("texts"))
-                   .groupBy("host").agg(F.collect_list("hash").alias("boilerplate")))
-    removed = F.aggregate(F.filter("lines", lambda x: F.array_contains("boilerplate", x["hash"])),
-                          F.lit(0).cast("long"), lambda n, x: n + x["words"])
+    often = staged(per.select("host", "copy", F.explode(F.array_distinct("lines.hash")).alias("hash")).distinct()
+                   .groupBy("host", "hash").agg(F.count("*").alias("times")).filter(F.col("times") > limit).drop("times"))
+    lines = per.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.hash", "line.words")
+    found = staged(lines.join(often, ["host", "hash"])
+                   .groupBy("row").agg(F.sum("words").alias("n_removed"), F.collect_set("hash").alias("boilerplate")))
+    discard(docs.sparkSession, often)
     failed = f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words"
-    return (per.join(hosts, "host", "left")
+    left = f"n_words - n_removed >= {MIN_WORDS} AND 100 * (n_words - n_removed) >= {left_percent} * n_words"
+    return (per.join(found, "row", "left")
             .withColumn("boilerplate", F.coalesce("boilerplate", F.array().cast("array<bigint>")))
-            .withColumn("n_removed", removed).withColumn("base_failed", F.expr(failed))
-            .withColumn("kept", F.expr(f"NOT base_failed AND 100 * (n_words - n_removed) >= {left_percent} * n_words"))
+            .withColumn("n_removed", F.coalesce("n_removed", F.lit(0).cast("long")))
+            .withColumn("base_failed", F.expr(failed)).withColumn("kept", F.expr(f"NOT base_failed AND {left}"))
             .select("doc_id", *carry, *_MEASURES, "boilerplate", "n_removed", "base_failed", "kept"))
 
 
@@ -152,7 +156,7 @@ def brute_force(rows: list[tuple]) -> list[tuple]:
     limit = {}
     for host, texts in hosts.items():
         n = Counter(x for t in texts for x in {normal_line(y) for y in (t or "").encode().split(b"\n") if y.split()})
-        limit[host] = {x for x, k in n.items() if k > LINE_FLOOR and k > LINE_SHARE * len(texts)}
+        limit[host] = {x for x, k in n.items() if k > LINE_LIMIT}
     out = []
     for doc, text, host in rows:
         data = (text or "").encode()
@@ -164,5 +168,5 @@ def brute_force(rows: list[tuple]) -> list[tuple]:
         failed = len(words) < 20 or 100 * len(hit) > 30 * len(words)
         out.append((doc, len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""),
                     len(lines) - len(set(lines)), len(hit), failed,
-                    not failed and 100 * (len(words) - gone) >= LEFT_PERCENT * len(words)))
+                    not failed and len(words) - gone >= MIN_WORDS and 100 * (len(words) - gone) >= LEFT_PERCENT * len(words)))
     return out

@@ -117,9 +117,7 @@ full_line AS (SELECT *, array_to_string(regexp_extract_all(translate(line, {_AZ}
                      row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS nth
               FROM line WHERE len(regexp_extract_all(line, {_WORD})) > 0),
 dup AS (SELECT doc_id, count(*) AS n FROM full_line WHERE nth > 1 GROUP BY doc_id),
-texts AS (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY source),
-often AS (SELECT source, norm FROM (SELECT source, norm, count(DISTINCT text) AS times FROM full_line GROUP BY ALL)
-          JOIN texts USING (source) WHERE times > {quality.LINE_FLOOR} AND times > {quality.LINE_SHARE}::DOUBLE * texts),
+often AS (SELECT source, norm FROM full_line GROUP BY ALL HAVING count(DISTINCT text) > {quality.LINE_LIMIT}),
 removed AS (SELECT doc_id, sum(n) AS n FROM full_line SEMI JOIN often USING (source, norm) GROUP BY doc_id),
 spot AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d),
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS k FROM spot),
@@ -132,7 +130,8 @@ m AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''
       FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN removed USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND 100 * (n_words - n_removed) >= {quality.LEFT_PERCENT} * n_words AS kept
+       NOT base_failed AND n_words - n_removed >= {quality.MIN_WORDS}
+         AND 100 * (n_words - n_removed) >= {quality.LEFT_PERCENT} * n_words AS kept
 FROM b""",
     "op7_decontamination": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws

@@ -40,20 +40,25 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete staged tables that later staged tables have replaced."""
+    jvm = spark.sparkContext._jvm
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete staged tables that later staged tables have replaced, and let go of finished shuffles.
+    """Delete staged tables that later ones have replaced, and let go of finished shuffles.
 
     Spark removes shuffle files when the driver's garbage collector finds them
     unused, which may be long after; asking for it keeps the disk use of a
     chain of stages near that of its largest stage.
     """
-    jvm = spark.sparkContext._jvm
-    for df in tables:
-        for file in df.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    forget(spark, *tables)
     gc.collect()
-    jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

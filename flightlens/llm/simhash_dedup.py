@@ -156,14 +156,18 @@ def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                    distance: int = DISTANCE) -> DataFrame:
-    """``doc_id, bits`` (the fingerprint as a signed long)``, component_id``; a row per input row."""
+                    distance: int = DISTANCE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, *carry, bits`` (the fingerprint as a signed long)``, component_id``; a row per input row."""
     if not 0 <= distance <= 2:
         raise ValueError("distance must be 0, 1 or 2: beyond that a posting list has no useful bound")
+    if clash := {"doc_id", "data", "bits", "of", "component", "component_id"} & set(carry):
+        raise ValueError(f"carried columns clash with result columns: {sorted(clash)}")
     spark = docs.sparkSession
     prepare(spark)
-    prints = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("data"))
-                    .mapInArrow(_prints(shingle, ["doc_id"]), "doc_id long, bits long"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), *carry, text_bytes(text_col).alias("data"))
+    kinds = dict(source.dtypes)
+    prints = staged(source.mapInArrow(_prints(shingle, ["doc_id", *carry]),
+                                      ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *carry)) + ", bits long"))
     # written before they are joined back, so that AQE can split the rows of a hot fingerprint
     nodes = staged(prints.filter("doc_id IS NOT NULL").groupBy("bits").agg(F.min("doc_id").alias("node")))
     postings = nodes.select("bits", "node", _postings(distance).alias("list")).select("list.*", "bits", "node")
@@ -174,7 +178,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = staged(nodes.join(groups, nodes["node"] == groups["first"], "left").select(
         F.col("bits").alias("of"), F.coalesce("component", "node").alias("component")))
     return prints.join(named, prints["bits"] == named["of"], "left").select(
-        "doc_id", "bits", F.expr("IF(doc_id IS NULL, NULL, component)").alias("component_id"))
+        "doc_id", *carry, "bits", F.expr("IF(doc_id IS NULL, NULL, component)").alias("component_id"))
 
 
 def digest(result: DataFrame) -> DataFrame:

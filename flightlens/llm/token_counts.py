@@ -40,7 +40,8 @@ class Counter:
                      and probe[0][0] == MARK and len(probe[0]) == 2 and probe[1] == [MARK + "a", probe[0][1], "b"])
         words = [p[1:] for p in multi if p[0] == MARK and MARK not in p[1:] and " " not in p]
         alone = self.model.encode(words, num_threads=1)
-        self.whole = {w: 1 for w, ids in zip(words, alone) if len(ids) == 1}     # the proven shortcut
+        # the proven shortcut, and an empty word: the mark alone, in front of a further space
+        self.whole = {w: 1 for w, ids in zip(words, alone) if len(ids) == 1} | {"": len(self.model.encode("a ")) - 1}
         self.count = dict(self.whole)
         self.bare: dict[str, int] = {"": 0}
 
@@ -83,9 +84,9 @@ class Counter:
         marked.discard("")
         self._learn(marked, self.count, "", 0, self.whole)
         self._learn(bare, self.bare, "\n", 2, {"": 0})
-        get, head = self.count.get, self.bare.__getitem__
+        count, head = self.count.__getitem__, self.bare.__getitem__
         return [(len(self.model.encode(t)) if t else 0) if not p
-                else sum(get(u, 1) for u in p[0]) + sum(map(head, p[1])) + p[2] for t, p in zip(texts, plan)]
+                else sum(map(count, p[0])) + sum(map(head, p[1])) + p[2] for t, p in zip(texts, plan)]
 
 
 def _odd(words: list[str], first: bool) -> tuple[list[str], int]:
