@@ -106,6 +106,7 @@ class Study:
         self.root = f"{work_root(spark)}/{self.key}"
         self._cache: dict[str, DataFrame] = {}
         self._schemas: dict[str, T.StructType] = {}
+        self._tables: dict[str, DataFrame] = {}       # tables by month, with their folder columns
 
     # -- helpers -------------------------------------------------------------
     def _marker(self, name: str) -> str:
@@ -135,7 +136,8 @@ class Study:
                 return self.spark.read.parquet(path)
             if name not in self._schemas:         # the column order of the plan that builds it; nothing is run
                 self._schemas[name] = build().schema
-            return months.read_months(self.spark, path, self._schemas[name])
+            self._tables[name] = months.open_months(self.spark, path, self._schemas[name])
+            return months.window(self._tables[name])
 
         if _exists(self.spark, self._marker(name)):
             df = read()
@@ -186,8 +188,8 @@ class Study:
         self._cache["split"] = mt
 
     def _window(self, start: str | None, before: str | None) -> DataFrame:
-        mt = self.model_table()
-        return months.read_months(self.spark, f"{self.root}/model_table", mt.schema, start, before)
+        self.model_table()
+        return months.window(self._tables["model_table"], start, before)
 
     def train(self, start: str | None = None, before: str | None = None) -> DataFrame:
         """Train rows (``start <= flight_date < before``): only the months of the window are read."""

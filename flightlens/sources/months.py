@@ -65,17 +65,23 @@ def in_months(months: list[tuple[int, int]]) -> Column:
     return (F.col(YEAR) * 12 + F.col(MONTH)).isin([y * 12 + m for y, m in months])
 
 
-def read_months(spark: SparkSession, path: str, schema: T.StructType, start: str | None = None, before: str | None = None,
-                months: list[tuple[int, int]] | None = None, date_col: str = "flight_date") -> DataFrame:
-    """Rows with ``start <= date < before``, from the folders that can hold any of them.
+def open_months(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table with its folder columns. Its folders are listed now: windows of it need no further listing.
 
-    The scan's partition filter keeps whole months; the date predicate, pushed
-    to the files, cuts the first and the last one. ``schema`` has the columns
-    without those of the folders.
+    ``schema`` has the columns without those of the folders.
     """
     keys = [T.StructField(YEAR, T.IntegerType()), T.StructField(MONTH, T.IntegerType())]
-    df = spark.read.schema(T.StructType([*schema.fields, *keys])).parquet(path)
-    at = F.col(YEAR) * 12 + F.col(MONTH)
+    return spark.read.schema(T.StructType([*schema.fields, *keys])).parquet(path)
+
+
+def window(table: DataFrame, start: str | None = None, before: str | None = None,
+           months: list[tuple[int, int]] | None = None, date_col: str = "flight_date") -> DataFrame:
+    """Rows of an opened table with ``start <= date < before``, from the folders that can hold any of them.
+
+    The scan's partition filter keeps whole months; the date predicate, pushed
+    to the files, cuts the first and the last one.
+    """
+    at, df = F.col(YEAR) * 12 + F.col(MONTH), table
     if start is not None:
         d = _dt.date.fromisoformat(start)
         df = df.filter((at >= d.year * 12 + d.month) & (F.col(date_col) >= F.lit(d)))
@@ -85,4 +91,10 @@ def read_months(spark: SparkSession, path: str, schema: T.StructType, start: str
         df = df.filter((at <= last.year * 12 + last.month) & (F.col(date_col) < F.lit(d)))
     if months is not None:
         df = df.filter(in_months(months))
-    return df.select(*[f.name for f in schema.fields])
+    return df.drop(YEAR, MONTH)
+
+
+def read_months(spark: SparkSession, path: str, schema: T.StructType, start: str | None = None, before: str | None = None,
+                months: list[tuple[int, int]] | None = None, date_col: str = "flight_date") -> DataFrame:
+    """``window`` of the table at ``path``."""
+    return window(open_months(spark, path, schema), start, before, months, date_col)
