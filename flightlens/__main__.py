@@ -48,11 +48,15 @@ def _report_layouts() -> list:
 
 
 def run_study(spark: SparkSession, raw: str, out: str, params: StudyParams = STUDY_2024,
-              table: str | None = None, models: bool = True) -> dict[str, str]:
-    """Build every stage and write every result; returns {result name: path}."""
+              table: str | None = None, models: bool = True, holidays: str | None = None) -> dict[str, str]:
+    """Build every stage and write every result; returns {result name: path}.
+
+    ``holidays``: a headed CSV with a column ``day`` (YYYY-MM-DD), instead of the parameters' list.
+    """
     out = out.rstrip("/")
+    days = spark.read.option("header", True).csv(holidays).select("day") if holidays else None
     st = Study(spark, params, raw=lambda: read_raw_csv(spark, raw), source_key=f"csv:{raw}:{input_state(spark, raw)}",
-               by_month=True)
+               by_month=True, holidays=days)
     flights = st.flights()
     if table:
         publish_table(flights, table)
@@ -131,11 +135,12 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--raw", required=True, help="raw monthly CSV files (path or glob)")
     ap.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
     ap.add_argument("--table", default=None, help="also replace this catalog table with the clean flights")
+    ap.add_argument("--holidays", default=None, help="headed CSV of holidays (column day) instead of the built-in ones")
     ap.add_argument("--master", default=None, help="only for local runs, e.g. local[8]")
     ap.add_argument("--no-models", action="store_true", help="stop after the reports and the profile")
     a = ap.parse_args(argv)
     spark = build_session(a.master)
-    for name, path in run_study(spark, a.raw, a.out, table=a.table, models=not a.no_models).items():
+    for name, path in run_study(spark, a.raw, a.out, table=a.table, models=not a.no_models, holidays=a.holidays).items():
         print(f"{name}\t{path}")
 
 

@@ -17,18 +17,26 @@ from .. import constants as C
 from ..functions import columns as X
 from ..params import StudyParams
 from .checks import DataQualityError, quarantine
+from .intervals import flag_in_intervals, holiday_windows
 
 
-def model_table(flights: DataFrame, params: StudyParams) -> DataFrame:
+def _holiday_flagged(flights: DataFrame, params: StudyParams, holidays: DataFrame | None) -> DataFrame:
+    """``flights`` with ``holiday_flag``: near a holiday of the table ``holidays`` (``day``), or of the parameters' list."""
+    if holidays is None:
+        return flights.withColumn("holiday_flag", X.holiday_flag("flight_date", params.holidays, params.holiday_window_days))
+    return flag_in_intervals(flights, "flight_date", holiday_windows(holidays, params.holiday_window_days), "holiday_flag")
+
+
+def model_table(flights: DataFrame, params: StudyParams, holidays: DataFrame | None = None) -> DataFrame:
     src = flights.select(*C.MODEL_SOURCE_COLUMNS)
-    kept = src.filter(~F.col("cancelled")).filter(~F.col("diverted"))
+    kept = _holiday_flagged(src.filter(~F.col("cancelled")).filter(~F.col("diverted")), params, holidays)
     d = F.col("flight_date")
     out = kept.select(
         "flight_date", "airline", "origin", "dest",
         X.dep_hour("scheduled_dep_time").alias("dep_hour"),
         X.day_name(d).alias("dow"),
         F.col("month").cast("int").alias("month"),
-        X.holiday_flag(d, params.holidays, params.holiday_window_days).alias("holiday_flag"),
+        "holiday_flag",
         "distance", "arr_delay", "is_delayed",
     )
     assert list(out.columns) == C.MODEL_COLUMNS
@@ -50,16 +58,14 @@ def prep_rules() -> dict[str, Column]:
     }
 
 
-def prep_report(flights: DataFrame, params: StudyParams) -> DataFrame:
+def prep_report(flights: DataFrame, params: StudyParams, holidays: DataFrame | None = None) -> DataFrame:
     """One row: rows removed per filter step, rows kept, the 2400 remaps,
     holiday-flag count and share, and the violation count of every check."""
     c, dv = F.col("cancelled"), F.col("diverted")
     kept = ~c & ~dv
-    d = F.col("flight_date")
-    t = F.col("scheduled_dep_time")
-    hol = X.holiday_flag(d, params.holidays, params.holiday_window_days)
+    t, hol = F.col("scheduled_dep_time"), F.col("holiday_flag")
     n_kept = F.count_if(kept)
-    return flights.agg(
+    return _holiday_flagged(flights, params, holidays).agg(
         F.count(F.lit(1)).alias("rows_loaded"),
         F.count_if(c).alias("removed_cancelled"),
         F.count_if(~c & dv).alias("removed_diverted"),   # counted after the first filter

@@ -108,7 +108,7 @@ def _expand(kept: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def exact_sample(df: DataFrame, n: int, seed: int, buckets: int | None = None,
-                 oversample: float = 1.1) -> DataFrame:
+                 oversample: float = 1.1, total: int | None = None) -> DataFrame:
     """Exactly ``min(n, rows)`` rows, the same ones on every run and partitioning.
 
     Rows are ranked by (md5 of the seed and the row's text, all columns): a
@@ -116,7 +116,8 @@ def exact_sample(df: DataFrame, n: int, seed: int, buckets: int | None = None,
     repeat; identical rows are interchangeable, so the chosen multiset is
     unique. The n smallest are found without a global sort of the table:
 
-    1. count rows;
+    1. count rows, unless the caller knows ``total``: then the candidates' scan
+       is the only one;
     2. keep candidates whose digest falls in the lowest ~1.1 n/N of the range,
        collapsed to (distinct row, copies) -- partial aggregation first, so a
        row repeated a billion times is one record -- and write them to the
@@ -129,7 +130,7 @@ def exact_sample(df: DataFrame, n: int, seed: int, buckets: int | None = None,
        each kept row is expanded to the number of copies it contributes.
     """
     cols = df.columns
-    total = df.count()
+    total = df.count() if total is None else total
     if n >= total:
         return df
     buckets = buckets or max(1024, n // 50_000)

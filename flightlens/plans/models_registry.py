@@ -156,7 +156,8 @@ def q_logit_dow(spark, sf_dir):
 
 def q_train_sample_seeded(spark, sf_dir):
     """The exact-size seeded sample operator with a size below the table size."""
-    return exact_sample(study_for(spark, sf_dir, P).train(), 10_000, P.sample_seed)
+    st = study_for(spark, sf_dir, P)
+    return exact_sample(st.train(), 10_000, P.sample_seed, total=st.train_rows())
 
 
 # --- risk model ---------------------------------------------------------------------

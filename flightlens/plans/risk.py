@@ -58,8 +58,8 @@ class Risk:
         GROUPING SETS (origin), (dest), (airline), () give the level counts
         behind the top-N sets and the carrier order, and the grand total
         gives the date bounds, the fit / validation proof and the fit delay
-        rate. The result has one row per airport, per carrier and one more --
-        bounded by the level counts -- and is what reaches the driver.
+        rate. The counts are written; the driver gets the total, the carriers
+        (each is a design column) and the top-N airports, in order.
         """
         tr = self.study.train()
         d = F.col("flight_date")
@@ -73,20 +73,18 @@ class Risk:
                   F.count_if(~fit & ~val).alias("rows_in_none"), F.count_if(fit & val).alias("rows_in_several"),
                   F.count_if(d < _d(self.p.train_start)).alias("rows_before_the_study"),
                   F.count_if(fit & F.col("is_delayed")).alias("fit_pos")))
-        rows = g.collect()          # one scan; a row per airport and carrier
-        by_gid: dict[int, list] = {}
-        for r in rows:
-            by_gid.setdefault(r["gid"], []).append(r)
+        g = reliable_checkpoint(g)
         # grouping_id bit i (from the left) is 1 when key i is not grouped
         gid = {"origin": 0b011, "dest": 0b101, "airline": 0b110, "total": 0b111}
 
-        def ordered(col):
-            return [r[col] for r in sorted(by_gid.get(gid[col], []), key=lambda r: (-r["n"], r[col]))]
+        def ordered(col, top=None):
+            levels = g.filter(F.col("gid") == gid[col]).orderBy(F.col("n").desc(), F.col(col)).select(col, "n")
+            return (levels if top is None else levels.limit(top)).collect()
 
-        total = by_gid[gid["total"]][0]
-        counts = {c: {r[c]: r["n"] for r in by_gid.get(gid[c], [])} for c in ("origin", "dest")}
-        return {"origin": ordered("origin"), "dest": ordered("dest"), "airline": ordered("airline"),
-                "counts": counts, "total": total}
+        top = {c: ordered(c, self.p.top_n_airports) for c in ("origin", "dest")}
+        return {**{c: [r[c] for r in rows] for c, rows in top.items()}, "airline": [r["airline"] for r in ordered("airline")],
+                "counts": {c: {r[c]: r["n"] for r in rows} for c, rows in top.items()},
+                "total": g.filter(F.col("gid") == gid["total"]).first()}
 
     @cached_property
     def top_origins(self) -> list:

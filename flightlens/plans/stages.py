@@ -42,7 +42,7 @@ from ..sources.raw_csv import read_raw_csv, write_raw_csv
 _PKG = Path(__file__).resolve().parent.parent
 _CODE_FILES = ["constants.py", "params.py", "functions/columns.py", "sources/fixture.py",
                "sources/raw_csv.py", "sources/months.py", "operators/clean.py", "operators/prepare.py",
-               "operators/split.py", "operators/checks.py", "plans/stages.py"]
+               "operators/split.py", "operators/checks.py", "operators/intervals.py", "plans/stages.py"]
 
 
 def _code_digest() -> str:
@@ -91,17 +91,24 @@ class Study:
 
     def __init__(self, spark: SparkSession, params: StudyParams = FIXTURE,
                  sf_dir: str | None = None, raw: Callable[[], DataFrame] | None = None,
-                 source_key: str | None = None, by_month: bool = False):
-        """``by_month``: the raw rows come month by month, as monthly files do, so laying them out needs no shuffle."""
+                 source_key: str | None = None, by_month: bool = False, holidays: DataFrame | None = None):
+        """``by_month``: the raw rows come month by month, as monthly files do, so laying them out needs no shuffle.
+
+        ``holidays``: a table of holidays (``day``) to take instead of the parameters' list.
+        """
         self.spark = spark
         self.params = params
         self.by_month = by_month
+        self.holidays = holidays
         if raw is None:
             assert sf_dir is not None, "either sf_dir (shipped tables) or a raw frame builder"
             raw = lambda: fixture.raw_flights(spark, sf_dir)
             source_key = source_key or f"fixture:{sf_dir.rstrip('/')}:{fixture_state(spark, sf_dir)}"
         self._raw = raw
         key = f"{source_key}|{params.key()}|{_code_digest()}"
+        if holidays is not None:
+            days = holidays.select(F.col("day").cast("date").alias("day")).filter("day IS NOT NULL").distinct()
+            key += f"|holidays:{tuple(days.agg(F.count('day'), F.bit_xor(F.xxhash64('day'))).first())}"
         self.key = hashlib.sha1(key.encode()).hexdigest()[:16]
         self.root = f"{work_root(spark)}/{self.key}"
         self._cache: dict[str, DataFrame] = {}
@@ -166,12 +173,12 @@ class Study:
                            lambda _: clean_op.check_clean(seen), by_month=self.by_month)
 
     def prep_report(self) -> DataFrame:
-        return prep_op.prep_report(self.flights(), self.params)
+        return prep_op.prep_report(self.flights(), self.params, self.holidays)
 
     def model_table(self) -> DataFrame:
         def check(_df):
             prep_op.check_prep(self.prep_report().collect()[0], self.flights(), f"{self.root}/quarantine_model_table")
-        return self._stage("model_table", lambda: prep_op.model_table(self.flights(), self.params), check,
+        return self._stage("model_table", lambda: prep_op.model_table(self.flights(), self.params, self.holidays), check,
                            by_month=True)        # the clean table's files hold a month each
 
     def split_proof(self) -> DataFrame:
@@ -181,11 +188,17 @@ class Study:
         """The split is proved once per model table; its sides are windows of that table."""
         if "split" in self._cache:
             return
-        mt = self.model_table()
+        self.model_table()
         if not _exists(self.spark, self._marker("split")):
-            split_op.check_split(self.split_proof().collect()[0], self.params.split_date)
-            self._mark("split")
-        self._cache["split"] = mt
+            proof = self.split_proof().collect()[0]
+            split_op.check_split(proof, self.params.split_date)
+            self.spark.createDataFrame([proof], self.split_proof().schema).write.mode("overwrite").parquet(self._marker("split"))
+        self._cache["split"] = self.spark.read.parquet(self._marker("split"))
+
+    def train_rows(self) -> int:
+        """Rows of train, from the written proof of the split."""
+        self._split()
+        return self._cache["split"].first()["rows_before"]
 
     def _window(self, start: str | None, before: str | None) -> DataFrame:
         self.model_table()
@@ -203,7 +216,7 @@ class Study:
 
     def train_sample(self) -> DataFrame:
         return self._stage("train_sample", lambda: split_op.exact_sample(
-            self.train(), self.params.sample_size, self.params.sample_seed))
+            self.train(), self.params.sample_size, self.params.sample_seed, total=self.train_rows()))
 
     # -- months that are sent again ---------------------------------------------
     def reload_months(self, raw: DataFrame) -> list[tuple[int, int]]:
@@ -221,12 +234,12 @@ class Study:
         clean_op.check_clean(seen)
         new = months.read_months(self.spark, incoming, self._schemas["flights"])
         found = months.months_of(new)
-        prep_op.check_prep(prep_op.prep_report(new, self.params).collect()[0], new, f"{self.root}/quarantine_incoming")
+        prep_op.check_prep(prep_op.prep_report(new, self.params, self.holidays).collect()[0], new, f"{self.root}/quarantine_incoming")
         self._unmark("model_table", "split", "train_sample")
         months.replace_months(new, f"{self.root}/flights")
         self._cache.pop("flights", None)
         flights = months.read_months(self.spark, f"{self.root}/flights", self._schemas["flights"], months=found)
-        model = prep_op.model_table(flights, self.params)
+        model = prep_op.model_table(flights, self.params, self.holidays)
         months.replace_months(model, f"{self.root}/model_table")
         left = set(months.months_of(model))
         months.remove_months(self.spark, f"{self.root}/model_table", [m for m in found if m not in left])

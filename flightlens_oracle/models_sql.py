@@ -9,9 +9,8 @@
   metric recomputed from the SQL fit's own scores;
 * evaluation operators on the per-hour rate scorer: brute-force SQL.
 
-The inference logit is fitted on the seeded train sample; its SQL takes all of
-train, which is the same while train has at most ``sample_size`` rows, as at
-the shipped scales. The diagnostic and the 10,000-row sample are smaller than
+The inference logit is fitted on the seeded train sample, which its SQL draws by
+the same rule (at the shipped scales it is all of train). The diagnostic and the 10,000-row sample are smaller than
 their tables, and SQL repeats the choice.
 """
 
@@ -322,8 +321,8 @@ SELECT TRUE AS converged, {r6('(SELECT b FROM coefs WHERE i = 0)')} AS intercept
   {r6('(SELECT AVG(CASE WHEN is_delayed THEN 1.0 ELSE 0.0 END) FROM rvs)')} AS validation_delay_rate,
   (SELECT airline FROM rf GROUP BY airline ORDER BY COUNT(*) DESC, airline LIMIT 1) AS ref_airline,
   (SELECT ref FROM refap) AS ref_airport, dims.p - 1 AS n_features FROM dims""")
-    inference = with_(split_ctes(P), _risk_features() + ",\n"
-                      + logit_irls_sql("rf", "is_delayed", _risk_terms(), output="stats"))
+    inference = with_(split_ctes(P), _risk_features(sampled=True) + ",\n"
+                      + logit_irls_sql("rs", "is_delayed", _risk_terms(), output="stats"))
     return {"risk_fit_summary": fit.replace("WITH ", "WITH RECURSIVE ", 1),
             "risk_inference_summary": inference.replace("WITH ", "WITH RECURSIVE ", 1)}
 
@@ -382,8 +381,8 @@ def _headline_filter() -> str:
 
 def _odds_tables() -> dict[str, str]:
     from .ols_sql import logit_irls_sql
-    head = with_(split_ctes(P), _risk_features() + ",\n" + logit_irls_sql("rf", "is_delayed", _risk_terms(),
-                                                                          output="table"))
+    head = with_(split_ctes(P), _risk_features(sampled=True) + ",\n" + logit_irls_sql("rs", "is_delayed", _risk_terms(),
+                                                                                      output="table"))
     top = f""",
 top AS (SELECT *, ROW_NUMBER() OVER (ORDER BY abs(b_raw) DESC, term) AS rk FROM ctab
         WHERE term <> 'Intercept' ORDER BY rk LIMIT {C.TOP_COEFFICIENTS})"""
@@ -441,9 +440,9 @@ def _model_stats() -> str:
     return (f"SELECT 'M1' AS model, * FROM ({m1})\nUNION ALL\nSELECT 'M2', * FROM ({m2})")
 
 
-def _risk_features(fit_only: bool = False) -> str:
+def _risk_features(fit_only: bool = False, sampled: bool = False) -> str:
     """Train rows with the risk features; top-N sets and references from train.
-    With ``fit_only`` also ``rfit``: the rows before the fit cut-off."""
+    With ``fit_only`` also ``rfit``: the rows before the fit cut-off; with ``sampled`` also ``rs``: the seeded sample."""
     n = P.top_n_airports
     hb = ("CASE WHEN dep_hour <= 4 THEN 'red_eye' WHEN dep_hour <= 7 THEN 'early_morning' "
           "WHEN dep_hour <= 11 THEN 'morning' WHEN dep_hour <= 15 THEN 'midday' "
@@ -453,12 +452,14 @@ tor AS (SELECT origin, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, origin) AS rk
         ORDER BY rk LIMIT {n}),
 tde AS (SELECT dest FROM train GROUP BY dest ORDER BY COUNT(*) DESC, dest LIMIT {n}),
 refap AS (SELECT origin AS ref FROM tor WHERE origin IN (SELECT dest FROM tde) ORDER BY rk LIMIT 1),
-rf AS (SELECT is_delayed, {hb} AS dep_hour_bin, dow, holiday_flag, airline,
+rf AS ({(rows := f"""SELECT is_delayed, {hb} AS dep_hour_bin, dow, holiday_flag, airline,
               CASE WHEN origin IN (SELECT origin FROM tor) THEN origin ELSE 'OTHER' END AS origin_top,
               CASE WHEN dest IN (SELECT dest FROM tde) THEN dest ELSE 'OTHER' END AS dest_top,
               ln(distance) AS log_distance, flight_date
-       FROM train)""" + (f""",
-rfit AS (SELECT * FROM rf WHERE flight_date < {d(P.fit_cutoff)})""" if fit_only else "")
+       FROM """)}train)""" + (f""",
+rfit AS (SELECT * FROM rf WHERE flight_date < {d(P.fit_cutoff)})""" if fit_only else "") + (f""",
+drawn AS ({_sampled('train', P.sample_size, P.sample_seed)}),
+rs AS ({rows}drawn)""" if sampled else "")
 
 
 def _risk_terms() -> list[dict]:
@@ -616,11 +617,11 @@ def _risk_inference() -> str:
     """A level of the design without rows (only OTHER can be one) has no estimate: nulls."""
     from .ols_sql import logit_irls_sql
     unseen = " UNION ALL ".join(
-        f"SELECT 'C({c})[T.OTHER]' AS term WHERE NOT EXISTS (SELECT 1 FROM rf WHERE {c} = 'OTHER')"
+        f"SELECT 'C({c})[T.OTHER]' AS term WHERE NOT EXISTS (SELECT 1 FROM rs WHERE {c} = 'OTHER')"
         for c in ("origin_top", "dest_top"))
-    body = logit_irls_sql("rf", "is_delayed", _risk_terms()) + f"""
+    body = logit_irls_sql("rs", "is_delayed", _risk_terms()) + f"""
 UNION ALL SELECT term, NULL, NULL, NULL, NULL, NULL, {r6('1 - ll.llf / ll0.llnull')} FROM ({unseen}), ll, ll0"""
-    sql = with_(split_ctes(P), _risk_features() + ",\n" + body)
+    sql = with_(split_ctes(P), _risk_features(sampled=True) + ",\n" + body)
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
@@ -677,7 +678,6 @@ def models_sql() -> dict[str, str]:
         "train_sample_seeded": with_(split_ctes(P), "\n" + _sampled("train", 10_000, P.sample_seed)),
         **_risk_summaries(),
         **_odds_tables(),
-        # the inference logit is fit on the seeded sample = all of train at the checked scales
         "risk_inference_coefficients": _risk_inference(),
         "risk_coefficients": _risk_deploy(),
         **_risk_metric_sql(),

@@ -260,3 +260,28 @@ def test_diagnostic_sample_is_the_studys_and_its_choice_equals_sql(spark, monkey
     want = con.execute(models_sql._diagnostics("SELECT fitted, resid FROM dg")).fetchall()
     got = m.residuals_vs_fitted().collect()
     assert len(got) == 300 and np.allclose(sorted(map(tuple, got)), sorted(want), atol=1e-6)
+
+
+def test_inference_sql_draws_the_sample_of_the_study(spark, monkeypatch):
+    """A sample smaller than train: the query's fit and its SQL take the same rows."""
+    import duckdb
+    from fixture_paths import SF0001
+    from flightlens.params import FIXTURE
+    from flightlens.plans.models_registry import _round
+    from flightlens.plans.risk import Risk
+    from flightlens.plans.stages import Study
+    from flightlens.sources.fixture import FLIGHT_TABLES
+    from flightlens_oracle import models_sql
+    small = FIXTURE.with_(sample_size=2500)
+    monkeypatch.setattr(models_sql, "P", small)
+    con = duckdb.connect()
+    for t in FLIGHT_TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF0001}/{t}.parquet')")
+    study = Study(spark, small, sf_dir=SF0001)
+    assert study.train_sample().count() == 2500 < study.train().count()
+    fit = Risk(study).inference
+    want = {r[0]: r[1:3] for r in con.execute(f"SELECT term, coef, se FROM ({models_sql._risk_inference()})").fetchall()}
+    got = {r.term: (r.coef, r.se) for r in _round(fit.table(spark)).collect()}
+    assert set(got) == set(want)
+    for term, (b, se) in want.items():
+        assert b is None or (math.isclose(got[term][0], b, abs_tol=2e-6) and math.isclose(got[term][1], se, abs_tol=2e-6)), term

@@ -83,3 +83,20 @@ def test_exact_sample_does_not_depend_on_partitions(spark):
     tr = study_for(spark, SF0001).train()
     a, b = (sorted(map(tuple, S.exact_sample(tr.repartition(k), 300, 42).collect())) for k in (1, 9))
     assert a == b
+
+
+def test_known_row_count_gives_the_same_sample_in_one_scan(spark):
+    from flightlens.operators.split import exact_sample
+    from flightlens.plans.stages import study_for
+    st = study_for(spark, SF0001)
+    tr = st.train()
+    assert st.train_rows() == tr.count()
+    a, b = (sorted(map(repr, exact_sample(tr, 500, 42, total=t).collect())) for t in (None, st.train_rows()))
+    assert a == b and len(a) == 500
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("one-scan", "sample")
+    exact_sample(tr, 500, 42, total=st.train_rows()).write.format("noop").mode("overwrite").save()
+    known = len(tracker.getJobIdsForGroup("one-scan"))
+    spark.sparkContext.setJobGroup("two-scans", "sample")
+    exact_sample(tr, 500, 42).write.format("noop").mode("overwrite").save()
+    assert known < len(tracker.getJobIdsForGroup("two-scans"))

@@ -13,6 +13,7 @@ from flightlens.functions import columns as X
 from flightlens.operators import checks, intervals, levels
 from flightlens.params import FIXTURE
 from flightlens.plans.stages import study_for
+from flightlens.sources import fixture
 from flightlens.sources.sinks import publish_table
 
 DAY0 = dt.date(2023, 12, 20)
@@ -152,3 +153,17 @@ def test_a_table_of_its_own_is_not_replaced(spark):
         publish_table(spark.range(1), "own_table")
     assert spark.table("own_table").count() == 3
     spark.sql("DROP TABLE own_table")
+
+
+def test_study_with_a_table_of_holidays(spark):
+    import uuid
+    from flightlens.plans.stages import Study
+    raw = fixture.raw_flights(spark, SF0001).filter("FL_DATE < DATE'1997-01-01'")
+    key = uuid.uuid4().hex
+    table = spark.createDataFrame([(d,) for d in FIXTURE.holidays], "day string")
+    literal, from_table = (Study(spark, FIXTURE, raw=lambda: raw, source_key=key, holidays=h) for h in (None, table))
+    other = Study(spark, FIXTURE, raw=lambda: raw, source_key=key, holidays=table.limit(2))
+    assert len({literal.key, from_table.key, other.key}) == 3
+    assert sorted(map(repr, from_table.model_table().collect())) == sorted(map(repr, literal.model_table().collect()))
+    assert from_table.prep_report().collect() == literal.prep_report().collect()
+    assert 0 < other.model_table().filter("holiday_flag").count() < literal.model_table().filter("holiday_flag").count()
