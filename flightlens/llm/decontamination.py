@@ -4,10 +4,11 @@ Every task cuts its documents into shards of bounded size and builds a suffix
 array of each: the document positions whose suffix can match a test suffix far
 enough, sorted by the words that follow. Each test suffix is then looked up by
 binary search; the range it finds holds the places of all its verbatim matches
-of at least a window (or of the whole item, if that is shorter). The union of
-these places are the hit words. A span is such a union: hits that overlap or
-abut join, also hits of several items, so a span need not stand in any one
-item as a whole, and its item and place in the item are not kept.
+of at least a window (or of the whole item, if that is shorter). Matches that go
+on from one test suffix to the next, in the document and in the item alike, are
+one: so each match is as long as it can be, and is given with its item, its place
+in the item and its place in the document (``matches``). The union of the matched
+places are the hit words (``spans``).
 
 Positions are left out of a suffix array only if no test suffix can match
 there for a whole window: a word pair must occur in the benchmark to be part
@@ -15,13 +16,16 @@ of a match, so a run of such pairs has to be long enough.
 
 The benchmark is a query set read in blocks of ``BLOCK_BYTES``; a block, and
 nothing that grows with the corpus, is sent to the tasks. Documents are not
-shuffled if there is one block; with more, the places found by each block are
-united per document.
+shuffled if there is one block; with more, they are written once with a row
+number, read once per block, and the places found by each block are united per
+row.
 
 Defined cases: null or empty document: no words, no hits, not contaminated;
 null or empty item: no window; a null item id counts as the empty string;
-items with one id are one item; repeated rows are judged one by one; extra
-columns are ignored unless carried.
+items with one id are one item, but places are those in its own text, and the
+same place of two texts is given once; repeated rows are judged one by one; a
+very long text is a shard of its own; an empty table of documents gives no rows,
+an empty benchmark hits nothing; extra columns are ignored unless carried.
 """
 
 from __future__ import annotations
@@ -58,14 +62,14 @@ class TestBlock:
     def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        found: dict[tuple[int, ...], set[tuple[str, int]]] = {}
         for item, data in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(data)]
             if ids:
                 for p in range(max(1, len(ids) - window + 1)):
-                    found.setdefault(tuple(ids[p:p + window]), set()).add(item)
+                    found.setdefault(tuple(ids[p:p + window]), set()).add((item, p))
         windows = list(found)
-        self.items = [sorted(found[w]) for w in windows]
+        self.places = [sorted(found[w]) for w in windows]      # (item, place in it) of each window
         self.length = np.array([len(w) for w in windows], dtype=np.int64)
         self.low = self._keys([w + (0,) * (window - len(w)) for w in windows])
         self.high = self._keys([w + (0xFFFFFFFF,) * (window - len(w)) for w in windows])
@@ -129,7 +133,7 @@ def _scan(block, carry: list[str]):
             which, place = test.search(np.concatenate(ids))
             rows = len(first) - 1
             spans: list[list[dict]] = [[] for _ in range(rows)]
-            items: list[list[str]] = [[] for _ in range(rows)]
+            matches: list[list[dict]] = [[] for _ in range(rows)]
             order = np.argsort(place, kind="stable")
             which, place = which[order], place[order]
             row = np.searchsorted(first, place, side="right") - 1
@@ -137,15 +141,37 @@ def _scan(block, carry: list[str]):
                 mine = slice(*np.searchsorted(row, [r, r + 1]))
                 start = place[mine] - first[r]
                 spans[r] = _join(start, start + test.length[which[mine]])
-                items[r] = sorted({i for w in set(which[mine].tolist()) for i in test.items[w]})
+                matches[r] = _longest(test, which[mine].tolist(), start.tolist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in carry] + [pa.array(np.diff(first) - 1),
-                                                    pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))],
-                [*carry, "n_words", "spans", "items"])
+                                                    pa.array(spans, _SPANS), pa.array(matches, _MATCHES)],
+                [*carry, "n_words", "spans", "matches"])
     return run
 
 
 _SPANS = pa.list_(pa.struct([("at", pa.int64()), ("length", pa.int64())]))
+_MATCHES = pa.list_(pa.struct([("item", pa.string()), ("item_at", pa.int64()), ("at", pa.int64()), ("length", pa.int64())]))
+_FOUND = ("n_words long, spans array<struct<at: long, length: long>>, "
+          "matches array<struct<item: string, item_at: long, at: long, length: long>>")
+
+
+def _longest(test: TestBlock, which: list[int], start: list[int]) -> list[dict]:
+    """Matches of one document as long as they can be, from the windows found at ascending places."""
+    begun: dict[tuple[str, int, int], list[int]] = {}     # (item, place - place in the item, size): [from, to] in the document
+    out: list[tuple[str, int, int, int]] = []
+    for w, at in zip(which, start):
+        size = int(test.length[w])
+        for item, item_at in test.places[w]:
+            key = (item, at - item_at, size)
+            run = begun.get(key)
+            if run and run[1] == at - 1:
+                run[1] = at
+            else:
+                if run:
+                    out.append((item, run[0] - key[1], run[0], run[1] - run[0] + size))
+                begun[key] = [at, at]
+    out += [(item, a - shift, a, b - a + size) for (item, shift, size), (a, b) in begun.items()]
+    return [{"item": i, "item_at": p, "at": a, "length": n} for i, p, a, n in sorted(out)]
 
 
 def _join(start: np.ndarray, end: np.ndarray) -> list[dict]:
@@ -159,28 +185,27 @@ def _join(start: np.ndarray, end: np.ndarray) -> list[dict]:
 def _unite(carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, items = [], []
-            for found, names in zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist()):
+            spans, matches = [], []
+            for found, more in zip(batch.column("spans").to_pylist(), batch.column("matches").to_pylist()):
                 flat = sorted((s["at"], s["at"] + s["length"]) for part in found for s in part)
                 a = np.array(flat, dtype=np.int64).reshape(-1, 2)
                 spans.append(_join(a[:, 0], a[:, 1]) if flat else [])
-                items.append(sorted({x for part in names for x in part}))
+                matches.append(sorted((m for part in more for m in part), key=lambda m: tuple(m.values())))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in carry] + [batch.column("n_words"), pa.array(spans, _SPANS),
-                                                    pa.array(items, pa.list_(pa.string()))],
-                [*carry, "n_words", "spans", "items"])
+                [batch.column(c) for c in carry] + [batch.column("n_words"), pa.array(spans, _SPANS), pa.array(matches, _MATCHES)],
+                [*carry, "n_words", "spans", "matches"])
     return run
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        item_col: str = "item_id", item_text: str = "text", window: int = WINDOW,
                        block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, *carry, n_words, spans, items, n_hit, contaminated``, a row per input row.
+    """``doc_id, *carry, n_words, spans, matches, items, n_hit, contaminated``, a row per input row.
 
-    ``spans``: the union of the places where windows match the benchmark verbatim
-    (place and length in words); ``items``: the items found, sorted as strings.
+    ``matches``: the longest verbatim matches, each with its item, its place in the item, its place in the document and
+    its length, in words; ``spans``: the union of their places; ``items``: the items found, sorted as strings.
     """
-    if clash := {"doc_id", "n_words", "spans", "items", "n_hit", "contaminated", "data", "row"} & set(carry):
+    if clash := {"doc_id", "n_words", "spans", "matches", "items", "n_hit", "contaminated", "data", "row"} & set(carry):
         raise ValueError(f"carried columns clash with result columns: {sorted(clash)}")
     spark = docs.sparkSession
     prepare(spark)
@@ -191,11 +216,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("data"), *carry)
     keep = ["doc_id", *carry]
     if blocks > 1:
-        source = source.withColumn("row", F.xxhash64(*[c for c, t in source.dtypes if not t.startswith("map")]))
+        source = staged(source.withColumn("row", F.monotonically_increasing_id()))      # numbers are fixed by the write
         keep.append("row")
     kinds = dict(source.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + \
-        ", n_words long, spans array<struct<at: long, length: long>>, items array<string>"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", {_FOUND}"
     found, more = None, None
     for b in range(blocks):
         mine = test if blocks == 1 else test.filter(F.pmod(F.xxhash64("item", "data"), F.lit(blocks)) == b)
@@ -205,19 +229,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         if found is None:
             found = part
         else:
-            part = part.filter("size(items) > 0").select("row", "spans", "items")
+            part = part.filter("size(matches) > 0").select("row", "spans", "matches")
             more = part if more is None else more.unionByName(part)
-    if more is not None:                     # rows that are alike have alike places, so uniting them changes nothing
+    if more is not None:
         more = staged(more.groupBy("row").agg(F.collect_list("spans").alias("more_spans"),
-                                              F.collect_list("items").alias("more_items")))
+                                              F.collect_list("matches").alias("more_matches")))
         found = (found.join(more, "row", "left")
                  .withColumn("spans", F.concat(F.array("spans"), F.coalesce("more_spans", F.array())))
-                 .withColumn("items", F.concat(F.array("items"), F.coalesce("more_items", F.array())))
-                 .select(*keep, "n_words", "spans", "items").mapInArrow(_unite(keep), schema))
+                 .withColumn("matches", F.concat(F.array("matches"), F.coalesce("more_matches", F.array())))
+                 .select(*keep, "n_words", "spans", "matches").mapInArrow(_unite(keep), schema))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
-    return (found.withColumn("n_hit", hit)
+    return (found.withColumn("n_hit", hit).withColumn("items", F.array_sort(F.array_distinct("matches.item")))
             .withColumn("contaminated", F.expr(f"n_hit > 0 AND {SHARE} * n_hit >= n_words"))
-            .select("doc_id", *carry, "n_words", "spans", "items", "n_hit", "contaminated"))
+            .select("doc_id", *carry, "n_words", "spans", "matches", "items", "n_hit", "contaminated"))
 
 
 def digest(result: DataFrame) -> DataFrame:
@@ -225,6 +249,24 @@ def digest(result: DataFrame) -> DataFrame:
                          F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def brute_force_matches(text: str | None, items, window: int = WINDOW) -> set[tuple[str, int, int, int]]:
+    """(item, place in it, place in the text, length) of the longest matches, word by word (for tests)."""
+    words, out = words_of((text or "").encode()), set()
+    for item, other in items:
+        w = words_of((other or "").encode())
+        least = min(window, len(w))
+        for p in range(len(w)):
+            for q in range(len(words)):
+                if (p and q and w[p - 1] == words[q - 1]) or w[p] != words[q]:
+                    continue
+                n = 0
+                while p + n < len(w) and q + n < len(words) and w[p + n] == words[q + n]:
+                    n += 1
+                if n >= least:
+                    out.add(("" if item is None else str(item), p, q, n))
+    return out
+
+
 def brute_force(rows, items, window: int = WINDOW) -> list[tuple]:
     """The same digest computed naively on small lists (for tests)."""
     windows: dict[tuple, set[str]] = {}

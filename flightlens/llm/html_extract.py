@@ -28,7 +28,11 @@ Defined cases: null or empty html: empty text; a null url belongs to the host
 without a name; a page that does not match its host's expressions down to the
 main text is read by the same label rules alone, and so is what lies below a
 node of the main text whose children do not match; repeated rows are extracted
-alike.
+alike; of parts with equal mass the one with the larger label leads to the main
+text; elements nested deeper than ``DEEPEST`` lie beside each other, with all
+their text; a very long page is read whole by one task, in linear time, also if
+its tags or quotes never end; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -56,16 +60,20 @@ SKIP_TAGS = frozenset("nav footer aside form script style noscript template ifra
 SKIP_CLASSES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored banner promo sidebar aside menu nav "
                          "navigation navbar breadcrumb breadcrumbs header footer masthead notice notices cookie cookies consent "
                          "comment comments reply replies discussion disqus share sharing social related newsletter subscribe "
-                         "popup modal widget toolbar pagination pager".split())
-BOX_WORDS = frozenset("site main top primary secondary mobile list item items box block bar slot unit buttons links form".split())
+                         "popup modal widget toolbar topbar cookiebar adsbygoogle respond pagination pager foot".split())
+BOX_WORDS = frozenset("site main top primary secondary mobile list item items box block bar slot unit buttons links form "
+                      "user users reader readers visitor guest google area section wrapper container".split())
 OTHERS = frozenset("comment comments reply replies discussion disqus related".split())
 PAGE_TAGS = frozenset("#page html body main article".split())     # never left out for their names
 CONSTANT_PAGES = 5             # a slot with one text on so many pages of different text, at least, is template
 DEEPEST = 200                  # elements nested deeper lie beside each other in the last one that counts
 MANY_LABELS = 64               # labels of one tag under a node before they are told apart by the tag alone
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/><]*")
+_KEY = re.compile(r"[\s/]*([^\s=/><]*)\s*(=?)\s*")
+_VALUE = re.compile(r"[^\s><]*")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+_NAMES = frozenset(("class", "id", "role"))
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -77,22 +85,73 @@ class Node:
         self.items: list = []          # child nodes and strings
 
 
+class _Reader:
+    """Reads tags of a page, each character once: a tag ends at ``>``, or before a ``<`` that no quotes hold.
+
+    A value is quoted only by a quote right behind its ``=``; a quote that is
+    never closed is part of the value.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.open_from = {'"': len(page), "'": len(page)}      # where the search for such a quote has found no other
+
+    def comment(self, at: int) -> int:
+        """The end of a comment, declaration or instruction."""
+        mark = "-->" if self.page.startswith("<!--", at) else ">"
+        end = self.page.find(mark, at + (4 if mark == "-->" else 2))
+        return len(self.page) if end < 0 else end + len(mark)
+
+    def attributes(self, at: int) -> tuple[list[tuple[str, str]], bool, int]:
+        """(names and values of class, id and role; closed by ``/>``; end) of the tag whose name ends at ``at``."""
+        page, n, found = self.page, len(self.page), []
+        while at < n:
+            if page[at] == ">":
+                return found, page[at - 1] == "/", at + 1
+            if page[at] == "<":
+                return found, False, at
+            m = _KEY.match(page, at)
+            key, at = m.group(1), m.end()
+            if not m.group(2):
+                continue
+            quote, end = page[at:at + 1], -1
+            if quote and quote in self.open_from and at < self.open_from[quote]:
+                end = page.find(quote, at + 1)
+                if end < 0:
+                    self.open_from[quote] = at
+            if end >= 0:
+                value, at = page[at + 1:end], end + 1
+            else:
+                v = _VALUE.match(page, at)
+                value, at = v.group(), v.end()
+            if key.lower() in _NAMES:
+                found.append((key, value))
+        return found, False, n
+
+
 def parse(page: str) -> Node:
-    """A lenient tree; unclosed paragraphs and list items end where the next block begins."""
-    root = Node("#page", "#page", False)
+    """A lenient tree, in linear time; unclosed paragraphs and list items end where the next block begins."""
+    root, read = Node("#page", "#page", False), _Reader(page)
     stack, at, n = [root], 0, len(page)
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        mark = page.find("<", at)
+        if mark < 0:
             stack[-1].items.append(page[at:])
             break
-        if m.start() > at:
-            stack[-1].items.append(page[at:m.start()])
-        at = m.end()
-        tag = (m.group(2) or "").lower()
-        if not tag:
+        if mark > at:
+            stack[-1].items.append(page[at:mark])
+        closing = page.startswith("</", mark)
+        name = _NAME.match(page, mark + 1 + closing)
+        if not name:
+            if page[mark + 1:mark + 2] in ("!", "?") or closing:
+                at = read.comment(mark)
+            else:                                          # a character, not a tag
+                stack[-1].items.append("<")
+                at = mark + 1
             continue
-        if m.group(1):
+        tag = name.group().lower()
+        names, alone, at = read.attributes(name.end())
+        if closing:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     del stack[k:]
@@ -102,14 +161,13 @@ def parse(page: str) -> Node:
             _close(stack, "p")
         if tag == "li":
             _close(stack, "li", "ul", "ol")
-        node = _node(tag, m.group(3))
+        node = _node(tag, names)
         stack[-1].items.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            end = _RAW_END[tag].search(page, at)
             node.items.append(page[at:end.start() if end else n])
-            at = end.end() if end else n
-        elif tag not in VOID and not m.group(3).endswith("/") and (
-                len(stack) < DEEPEST or node.skip and not stack[-1].skip):
+            at = read.attributes(end.end())[2] if end else n
+        elif tag not in VOID and not alone and (len(stack) < DEEPEST or node.skip and not stack[-1].skip):
             stack.append(node)
     return root
 
@@ -123,15 +181,14 @@ def _close(stack: list[Node], tag: str, *within: str) -> None:
             return
 
 
-def _node(tag: str, attributes: str) -> Node:
+def _node(tag: str, names: list[tuple[str, str]]) -> Node:
     """The label holds the words of class, id and role; ``!`` at its end marks names that are left out."""
     words: set[str] = set()
     skip = False
-    if "=" in attributes:
-        for key, value in _ATTRIBUTE.findall(attributes):
-            for token in value.lower().strip("\"'").split():
-                words.update(found := _WORDS.findall(token))
-                skip = skip or _skip_name(token, found)
+    for _, value in names:
+        for token in value.lower().split():
+            words.update(found := _WORDS.findall(token))
+            skip = skip or _skip_name(token, found)
     skip = skip and tag not in PAGE_TAGS
     label = f"{tag}.{'.'.join(sorted(words))}" if words else tag
     return Node(f"{label}!" if skip else label, tag, skip or tag in SKIP_TAGS)
@@ -150,35 +207,26 @@ def infer(node: Node) -> dict:
     kids: dict[str, dict] = {}
     order: list[str] = []
     own: list[str] = []
+    text = xxhash.xxh64()           # of the node's strings and its children's texts, each part once
     for item in node.items:
         if isinstance(item, str):
             own.append(item)
+            if words := item.split():
+                text.update("\0".join(["", *words]).encode("utf-8", "surrogatepass"))
             continue
         if item.tag in RAW or item.tag in VOID:
+            for part in item.items:
+                text.update(part.encode("utf-8", "surrogatepass"))
             continue
         w = infer(item)
+        text.update(w["text"].encode())
         if item.label in kids:
             _merge_into(kids[item.label], w, same_page=True)
         else:
             kids[item.label] = w
         order.append(item.label)
-    text = " ".join("".join(own).split())
-    # text below inline children belongs to the slot too, so a slot's text is the whole block's
-    return {"n": 1, "mass": len(text), "text": xxhash.xxh64_hexdigest(_all_text(node).encode()),
-            "groups": _fold([[[label, False]] for label in order]), "kids": kids}
-
-
-def _all_text(node: Node) -> str:
-    out: list[str] = []
-    todo = [node]
-    while todo:
-        x = todo.pop()
-        for item in reversed(x.items):
-            if not isinstance(item, str):
-                todo.append(item)
-            else:
-                out.append(item)
-    return " ".join(" ".join(out).split())
+    return {"n": 1, "mass": len(" ".join("".join(own).split())), "text": text.hexdigest(),
+            "groups": _fold([[label, False] for label in order]), "kids": kids}
 
 
 def text_digest(root: Node) -> bytes:
@@ -197,26 +245,32 @@ def text_digest(root: Node) -> bytes:
     return b"" if blank else h.digest()
 
 
-def _fold(steps: list) -> list:
-    """Groups in which no label stands twice: a stretch between two equal labels becomes a repeated group."""
+def _fold(steps: list[tuple[str, bool]]) -> list:
+    """Groups in which no label stands twice: a stretch between two equal labels becomes a repeated group.
+
+    A group is folded into once and then only added to, so a page's children take linear time.
+    """
     out: list[list] = []                 # [labels: {label: optional}, repeated]
-    for step in steps:
-        labels = {label: optional for label, optional in step[:1 << 30] if isinstance(label, str)}
-        repeated = bool(step and isinstance(step[-1], bool) and step[-1])
-        first = next((i for i, g in enumerate(out) if g[0].keys() & labels.keys()), None)
+    where: dict[str, int] = {}           # a label's group
+    loose: set[int] = set()              # groups whose labels are all optional
+    for label, optional in steps:
+        first = where.get(label)
         if first is None:
-            out.append([labels, repeated])
+            where[label] = len(out)
+            out.append([{label: optional}, False])
+            continue
+        group = out[first][0]
+        out[first][1] = True
+        if first == len(out) - 1 and len(group) == 1:
             continue
-        alone = len(out) == first + 1 and out[first][0].keys() == labels.keys()
-        merged: dict[str, bool] = {}
-        for g in out[first:]:
-            for label, optional in g[0].items():
-                merged[label] = merged.get(label, False) or optional or not alone
-        for label, optional in labels.items():
-            merged[label] = merged.get(label, False) or optional or not alone
-        if len(merged) == 1:
-            merged = {label: out[first][0].get(label, False) for label in merged}
-        out[first:] = [[merged, True]]
+        if first not in loose:
+            group.update(dict.fromkeys(group, True))
+            loose.add(first)
+        while len(out) > first + 1:
+            taken = out.pop()[0]
+            loose.discard(len(out))
+            group.update(dict.fromkeys(taken, True))
+            where.update(dict.fromkeys(taken, first))
     return out
 
 

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from flightlens.llm import chat_format, packing, quality, simhash_dedup, token_counts
+from flightlens.llm import chat_format, decontamination, html_extract, packing, quality, simhash_dedup, token_counts
 from flightlens.llm.components import components
 from flightlens.llm.runtime import table
 from llm_same import same
@@ -123,3 +123,72 @@ def test_near_duplicates_carry_columns(spark, edge_docs, edge_rows):
     assert got.columns == ["doc_id", "key", "spans", "bits", "component_id"] and got.count() == len(edge_rows)
     with pytest.raises(ValueError):
         simhash_dedup.near_duplicates(edge_docs.withColumn("bits", edge_docs.kept), carry=("bits",))
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=25).map(" ".join), min_size=1, max_size=5),
+       st.lists(st.tuples(st.sampled_from([1, 2, None]), st.lists(st.sampled_from("abc"), max_size=12).map(" ".join)), max_size=5),
+       st.sampled_from([30, 1 << 20]))
+def test_longest_matches_and_their_places(spark, texts, items, block_bytes):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:1])], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.find_contamination(docs, bench, window=5, block_bytes=block_bytes).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        text = (texts + texts[:1])[r.doc_id]
+        found = {(m["item"], m["item_at"], m["at"], m["length"]) for m in r.matches}
+        assert found == decontamination.brute_force_matches(text, items, 5) and len(found) == len(r.matches)
+        assert r.items == sorted({m[0] for m in found})
+        assert sum(s["length"] for s in r.spans) == r.n_hit == len({p for _, _, a, n in found for p in range(a, a + n)})
+
+
+def test_repeated_rows_of_many_blocks_keep_their_hits(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text)] * 5 + [(2, None)] * 3, "doc_id long, text string").repartition(4)
+    items = [(i, " ".join(f"w{j}" for j in range(i, i + 20))) for i in range(0, 40, 4)]
+    got = decontamination.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string"), block_bytes=100).collect()
+    assert len(got) == 8
+    for r in got:
+        assert len(r.matches) == (10 if r.doc_id == 1 else 0) and r.n_hit == (56 if r.doc_id == 1 else 0)
+
+
+def _read(page):
+    root = html_extract.parse(page)
+    return html_extract.extract(root, html_extract.infer(root))
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<article><p title=it's>Hello <b>world</b></p><p>it's nice</p><p>end</p></article>", "Hello world\n\nit's nice\n\nend"),
+    ("<article><p it's>Hello</article>", "Hello"),
+    ("<article><p>a</p><div class='user-comments'>c</div><div id=respond>r</div><div class=cookiebar>k</div>"
+     "<ins class=adsbygoogle>x</ins><p>b</article>", "a\n\nb"),
+    ("<div class=topbar>menu</div><p>text text text</p><div class=foot>f</div>", "text text text"),
+    ("<article>1 < 2 <3 <p class='x>y'>q</p><p\nclass = \"a\">w</article>", "1 < 2 <3\n\nq\n\nw"),
+    ("<p title=\"never closed>Hello <b>x</b></p><p>it's</p>", "Hello x\n\nit's"),
+    ("<script>a</scripts>b</script foo>c<style>p</style\n>d", "c\n\nd")])
+def test_html_tags_quotes_and_names(page, text):
+    assert _read(page) == text
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a x=\"", "<a x='y ", "<", "</script ", "<p a=b ", "<!--", "<div>", "<title></title  ", "<p a   ",
+                                  "<b><p>", "<!", "</", "<p class=a>"])
+def test_html_of_a_megabyte_that_never_ends(part):
+    import time
+    begun = time.process_time()
+    html_extract.parse(part * ((1 << 20) // len(part)))
+    assert time.process_time() - begun < 5          # about one second; a quadratic reader takes minutes to hours
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<b>", "</b>", "<div class=x>", "</div>", "<br>", "<li>", "<ul>", "<a href=\"it's\">", "</a>",
+                                 "<p title=it's>", "<i x=y/>", "<h1 id='a>b'>", "one", "two", "&lt;", " "]), max_size=25))
+def test_html_keeps_all_words_between_tags(parts):
+    words = "".join(p for p in parts if not p.startswith("<")).replace("&lt;", "<").replace(" ", "")
+    assert "".join(_read("".join(parts)).split()) == words
+
+
+def test_html_folds_as_before():
+    groups = html_extract._fold([(x, False) for x in "abcadce"])
+    assert groups == [[{"a": True, "b": True, "c": True, "d": True}, True], [{"e": False}, False]]
+    assert html_extract._fold([(x, False) for x in "aab"]) == [[{"a": False}, True], [{"b": False}, False]]
+    assert sum(len(g[0]) for g in html_extract._fold([(f"x{i % 30_000}", False) for i in range(200_000)])) == 30_000
