@@ -3,7 +3,12 @@
 DataFrame and SQL functions and Spark ML only; no Python runs on an executor.
 The trees are trained on a bounded sample of labelled URLs (``TRAIN_ROWS``,
 the rows with the smallest hashes, so the sample is the same on every run);
-suffix statistics are counted over all labelled URLs. Every URL is judged.
+suffix statistics are counted over all labelled URLs. A URL that is trained on
+gets its suffix's statistics from the other folds only (all URLs of a host are
+in one), so its own label is not among its features. Every split chooses from a
+third of the features, so no feature that alone tells the training labels apart
+carries the trees alone. ``UrlModel.report`` gives the importances and the
+accuracy and ROC area on hosts held out. Every URL is judged.
 
 Labelled URLs are an input (``url, bad``). Where a corpus has none,
 ``label_by_words`` labels URLs by words of the host's parts, as a start: the
@@ -13,13 +18,16 @@ what such URLs look like.
 Defined cases: a null URL or one without ``://`` has empty host and path, fits
 no rule, and is judged on its (empty) features; without labelled URLs of both
 kinds there is nothing to learn and every URL gets the labels' own verdict
-(allow if there are none); repeated rows are judged alike; extra columns are
-ignored unless carried.
+(allow if there are none); a score at the threshold blocks; repeated rows are
+judged alike; a very long URL is judged whole (its entropy takes a pass per
+distinct character); an empty table gives no rows; extra columns are ignored
+unless carried.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -32,6 +40,8 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"),
 BLOCK_WORDS = ("adult", "bets", "casino", "pills", "spam", "track")
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.5
+FOLDS = 5
+SMOOTH = 10.0                  # rows of the overall rate that a suffix's rate is mixed with
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -101,32 +111,57 @@ def label_by_words(urls: DataFrame, words: tuple[str, ...] = BLOCK_WORDS) -> Dat
     return urls.select("url", F.arrays_overlap(parts, F.array(*map(F.lit, words))).alias("bad"))
 
 
+def _fold(host: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), host), F.lit(FOLDS)).cast("int")
+
+
 class UrlModel:
     """Trees and suffix statistics; ``score`` adds the probability that a URL is bad."""
 
-    def __init__(self, labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = 12, depth: int = 4):
+    def __init__(self, labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = 20, depth: int = 5):
         known = (labelled.filter("bad IS NOT NULL").select("url", F.col("bad").cast("int").cast("double").alias("bad"))
                  .withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}))
-        known = lexical(known)
+        known = lexical(known).withColumn("fold", _fold(F.col("host")))
         self.all = known.agg(F.coalesce(F.avg("bad"), F.lit(0.0))).first()[0]
-        self.suffixes = staged(known.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")))
+        self.by_fold = staged(known.groupBy("suffix", "fold").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")))
+        self.suffixes = staged(self.by_fold.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")))
         self.model = None
         if not 0.0 < self.all < 1.0:
             return
         # both kinds in equal number, as far as there are; ordered by a hash and the URL
         def some(kind: int) -> DataFrame:
             return known.filter(F.col("bad") == kind).orderBy(F.xxhash64("url"), "url").limit(rows // 2)
-        train = staged(self._features(some(0).unionByName(some(1))))
-        self.model = GBTClassifier(featuresCol="features", labelCol="bad", maxIter=trees, maxDepth=depth,
-                                   maxBins=32, seed=7, cacheNodeIds=False).fit(train)
+        self.train = staged(self._features(some(0).unionByName(some(1)), out_of_fold=True))
+        self.trees = GBTClassifier(featuresCol="features", labelCol="bad", maxIter=trees, maxDepth=depth, maxBins=32,
+                                   featureSubsetStrategy="onethird", seed=7, cacheNodeIds=False)
+        self.model = self.trees.fit(self.train)
 
-    def _features(self, df: DataFrame) -> DataFrame:
+    def _features(self, df: DataFrame, out_of_fold: bool = False) -> DataFrame:
+        """The feature vector; ``out_of_fold``: with the statistics of a suffix's other folds, for rows that are learnt from."""
         stats = self.suffixes.select(F.col("suffix").alias("of"), F.col("bad").alias("bad_here"), "n")
-        smooth = 10.0
-        df = df.join(stats, F.col("suffix") == F.col("of"), "left").withColumns({
-            "f_suffix_bad": (F.coalesce("bad_here", F.lit(0.0)) + smooth * self.all) / (F.coalesce("n", F.lit(0)) + smooth),
-            "f_suffix_rows": F.log1p(F.coalesce(F.col("n"), F.lit(0)).cast("double"))}).drop("of", "bad_here", "n")
-        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df)
+        df = df.join(stats, F.col("suffix") == F.col("of"), "left")
+        bad, n = F.coalesce("bad_here", F.lit(0.0)), F.coalesce("n", F.lit(0))
+        if out_of_fold:
+            own = self.by_fold.select(F.col("suffix").alias("of_own"), F.col("fold").alias("fold_own"), F.col("bad").alias("bad_own"),
+                                      F.col("n").alias("n_own"))
+            df = df.join(own, (F.col("suffix") == F.col("of_own")) & (F.col("fold") == F.col("fold_own")), "left")
+            bad, n = bad - F.coalesce("bad_own", F.lit(0.0)), n - F.coalesce("n_own", F.lit(0))
+        df = df.withColumns({"f_suffix_bad": (bad + SMOOTH * self.all) / (n + SMOOTH), "f_suffix_rows": F.log1p(n.cast("double"))})
+        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
+            df.drop("of", "bad_here", "n", "of_own", "fold_own", "bad_own", "n_own"))
+
+    def report(self) -> dict:
+        """``importance`` per feature of the fitted trees; ``accuracy`` and ``roc_area`` of trees that were fitted without the
+        last fold of the training rows, on that fold."""
+        if self.model is None:
+            return {"importance": {}, "accuracy": None, "roc_area": None}
+        held = self.train.filter(F.col("fold") == FOLDS - 1)
+        if held.select("bad").distinct().count() < 2:
+            return {"importance": dict(zip(FEATURES, self.model.featureImportances.toArray().tolist())), "accuracy": None, "roc_area": None}
+        scored = self.trees.fit(self.train.filter(F.col("fold") < FOLDS - 1)).transform(held)
+        area = BinaryClassificationEvaluator(labelCol="bad", rawPredictionCol="rawPrediction").evaluate(scored)
+        right = scored.agg(F.avg((F.col("prediction") == F.col("bad")).cast("double"))).first()[0]
+        return {"importance": dict(zip(FEATURES, self.model.featureImportances.toArray().tolist())), "accuracy": right, "roc_area": area}
 
     def score(self, df: DataFrame) -> DataFrame:
         """``df`` has ``url, host, path``; adds ``bad_score``."""

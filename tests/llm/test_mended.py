@@ -9,8 +9,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from flightlens.llm import chat_format, decontamination, html_extract, packing, quality, simhash_dedup, token_counts
+from flightlens.llm import chat_format, decontamination, html_extract, packing, quality, simhash_dedup, token_counts, url_filter
 from flightlens.llm.components import components
+from flightlens.llm.queries import QUERIES
 from flightlens.llm.runtime import table
 from llm_same import same
 
@@ -192,3 +193,37 @@ def test_html_folds_as_before():
     assert groups == [[{"a": True, "b": True, "c": True, "d": True}, True], [{"e": False}, False]]
     assert html_extract._fold([(x, False) for x in "aab"]) == [[{"a": False}, True], [{"b": False}, False]]
     assert sum(len(g[0]) for g in html_extract._fold([(f"x{i % 30_000}", False) for i in range(200_000)])) == 30_000
+
+
+def test_url_trees_use_several_features_and_hold_hosts_out(spark):
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    model = url_filter.UrlModel(url_filter.label_by_words(pages))
+    told = model.report()
+    assert sum(v > 0 for v in told["importance"].values()) >= 5 and abs(sum(told["importance"].values()) - 1) < 1e-6
+    assert told["accuracy"] is None or told["accuracy"] > 0.9 and told["roc_area"] > 0.9
+    verdicts = {r.page_id: r for r in QUERIES["op5_url_filter"](spark, "/root/testdata/sf0.01").collect()}
+    assert len(verdicts) == pages.count()
+    by_score = url_filter.judge(pages, url_filter.label_by_words(pages)).filter("rule IS NULL").collect()
+    assert all(verdicts[r.page_id].verdict == ("block" if r.bad_score >= url_filter.THRESHOLD else "allow") for r in by_score)
+    assert {r.verdict for r in by_score} == {"block", "allow"}
+
+
+def test_url_suffix_statistics_leave_the_own_fold_out(spark):
+    rows = [(f"http://a{i}.one.test/{j}", i % 2 == 0) for i in range(20) for j in range(5)]
+    model = url_filter.UrlModel(spark.createDataFrame(rows, "url string, bad boolean"))
+    folds = {r.fold: (r.bad, r.n) for r in model.by_fold.filter("suffix = 'one.test'").collect()}
+    total = [sum(x) for x in zip(*folds.values())]
+    for r in model.train.collect():
+        bad, n = total[0] - folds[r.fold][0], total[1] - folds[r.fold][1]
+        assert abs(r.f_suffix_bad - (bad + url_filter.SMOOTH * model.all) / (n + url_filter.SMOOTH)) < 1e-12
+
+
+def test_url_extra_columns_and_very_long_urls(spark):
+    long = "http://" + "a" * 50_000 + ".example.org/" + "x/" * 50_000
+    pages = spark.createDataFrame([(1, long, 5, "h"), (2, None, 6, "i")], "page_id long, url string, suffix int, fold string")
+    got = {r.page_id: r for r in url_filter.judge(pages, pages.selectExpr("url", "false AS bad"), carry=("fold",)).collect()}
+    assert got[1].path == "/" + "x/" * 50_000 and got[2].verdict == "allow" and got[2].fold == "i"
+    with pytest.raises(ValueError):
+        url_filter.judge(pages, pages.selectExpr("url", "false AS bad"), carry=("suffix",))
+    assert {x.page_id: x.text for x in html_extract.extract_text(pages.selectExpr("page_id", "url", "'<p>t' AS html", "suffix AS digest",
+                                                                                  "fold AS wrapper")).collect()} == {1: "t", 2: "t"}
