@@ -145,6 +145,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("data"),
                          F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("key"),
                          *carry)
+    # a row is its id and the hash of its text: rows that are alike in both are one document
+    row = ["doc_id", "key"]
     known = source.filter("doc_id IS NOT NULL AND data IS NOT NULL")
     found = staged(known.select("doc_id", "data", "key")
                    .mapInArrow(_parse(width), "name long, doc_id long, key long, span long"))
@@ -152,29 +154,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = known.select("doc_id", "key", F.md5("data").alias("whole"))
     first = staged(whole.groupBy("whole").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
                    .filter("lo < hi").select("whole", "lo"))
-    copies = staged(whole.join(first, "whole").filter("lo < doc_id").select("key").distinct())
+    copies = staged(whole.join(first, "whole").filter("lo < doc_id").select(*row).distinct())
     # tables of grouped keys are written before they are joined back: then the join's sides are
     # plain shuffles, and AQE can split the rows of a hot key over tasks
     shared = staged(found.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
                     .filter("lo < hi").select("name"))
     discard(spark, first)
-    spans = staged(found.select("name", "key", "span").join(shared, "name").join(copies, "key", "left_anti")
-                   .groupBy("key").agg(F.collect_set("span").alias("spans")))
+    spans = staged(found.join(shared, "name").join(copies, row, "left_anti")
+                   .groupBy(*row).agg(F.collect_set("span").alias("spans")))
     discard(spark, found, shared)
-    windows = staged(source.select("doc_id", "data", "key").join(spans, "key").select("doc_id", "data", "key", "spans")
+    windows = staged(source.select("doc_id", "data", "key").join(spans, row).select("doc_id", "data", "key", "spans")
                      .mapInArrow(_windows(width), "a long, b long, doc_id long, key long, at int"))
     discard(spark, spans)
     least = staged(windows.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
                    .filter("lo < hi").select("a", "b", "lo"))
     discard(spark)
     gone = staged(windows.join(least, ["a", "b"]).filter("lo < doc_id")
-                  .groupBy("key").agg(F.collect_set("at").alias("ats"))
-                  .unionByName(copies.select("key", F.array(F.lit(EVERYWHERE)).alias("ats"))))
+                  .groupBy(*row).agg(F.collect_set("at").alias("ats"))
+                  .unionByName(copies.select(*row, F.array(F.lit(EVERYWHERE)).alias("ats"))))
     discard(spark, windows, least, copies)
     keep = ["doc_id", *carry]
     fields = {f.name: f.dataType.simpleString() for f in source.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in keep) + ", n_words long, n_removed long, kept binary"
-    return source.join(gone, "key", "left").select(*keep, "data", "ats").mapInArrow(_cut(width, keep, keep_layout), schema)
+    return source.join(gone, row, "left").select(*keep, "data", "ats").mapInArrow(_cut(width, keep, keep_layout), schema)
 
 
 def digest(result: DataFrame) -> DataFrame:
