@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from flightlens.llm import decontamination, packing, quality, simhash_dedup, substring_dedup
 from flightlens.llm.queries import tokenizer_path
-from flightlens.llm.runtime import staged, table
+from flightlens.llm.runtime import forget, staged, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -87,7 +87,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir))
+        if written is not None:
+            forget(spark, written)               # the stage before has been read for the last time
+        written = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,9 +14,12 @@ shuffle; the conversation is its turns' chunks in order.
 running state, however many turns a conversation has.
 
 Defined cases: null text or no parts: empty content; null role: an empty role;
-a null turn comes first; turns of one number are ordered by role and content;
+a null turn comes first; turns of one number are ordered by role and content, as
+they are before escaping (of typed parts: with their placeholders);
 a null conversation id is a conversation of its own; an unknown part type is
-an error; repeated rows are repeated turns; extra columns are ignored.
+an error; repeated rows are repeated turns; a very long text is one chunk, and a
+very long conversation is read back by one task as a stream; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightlens.llm.decontamination import words_of
-from flightlens.llm.runtime import prepare, rows_by_bytes, staged, text_bytes
+from flightlens.llm.runtime import forget, prepare, rows_by_bytes, staged, text_bytes
 
 TOP = 50
 BLOCK_BYTES = 1 << 20         # terms of items handled at a time
@@ -268,10 +268,11 @@ def _search_block(texts: DataFrame, items: dict, kind: str, top: int) -> DataFra
         F.sum("documents").alias("documents"), F.sum("length").alias("length")).collect()}
     documents, length = counted.pop(-1, (0, 0))
     plan.weigh(documents, length, {t: n for t, (n, _) in counted.items()})
-    found = postings.filter("size(terms) > 0").mapInArrow(_search(spark.sparkContext.broadcast(plan), top),
-                                                          "item int, doc_id long, score long")
+    found = staged(postings.filter("size(terms) > 0").mapInArrow(_search(spark.sparkContext.broadcast(plan), top),
+                                                                 "item int, doc_id long, score long"))
+    forget(spark, postings)
     names = spark.createDataFrame(list(enumerate(plan.ids)), f"item int, item_id {kind}")
-    return _merged(staged(found), top).join(names, "item").select("item_id", "rank", "doc_id", "score")
+    return _merged(found, top).join(names, "item").select("item_id", "rank", "doc_id", "score")
 
 
 def brute_force(rows: list[tuple], items: list[tuple], top: int = TOP) -> list[tuple]:

@@ -14,7 +14,9 @@ where they are made. Sequence numbers combine the task and a counter.
 Defined cases: a null text is an empty one; an empty document is its end id
 alone; documents longer than a sequence are cut (or, if cutting is off, cut
 only at whole sequences); a null id stays null; repeated rows are packed
-repeatedly; an empty table gives no pieces; extra columns are ignored.
+repeatedly; of pieces with equal products the one that has waited longest goes
+first; a very long text is encoded by one task; an empty table gives no pieces;
+extra columns are ignored.
 """
 
 from __future__ import annotations

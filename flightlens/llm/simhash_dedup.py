@@ -13,7 +13,9 @@ all pairs. Components of the links give each document its group.
 
 Defined cases: null or empty text, or one without words, has fingerprint 0 and
 is linked like any other; a null id is kept with a null component and links
-nothing; repeated rows stay repeated; an empty table gives an empty result.
+nothing; a bit set in exactly half of the shingles is 0; repeated rows stay
+repeated; a very long text is shingled whole, ``_PART`` shingles at a time; an
+empty table gives an empty result; extra columns are ignored unless carried.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightlens.llm.components import components
-from flightlens.llm.runtime import prepare, rows_by_bytes, staged, text_bytes
+from flightlens.llm.runtime import forget, prepare, rows_by_bytes, staged, text_bytes
 
 SHINGLE = 3
 DISTANCE = 2
@@ -177,6 +179,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = components(links).withColumnRenamed("node", "first")
     named = staged(nodes.join(groups, nodes["node"] == groups["first"], "left").select(
         F.col("bits").alias("of"), F.coalesce("component", "node").alias("component")))
+    forget(spark, nodes)
     return prints.join(named, prints["bits"] == named["of"], "left").select(
         "doc_id", *carry, "bits", F.expr("IF(doc_id IS NULL, NULL, component)").alias("component_id"))
 

@@ -19,7 +19,9 @@ whose word sequence also starts in a document with a smaller id.
 Defined cases: null or empty text has no words (n_words 0, hash of the empty
 string); a null id is never smaller than another, and its row keeps all words;
 rows with one id are separate documents of equal rank, neither removes words
-from the other; other columns of the input are ignored unless asked for.
+from the other; rows alike in id and text are one document, given as often as
+they stand; a very long text is parsed and cut by one task, hashed a block at a
+time; an empty table gives no rows; other columns of the input are ignored unless asked for.
 """
 
 from __future__ import annotations

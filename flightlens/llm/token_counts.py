@@ -9,8 +9,12 @@ strings that encode alone as one token are found once; pre-tokens equal to one
 count as 1, and only the others are merged (and remembered, up to a bound). A
 vocabulary that fails the proof is counted text by text with the library.
 
-Defined cases: null or empty text has 0 bytes and 0 tokens; a null id stays;
-repeated rows are counted repeatedly; extra columns are ignored unless carried.
+Defined cases: null or empty text has 0 bytes and 0 tokens; a null id stays; a
+text at the limit is not over it; the vocabulary's special strings (``<s>``) in a
+text are plain text, as for the library; texts with a word mark are given to the
+library whole; a very long text is counted whole by one task; repeated rows are
+counted repeatedly; an empty table gives no rows; extra columns are ignored
+unless carried.
 """
 
 from __future__ import annotations

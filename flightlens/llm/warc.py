@@ -6,8 +6,8 @@ inflating all before it. ``normalise`` inflates each stream once, rewrites
 every record as a gzip member of its own, and writes a sidecar index with each
 record's offset and length. ``read_archives`` reaches records through it.
 
-Records stream through a task in pieces of ``PIECE`` bytes, so memory does not
-grow with a file or a payload. Files live in the shared folder. A task names
+Files stream through a task in pieces of ``PIECE`` bytes, so memory does not grow
+with a file; one record is held at a time, its payload about three times. Files live in the shared folder. A task names
 its files at random and reports them; only files reported by a finished task
 are read later, so a lost executor or a repeated attempt leaves unused files,
 never wrong ones.
@@ -20,7 +20,8 @@ than once are joined back.
 Defined cases: null html is an empty payload; a null page id is smaller than
 any other, and if all pages of a payload have none, all are responses; rows
 alike in id and payload are alike in the archives; a null url leaves out the
-target header; an empty table gives no archives and no rows.
+target header; a very long html is one record of one task; an empty table gives
+no archives and no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
