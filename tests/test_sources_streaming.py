@@ -1,5 +1,6 @@
 """Raw CSV by name (trailing comma, reordered headers, legacy dates), sinks, streaming ingest."""
 
+import datetime as dt
 import os
 
 import pytest
@@ -133,3 +134,15 @@ def test_ingest_stops_on_a_row_without_flag(spark, tmp_dir):
     q = start_monthly_ingest(spark, os.path.join(tmp_dir, "raw"), os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck"))
     with pytest.raises(Exception, match="without date"):
         q.awaitTermination(120)
+
+
+def test_only_columns_that_can_lose_a_value_are_looked_at(spark):
+    """Numbers and dates always have a typed form: the check leaves no text of them in the plan."""
+    from flightlens.operators import clean
+
+    raw = spark.createDataFrame([(dt.date(2024, 1, 1), "AA", 3, 12.5, 0.0, "x")],
+                                "FL_DATE date, OP_UNIQUE_CARRIER string, OP_CARRIER_FL_NUM int, DISTANCE double, CANCELLED double, AIR_TIME string")
+    lost = str(clean._lost(raw))
+    assert "AIR_TIME" in lost
+    assert not any(c in lost for c in ("FL_DATE", "OP_UNIQUE_CARRIER", "OP_CARRIER_FL_NUM", "DISTANCE"))
+    assert raw.select(clean._lost(raw).alias("n")).first()["n"] == 1
