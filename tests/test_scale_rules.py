@@ -59,3 +59,34 @@ def test_ols_reads_all_rows_whatever_the_sample(spark):
     a = Magnitude(study_for(spark, SF0001))
     b = Magnitude(study_for(spark, SF0001, dataclasses.replace(FIXTURE, sample_size=50)))
     assert a.m1.nobs == b.m1.nobs == a.train.count()
+
+
+def test_flights_are_moved_once_for_order_and_customer(spark, tmp_dir):
+    """Without broadcasts no flight row is dealt out by its customer: orders and customers meet first."""
+    from flightlens.sources import fixture
+
+    tables = {"lineitem": "1L l_orderkey, 1L l_partkey, 1L l_suppkey, 1 l_linenumber, 100D l_extendedprice, 'O' l_linestatus, timestamp'1998-01-02' l_shipdate",
+              "orders": "1L o_orderkey, 1L o_custkey", "customer": "1L c_custkey, 1 c_nationkey", "supplier": "1L s_suppkey, 2 s_nationkey",
+              "part": "1L p_partkey, 'B' p_brand", "nation": "1 n_nationkey, 'PERU' n_name"}
+    for name, row in tables.items():
+        df = spark.sql(f"SELECT {row}")
+        df = df.unionByName(spark.sql("SELECT 2 n_nationkey, 'CHINA' n_name")) if name == "nation" else df
+        df.write.parquet(f"{tmp_dir}/{name}.parquet")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(old, ("-1", "false")):
+            spark.conf.set(k, v)
+        raw = fixture.raw_flights(spark, tmp_dir)
+        plan = raw._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    depth = lambda line: min(line.find(x) for x in ("+-", ":-") if x in line)
+    at = next(i for i, line in enumerate(plan) if "Exchange hashpartitioning(o_custkey" in line)
+    below = []
+    for line in plan[at + 1:]:
+        if depth(line) <= depth(plan[at]):
+            break
+        below.append(line)
+    assert any("o_orderkey" in line for line in below) and not any("l_linenumber" in line for line in below)
+    assert [(r["ORIGIN"], r["DEST"], r["OP_UNIQUE_CARRIER"]) for r in raw.collect()] == [("CHINA", "PERU", "B")]
