@@ -285,3 +285,20 @@ def test_inference_sql_draws_the_sample_of_the_study(spark, monkeypatch):
     assert set(got) == set(want)
     for term, (b, se) in want.items():
         assert b is None or (math.isclose(got[term][0], b, abs_tol=2e-6) and math.isclose(got[term][1], se, abs_tol=2e-6)), term
+
+
+def test_columns_that_vary_are_found_without_a_pass_per_level(spark):
+    """Levels beyond one word of bits, rows outside the list, nulls, flags and numbers of one value."""
+    many = tuple(range(200))
+    df = spark.createDataFrame([(k, "a" if k % 2 else None, True, None if k else True, 1.0, float(k)) for k in range(0, 150)],
+                               "k int, one string, always boolean, once boolean, same double, num double")
+    design = Design((Factor("k", many), Factor("one", ("z", "a", "b")), Flag("always"), Flag("once"), Numeric("same"), Numeric("num")))
+    n, vary = L.varying_columns(df, design)
+    names = [design.names[1:][i] for i in vary]
+    cols = design.indicator_columns()
+    by_column = df.agg(*[(F.min(c) != F.max(c)).alias(f"v{i}") for i, c in enumerate(cols)]).first()
+    assert n == 150 and vary == [i for i in range(len(cols)) if by_column[i]]
+    assert names == [*[f"C(k)[T.{k}]" for k in range(1, 150)], "C(one)[T.a]", "once[T.True]", "num"]
+    vectors = L.labelled_rows(df, design, F.lit(1), keep=("k",)).select("k", "features").collect()
+    wanted = {r["k"]: list(r)[1:] for r in df.select("k", *[c.alias(f"x{i}") for i, c in enumerate(cols)]).collect()}
+    assert {r["k"]: r["features"].toArray().tolist() for r in vectors} == wanted
