@@ -174,7 +174,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = staged(prints.filter("doc_id IS NOT NULL").groupBy("bits").agg(F.min("doc_id").alias("node")))
     postings = nodes.select("bits", "node", _postings(distance).alias("list")).select("list.*", "bits", "node")
     sizes = postings.groupBy("kind", "value").count().filter("count > 1").select("kind", "value")
-    links = (postings.join(sizes, ["kind", "value"]).repartition("kind", "value")
+    # Spark sizes postings as if the explode gave one row per fingerprint, and would broadcast them: always sort and merge
+    links = (postings.join(sizes.hint("merge"), ["kind", "value"]).repartition("kind", "value")
              .sortWithinPartitions("kind", "value", "bits").mapInArrow(_links(distance), "u long, v long"))
     groups = components(links).withColumnRenamed("node", "first")
     named = staged(nodes.join(groups, nodes["node"] == groups["first"], "left").select(

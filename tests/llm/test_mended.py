@@ -227,3 +227,27 @@ def test_url_extra_columns_and_very_long_urls(spark):
         url_filter.judge(pages, pages.selectExpr("url", "false AS bad"), carry=("suffix",))
     assert {x.page_id: x.text for x in html_extract.extract_text(pages.selectExpr("page_id", "url", "'<p>t' AS html", "suffix AS digest",
                                                                                   "fold AS wrapper")).collect()} == {1: "t", 2: "t"}
+
+
+def _links_plan(monkeypatch, run):
+    """The plan by which the links of near copies were found, as it stood at the end of the run."""
+    plans, real = [], simhash_dedup.components
+
+    def watched(links):
+        links.collect()
+        plans.append(links._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        return real(links)
+
+    monkeypatch.setattr(simhash_dedup, "components", watched)
+    rows = [tuple(r) for r in run().collect()]
+    (plan,) = plans
+    return plan, rows
+
+
+def test_op3_postings_are_not_broadcast(spark, monkeypatch):
+    """Spark sizes the 28 postings of a fingerprint as one row: a table that seems small must not go through the driver."""
+    texts = [(i, " ".join(f"w{i % 30}x{j}" for j in range(20))) for i in range(60)]
+    docs = spark.createDataFrame([*texts, (None, texts[0][1]), (70, None)], "doc_id long, text string")
+    plan, rows = _links_plan(monkeypatch, lambda: simhash_dedup.digest(simhash_dedup.near_duplicates(docs)))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    same(rows, simhash_dedup.brute_force([*texts, (None, texts[0][1]), (70, None)]))
