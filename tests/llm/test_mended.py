@@ -251,3 +251,11 @@ def test_op3_postings_are_not_broadcast(spark, monkeypatch):
     plan, rows = _links_plan(monkeypatch, lambda: simhash_dedup.digest(simhash_dedup.near_duplicates(docs)))
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     same(rows, simhash_dedup.brute_force([*texts, (None, texts[0][1]), (70, None)]))
+
+
+def test_pipeline_postings_are_not_broadcast(spark, monkeypatch):
+    """As in op3: the pipeline's second stage, run as part of the whole."""
+    import corpus_pipeline as P
+    plan, rows = _links_plan(monkeypatch, lambda: P.run(spark, SF))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert rows
